@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import op8_mixing
+from rasterloom.llm import op6_simhash, op8_mixing
 
 QUERIES = {
+    "op6_simhash": op6_simhash.op6_simhash,
     "op8_source_mix": op8_mixing.op8_source_mix,
 }
 ORACLES = {"op8_source_mix": op8_mixing.ORACLE}
