@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import op6_simhash, op8_mixing
+from rasterloom.llm import op1_substring, op6_simhash, op8_mixing
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring.op1_substring_dedup,
     "op6_simhash": op6_simhash.op6_simhash,
     "op8_source_mix": op8_mixing.op8_source_mix,
 }
