@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import op1_substring, op2_bpe, op4_quality, op6_simhash, op8_mixing
+from rasterloom.llm import op1_substring, op2_bpe, op4_quality, op6_simhash, op7_html, op8_mixing
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
     "op2_bpe": op2_bpe.op2_bpe,
     "op4_quality_fm": op4_quality.op4_quality_fm,
     "op6_simhash": op6_simhash.op6_simhash,
+    "op7_html_text": op7_html.op7_html_text,
     "op8_source_mix": op8_mixing.op8_source_mix,
 }
 ORACLES = {"op8_source_mix": op8_mixing.ORACLE}
