@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import op1_substring, op2_bpe, op4_quality, op6_simhash, op7_html, op8_mixing
+from rasterloom.llm import op10_warc, op1_substring, op2_bpe, op4_quality, op6_simhash, op7_html, op8_mixing
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_simhash": op6_simhash.op6_simhash,
     "op7_html_text": op7_html.op7_html_text,
     "op8_source_mix": op8_mixing.op8_source_mix,
+    "op10_warc_roundtrip": op10_warc.op10_warc_roundtrip,
 }
-ORACLES = {"op8_source_mix": op8_mixing.ORACLE}
+ORACLES = {"op10_warc_roundtrip": op10_warc.ORACLE, "op8_source_mix": op8_mixing.ORACLE}
