@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from itertools import compress
 
 import numpy as np
@@ -14,8 +15,9 @@ from rasterloom.llm.common import partitions, string_bytes, slices, window_hashe
 
 #: Words of text hashed at once within a task, in bytes.
 AT_ONCE = 4_000_000
-#: Chunks of documents, and buckets of hashes, for each shuffle partition.
-CHUNKS, BUCKETS = 16, 4
+#: Chunks of documents, and buckets of hashes, for each shuffle partition. What travels is a row for each chunk and bucket
+#: that have anything in common, so few large ones cost less; partitions are to be so many that each holds some 20 MB of text.
+CHUNKS, BUCKETS = 2, 1
 #: Odd rates of the running polynomials over words.
 _RATES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -66,12 +68,12 @@ def _in_buckets(value: np.ndarray, buckets: int, *more: np.ndarray):
     return order, sorted_buckets, cuts
 
 
-_SENT = "bucket long, chunk long, kind int, own binary, low binary, more binary"
-_FIELDS = ["bucket", "chunk", "kind", "own", "low", "more"]
+_SENT = "bucket long, chunk long, kind int, own binary, low binary"
+_FIELDS = ["bucket", "chunk", "kind", "own", "low"]
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_FIELDS)
 
 
@@ -98,7 +100,7 @@ def _anchors(width: int, buckets: int):
             some = (some[order] & low).astype(np.uint32)
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(some)], strict=False):
                 rows.setdefault(int(bucket[a]), [None, None])[kind] = _pack(np.unique(some[a:b]))
-        return _sent([(b, number, 0, own, other, None) for b, (own, other) in rows.items()])
+        return _sent([(b, number, 0, own, other) for b, (own, other) in rows.items()])
 
     return fn
 
@@ -116,7 +118,8 @@ def _met(table: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(known, probe), len(known) - 1)
         seen[at[known[at] == probe]] = True
     bucket = table.column("bucket")[0].as_py()
-    return _sent([(bucket, int(c), 0, np.packbits(seen[np.searchsorted(known, x)]).tobytes(), None, None) for c, x in zip(chunks, own, strict=True) if len(x)])
+    bits = [seen[np.searchsorted(known, x)] for x in own]
+    return _sent([(bucket, int(c), 0, np.packbits(x).tobytes(), None) for c, x in zip(chunks, bits, strict=True) if x.any()])
 
 
 def _candidates(chunk: _Chunk, width: int, least: int, buckets: int, flags: dict[int, bytes]):
@@ -176,9 +179,9 @@ def _extended(width: int, least: int, buckets: int):
         flags = _flags(met, 0)
         _, one, two = _candidates(_Chunk(table), width, least, buckets, flags)
         a, b, bucket, cuts, _, _ = _distinct(one, two, buckets)
-        rows = [(-1 - number, number, 0, bits, None, flag) for flag, bits in ((str(k).encode(), v) for k, v in flags.items())]
+        rows = [(-1 - number, number, 0, pickle.dumps(flags), None)]
         for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)], strict=False):
-            rows.append((int(bucket[s]), number, 1, _pack(a[s:e]), b[s:e].tobytes(), None))
+            rows.append((int(bucket[s]), number, 1, _pack(a[s:e]), b[s:e].tobytes()))
         return _sent(rows)
 
     return fn
@@ -187,8 +190,7 @@ def _extended(width: int, least: int, buckets: int):
 def _confirmed(table: pa.Table) -> pa.Table:
     """Of each chunk's windows in this bucket: whether another chunk has the same."""
     if table.column("bucket")[0].as_py() < 0:
-        rows = zip(table.column("chunk").to_pylist(), table.column("own").to_pylist(), table.column("more").to_pylist(), strict=True)
-        return _sent([(int(more), chunk, 0, own, None, None) for chunk, own, more in rows])
+        return table
     one = [_unpack(x, np.uint64) for x in table.column("own").to_pylist()]
     two = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
     a, b = np.concatenate(one), np.concatenate(two)
@@ -199,7 +201,8 @@ def _confirmed(table: pa.Table) -> pa.Table:
     seen[order] = same[1:] | same[:-1]
     ends = np.cumsum([len(x) for x in one])
     bucket = table.column("bucket")[0].as_py()
-    return _sent([(bucket, c, 1, np.packbits(seen[e - len(x) : e]).tobytes(), None, None) for c, x, e in zip(table.column("chunk").to_pylist(), one, ends.tolist(), strict=True)])
+    bits = [seen[e - len(x) : e] for x, e in zip(one, ends.tolist(), strict=True)]
+    return _sent([(bucket, c, 1, np.packbits(x).tobytes(), None) for c, x in zip(table.column("chunk").to_pylist(), bits, strict=True) if x.any()])
 
 
 def _cut(width: int, least: int, buckets: int):
@@ -209,7 +212,7 @@ def _cut(width: int, least: int, buckets: int):
         if not table.num_rows:
             return pa.Table.from_pylist([], schema=_RESULT)
         chunk = _Chunk(table)
-        starts, one, two = _candidates(chunk, width, least, buckets, _flags(answers, 0))
+        starts, one, two = _candidates(chunk, width, least, buckets, next((pickle.loads(x) for x in _flags(answers, 0).values()), {}))
         a, _, bucket, cuts, times, place = _distinct(one, two, buckets)
         seen, yes = times > 1, _flags(answers, 1)
         for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)], strict=False):
