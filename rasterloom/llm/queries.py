@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import op10_warc, op1_substring, op2_bpe, op4_quality, op6_simhash, op7_html, op8_mixing
+from rasterloom.llm import op10_warc, op1_substring, op2_bpe, op3_embeddings, op4_quality, op5_topk, op6_simhash, op7_html, op8_mixing
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
     "op2_bpe": op2_bpe.op2_bpe,
     "op4_quality_fm": op4_quality.op4_quality_fm,
+    "op3_embedding_dedup": op3_embeddings.op3_embedding_dedup,
+    "op5_top_k": op5_topk.op5_top_k,
     "op6_simhash": op6_simhash.op6_simhash,
     "op7_html_text": op7_html.op7_html_text,
     "op8_source_mix": op8_mixing.op8_source_mix,
     "op10_warc_roundtrip": op10_warc.op10_warc_roundtrip,
 }
-ORACLES = {"op10_warc_roundtrip": op10_warc.ORACLE, "op8_source_mix": op8_mixing.ORACLE}
+ORACLES = {"op3_embedding_dedup": op3_embeddings.ORACLE, "op5_top_k": op5_topk.ORACLE, "op10_warc_roundtrip": op10_warc.ORACLE, "op8_source_mix": op8_mixing.ORACLE}
