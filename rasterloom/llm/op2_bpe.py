@@ -20,7 +20,9 @@ from tokenizers import Tokenizer
 from rasterloom.llm.common import partitions, slices, string_bytes
 
 #: Bytes of text whose words share one table of distinct words.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
+#: Words whose ids are put together at once.
+AT_ONCE = 300_000
 #: Groups of distinct words for each shuffle partition.
 BUCKETS = 2
 
@@ -143,40 +145,54 @@ def _encode(path: str):
     return fn
 
 
-_OUT = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("ids", pa.list_(pa.int32()))])
+def texts_of(ids: pa.ListArray, path: str) -> pa.Array:
+    """The text of each list of ids: pieces are taken from the vocabulary by number."""
+    if tokenizer(path).decoder is not None:
+        return pa.array([None if x is None else tokenizer(path).decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
+    found = pieces(path).take(ids.flatten())
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy())])
+    return pc.if_else(ids.is_valid(), pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found), " "), None)
 
 
-def _assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
+def _assemble(path: str, decoded: bool):
     """Each document's ids, from its words' numbers and their ids."""
-    parts = [(np.cumsum(_numbers_of(at)), _numbers_of(data)) for at, data in zip(answers.column("at").to_pylist(), answers.column("data").to_pylist(), strict=True)]
-    n = 1 + max((int(at[-1]) for at, _ in parts), default=-1)
-    sizes, begins, flat, base = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-    for at, data in parts:
-        own = data[: len(at)]
-        sizes[at] = own
-        begins[at] = base + np.cumsum(own) - own
-        flat.append(data[len(at) :])
-        base += len(flat[-1])
-    flat = np.concatenate([*flat, np.zeros(0, np.int64)]).astype(np.int32)
-    out = []
-    for kind, head, data in zip(texts.column("kind").to_pylist(), texts.column("at").to_pylist(), texts.column("data").to_pylist(), strict=True):
-        if kind != _TEXTS:
-            continue
-        head = _unzip(head)
-        docs = len(head) // 9
-        data = _numbers_of(data)
-        words, at = data[:docs], data[docs:]
-        if len(at) and int(at.max()) >= n:
-            raise RuntimeError("ids of some words are missing")
-        ends = np.concatenate([[0], np.cumsum(sizes[at])])
-        ids = flat[np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], sizes[at])]
-        offsets = pa.array(ends[np.concatenate([[0], np.cumsum(words)])], pa.int32())
-        out.append(pa.Table.from_arrays([pa.array(np.frombuffer(head[: 8 * docs], np.int64)), pa.array(np.frombuffer(head[8 * docs :], bool)), pa.ListArray.from_arrays(offsets, pa.array(ids))], schema=_OUT))
-    return pa.concat_tables(out) if out else _OUT.empty_table()
-
-
-def encode(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """id and ids (array<int>) of every row of docs, as the tokenizer file at `path` encodes its whole text without
+    fields = [("id", pa.int64()), ("no_id", pa.bool_()), ("ids", pa.list_(pa.int32()))] + [("text", pa.string())] * decoded
+    schema = pa.schema(fields)
+
+    def fn(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = [(np.cumsum(_numbers_of(at)), _numbers_of(data)) for at, data in zip(answers.column("at").to_pylist(), answers.column("data").to_pylist(), strict=True)]
+        n = 1 + max((int(at[-1]) for at, _ in parts), default=-1)
+        sizes, begins, flat, base = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
+        for at, data in parts:
+            own = data[: len(at)]
+            sizes[at] = own
+            begins[at] = base + np.cumsum(own) - own
+            flat.append(data[len(at) :].astype(np.int32))
+            base += len(flat[-1])
+        flat = np.concatenate([*flat, np.zeros(0, np.int32)])
+        out = []
+        for kind, head, data in zip(texts.column("kind").to_pylist(), texts.column("at").to_pylist(), texts.column("data").to_pylist(), strict=True):
+            if kind != _TEXTS:
+                continue
+            head, data = _unzip(head), _numbers_of(data)
+            docs = len(head) // 9
+            ids, none = np.frombuffer(head[: 8 * docs], np.int64), np.frombuffer(head[8 * docs :], bool)
+            words, at = np.concatenate([[0], np.cumsum(data[:docs])]), data[docs:]
+            if len(at) and int(at.max()) >= n:
+                raise RuntimeError("ids of some words are missing")
+            for a, b in slices(words, AT_ONCE):
+                own = at[words[a] : words[b]]
+                ends = np.concatenate([[0], np.cumsum(sizes[own])])
+                found = pa.array(flat[np.arange(ends[-1]) + np.repeat(begins[own] - ends[:-1], sizes[own])])
+                lists = pa.ListArray.from_arrays(pa.array(ends[words[a : b + 1] - words[a]], pa.int32()), found)
+                out.append(pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(none[a:b]), lists] + [texts_of(lists, path)] * decoded, schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    return fn
+
+
+def encode(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text", decoded: bool = False) -> DataFrame:
+    """id and ids (array<int>) of every row of docs, and if decoded the text that decode() gives of the ids, as the tokenizer file at `path` encodes its whole text without
     adding special tokens.
 
     Holds for tokenizers that drop white space and never join two words, so that a text's ids are those of its
@@ -191,8 +207,8 @@ def encode(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text") -> D
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).cast("string").alias("text"))
     chunks = rows.mapInArrow(_split(n), _ROW).repartition("chunk")
     answers = chunks.mapInArrow(_only_words, _ROW).groupBy("bucket").applyInArrow(_encode(path), _ROW)
-    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble, "id long, no_id boolean, ids array<int>")
-    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "ids")
+    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(path, decoded), "id long, no_id boolean, ids array<int>" + ", text string" * decoded)
+    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "ids", *["text"] * decoded)
 
 
 def decode(path: str):
@@ -204,10 +220,7 @@ def decode(path: str):
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        if tokenizer(path).decoder is not None:
-            return pa.array([None if x is None else tokenizer(path).decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
-        found = pieces(path).take(ids.values)
-        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, found, mask=ids.is_null() if ids.null_count else None), " ")
+        return texts_of(ids, path)
 
     return text
 
@@ -221,10 +234,10 @@ def word_file() -> str:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids in decimal and of the text they decode to."""
     path = word_file()
-    found = encode(docs, path)
+    found = encode(docs, path, decoded=True)
     return found.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(decode(path)(F.col("ids")), 256).alias("decoded_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import op10_warc, op1_substring, op2_bpe, op3_embeddings, op4_quality, op5_topk, op6_simhash, op7_html, op8_mixing
+from rasterloom.llm import op10_warc, op1_substring, op2_bpe, op3_embeddings, op4_quality, op5_topk, op6_simhash, op7_html, op8_mixing, op9_tokens
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": op6_simhash.op6_simhash,
     "op7_html_text": op7_html.op7_html_text,
     "op8_source_mix": op8_mixing.op8_source_mix,
+    "op9_token_files": op9_tokens.op9_token_files,
     "op10_warc_roundtrip": op10_warc.op10_warc_roundtrip,
 }
 ORACLES = {"op3_embedding_dedup": op3_embeddings.ORACLE, "op5_top_k": op5_topk.ORACLE, "op10_warc_roundtrip": op10_warc.ORACLE, "op8_source_mix": op8_mixing.ORACLE}
