@@ -10,11 +10,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rasterloom.llm.common import partitions, string_bytes, slices, window_hashes, word_bounds, word_hashes
 
 #: Words of text hashed at once within a task, in bytes.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 #: Chunks of documents, and buckets of hashes, for each shuffle partition. What travels is a row for each chunk and bucket
 #: that have anything in common, so few large ones cost less; partitions are to be so many that each holds some 20 MB of text.
 CHUNKS, BUCKETS = 2, 1
@@ -205,12 +206,12 @@ def _confirmed(table: pa.Table) -> pa.Table:
     return _sent([(bucket, c, 1, np.packbits(x).tobytes(), None) for c, x in zip(table.column("chunk").to_pylist(), bits, strict=True) if x.any()])
 
 
-def _cut(width: int, least: int, buckets: int):
+def _cut(width: int, least: int, buckets: int, schema: pa.Schema, carried: int, as_it_was: bool):
     """The documents without the words of confirmed windows."""
 
     def fn(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.Table.from_pylist([], schema=_RESULT)
+            return schema.empty_table()
         chunk = _Chunk(table)
         starts, one, two = _candidates(chunk, width, least, buckets, next((pickle.loads(x) for x in _flags(answers, 0).values()), {}))
         a, _, bucket, cuts, times, place = _distinct(one, two, buckets)
@@ -227,20 +228,24 @@ def _cut(width: int, least: int, buckets: int):
         for text, first, n in zip(chunk.table.column("text"), chunk.first.tolist(), chunk.counts.tolist(), strict=True):
             mine = keep[first : first + n]
             gone = n - int(mine.sum())
+            removed.append(gone)
+            if as_it_was and not gone:
+                texts.append(text.as_py())
+                continue
             words = (text.as_py() or "").encode().split()
             texts.append(b" ".join(compress(words, mine.tolist()) if gone else words).decode())
-            removed.append(gone)
         t = chunk.table
-        return pa.Table.from_arrays([t.column("kd"), t.column("no_id"), t.column("kh"), pa.array(chunk.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], schema=_RESULT)
+        return pa.Table.from_arrays([t.column("kd"), t.column("no_id"), t.column("kh"), pa.array(chunk.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), *t.columns[5 : 5 + carried]], schema=schema)
 
     return fn
 
 
-_RESULT = pa.schema([("id", pa.int64()), ("no_id", pa.bool_()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+_RESULT = "id long, no_id boolean, text_hash long, n_words long, n_removed long, kept string"
 
 
-def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least: int = 35) -> DataFrame:
-    """id, text_hash, n_words, n_removed and kept (the words left, joined by one space) of every row of docs.
+def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least: int = 35, carry=(), as_it_was: bool = False) -> DataFrame:
+    """id, text_hash, n_words, n_removed, kept (the words left, joined by one space) and the columns named in carry of
+    every row of docs. as_it_was: a text that loses nothing keeps its white space.
 
     A word goes if a window of `least` words that covers it starts at another place too, in the same or another
     document; windows are judged on the input. Every such window holds a whole block of (least + 1) // 2 words that
@@ -265,14 +270,17 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least:
     kd, kh = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(
         kd.alias("kd"), F.col(id_col).isNull().alias("no_id"), kh.alias("kh"), F.col(text_col).cast("string").alias("text"),
-        F.pmod(F.xxhash64(kd, kh), F.lit(CHUNKS * n)).alias("chunk"),
+        F.pmod(F.xxhash64(kd, kh), F.lit(CHUNKS * n)).alias("chunk"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)),
     )
     sent = rows.groupBy("chunk").applyInArrow(_anchors(width, buckets), _SENT)
     met = sent.groupBy("bucket").applyInArrow(_met, _SENT)
     windows = rows.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_extended(width, least, buckets), _SENT)
     answers = windows.groupBy("bucket").applyInArrow(_confirmed, _SENT)
-    cut = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(width, least, buckets), "id long, no_id boolean, text_hash long, n_words long, n_removed long, kept string")
-    return cut.withColumn("id", F.when(F.col("no_id"), None).otherwise(F.col("id"))).drop("no_id")
+    result = _RESULT + "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    schema = to_arrow_schema(spark.createDataFrame([], result).schema)
+    cut = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(width, least, buckets, schema, len(carry), as_it_was), result)
+    found = [F.when(~F.col("no_id"), F.col("id")).alias("id"), "text_hash", "n_words", "n_removed", "kept"]
+    return cut.select(*found, *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

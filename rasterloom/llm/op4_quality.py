@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     return fit(rows, table.column("label").to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, model: Model, *, text_col="text", size_col="n_chars", keys: list) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, text_col="text", size_col="n_chars", keys: list[str]) -> DataFrame:
     """keys (columns of docs) and score of every row, from its whole text and stated size alone.
 
     Null texts score as empty ones; empty texts have statistics of 0 only. Tables without size_col count as having no
@@ -185,16 +185,17 @@ def score(docs: DataFrame, model: Model, *, text_col="text", size_col="n_chars",
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            raw, offsets = string_bytes(batch.column("_text"))
+            raw, offsets = string_bytes(batch.column(text))
             stated = batch.column("_size").fill_null(-1).to_numpy(zero_copy_only=False)
             found = [np.zeros(0)]
             for a, b in slices(offsets, AT_ONCE):
                 found.append(own.score(*features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], stated[a:b]), b - a))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(batch.schema) - 2)), pa.array(np.concatenate(found))], [*batch.schema.names[:-2], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(np.concatenate(found))], [*keys, "score"])
 
     size = F.col(size_col).cast("long") if size_col in docs.columns else F.lit(None).cast("long")
-    rows = docs.select(*keys, F.col(text_col).cast("string").alias("_text"), size.alias("_size"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    text = text_col if text_col in keys else "_text"
+    rows = docs.select(*keys, *[F.col(text_col).cast("string").alias("_text")] * (text_col not in keys), size.alias("_size"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
     return rows.mapInArrow(each, f"{schema}, score double")
 
 
