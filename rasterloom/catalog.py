@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "a5_class_weights"
+from rasterloom.plans import pixels, sampling, scalars
+
+_PLANS = (pixels, sampling, scalars)
+QUERIES = {name: f for plan in _PLANS for name, f in plan.query.queries.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.query.oracles.items()}
+FLAGSHIP = "class_balance"
