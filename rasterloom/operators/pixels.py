@@ -163,18 +163,19 @@ def extremes(px: DataFrame, value: str) -> DataFrame:
 
 def hue_shift(r: Column, g: Column, b: Column, dh: int, ds: int, dv: int) -> Column:
     """An 8-bit colour with its hue (of 180 steps) turned and saturation and value raised, each kept in range."""
+    whole = lambda x: F.floor(F.round(x, 6) + 0.5)  # noqa: E731  a half is a half, whatever the last digits
     r, g, b = (x.cast("double") / 255 for x in (r, g, b))
     v, low = F.greatest(r, g, b), F.least(r, g, b)
     c = v - low
     h = F.when(c == 0, F.lit(0.0)).when(v == r, (g - b) / c).when(v == g, (b - r) / c + 2).otherwise((r - g) / c + 4)
-    h = F.pmod(F.floor(F.pmod(h, F.lit(6.0)) * 30 + 0.5) + dh, F.lit(180)) / 30.0
-    s = within(F.floor(F.when(v == 0, F.lit(0.0)).otherwise(c / v) * 255 + 0.5) + ds, 0, 255) / 255.0
-    v = within(F.floor(v * 255 + 0.5) + dv, 0, 255) / 255.0
+    h = F.pmod(whole(F.pmod(h, F.lit(6.0)) * 30) + dh, F.lit(180)) / 30.0
+    s = within(whole(F.when(v == 0, F.lit(0.0)).otherwise(c / v) * 255) + ds, 0, 255) / 255.0
+    v = within(whole(v * 255) + dv, 0, 255) / 255.0
 
     def channel(n: float) -> Column:
         k = F.pmod(h + n, F.lit(6.0))
         x = v - v * s * within(F.least(k, 4 - k), 0.0, 1.0)
-        return F.floor(F.round(x * 255, 6) + 0.5).cast("int")  # a half is a half, whatever the last digits
+        return whole(x * 255).cast("int")
 
     return F.array(channel(5), channel(3), channel(1))
 

@@ -122,7 +122,7 @@ _HSV = """
 c AS (SELECT img, yy, xx, v / 255.0::DOUBLE AS r, ((v * 3 + 40) % 256) / 255.0::DOUBLE AS g, ((v * 5 + 90) % 256) / 255.0::DOUBLE AS b FROM px WHERE yy = 11),
 h AS (SELECT *, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS ch FROM c),
 a AS (SELECT *, CASE WHEN ch = 0 THEN 0 WHEN mx = r THEN (g - b) / ch WHEN mx = g THEN (b - r) / ch + 2 ELSE (r - g) / ch + 4 END AS h0 FROM h),
-s AS (SELECT *, ((floor((((h0 % 6) + 6) % 6) * 30 + 0.5) + 20) % 180) / 30.0 AS hh, least(255, greatest(0, floor(CASE WHEN mx = 0 THEN 0 ELSE ch / mx END * 255 + 0.5) + 30)) / 255.0 AS ss, least(255, greatest(0, floor(mx * 255 + 0.5) - 10)) / 255.0 AS vv FROM a),
+s AS (SELECT *, ((floor(round((((h0 % 6) + 6) % 6) * 30, 6) + 0.5) + 20) % 180) / 30.0 AS hh, least(255, greatest(0, floor(round(CASE WHEN mx = 0 THEN 0 ELSE ch / mx END * 255, 6) + 0.5) + 30)) / 255.0 AS ss, least(255, greatest(0, floor(round(mx * 255, 6) + 0.5) - 10)) / 255.0 AS vv FROM a),
 k AS (SELECT *, (hh + 5) % 6 AS k5, (hh + 3) % 6 AS k3, (hh + 1) % 6 AS k1 FROM s)
 SELECT img, yy, xx, floor(round((vv - vv * ss * greatest(0, least(1, k5, 4 - k5))) * 255, 6) + 0.5)::INTEGER AS r, floor(round((vv - vv * ss * greatest(0, least(1, k3, 4 - k3))) * 255, 6) + 0.5)::INTEGER AS g,
        floor(round((vv - vv * ss * greatest(0, least(1, k1, 4 - k1))) * 255, 6) + 0.5)::INTEGER AS b FROM k"""
