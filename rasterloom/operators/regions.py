@@ -155,7 +155,7 @@ def contours(px: DataFrame, mask: str) -> DataFrame:
         array = _array(pdf, mask, bool)
         label = label_array(array)
         found = [(int(k), outline(label == k, *divmod(int(k) - 1, array.shape[1]))) for k in np.unique(label[label > 0])]
-        return pd.DataFrame({"img": [pdf["img"].iloc[0]] * len(found), "contour": [k for k, _ in found], "points": [[{"x": int(a), "y": int(b)} for a, b in p] for _, p in found]})
+        return pd.DataFrame({"img": [pdf["img"].iloc[0]] * len(found), "contour": [k for k, _ in found], "points": pd.Series([[{"x": int(a), "y": int(b)} for a, b in p] for _, p in found], dtype=object)})
 
     return px.select("img", "yy", "xx", mask).groupBy("img").applyInPandas(one, "img int, contour long, points array<struct<x:int,y:int>>")
 
