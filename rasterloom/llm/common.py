@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +33,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that what one stage took doesn't stay with the worker during the next."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(fn):
+    """fn, a function of one table or of two, after which freed memory is returned."""
+
+    def one(table):
+        try:
+            return fn(table)
+        finally:
+            give_back()
+
+    def two(table, other):
+        try:
+            return fn(table, other)
+        finally:
+            give_back()
+
+    return one if fn.__code__.co_argcount == 1 else two
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over all others."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rasterloom.llm.common import partitions, string_bytes, slices, window_hashes, word_bounds, word_hashes
+from rasterloom.llm.common import partitions, slices, string_bytes, tidy, window_hashes, word_bounds, word_hashes
 
 #: Words of text hashed at once within a task, in bytes.
 AT_ONCE = 2_000_000
 #: Chunks of documents, and buckets of hashes, for each shuffle partition. What travels is a row for each chunk and bucket
 #: that have anything in common, so few large ones cost less; partitions are to be so many that each holds some 20 MB of text.
-CHUNKS, BUCKETS = 2, 1
+CHUNKS, BUCKETS = 4, 1
 #: Odd rates of the running polynomials over words.
 _RATES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -272,13 +272,13 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least:
         kd.alias("kd"), F.col(id_col).isNull().alias("no_id"), kh.alias("kh"), F.col(text_col).cast("string").alias("text"),
         F.pmod(F.xxhash64(kd, kh), F.lit(CHUNKS * n)).alias("chunk"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)),
     )
-    sent = rows.groupBy("chunk").applyInArrow(_anchors(width, buckets), _SENT)
-    met = sent.groupBy("bucket").applyInArrow(_met, _SENT)
-    windows = rows.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_extended(width, least, buckets), _SENT)
-    answers = windows.groupBy("bucket").applyInArrow(_confirmed, _SENT)
+    sent = rows.groupBy("chunk").applyInArrow(tidy(_anchors(width, buckets)), _SENT)
+    met = sent.groupBy("bucket").applyInArrow(tidy(_met), _SENT)
+    windows = rows.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(tidy(_extended(width, least, buckets)), _SENT)
+    answers = windows.groupBy("bucket").applyInArrow(tidy(_confirmed), _SENT)
     result = _RESULT + "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     schema = to_arrow_schema(spark.createDataFrame([], result).schema)
-    cut = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(width, least, buckets, schema, len(carry), as_it_was), result)
+    cut = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(_cut(width, least, buckets, schema, len(carry), as_it_was)), result)
     found = [F.when(~F.col("no_id"), F.col("id")).alias("id"), "text_hash", "n_words", "n_removed", "kept"]
     return cut.select(*found, *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
 

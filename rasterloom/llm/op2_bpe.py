@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rasterloom.llm.common import partitions, slices, string_bytes
+from rasterloom.llm.common import give_back, partitions, slices, string_bytes, tidy
 
 #: Bytes of text whose words share one table of distinct words.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 #: Words whose ids are put together at once.
-AT_ONCE = 300_000
+AT_ONCE = 150_000
 #: Groups of distinct words for each shuffle partition.
 BUCKETS = 2
 
@@ -112,6 +112,7 @@ def _split(buckets: int):
                 if size >= CHUNK_BYTES:
                     yield out()
                     held, size = [], 0
+                    give_back()
         if held:
             yield out()
 
@@ -131,8 +132,8 @@ def _encode(path: str):
         found: dict[bytes, list[int]] = {}
         lists = [_unzip(x).split(b"\n") for x in table.column("data").to_pylist()]
         new = list(set().union(*lists))
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
+        for a in range(0, len(new), 4_000):
+            some = new[a : a + 4_000]
             found.update(zip(some, (e.ids for e in tokenizer(path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
         rows = []
         for chunk, bucket, at, words in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), table.column("at").to_pylist(), lists, strict=True):
@@ -206,8 +207,8 @@ def encode(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text", deco
     n = BUCKETS * partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).cast("string").alias("text"))
     chunks = rows.mapInArrow(_split(n), _ROW).repartition("chunk")
-    answers = chunks.mapInArrow(_only_words, _ROW).groupBy("bucket").applyInArrow(_encode(path), _ROW)
-    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assemble(path, decoded), "id long, no_id boolean, ids array<int>" + ", text string" * decoded)
+    answers = chunks.mapInArrow(_only_words, _ROW).groupBy("bucket").applyInArrow(tidy(_encode(path)), _ROW)
+    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(_assemble(path, decoded)), "id long, no_id boolean, ids array<int>" + ", text string" * decoded)
     return found.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "ids", *["text"] * decoded)
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import slices, string_bytes, word_bounds, word_hashes
+from rasterloom.llm.common import give_back, slices, string_bytes, word_bounds, word_hashes
 
 #: Hashed words; the structure statistics have numbers above.
 WORDS = 1 << 17
@@ -20,7 +20,7 @@ FIT_ROWS = 8_000
 FACTORS = 8
 EPOCHS = 12
 #: Bytes of text handled at once within a task.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 
 #: What is counted of a text's bytes: a share of all its bytes each.
 _CLASSES = (
@@ -191,6 +191,7 @@ def score(docs: DataFrame, model: Model, *, text_col="text", size_col="n_chars",
             for a, b in slices(offsets, AT_ONCE):
                 found.append(own.score(*features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], stated[a:b]), b - a))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(np.concatenate(found))], [*keys, "score"])
+            give_back()
 
     size = F.col(size_col).cast("long") if size_col in docs.columns else F.lit(None).cast("long")
     text = text_col if text_col in keys else "_text"

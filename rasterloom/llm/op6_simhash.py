@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise
+from rasterloom.llm.common import give_back, materialise
 from rasterloom.llm.components import components, stars
 
 #: Up to so many distinct fingerprints that share a segment are compared with one another directly.
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
             fp = np.array([fingerprint_of(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             key = batch.column(0)
             yield pa.RecordBatch.from_arrays([key.field(0), key.field(1), pa.array(fp.view(np.int64), pa.int64())], ["id", "text_hash", "fp"])
+            give_back()
 
     return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(each, "id long, text_hash long, fp long")
 
