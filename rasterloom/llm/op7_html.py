@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import partitions
+from rasterloom.llm.common import materialise, partitions
 
 # Elements and words of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +32,7 @@ _MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar comment comments disqus discussion replies share sharing social related recommended widget pagination pager toolbar skip".split()
 )
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -119,7 +120,7 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
         mains += inside == 2 and (name in _MAIN or not mains)
         kind = inside
         stack.append((name, kind, mains))
-    text.append(html.unescape(page[at:] if not page[at:].startswith("<") else ""))
+    text.append(html.unescape(_UNFINISHED.sub("", page[at:])))
     end()
     return texts, kinds
 
@@ -163,30 +164,36 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], ["k", "page_id", "url", "hashes", "texts", "kinds"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows host, path, k in order: each page's nearer neighbour of the same host."""
+_NEAR = pa.schema([("host", pa.string()), ("path", pa.string()), ("k", pa.int64()), ("other", pa.int64()), ("alike", pa.int32()), ("edge", pa.bool_())])
 
-    def alike(x: str, y: str) -> int:
-        n = min(len(x), len(y))
-        return next((i for i in range(n) if x[i] != y[i]), n)
 
-    before = now = None
+def _alike(x: str, y: str) -> int:
+    n = min(len(x), len(y))
+    return next((i for i in range(n) if x[i] != y[i]), n)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows host, path, k in order. Each with the row before it and the row after it, if of the same host, and how much
+    of the path both begin with; the one before counts half a character more. The first and the last row are edges."""
+
+    def out(pairs: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], f.type) for i, f in enumerate(_NEAR)], schema=_NEAR)
 
-    def pair(before, now, after):
-        found = [r for r in (before, after) if r is not None and r[0] == now[0]]
-        if found:
-            best = max(found, key=lambda r: alike(r[1], now[1]))
-            return now[2], best[2]
+    def pair(now: tuple, other: tuple | None, later: bool, edge: bool) -> list[tuple]:
+        if other is not None and other[0] == now[0]:
+            return [(*now, other[2], 2 * _alike(now[1], other[1]) + (not later), edge)]
+        return [(*now, None, -1, True)] if edge else []
 
+    before = now = None
     for batch in batches:
-        out = []
+        found = []
         for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if now is not None and (p := pair(before, now, row)):
-                out.append(p)
+            if now is not None:
+                found += pair(now, before, False, before is None) + pair(now, row, True, False)
             before, now = now, row
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["k", "other"])
-    if now is not None and (p := pair(before, now, None)):
-        yield pa.RecordBatch.from_arrays([pa.array([p[i]], pa.int64()) for i in (0, 1)], ["k", "other"])
+        yield out(found)
+    if now is not None:
+        yield out(pair(now, before, False, True) + pair(now, None, True, True))
 
 
 def _without_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +219,8 @@ def main_text(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="ht
     neighbour have them. A page that has an article keeps only what is in it. A page that shares all its blocks, or whose
     host has no other page, keeps all that isn't so marked.
 
-    Order is dealt by range of host, path and row, so a host with a third of all pages is split; rows at an edge then
-    have only one neighbour to choose from. Null or empty html gives an empty text; a null url is a host of its own.
+    Order is dealt by range of host, path and row, so a host with a third of all pages is split; what lies at the borders
+    of ranges is paired afterwards, so the result doesn't depend on them. Null or empty html gives an empty text; a null url is a host of its own.
     Repeated rows are each given; empty tables give empty results; other columns aren't read.
     """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
@@ -223,9 +230,14 @@ def main_text(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="ht
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)", 1)
     places = rows.select(host.alias("host"), path.alias("path"), "k").distinct()
-    near = places.repartitionByRange(partitions(pages.sparkSession), "host", "path", "k").sortWithinPartitions("host", "path", "k").mapInArrow(_neighbours, "k long, other long")
+    order = ["host", "path", "k"]
+    kind = "host string, path string, k long, other long, alike int, edge boolean"
+    near = materialise(places.repartitionByRange(partitions(pages.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, kind))
+    # the first and last row of each task's range, a few rows a task, are paired over the borders of ranges
+    edges = near.where("edge").select(*order).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours, kind)
+    best = near.union(edges).where("other is not null").groupBy("k").agg(F.max_by("other", F.struct("alike", "other")).alias("other"))
     known = lines.select(F.col("k").alias("other"), "hashes").groupBy("other").agg(F.first("hashes").alias("other_hashes"))
-    pairs = near.join(known, "other").select("k", "other_hashes")
+    pairs = best.join(known, "other").select("k", "other_hashes")
     both = lines.join(pairs, "k", "left").select("page_id", "url", "hashes", "texts", "kinds", "other_hashes")
     return both.mapInArrow(_without_shared, "page_id long, url string, text string")
 
