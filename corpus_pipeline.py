@@ -13,12 +13,14 @@ from rasterloom.llm.common import materialise
 
 #: Documents with a lower score go.
 LEAST_QUALITY = 0.3
+#: The name of a column of this module's own.
+_OWN = "__pipeline"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it is fitted on the labels of sf_dir."""
     model = op4_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op4_quality.score(docs, model, keys=docs.columns).where(F.col("score") >= LEAST_QUALITY).drop("score")
+    return op4_quality.score(docs, model, keys=docs.columns, out=_OWN).where(F.col(_OWN) >= LEAST_QUALITY).drop(_OWN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +31,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 or more words that stand elsewhere too; n_chars is that of the new text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = op1_substring.remove_repeats(docs, carry=others, as_it_was=True)
-    return found.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), *others, F.length("kept").cast("long").alias("n_chars")).select(docs.columns)
+    found = op1_substring.remove_repeats(docs.withColumn(_OWN, F.struct(*others)), carry=[_OWN], as_it_was=True)
+    new = {"doc_id": F.col("id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*(new[c].alias(c) if c in new else F.col(_OWN)[c].alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded to whole documents; those without words aren't taken."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    found = op8_mixing.mix(docs, carry=others)
+    found = op8_mixing.mix(docs.withColumn(_OWN, F.struct(*docs.columns)), carry=[_OWN])
     times = F.when(F.col("size") > 0, F.expr("(2 * taken + size) div (2 * size)")).otherwise(F.lit(0)).cast("int")
-    return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    return found.select(_OWN, F.explode(F.array_repeat(F.lit(1), times))).select(f"{_OWN}.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

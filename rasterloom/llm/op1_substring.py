@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rasterloom.llm.common import partitions, slices, string_bytes, tidy, window_hashes, word_bounds, word_hashes
@@ -240,9 +241,6 @@ def _cut(width: int, least: int, buckets: int, schema: pa.Schema, carried: int,
     return fn
 
 
-_RESULT = "id long, no_id boolean, text_hash long, n_words long, n_removed long, kept string"
-
-
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least: int = 35, carry=(), as_it_was: bool = False) -> DataFrame:
     """id, text_hash, n_words, n_removed, kept (the words left, joined by one space) and the columns named in carry of
     every row of docs. as_it_was: a text that loses nothing keeps its white space.
@@ -276,8 +274,9 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least:
     met = sent.groupBy("bucket").applyInArrow(tidy(_met), _SENT)
     windows = rows.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(tidy(_extended(width, least, buckets)), _SENT)
     answers = windows.groupBy("bucket").applyInArrow(tidy(_confirmed), _SENT)
-    result = _RESULT + "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    schema = to_arrow_schema(spark.createDataFrame([], result).schema)
+    base = [("id", T.LongType()), ("no_id", T.BooleanType()), ("text_hash", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())]
+    result = T.StructType([T.StructField(n, t) for n, t in base] + [T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)])
+    schema = to_arrow_schema(result)
     cut = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(_cut(width, least, buckets, schema, len(carry), as_it_was)), result)
     found = [F.when(~F.col("no_id"), F.col("id")).alias("id"), "text_hash", "n_words", "n_removed", "kept"]
     return cut.select(*found, *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.llm.common import give_back, slices, string_bytes, word_bounds, word_hashes
 
@@ -103,7 +104,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, factor
     scale = np.ones(size)
     model = Model(0.0, np.zeros(size), rng.normal(0, 0.02, (size, factors)), scale)
     mean = labels.mean() if len(labels) else 0.5
-    if not 0 < mean < 1:
+    if not len(labels) or not 0 < mean < 1:
         model.bias = float(np.clip((mean - 0.5) * 8, -4, 4))
         model.factor[:] = 0
         return model
@@ -173,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     return fit(rows, table.column("label").to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, model: Model, *, text_col="text", size_col="n_chars", keys: list[str]) -> DataFrame:
-    """keys (columns of docs) and score of every row, from its whole text and stated size alone.
+def score(docs: DataFrame, model: Model, *, text_col="text", size_col="n_chars", keys: list[str], out: str = "score") -> DataFrame:
+    """keys (columns of docs) and the score, under the name `out`, of every row, from its whole text and stated size alone.
 
     Null texts score as empty ones; empty texts have statistics of 0 only. Tables without size_col count as having no
     stated size. Repeated rows score alike; empty tables give empty results.
@@ -190,14 +191,15 @@ def score(docs: DataFrame, model: Model, *, text_col="text", size_col="n_chars",
             found = [np.zeros(0)]
             for a, b in slices(offsets, AT_ONCE):
                 found.append(own.score(*features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], stated[a:b]), b - a))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(np.concatenate(found))], [*keys, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(np.concatenate(found))], [f"_k{i}" for i in range(len(keys))] + ["_score"])
             give_back()
 
     size = F.col(size_col).cast("long") if size_col in docs.columns else F.lit(None).cast("long")
-    text = text_col if text_col in keys else "_text"
-    rows = docs.select(*keys, *[F.col(text_col).cast("string").alias("_text")] * (text_col not in keys), size.alias("_size"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
-    return rows.mapInArrow(each, f"{schema}, score double")
+    text = f"_k{keys.index(text_col)}" if text_col in keys else "_text"
+    named = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    rows = docs.select(*named, *[F.col(text_col).cast("string").alias("_text")] * (text_col not in keys), size.alias("_size"))
+    scored = rows.mapInArrow(each, T.StructType([*rows.schema.fields[: len(keys)], T.StructField("_score", T.DoubleType())]))
+    return scored.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), F.col("_score").alias(out))
 
 
 def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,10 +158,10 @@ def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     and one of rows that have both in common.
     """
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("_i"), F.col("text_hash").alias("_h"))).alias("m")).select("m.none", "m._i", "m._h")
-    keyed = docs.withColumns({"_none": F.col(id_col).isNull(), "_i": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_h": F.xxhash64(F.col(text_col).cast("string"))})
-    kept = keyed.join(best.withColumnRenamed("none", "_none"), ["_none", "_i", "_h"], "left_semi")
-    return kept.dropDuplicates(["_none", "_i", "_h"]).select(docs.columns)
+    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("__i"), F.col("text_hash").alias("__h"))).alias("m")).select("m.none", "m.__i", "m.__h")
+    keyed = docs.withColumns({"__none": F.col(id_col).isNull(), "__i": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__h": F.xxhash64(F.col(text_col).cast("string"))})
+    kept = keyed.join(best.withColumnRenamed("none", "__none"), ["__none", "__i", "__h"], "left_semi")
+    return kept.dropDuplicates(["__none", "__i", "__h"]).select(docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
