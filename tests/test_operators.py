@@ -217,3 +217,30 @@ def test_map_files(spark):
     assert tuple(files.map_data(lines).first()) == (1.5, 2.5, "+proj=utm")
     lines = spark.createDataFrame([('{"contours": [{"pts_m": [[1.0, 2.0], [3.0, 4.0]]}]}',)], "value string")
     assert [(p.x, p.y) for p in files.legacy_outlines(lines).first().points] == [(1.0, 2.0), (3.0, 4.0)]
+
+
+def test_shapefile(spark, tmp_path):
+    import struct
+
+    from rasterloom.sources import shapefile
+
+    def record(n, body):
+        return struct.pack(">2i", n, len(body) // 2) + body
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)]
+    hole = [(1.0, 0.5), (2.0, 0.5), (2.0, 1.0), (1.0, 0.5)]
+    polygon = struct.pack("<i4d2i2i", 5, 0, 0, 4, 3, 2, 8, 0, 4) + b"".join(struct.pack("<2d", *p) for p in ring + hole)
+    (tmp_path / "a.shp").write_bytes(b"\0" * 100 + record(1, polygon) + record(2, struct.pack("<i", 0)))
+    field = b"class".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([5, 0]) + b"\0" * 14
+    (tmp_path / "a.dbf").write_bytes(struct.pack("<4BIHH20x", 3, 0, 0, 0, 2, 65, 6) + field + b"\r" + b" rock  none ")
+    found = shapefile.features(spark, str(tmp_path)).collect()
+    assert [(r.seq, r.attributes, [(p.x, p.y) for p in r.points]) for r in found] == [(0, {"class": "rock"}, ring)]
+
+
+def test_augmentation_repeats(spark):
+    from rasterloom.operators import inference
+
+    px = spark.range(3 * 16).select((F.col("id") % 3).cast("int").alias("img"), F.floor(F.col("id") / 12).alias("yy"), (F.floor(F.col("id") / 3) % 4).alias("xx"), F.col("id").alias("v"))
+    a = inference.turned(px, 4, 1, 0).orderBy("v").collect()
+    assert a == inference.turned(px.repartition(5), 4, 1, 0).orderBy("v").collect()
+    assert len({(r.img, r.yy, r.xx) for r in a}) == 48
