@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import functools
-import re
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +15,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import rangecoder
-from rasterloom.llm.common import partitions, shared_folder
+from rasterloom.llm.common import give_back, partitions, shared_folder
 from rasterloom.llm.op2_bpe import tokenizer
 
 #: A frame is closed when it holds so many ids or its texts so many bytes; one longer document has a frame of its own.
 FRAME_IDS, FRAME_BYTES = 8_000_000, 32_000_000
 #: A frame's blocks hold this many ids, fewer in small frames so that enough of them are coded side by side.
-LONGEST, SHORTEST, ABREAST = 4096, 512, 512
+LONGEST, SHORTEST, ABREAST = 2048, 256, 2048
 _MAGIC = b"RLT1"
-#: White space next to a blank, or any but blanks and line feeds: such texts are encoded whole.
-_UNEVEN = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
+# White space other than blanks and line feeds, as a class of code points.
+_OTHER_SPACE = r"\x{9}\x{b}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Other white space, or blanks and line feeds next to one another or at an end: such texts are encoded whole.
+_UNEVEN = rf"[{_OTHER_SPACE}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+#: Distinct words encoded in one string.
+_TOGETHER = 4096
 
 
 @functools.cache
@@ -37,60 +38,58 @@ def _begins(path: str) -> np.ndarray:
     return np.array([(t.id_to_token(i) or "")[:1] in ("Ġ", "Ċ") for i in range(max(t.get_vocab(True).values()) + 1)])
 
 
-def token_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in one array, and how many each has; as the tokenizer encodes whole texts without adding
-    special tokens.
+    special tokens. Null is empty.
 
     Byte-level vocabularies that split before each blank and line feed between words allow a text to be encoded word by
     word. So texts' distinct words, each with the blank or line feed before it, are encoded in one long string; the
-    pieces that begin with a blank or line feed show where the words begin. Texts with other white space are encoded whole.
+    pieces that begin with a blank or line feed show where the words begin. A text's first word has nothing before it and
+    is encoded alone, and texts with other white space are encoded whole.
     """
-    number = count().__next__
-    words: defaultdict[str, int] = defaultdict(number)
-    first: defaultdict[str, int] = defaultdict(number)
-    whole: defaultdict[str, int] = defaultdict(number)
-    runs = []
-    for text in texts:
-        if not text:
-            runs.append(np.zeros(0, np.int64))
-        elif _UNEVEN.search(text):
-            runs.append(np.array([whole[text]]))
-        else:
-            parts = text.replace("\n", " \n").split(" ")
-            run = np.fromiter(map(words.__getitem__, parts[1:]), np.int64, len(parts) - 1)
-            runs.append(np.concatenate([[first[parts[0]]], run]))
     t = tokenizer(path)
-    sizes, ids = np.zeros(number(), np.int64), []
-    order: list[np.ndarray] = []
 
     def encoded(some: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in t.encode_batch_fast(some, add_special_tokens=False)]
-
-    alone = [*first.items(), *whole.items()]
-    for at in range(0, len(alone), 10_000):
-        some = alone[at : at + 10_000]
-        for (_, i), x in zip(some, encoded([w for w, _ in some]), strict=True):
-            sizes[i] = len(x)
-            ids.append(x)
-            order.append(np.array([i]))
+        return [np.array(e.ids, np.int64) for at in range(0, len(some), 2000) for e in t.encode_batch_fast(some[at : at + 2000], add_special_tokens=False)]
+
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    whole = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False).astype(bool)
+    even = ~whole & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+    parts = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(even)), "\n", " \n"), " ")
+    ends = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+    table = parts.flatten().dictionary_encode()
+    run, words = table.indices.to_numpy(zero_copy_only=False).astype(np.int64), table.dictionary.to_pylist()
+    ids: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
     begins = _begins(path)
-    keys, places = list(words), np.fromiter(words.values(), np.int64, len(words))
-    for at in range(0, len(keys), 4096):
-        x = encoded(["".join(w if w[:1] == "\n" else f" {w}" for w in keys[at : at + 4096])])[0]
+    for at in range(0, len(words), _TOGETHER):
+        some = words[at : at + _TOGETHER]
+        x = encoded(["".join([w if w[:1] == "\n" else f" {w}" for w in some])])[0]
         cuts = np.flatnonzero(begins[x])
-        own = places[at : at + 4096]
-        if len(cuts) != len(own) or cuts[0]:
+        if len(cuts) != len(some) or cuts[0]:
             raise ValueError("this tokenizer file doesn't keep blanks at the beginning of words")
-        sizes[own] = np.diff([*cuts, len(x)])
         ids.append(x)
-        order.append(own)
-    flat, order_ = np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*order, np.zeros(0, np.int64)])
-    starts = np.zeros(len(sizes), np.int64)
-    starts[order_] = np.cumsum(sizes[order_]) - sizes[order_]
-    run = np.concatenate([*runs, np.zeros(0, np.int64)])
-    ends = np.concatenate([[0], np.cumsum(sizes[run])])
-    out = flat[np.arange(ends[-1]) + np.repeat(starts[run] - ends[:-1], sizes[run])]
-    return out, np.diff(ends[np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)])
+        sizes.append(np.diff([*cuts, len(x)]))
+    heads, back = np.unique(run[ends[:-1]], return_inverse=True)
+    run[ends[:-1]] = len(words) + back
+    alone = encoded([words[i] for i in heads]) + encoded(texts.filter(pa.array(whole)).to_pylist())
+    ids += alone
+    sizes.append(np.array([len(x) for x in alone], np.int64))
+
+    # texts as numbers of words: those cut into words, and those that stand for themselves
+    count = whole.astype(np.int64)
+    count[even] = np.diff(ends)
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    every = np.empty(bounds[-1], np.int64)
+    own = np.zeros(len(every), bool)
+    own[bounds[:-1][whole]] = True
+    every[~own] = run
+    every[own] = len(words) + len(heads) + np.arange(whole.sum())
+    flat, size = np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
+    first = np.cumsum(size) - size
+    stops = np.concatenate([[0], np.cumsum(size[every])])
+    out = flat[np.arange(stops[-1]) + np.repeat(first[every] - stops[:-1], size[every])]
+    return out, np.diff(stops[bounds])
 
 
 def frame_of(doc_ids: np.ndarray, missing: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -130,13 +129,14 @@ def _frames(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((shard, pa.int32()), (frame, pa.int32()), (len(docs), pa.int64()), (int(lengths.sum()), pa.int64()), (data, pa.binary()))], ["shard", "frame", "docs", "tokens", "data"])
 
         for batch in batches:
+            give_back()
             at = 0
             sizes = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + FRAME_BYTES // 4, "right")))
                 some = batch.slice(at, stop - at)
-                ids, lengths = token_ids([x or "" for x in some.column(2).to_pylist()], path)
+                ids, lengths = token_ids(some.column(2), path)
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 held.append((some.column(0).to_numpy(), some.column(1).to_numpy(zero_copy_only=False).astype(np.int64), ids, lengths + 1))
                 size, total, at = size + len(ids), total + int(sizes[at:stop].sum()), stop

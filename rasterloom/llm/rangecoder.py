@@ -15,71 +15,93 @@ import numpy as np
 
 #: Ids are below this.
 IDS = 1 << 16
-_TOTAL, _CDF = 20, 15
-_SLOTS = 12
-_EMPTY = 0xFFFF
+#: Bits of the whole range, of a weight and of the cumulated classes; slots of a block's tables of predictions.
+_TOTAL, _WEIGHT, _CDF, _SLOTS = 16, 15, 15, 11
+#: Weights stay so far from 0 and 1 that every class keeps a part of the range.
+_MOST2, _MOST1, _LEAST = int(0.85 * (1 << _TOTAL)), int(0.55 * (1 << _WEIGHT)), 1 << 7
+#: Steps between two counts of classes.
+_EVERY = 16
+_U = np.uint64
+_WORD = _U(0xFFFFFFFF)
 
 # classes of ids: the position of the highest bit; above 16 the bit after it too
 _first = np.array(sorted({0, 1, 2, 4, 8, *(b for k in range(4, 16) for b in (1 << k, 3 << k - 1))}) + [IDS], np.int64)
 _N = len(_first) - 1
 _BASE = _first[:-1]
-_BITS = np.array([max(0, int(b - a - 1).bit_length()) for a, b in zip(_first[:-1], _first[1:], strict=True)], np.int64)
-_CLASS = np.repeat(np.arange(_N), np.diff(_first)).astype(np.int64)
-_LOW = (np.arange(_N + 1) * 8).astype(np.int32)
-_HIGH = ((1 << _CDF) - (_N - np.arange(_N + 1)) * 8).astype(np.int32)
-_START = np.linspace(0, 1 << _CDF, _N + 1).astype(np.int32)
-_MOST2, _MOST1, _LEAST = int(0.95 * (1 << _TOTAL)), int(0.9 * (1 << _TOTAL)), 1 << 10
-_U = np.uint64
-_WORD = _U(0xFFFFFFFF)
+_BITS = np.array([int(b - a - 1).bit_length() for a, b in zip(_first[:-1], _first[1:], strict=True)], np.int64)
+_CLASS = np.repeat(np.arange(_N), np.diff(_first)).astype(np.uint8)
+_FLOOR = 8 * np.arange(_N + 1, dtype=np.int32)
 
 
 class _Blocks:
-    """The models of a number of blocks."""
+    """The models of a number of blocks, which learn from each id in turn."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.t1 = np.full(n << _SLOTS, _EMPTY, np.int32)
-        self.t2 = np.full(n << _SLOTS, _EMPTY, np.int32)
-        self.p2 = np.full(n * 4, 1 << _TOTAL - 2, np.int64)
-        self.p1 = np.full(n * 8, 1 << _TOTAL - 3, np.int64)
-        self.cdf = np.tile(_START, (n, 1))
-        self.before = np.zeros(n, np.int64)
-        self.last = np.zeros(n, np.int64)
+        self.n = n
+        self.lane = np.arange(n, dtype=np.int64)
+        self.slots = self.lane << _SLOTS
+        self.t1 = np.full(n << _SLOTS, IDS << 2, np.int32)  # an id that never comes, seen 0 times
+        self.t2 = np.full(n << _SLOTS, IDS << 2, np.int32)
+        self.p2 = np.full(n * 4, 1 << _TOTAL - 2, np.int32)
+        self.p1 = np.full(n * 4, 1 << _WEIGHT - 3, np.int32)
+        self.counts = np.full((n, _N), 8, np.int32)
+        self.cdf = np.full((n, 32), 1 << 20, np.int32)
+        self.before = np.zeros(n, np.uint32)
+        self.last = np.zeros(n, np.uint32)
+        self.step = 0
 
     def predict(self, n: int) -> None:
-        """The next step's predictions and weights of the first n blocks."""
+        """The next step's predictions and their parts of the range, of the first n blocks."""
+        if self.step % _EVERY == 0:
+            share = ((1 << _CDF) - 8 * _N) / self.counts.sum(1, dtype=np.int64)
+            self.cdf[:, 1:_N] = np.cumsum(self.counts[:, :-1], 1) * share[:, None]
+            self.cdf[:, 1:_N] += _FLOOR[1:-1]
+            self.cdf[:, 0], self.cdf[:, _N] = 0, 1 << _CDF
+            self.flat = self.cdf.ravel()
+            self.counts -= self.counts >> 4
+        self.step += 1
         lane, last = self.lane[:n], self.last[:n]
-        at = lane << _SLOTS
-        self.at1 = at + ((last * 40503 >> 4) & ((1 << _SLOTS) - 1))
-        self.at2 = at + (((last * 2654435761 + self.before[:n] * 2246822519) >> 13) & ((1 << _SLOTS) - 1))
-        e1, e2 = self.t1[self.at1], self.t2[self.at2]
-        self.id1, self.id2, self.k1, self.k2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
-        self.c2 = (lane << 2) + self.k2
-        self.c1 = (lane << 3) + self.k1 + ((self.id1 == self.id2) << 2)
-        self.f2 = self.p2[self.c2]
+        one = last * np.uint32(2654435761)
+        self.at1 = self.slots[:n] + (one >> np.uint32(32 - _SLOTS))
+        self.at2 = self.slots[:n] + ((one * np.uint32(5) + self.before[:n]) * np.uint32(2246822519) >> np.uint32(32 - _SLOTS))
+        self.e1, self.e2 = self.t1.take(self.at1), self.t2.take(self.at2)
+        self.id1, self.id2, self.k1, self.k2 = self.e1 >> 2, self.e2 >> 2, self.e1 & 3, self.e2 & 3
+        self.c2, self.c1 = (lane << 2) + self.k2, (lane << 2) + self.k1
+        self.f2, self.w1 = self.p2.take(self.c2), self.p1.take(self.c1)
         rest = (1 << _TOTAL) - self.f2
-        self.f1 = rest * self.p1[self.c1] >> _TOTAL
+        same = (self.id1 == self.id2).astype(np.int32)
+        self.f1 = rest * (self.w1 + same * (_LEAST - self.w1)) >> _WEIGHT
         self.rest = rest - self.f1
 
-    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, other: np.ndarray, kinds: np.ndarray) -> None:
+    def learn(self, n: int, ids: np.ndarray, other: np.ndarray, kinds: np.ndarray) -> None:
         """other, kinds: the blocks whose id neither prediction gave, and those ids' classes."""
-        old = self.f2
-        self.p2[self.c2] = old + ((np.where(hit2, _MOST2, _LEAST) - old) >> 4)
-        miss = np.flatnonzero(~hit2)
-        at = self.c1[miss]
-        old = self.p1[at]
-        self.p1[at] = old + ((np.where(hit1[miss], _MOST1, _LEAST) - old) >> 4)
-        for table, at, k, guess in ((self.t1, self.at1, self.k1, self.id1), (self.t2, self.at2, self.k2, self.id2)):
-            held = guess == ids
-            keep = held | (k > 1)
-            table[at] = np.where(keep, guess, ids) | (np.where(held, np.minimum(k + 1, 3), np.where(keep, k - 1, 1)) << 16)
-        rows = self.cdf[other]
-        goal = np.where(np.arange(_N + 1) <= kinds[:, None], _LOW, _HIGH)
-        self.cdf[other] = rows - ((rows - goal) >> 5)
+        held2, held1 = (self.id2 == ids).astype(np.int32), (self.id1 == ids).astype(np.int32)
+        self.p2[self.c2] = self.f2 + ((held2 * (_MOST2 - _LEAST) + _LEAST - self.f2) >> 4)
+        self.p1[self.c1] = self.w1 + ((held1 * (_MOST1 - _LEAST) + _LEAST - self.w1) >> 4)
+        fresh = (ids << 2) + 1
+        self.t2[self.at2] = fresh + held2 * (np.minimum(self.k2, 2))
+        self.t1[self.at1] = fresh + held1 * (np.minimum(self.k1, 2))
+        self.counts.ravel()[other * _N + kinds] += 24
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
+def _narrow(low, size, n, begin, wide):
+    """The ranges of the first n blocks cut to a part; which of them have become too small, and their new bounds."""
+    unit = size[:n] >> _U(_TOTAL)
+    lo, sz = low[:n] + unit * begin, unit * wide
+    out = np.flatnonzero(sz <= _WORD)
+    if len(out):
+        l, s = lo.take(out), sz.take(out)
+        crosses = (l ^ (l + s - _U(1))) > _WORD
+        s = np.where(crosses, (~l + _U(1)) & _WORD, s)
+        lo[out], sz[out] = l << _U(32), s << _U(32)
+        low[:n], size[:n] = lo, sz
+        return out, l >> _U(32)
+    low[:n], size[:n] = lo, sz
+    return out, None
+
+
 def encode(ids: np.ndarray, length: int) -> list[bytes]:
     """Blocks of `length` ids (the last may be shorter), each with its own model and checksum."""
     count = -(-len(ids) // length)
@@ -87,14 +109,18 @@ def encode(ids: np.ndarray, length: int) -> list[bytes]:
         return []
     sizes = np.full(count, length)
     sizes[-1] = len(ids) - (count - 1) * length
-    table = np.zeros(count * length, np.int64)
+    table = np.zeros(count * length, np.int32)
     table[: len(ids)] = ids
     table = np.ascontiguousarray(table.reshape(count, length).T)
     model = _Blocks(count)
     low, size = np.zeros(count, _U), np.full(count, ~_U(0))
     words = np.zeros((count, length + 4), np.uint32)
+    flat, room = words.ravel(), np.arange(count) * (length + 4)
     filled = np.zeros(count, np.int64)
-    coded = np.zeros((length, count), bool)
+    # bits below the classes: those not yet written, how many, and the words written
+    plain = np.zeros((count, length // 2 + 4), np.uint32)
+    flat_plain, room_plain = plain.ravel(), np.arange(count) * plain.shape[1]
+    held, have, full = np.zeros(count, _U), np.zeros(count, np.int64), np.zeros(count, np.int64)
     for step in range(length):
         n = count if step < sizes[-1] else count - 1
         if not n:
@@ -103,50 +129,41 @@ def encode(ids: np.ndarray, length: int) -> list[bytes]:
         model.predict(n)
         hit2 = model.id2 == now
         hit1 = (model.id1 == now) & ~hit2
-        begin = np.where(hit2, 0, model.f2)
-        wide = np.where(hit2, model.f2, model.f1)
+        two = hit2.astype(np.int32)
+        begin, wide = model.f2 * (1 - two), model.f1 + two * (model.f2 - model.f1)
         other = np.flatnonzero(~(hit2 | hit1))
-        kinds = _CLASS[now[other]]
-        left = model.rest[other]
-        a, b = (model.cdf[other, kinds] * left) >> _CDF, (model.cdf[other, kinds + 1] * left) >> _CDF
-        begin[other] += model.f1[other] + a
-        wide[other] = b - a
-        coded[step, other] = True
-        unit = size[:n] >> _U(_TOTAL)
-        lo, sz = low[:n] + unit * begin.astype(_U), unit * wide.astype(_U)
-        out = np.flatnonzero(sz <= _WORD)
-        if len(out):
-            l, s = lo[out], sz[out]
-            crosses = (l ^ (l + s - _U(1))) > _WORD
-            s = np.where(crosses, (~l + _U(1)) & _WORD, s)
-            words[out, filled[out]] = (l >> _U(32)).astype(np.uint32)
-            filled[out] += 1
-            lo[out], sz[out] = l << _U(32), s << _U(32)
-        low[:n], size[:n] = lo, sz
-        model.learn(n, now, hit2, hit1, other, kinds)
+        kinds = _CLASS.take(now.take(other)).astype(np.int64)
+        left, at = model.rest.take(other), (other << 5) + kinds
+        a = (model.flat.take(at) * left) >> _CDF
+        begin[other] += model.f1.take(other) + a
+        wide[other] = ((model.flat.take(at + 1) * left) >> _CDF) - a
+        bits = have.take(other)
+        more = held.take(other) | (now.take(other) - _BASE.take(kinds)).astype(_U) << bits.astype(_U)
+        bits += _BITS.take(kinds)
+        done = np.flatnonzero(bits >= 32)
+        if len(done):
+            to = other.take(done)
+            at = full.take(to)
+            flat_plain[room_plain.take(to) + at] = more.take(done) & _WORD
+            full[to] = at + 1
+            more[done] >>= _U(32)
+            bits[done] -= 32
+        held[other], have[other] = more, bits
+        out, word = _narrow(low, size, n, begin.astype(_U), wide.astype(_U))
+        if word is not None:
+            to = filled.take(out)
+            flat[room.take(out) + to] = word
+            filled[out] = to + 1
+        model.learn(n, now, other, kinds)
     words[np.arange(count), filled] = (low >> _U(32)).astype(np.uint32)
     words[np.arange(count), filled + 1] = (low & _WORD).astype(np.uint32)
     filled += 2
 
-    # the bits below the classes, of each block in turn
-    coded, table = coded.T, table.T
-    block = np.repeat(np.arange(count), coded.sum(1))
-    values = table[coded]
-    kinds = _CLASS[values]
-    bits = _BITS[kinds]
-    ends = np.cumsum(bits)
-    per_block = np.bincount(block, bits, minlength=count).astype(np.int64)
-    plain = (per_block + 31) // 32 + 1
-    first = np.cumsum(plain) - plain
-    at = ends - bits - (np.cumsum(per_block) - per_block)[block]
-    word, shift = first[block] + (at >> 5), at & 31
-    values = (values - _BASE[kinds]) << shift
-    total = int(plain.sum()) + 1
-    raw = np.bincount(word, (values & 0xFFFFFFFF).astype(np.float64), minlength=total) + np.bincount(word + 1, (values >> 32).astype(np.float64), minlength=total)
-    raw = raw.astype(np.uint32)
+    plain[np.arange(count), full] = (held & _WORD).astype(np.uint32)
+    full += have > 0
     blocks = []
-    for i in range(count):
-        body = np.concatenate([np.array([sizes[i], filled[i]], np.uint32), words[i, : filled[i]], raw[first[i] : first[i] + plain[i]]]).astype("<u4").tobytes()
+    for i, (n, m) in enumerate(zip(filled.tolist(), full.tolist(), strict=True)):
+        body = np.concatenate([np.array([sizes[i], n], np.uint32), words[i, :n], plain[i, :m]]).astype("<u4", copy=False).tobytes()
         blocks.append(zlib.crc32(body).to_bytes(4, "little") + body)
     return blocks
 
@@ -165,56 +182,52 @@ def decode(blocks: list[bytes]) -> np.ndarray:
     order = np.argsort(-sizes, kind="stable")
     sizes = sizes[order]
     bodies = [bodies[i] for i in order]
-    stream = np.concatenate([*bodies, np.zeros(4, np.uint32)]).astype(np.int64)
+    stream = np.concatenate([*bodies, np.zeros(4, np.uint32)])
     first = np.cumsum([0, *map(len, bodies)])[:-1]
     word = first + 2
     bit = (word + np.array([b[1] for b in bodies], np.int64)) << 5
+    # every word with the one after it, so that bits are read in one step
+    pairs = stream[:-1].astype(np.int64) | (stream[1:].astype(np.int64) & 0x3FFFFFFF) << 32
     model = _Blocks(count)
     low, size = np.zeros(count, _U), np.full(count, ~_U(0))
     code = (stream[word].astype(_U) << _U(32)) | stream[word + 1].astype(_U)
     word += 2
     length = int(sizes[0])
-    found = np.zeros((length, count), np.int64)
+    found = np.zeros((length, count), np.int32)
     active = np.searchsorted(-sizes, -np.arange(length), "left")
     for step in range(length):
         n = int(active[step])
         model.predict(n)
-        unit = size[:n] >> _U(_TOTAL)
-        target = np.minimum((code[:n] - low[:n]) // unit, _U((1 << _TOTAL) - 1)).astype(np.int64)
+        target = np.minimum((code[:n] - low[:n]) // (size[:n] >> _U(_TOTAL)), _U((1 << _TOTAL) - 1)).astype(np.int32)
         hit2 = target < model.f2
         target -= model.f2
         hit1 = (target < model.f1) & ~hit2
-        begin = np.where(hit2, 0, model.f2)
-        wide = np.where(hit2, model.f2, model.f1)
-        now = np.where(hit2, model.id2, model.id1).astype(np.int64)
+        two = hit2.astype(np.int32)
+        begin, wide = model.f2 * (1 - two), model.f1 + two * (model.f2 - model.f1)
+        now = model.id1 + two * (model.id2 - model.id1)
         other = np.flatnonzero(~(hit2 | hit1))
-        left = model.rest[other]
-        rows = model.cdf[other]
-        most = (((target[other] - model.f1[other] + 1) << _CDF) - 1) // left
-        kinds = (rows[:, 1:-1] <= most[:, None]).sum(1)
-        pick = np.arange(len(other))
-        a, b = (rows[pick, kinds] * left) >> _CDF, (rows[pick, kinds + 1] * left) >> _CDF
-        begin[other] += model.f1[other] + a
-        wide[other] = b - a
-        at, bits = bit[other], _BITS[kinds]
-        w = at >> 5
-        now[other] = _BASE[kinds] + (((stream[w] | stream[w + 1] << 32) >> (at & 31)) & ((1 << bits) - 1))
-        bit[other] += bits
-        lo, sz = low[:n] + unit * begin.astype(_U), unit * wide.astype(_U)
-        out = np.flatnonzero(sz <= _WORD)
+        left, more = model.rest.take(other), model.f1.take(other)
+        most = (((target.take(other) - more + 1).astype(np.int64) << _CDF) - 1) // left
+        row, at = other << 5, other << 5
+        for hop in (16, 8, 4, 2, 1):
+            at = at + hop * (model.flat.take(at + hop) <= most)
+        kinds = at - row
+        a = (model.flat.take(at) * left) >> _CDF
+        begin[other] += more + a
+        wide[other] = ((model.flat.take(at + 1) * left) >> _CDF) - a
+        place, bits = bit.take(other), _BITS.take(kinds)
+        now[other] = _BASE.take(kinds) + ((pairs.take(place >> 5) >> (place & 31)) & ((1 << bits) - 1))
+        bit[other] = place + bits
+        out, _ = _narrow(low, size, n, begin.astype(_U), wide.astype(_U))
         if len(out):
-            l, s = lo[out], sz[out]
-            crosses = (l ^ (l + s - _U(1))) > _WORD
-            s = np.where(crosses, (~l + _U(1)) & _WORD, s)
-            code[out] = (code[out] << _U(32)) | stream[word[out]].astype(_U)
-            word[out] += 1
-            lo[out], sz[out] = l << _U(32), s << _U(32)
-        low[:n], size[:n] = lo, sz
+            at = word.take(out)
+            code[out] = (code.take(out) << _U(32)) | stream.take(at).astype(_U)
+            word[out] = at + 1
         found[step, :n] = now
-        model.learn(n, now, hit2, hit1, other, kinds)
+        model.learn(n, now, other, kinds)
     rows = found.T
     whole = np.empty_like(rows)
     whole[order] = rows
     lengths = np.empty_like(sizes)
     lengths[order] = sizes
-    return whole[np.arange(length) < lengths[:, None]]
+    return whole[np.arange(length) < lengths[:, None]].astype(np.int64)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -262,7 +263,7 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 @given(st.lists(st.lists(st.sampled_from([*"ab \n\t é'.1", "<|endoftext|>", "don't"]), max_size=30).map("".join), max_size=5))
 def test_token_ids(texts):
     t = Tokenizer.from_file(BYTES)
-    ids, n = op9_tokens.token_ids(texts, BYTES)
+    ids, n = op9_tokens.token_ids(pa.array(texts, pa.string()), BYTES)
     ends = np.cumsum(n)
     assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
