@@ -31,6 +31,8 @@ _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar "
     "nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar comment comments disqus discussion replies share sharing social related recommended widget pagination pager toolbar skip".split()
 )
+#: What follows these says how a page is laid out, not what an element is.
+_ABOUT = ("has-", "no-", "with-", "without-")
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -47,8 +49,10 @@ def _aside(name: str, attributes: str, in_main: bool) -> bool:
         key, value = key.lower(), next((v for v in values if v), "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body") and any(p in _MARKS or p == "header" and not in_main for p in _PART.findall(value)):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", "main"):
+            own = (p for token in value.split() if not token.startswith(_ABOUT) for p in _PART.findall(token))
+            if any(p in _MARKS or p == "header" and not in_main for p in own):
+                return True
     return False
 
 
@@ -71,7 +75,10 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
     def leave(i: int) -> None:
         nonlocal kind, mains
         del stack[i:]
-        kind, mains = stack[-1][1:] if stack else (1, 0)
+        outer, mains = stack[-1][1:] if stack else (1, 0)
+        if outer != kind:
+            end()
+        kind = outer
 
     def inner(name: str, stop: frozenset | tuple) -> int | None:
         for i in range(len(stack) - 1, -1, -1):
@@ -111,13 +118,15 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
             leave(i)
         if attributes.endswith("/") and name not in _BLOCKS:
             continue
-        if kind == 0 or _aside(name, attributes, mains > 0):
+        if kind == 0 and name != "main" or _aside(name, attributes, mains > 0):
             inside = 0
         elif name == "head":
             inside = 0
         else:
             inside = 2 if mains or name in _MAIN or "main" in re.findall(r"role\s*=\s*[\"']?(\w+)", attributes) else 1
         mains += inside == 2 and (name in _MAIN or not mains)
+        if inside != kind:
+            end()
         kind = inside
         stack.append((name, kind, mains))
     text.append(html.unescape(_UNFINISHED.sub("", page[at:])))

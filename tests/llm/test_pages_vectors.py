@@ -21,6 +21,8 @@ def test_blocks():
     assert " ".join(t for t, k in zip(texts, kinds) if k == 2) == "A & B First bold text next Second <tag> é"
     assert op7_html.blocks("") == ([], []) and op7_html.blocks("plain  text")[0] == ["plain text"]
     assert op7_html.blocks("a < b and <p unfinished")[0] == ["a < b and"]
+    layout = "<div class='has-sidebar no-ads'><div class='page-banner'>Sale<main>Text <span class='share-links'>Share</span></main></div></div>"
+    assert [t for t, k in zip(*op7_html.blocks(layout)) if k == 2] == ["Text"]
     assert op7_html.blocks("<p>it's <b title='a>b'>x</b>")[0] == ["it's x"]
 
 
