@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ BUCKETS = 2
 
 @functools.cache
 def tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores already
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_files": op9_tokens.op9_token_files,
     "op10_warc_roundtrip": op10_warc.op10_warc_roundtrip,
 }
-ORACLES = {"op3_embedding_dedup": op3_embeddings.ORACLE, "op5_top_k": op5_topk.ORACLE, "op10_warc_roundtrip": op10_warc.ORACLE, "op8_source_mix": op8_mixing.ORACLE}
+ORACLES = {"op1_substring_dedup": op1_substring.ORACLE, "op3_embedding_dedup": op3_embeddings.ORACLE, "op5_top_k": op5_topk.ORACLE, "op10_warc_roundtrip": op10_warc.ORACLE, "op8_source_mix": op8_mixing.ORACLE}
