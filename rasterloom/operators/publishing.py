@@ -27,7 +27,7 @@ def tile_sets(tiles: DataFrame) -> DataFrame:
 
 def description(levels: DataFrame, title: str) -> DataFrame:
     """One row: the pyramid's description as XML (K12). A row a zoom is collected."""
-    line = F.format_string('<TileSet href="%d" units-per-pixel="%.14f" order="%d"/>', "z", "units_per_pixel", "z")
+    line = F.format_string('<TileSet href="%d" units-per-pixel="%.9f" order="%d"/>', "z", "units_per_pixel", "z")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", line.alias("t")))), lambda x: x["t"]), "\n")
     head = f'<TileMap version="1.0.0"><Title>{title}</Title><SRS>EPSG:3857</SRS><TileFormat width="256" height="256" mime-type="image/png" extension="png"/><TileSets profile="mercator">'
     return levels.agg(F.concat(F.lit(head + "\n"), lines, F.lit("\n</TileSets></TileMap>")).alias("xml"))
@@ -45,7 +45,7 @@ def overlay(tiles: DataFrame) -> DataFrame:
     """z, tx, ty and kml: each tile's document with its bounds and links."""
     south, west, north, east = geo.tile_places(F.col("tx"), F.col("ty"), F.col("z"))
     links = F.array_join(F.transform("links", lambda x: F.concat(F.lit("<NetworkLink><Link><href>"), x, F.lit("</href></Link></NetworkLink>"))), "")
-    box = F.format_string("<LatLonAltBox><north>%.6f</north><south>%.6f</south><east>%.6f</east><west>%.6f</west></LatLonAltBox>", north, south, east, west)
+    box = F.format_string("<LatLonAltBox><north>%.6f</north><south>%.6f</south><east>%.6f</east><west>%.6f</west></LatLonAltBox>", *(F.round(x, 6) + 0.0 for x in (north, south, east, west)))
     return child_links(tiles).select("z", "tx", "ty", F.concat(F.lit("<kml><Document><Region>"), box, F.lit("</Region>"), links, F.lit("</Document></kml>")).alias("kml"))
 
 

@@ -28,7 +28,9 @@ def tile_sets(spark, sf_dir):
     return rounded(P.tile_sets(P.tiles_at(points(spark, sf_dir), range(2, 6))), 6, "units_per_pixel")
 
 
-@query("pyramid_description")
+@query("pyramid_description", f"""WITH {PTS}, {_TILES}, l AS (SELECT z, 2 * {_HALF} / 256 / pow(2, z) AS u FROM t GROUP BY z)
+SELECT '<TileMap version="1.0.0"><Title>places</Title><SRS>EPSG:3857</SRS><TileFormat width="256" height="256" mime-type="image/png" extension="png"/><TileSets profile="mercator">' || chr(10)
+    || string_agg(printf('<TileSet href="%d" units-per-pixel="%.9f" order="%d"/>', z, u, z), chr(10) ORDER BY z) || chr(10) || '</TileSets></TileMap>' AS xml FROM l""")
 def pyramid_description(spark, sf_dir):
     return P.description(P.tile_sets(P.tiles_at(points(spark, sf_dir), range(2, 6))), "places")
 
@@ -38,7 +40,12 @@ def child_links(spark, sf_dir):
     return P.child_links(P.tiles_at(points(spark, sf_dir), range(2, 6)))
 
 
-@query("tile_overlays")
+_LAT = "round(atan(exp((2 * ({0}) / pow(2, t.z) - 1) * pi())) * 360 / pi() - 90, 6)"
+
+
+@query("tile_overlays", f"""WITH {PTS}, {_TILES}, c AS (SELECT z - 1 AS z, tx // 2 AS tx, ty // 2 AS ty, string_agg('<NetworkLink><Link><href>' || z || '/' || tx || '/' || ty || '.kml</href></Link></NetworkLink>', '' ORDER BY z || '/' || tx || '/' || ty || '.kml') AS links FROM t GROUP BY ALL)
+SELECT t.z, t.tx, t.ty, '<kml><Document><Region>' || printf('<LatLonAltBox><north>%.6f</north><south>%.6f</south><east>%.6f</east><west>%.6f</west></LatLonAltBox>', {_LAT.format('t.ty + 1')}, {_LAT.format('t.ty')},
+    (t.tx + 1) * 360.0::DOUBLE / pow(2, t.z) - 180, t.tx * 360.0::DOUBLE / pow(2, t.z) - 180) || '</Region>' || coalesce(links, '') || '</Document></kml>' AS kml FROM t LEFT JOIN c USING (z, tx, ty)""")
 def tile_overlays(spark, sf_dir):
     return P.overlay(P.tiles_at(points(spark, sf_dir), range(2, 6)))
 
