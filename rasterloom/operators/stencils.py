@@ -41,27 +41,35 @@ def _mirror(at: Column, size: Column) -> Column:
     return F.when(at < 0, -at).when(at >= size, 2 * (size - 1) - at).otherwise(at)
 
 
-def stencil(px: DataFrame, value: str, weights: dict[tuple[int, int], float], out: str) -> DataFrame:
-    """img, yy, xx and the weighted sum of the neighbours at (dy, dx), mirrored at the edges.
+def stencils(px: DataFrame, outputs: dict[str, tuple[str, dict[tuple[int, int], float]]]) -> DataFrame:
+    """img, yy, xx and for each output the weighted sum of one column's neighbours at (dy, dx), mirrored at the edges.
 
-    The transposed sum: each pixel adds to the places that see it, and edges see inner pixels a second time.
+    The transposed sum: each pixel adds to the places that see it, and edges see inner pixels a second time. All outputs share one
+    shuffle.
     """
     size = px.groupBy("img").agg((F.max("yy") + 1).alias("_h"), (F.max("xx") + 1).alias("_w"))  # a row an image
-    rows = px.select("img", "yy", "xx", F.col(value).cast("double").alias("_v")).join(size, "img")
+    columns = {v: f"_v{i}" for i, v in enumerate(dict.fromkeys(v for v, _ in outputs.values()))}
+    rows = px.select("img", "yy", "xx", *(F.col(v).cast("double").alias(n) for v, n in columns.items())).join(size, "img")
     spots = []
-    for (dy, dx), w in weights.items():
+    for dy, dx in dict.fromkeys(o for _, weights in outputs.values() for o in weights):
         # the places whose neighbour at (dy, dx) is this pixel: straight, and through a mirror on each axis
         ys = [F.col("yy") - dy] + ([-F.col("yy") - dy, 2 * (F.col("_h") - 1) - F.col("yy") - dy] if dy else [])
         xs = [F.col("xx") - dx] + ([-F.col("xx") - dx, 2 * (F.col("_w") - 1) - F.col("xx") - dx] if dx else [])
-        for y in ys:
-            for x in xs:
-                spots.append(F.struct(y.alias("y"), x.alias("x"), F.lit(float(w)).alias("w"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")))
-    s = rows.withColumn("_s", F.explode(F.array_distinct(F.array(*spots)))).select("img", "yy", "xx", "_h", "_w", "_v", "_s.*")
+        w = F.array(*(F.lit(float(weights.get((dy, dx), 0))) for _, weights in outputs.values()))
+        spots += [F.struct(y.alias("y"), x.alias("x"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), w.alias("w")) for y in ys for x in xs]
+    s = rows.withColumn("_s", F.explode(F.array_distinct(F.array(*spots)))).select("img", "yy", "xx", "_h", "_w", *columns.values(), "_s.*")
     inside = (F.col("y") >= 0) & (F.col("y") < F.col("_h")) & (F.col("x") >= 0) & (F.col("x") < F.col("_w"))
     sees = (_mirror(F.col("y") + F.col("dy"), F.col("_h")) == F.col("yy")) & (_mirror(F.col("x") + F.col("dx"), F.col("_w")) == F.col("xx"))
-    return s.where(inside & sees).groupBy("img", F.col("y").alias("yy"), F.col("x").alias("xx")).agg(F.sum(F.col("_v") * F.col("w")).alias(out))
+    sums = [F.sum(F.col(columns[v]) * F.col("w")[i]).alias(out) for i, (out, (v, _)) in enumerate(outputs.items())]
+    return s.where(inside & sees).groupBy("img", F.col("y").alias("yy"), F.col("x").alias("xx")).agg(*sums)
+
+
+def stencil(px: DataFrame, value: str, weights: dict[tuple[int, int], float], out: str) -> DataFrame:
+    """img, yy, xx and the weighted sum of the neighbours of one column."""
+    return stencils(px, {out: (value, weights)})
 
 
+SELF = {(0, 0): 1}
 LAPLACIAN = {(-1, 0): 1, (1, 0): 1, (0, -1): 1, (0, 1): 1, (0, 0): -4}
 BOX = {(y, x): 1 / 9 for y in (-1, 0, 1) for x in (-1, 0, 1)}
 SCHARR_X = {(y, x): w * x for y, w in ((-1, 3), (0, 10), (1, 3)) for x in (-1, 1)}
@@ -86,11 +94,15 @@ def zero_crossing(px: DataFrame, value: str, out: str = "crossing") -> DataFrame
     return both.select("img", "yy", "xx", crosses.alias(out))
 
 
+def _slopes(rows: DataFrame) -> DataFrame:
+    """Sums by SCHARR_X and SCHARR_Y floor-divided, with the magnitude."""
+    rows = rows.withColumns({"gx": F.floor(F.col("gx") / 32), "gy": F.floor(F.col("gy") / 32)})
+    return rows.withColumn("magnitude", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+
+
 def gradient(px: DataFrame, value: str) -> DataFrame:
     """img, yy, xx, gx, gy (Scharr, floor-divided by 32) and magnitude."""
-    x, y = stencil(px, value, SCHARR_X, "gx"), stencil(px, value, SCHARR_Y, "gy")
-    rows = x.join(y, ["img", "yy", "xx"]).select("img", "yy", "xx", F.floor(F.col("gx") / 32).alias("gx"), F.floor(F.col("gy") / 32).alias("gy"))
-    return rows.withColumn("magnitude", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+    return _slopes(stencils(px, {"gx": (value, SCHARR_X), "gy": (value, SCHARR_Y)}))
 
 
 def gradient_8bit(px: DataFrame, value: str) -> DataFrame:
@@ -99,16 +111,23 @@ def gradient_8bit(px: DataFrame, value: str) -> DataFrame:
     return g.select("img", "yy", "xx", F.least(F.lit(255.0), (F.abs("gx") + F.abs("gy")) * 0.5).alias("g"))
 
 
+_DIVERGENCE = {"_x": ("gx", SCHARR_X), "_y": ("gy", SCHARR_Y)}
+
+
+def _flow() -> Column:
+    return F.floor(F.col("_x") / 32) * 0.5 + F.floor(F.col("_y") / 32) * 0.5
+
+
 def divergence(px: DataFrame, value: str) -> DataFrame:
     """img, yy, xx and div: half of the change of gx along x and of gy along y."""
-    g = gradient(px, value)
-    x, y = stencil(g, "gx", SCHARR_X, "_x"), stencil(g, "gy", SCHARR_Y, "_y")
-    return x.join(y, ["img", "yy", "xx"]).select("img", "yy", "xx", (F.floor(F.col("_x") / 32) * 0.5 + F.floor(F.col("_y") / 32) * 0.5).alias("div"))
+    return stencils(gradient(px, value), _DIVERGENCE).select("img", "yy", "xx", _flow().alias("div"))
 
 
 def rock_mask(px: DataFrame, value: str, glue: float, edge: float, least: float) -> DataFrame:
-    """img, yy, xx and rock: probable enough, not on a strong edge, and not where the gradient field flows apart."""
-    keys = ["img", "yy", "xx"]
-    smooth = blurred(px, value, "_b")
-    rows = smooth.join(gradient(px, value).select(*keys, "magnitude"), keys).join(divergence(px, value), keys)
-    return rows.select(*keys, ((F.col("_b") > least) & (F.col("magnitude") < edge) & (F.col("div") < glue)).alias("rock"))
+    """img, yy, xx and rock: probable enough, not on a strong edge, and not where the gradient field flows apart.
+
+    Two passes over pixels: the mean and both slopes, then the slopes' own change, with what the first pass found carried along.
+    """
+    first = _slopes(stencils(px, {"gx": (value, SCHARR_X), "gy": (value, SCHARR_Y), "_b": (value, BOX)}))
+    rows = stencils(first, _DIVERGENCE | {"_m": ("magnitude", SELF), "_c": ("_b", SELF)})
+    return rows.select("img", "yy", "xx", ((F.col("_c") > least) & (F.col("_m") < edge) & (_flow() < glue)).alias("rock"))
