@@ -174,3 +174,9 @@ def mask_ops(spark, sf_dir):
 def mask_bag_union(spark, sf_dir):
     m = masks(spark, sf_dir)
     return m.where("img < 5").unionByName(m.where("img < 3")).groupBy("mv").agg(F.count("*").alias("n"))
+
+
+@query("shadow", f"WITH {PX} SELECT img, yy, xx, CASE WHEN xx BETWEEN 5 AND 40 AND yy BETWEEN 5 AND xx THEN floor(v * 0.5)::BIGINT ELSE v END AS shaded FROM px")
+def shadow(spark, sf_dir):
+    rows = P.shadowed(pixels(spark, sf_dir), [(5, 5), (40, 5), (40, 40)])
+    return rows.select("img", "yy", "xx", F.col("shaded").cast("bigint").alias("shaded"))

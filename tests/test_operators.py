@@ -244,3 +244,17 @@ def test_augmentation_repeats(spark):
     a = inference.turned(px, 4, 1, 0).orderBy("v").collect()
     assert a == inference.turned(px.repartition(5), 4, 1, 0).orderBy("v").collect()
     assert len({(r.img, r.yy, r.xx) for r in a}) == 48
+
+
+def test_manifest(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "name string, n int")
+    assert [r.value for r in files.manifest(rows, ["name", "n"]).collect()] == ["a,1", "b"]
+
+
+def test_events_by_window(spark, tmp_path):
+    from rasterloom.streaming import extrema
+
+    spark.sql("select timestamp '2024-01-01 00:00:10' as ts, 'a' as m, 3d as v union all select timestamp '2024-01-01 00:03:00', 'a', 1d union all select timestamp '2024-01-01 00:30:00', 'b', 9d").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, m string, v double").parquet(f"{tmp_path}/in")
+    found = extrema.run_once(extrema.by_window(stream, "ts", "1 minute", "5 minutes", "m", "v"), "windows", f"{tmp_path}/state", "append")
+    assert [(r.m, r.lowest, r.highest, r.n) for r in found.collect()] == [("a", 1.0, 3.0, 2)]
