@@ -17,13 +17,21 @@ from rasterloom.llm.common import partitions, slices, string_bytes, tidy, window
 
 #: Words of text hashed at once within a task, in bytes.
 AT_ONCE = 2_000_000
-#: Chunks of documents, and buckets of hashes, for each shuffle partition. What travels is a row for each chunk and bucket
-#: that have anything in common, so few large ones cost less; partitions are to be so many that each holds some 20 MB of text.
-CHUNKS, BUCKETS = 4, 1
+#: Bytes of text in a chunk, at least and at most. Chunks grow with the root of all text up to the most, since a row travels for each
+#: chunk and bucket that have anything in common: so rows stay few and full, and a task's memory is bounded by the most.
+LEAST_CHUNK, MOST_CHUNK = 4_000_000, 128_000_000
 #: Odd rates of the running polynomials over words.
 _RATES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
+def sizes(total: int, partitions: int) -> tuple[int, int]:
+    """How many chunks of documents and buckets of hashes: by bytes of text, but enough for all partitions where there is
+    little text."""
+    chunk = min(MOST_CHUNK, max(LEAST_CHUNK, int((4000 * total) ** 0.5)))
+    chunks, buckets = -(-total // chunk), -(-total // (2 * chunk))
+    return max(1, chunks, min(partitions, total >> 18)), max(1, buckets, min(partitions, total >> 18))
+
+
 def _pack(a: np.ndarray) -> bytes:
     """Sorted whole numbers, byte plane by byte plane, compressed."""
     planes = np.diff(a, prepend=a.dtype.type(0)).view(np.uint8).reshape(len(a), a.itemsize).T
@@ -249,7 +257,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least:
     document; windows are judged on the input. Every such window holds a whole block of (least + 1) // 2 words that
     starts at a multiple of that length. So:
 
-    1. Documents are dealt into chunks by a hash. Each chunk sends the hashes of its blocks, and those of its rolling
+    1. Documents are dealt into chunks by a hash, as many as the bytes of all texts ask for. Each chunk sends the hashes of its blocks, and those of its rolling
        windows of a block's length, to hash buckets; each different hash goes once from a chunk.
     2. A bucket answers each chunk with one bit a block: found at another place or not.
     3. Around the blocks found, chunks send 96-bit hashes of the windows of `least` words (the hits extended to both
@@ -263,12 +271,13 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", least:
     shorter than `least` words lose nothing. Empty tables give empty results; other columns aren't read.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    width, buckets = (least + 1) // 2, BUCKETS * n
+    width = (least + 1) // 2
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    chunks, buckets = sizes(total, partitions(spark))
     kd, kh = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(
         kd.alias("kd"), F.col(id_col).isNull().alias("no_id"), kh.alias("kh"), F.col(text_col).cast("string").alias("text"),
-        F.pmod(F.xxhash64(kd, kh), F.lit(CHUNKS * n)).alias("chunk"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)),
+        F.pmod(F.xxhash64(kd, kh), F.lit(chunks)).alias("chunk"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)),
     )
     sent = rows.groupBy("chunk").applyInArrow(tidy(_anchors(width, buckets)), _SENT)
     met = sent.groupBy("bucket").applyInArrow(tidy(_met), _SENT)
