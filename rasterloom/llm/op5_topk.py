@@ -36,6 +36,12 @@ def _packed(most: int):
 _BLOCK = "block string, dim int, small int, ids binary, vals binary"
 
 
+def _queries(table: pa.Table) -> pa.Table:
+    """One block of queries."""
+    block = next(_packed(table.num_rows)(iter(table.select(["id", "v", "dim"]).combine_chunks().to_batches())))
+    return pa.Table.from_batches([block]).set_column(0, "q", table.column("q").slice(0, 1))
+
+
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, candidate's id, score) of each query's k best, ties to smaller ids; its own id takes no part.
 
@@ -88,7 +94,7 @@ def _search(k: int):
                 read = lambda side, r=r: (np.frombuffer(r[f"{side}_ids"], np.int64), np.frombuffer(r[f"{side}_vals"], np.int16 if r[f"{side}_small"] else np.int64).reshape(-1, r["dim"]))
                 (qi, qv), (ci, cv) = read("q"), read("c")
                 row, ids, score = best(qi, qv, ci, cv, k)
-                yield pa.RecordBatch.from_arrays([pa.array([r["q"]] * len(row), pa.string()), pa.array(row, pa.int64()), pa.array(qi[row], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], ["q", "row", "query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]] * len(row), pa.int32()), pa.array([r["q"]] * len(row), pa.int64()), pa.array(row, pa.int64()), pa.array(qi[row], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], ["dim", "q", "row", "query_id", "id", "score"])
 
     return fn
 
@@ -114,17 +120,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, id_col="vec_id",
     spark = queries.sparkSession
     asked = whole(queries)
     n = max(1, -(-asked.count() // QUERIES))
-    q = materialise(asked.repartitionByRange(n, "dim", "id").sortWithinPartitions("dim", "id").coalesce(n).mapInArrow(_packed(QUERIES), _BLOCK))
+    q = materialise(asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("q", "dim").applyInArrow(_queries, _BLOCK.replace("block string", "q long")))
     c = whole(candidates).sortWithinPartitions("dim").mapInArrow(_packed(CANDIDATES), _BLOCK)
-    side = lambda df, s: df.select("dim", F.col("block").alias(s), *(F.col(x).alias(f"{s}_{x}") for x in ("small", "ids", "vals")))
+    side = lambda df, s, name: df.select("dim", F.col(name).alias(s), *(F.col(x).alias(f"{s}_{x}") for x in ("small", "ids", "vals")))
     salts = max(partitions(spark), 1)
-    names = q.select(F.col("dim").alias("d"), F.col("block").alias("q"))
-    # a row for each pair of blocks: candidates take the names of the query blocks, and meet these by name and salt
-    named = side(c, "c").join(F.broadcast(names.groupBy("d").agg(F.collect_list("q").alias("qs"))), F.col("dim") == F.col("d")).drop("d")  # one name for QUERIES queries
-    left = named.withColumn("q", F.explode("qs")).drop("qs").withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(salts)))
-    right = side(q, "q").drop("dim").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    found = left.join(right.hint("shuffle_merge"), ["q", "salt"]).select("dim", "q", "q_small", "q_ids", "q_vals", "c_small", "c_ids", "c_vals").mapInArrow(_search(k), "q string, row long, query_id long, id long, score long")
-    order = Window.partitionBy("q", "row").orderBy(F.col("score").desc(), "id")
+    to = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    # a row for each pair of blocks: both sides are dealt by the number of the query block and a salt
+    left = side(c, "c", "block").withColumn("q", to(n)).withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(salts).cast("long")))
+    right = side(q, "q", "q").withColumn("salt", to(salts))
+    found = left.join(right.hint("shuffle_merge"), ["dim", "q", "salt"]).select("dim", "q", "q_small", "q_ids", "q_vals", "c_small", "c_ids", "c_vals").mapInArrow(_search(k), "dim int, q long, row long, query_id long, id long, score long")
+    order = Window.partitionBy("dim", "q", "row").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
