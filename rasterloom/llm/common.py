@@ -29,6 +29,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What Spark's setting for bytes in an Arrow batch is by default, and what texts and pages go to Python in.
+_DEFAULT_BATCH, TEXT_BATCH = 64 << 20, 8 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on tables of texts go to Python in batches of TEXT_BATCH bytes in this session, unless it has a size of its
+    own: with the default, each task holds 64 MB several times over in both processes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, f"{_DEFAULT_BATCH}b") == f"{_DEFAULT_BATCH}b":
+        spark.conf.set(key, f"{TEXT_BATCH}b")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import shared_folder
+from rasterloom.llm.common import shared_folder, text_batches
 
 #: A volume is closed when it holds so many bytes; one larger record has a volume of its own.
 VOLUME_BYTES = 8_000_000
@@ -84,6 +84,7 @@ def write(pages: DataFrame, path: str, *, id_col="page_id", url_col="url", html_
     Ids of equal payloads meet as digests, the smallest first within each task, so a payload that a third of all pages share costs
     no more than any other. The html itself moves once, dealt by row.
     """
+    text_batches(pages.sparkSession)
     page = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     digest = F.sha2(page, 256)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), page.alias("html"), digest.alias("digest"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rasterloom.llm.common import give_back, partitions, slices, string_bytes, tidy
+from rasterloom.llm.common import give_back, partitions, slices, string_bytes, text_batches, tidy
 
 #: Bytes of text whose words share one table of distinct words.
 CHUNK_BYTES = 8_000_000
@@ -206,6 +206,7 @@ def encode(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text", deco
     The file is read on every executor at the same path. Null and empty texts have no ids. Repeated rows and ids stay
     rows of their own, null ids stay null; empty tables give empty results; other columns aren't read.
     """
+    text_batches(docs.sparkSession)
     n = BUCKETS * partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).cast("string").alias("text"))
     chunks = rows.mapInArrow(_split(n), _ROW).repartition("chunk")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import give_back, slices, string_bytes, word_bounds, word_hashes
+from rasterloom.llm.common import give_back, slices, string_bytes, text_batches, word_bounds, word_hashes
 
 #: Hashed words; the structure statistics have numbers above.
 WORDS = 1 << 17
@@ -159,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
 
     Null ids, null labels and labels other than 0 and 1 take no part; an id labelled more than once has its smallest label.
     """
+    text_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.min("label").alias("label"))
     first = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # fit_rows bounds what is broadcast
@@ -181,6 +182,7 @@ def score(docs: DataFrame, model: Model, *, text_col="text", size_col="n_chars",
     stated size. Repeated rows score alike; empty tables give empty results.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     shared = spark.sparkContext.broadcast((model.bias, model.weight.astype(np.float32), model.factor.astype(np.float32), model.scale))  # WORDS * (FACTORS + 1) numbers, whatever the input
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import give_back, materialise
+from rasterloom.llm.common import give_back, materialise, text_batches
 from rasterloom.llm.components import components, stars
 
 #: Up to so many distinct fingerprints that share a segment are compared with one another directly.
@@ -141,6 +141,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     never names a group unless no other id is in it; it gets the group's id. Empty tables give empty results; other
     columns of docs, whatever their names, aren't read.
     """
+    text_batches(docs.sparkSession)
     text_hash = F.xxhash64(F.col(text_col).cast("string"))
     prints = materialise(fingerprints(docs.select(F.struct(F.col(id_col).cast("long").alias("id"), text_hash.alias("h")).alias("key"), F.col(text_col).alias("text")), shingle=shingle))
     classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("low")))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise, partitions
+from rasterloom.llm.common import materialise, partitions, text_batches
 
 # Elements and words of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -232,6 +232,7 @@ def main_text(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="ht
     of ranges is paired afterwards, so the result doesn't depend on them. Null or empty html gives an empty text; a null url is a host of its own.
     Repeated rows are each given; empty tables give empty results; other columns aren't read.
     """
+    text_batches(pages.sparkSession)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     k = F.xxhash64(F.col(id_col).cast("long"), url, F.col(html_col).cast("string"))
     rows = pages.select(k.alias("k"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

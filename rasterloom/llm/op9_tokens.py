@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import rangecoder
-from rasterloom.llm.common import give_back, partitions, shared_folder
+from rasterloom.llm.common import give_back, partitions, shared_folder, text_batches
 from rasterloom.llm.op2_bpe import tokenizer
 
 #: A frame is closed when it holds so many ids or its texts so many bytes; one longer document has a frame of its own.
@@ -159,6 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, *, id_col="doc_id", t
     Null ids come first. Rows that repeat an id stand next to one another in the order of a hash of their texts. Null and
     empty texts have the end id alone. An empty table leaves a readable folder without frames. Other columns aren't read.
     """
+    text_batches(docs.sparkSession)
     h = F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("missing"), F.col(text_col).cast("string").alias("text"), h.alias("h"))
     first = F.col("missing").desc()
