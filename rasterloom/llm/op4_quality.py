@@ -35,7 +35,7 @@ for _i, _members in enumerate(_CLASSES):
 STATISTICS = len(_CLASSES) + 1 + 8
 
 
-def _log2_bin(x: np.ndarray) -> np.ndarray:
+def _logarithm(x: np.ndarray) -> np.ndarray:
     return np.log1p(x) / 10
 
 
@@ -64,7 +64,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, metadata: np.ndarray) -> tupl
     top = np.zeros(n)
     np.maximum.at(top, word_row, times / words[word_row])
     lines = np.bincount(byte_row[raw == 10], minlength=n) + 1
-    more = np.stack([_log2_bin(counts), letters / words / 10, np.sqrt(np.maximum(spread, 0)) / 10, different / words, top, _log2_bin(words / lines), _log2_bin(np.maximum(metadata, 0)), (metadata < 0) * 1.0], 1)
+    more = np.stack([_logarithm(counts), letters / words / 10, np.sqrt(np.maximum(spread, 0)) / 10, different / words, top, _logarithm(words / lines), _logarithm(np.maximum(metadata, 0)), (metadata < 0) * 1.0], 1)
     dense = np.minimum(np.concatenate([shares, more], 1), 5)
     rows = np.concatenate([word_row, np.repeat(np.arange(n), STATISTICS)])
     names = np.concatenate([word, np.tile(WORDS + np.arange(STATISTICS), n)])
