@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Field types and tags of TIFF 6.0 and GeoTIFF.
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 11: "f", 12: "d"}
