@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import rangecoder
-from rasterloom.llm.common import give_back, partitions, shared_folder, text_batches
+from rasterloom.llm.common import give_back, partitions, shared_folder, slices, string_bytes, text_batches
 from rasterloom.llm.op2_bpe import tokenizer
 
 #: A frame is closed when it holds so many ids or its texts so many bytes; one longer document has a frame of its own.
 FRAME_IDS, FRAME_BYTES = 8_000_000, 32_000_000
+#: Bytes of text whose distinct words are encoded together.
+TEXT_BYTES = 16_000_000
 #: A frame's blocks hold this many ids, fewer in small frames so that enough of them are coded side by side.
 LONGEST, SHORTEST, ABREAST = 2048, 256, 2048
 _MAGIC = b"RLT1"
@@ -88,7 +90,8 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     flat, size = np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
     first = np.cumsum(size) - size
     stops = np.concatenate([[0], np.cumsum(size[every])])
-    out = flat[np.arange(stops[-1]) + np.repeat(first[every] - stops[:-1], size[every])]
+    kind = np.int32 if max(stops[-1], len(flat)) < 2**31 else np.int64
+    out = flat.astype(np.int32)[np.arange(stops[-1], dtype=kind) + np.repeat((first[every] - stops[:-1]).astype(kind), size[every])]
     return out, np.diff(stops[bounds])
 
 
@@ -120,29 +123,38 @@ def parts_of(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def _frames(path: str, end_id: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, frame = TaskContext.get().partitionId(), 0
+        waiting: list[tuple] = []  # rows whose texts are still to be encoded
         held: list[tuple] = []
-        size = total = 0
+        unread = size = total = 0
+
+        def encode() -> int:
+            docs, missing = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            ids, lengths = token_ids(pa.concat_arrays([w[2] for w in waiting]), path)
+            held.append((docs, missing, np.insert(ids, np.cumsum(lengths), end_id), lengths + 1))
+            waiting.clear()
+            give_back()
+            return len(held[-1][2])
 
         def out() -> pa.RecordBatch:
-            docs, missing, texts, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
-            data = frame_of(docs, missing, lengths, texts)
+            docs, missing, ids, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            data = frame_of(docs, missing, lengths, ids)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((shard, pa.int32()), (frame, pa.int32()), (len(docs), pa.int64()), (int(lengths.sum()), pa.int64()), (data, pa.binary()))], ["shard", "frame", "docs", "tokens", "data"])
 
         for batch in batches:
-            give_back()
-            at = 0
-            sizes = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            while at < batch.num_rows:
-                stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + FRAME_BYTES // 4, "right")))
-                some = batch.slice(at, stop - at)
-                ids, lengths = token_ids(some.column(2), path)
-                ids = np.insert(ids, np.cumsum(lengths), end_id)
-                held.append((some.column(0).to_numpy(), some.column(1).to_numpy(zero_copy_only=False).astype(np.int64), ids, lengths + 1))
-                size, total, at = size + len(ids), total + int(sizes[at:stop].sum()), stop
+            texts = batch.column(2).cast(pa.large_string())
+            _, offsets = string_bytes(texts)
+            for a, b in slices(offsets, TEXT_BYTES):
+                some = batch.slice(a, b - a)
+                waiting.append((some.column(0).to_numpy(), some.column(1).to_numpy(zero_copy_only=False).astype(np.int64), texts.slice(a, b - a)))
+                unread += int(offsets[b] - offsets[a])
+                if unread >= TEXT_BYTES:
+                    size, total, unread = size + encode(), total + unread, 0
                 if size >= FRAME_IDS or total >= FRAME_BYTES:
                     yield out()
-                    held, size, total, frame = [], 0, 0, frame + 1
+                    size, total, frame = 0, 0, frame + 1
+        if waiting:
+            encode()
         if held:
             yield out()
 

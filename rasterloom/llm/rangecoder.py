@@ -16,7 +16,7 @@ import numpy as np
 #: Ids are below this.
 IDS = 1 << 16
 #: Bits of the whole range, of a weight and of the cumulated classes; slots of a block's tables of predictions.
-_TOTAL, _WEIGHT, _CDF, _SLOTS = 16, 15, 15, 11
+_TOTAL, _WEIGHT, _CDF, _SLOTS = 16, 15, 15, 10
 #: Weights stay so far from 0 and 1 that every class keeps a part of the range.
 _MOST2, _MOST1, _LEAST = int(0.85 * (1 << _TOTAL)), int(0.55 * (1 << _WEIGHT)), 1 << 7
 #: Steps between two counts of classes.
