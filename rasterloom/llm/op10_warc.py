@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import shared_folder, text_batches
 
 #: A volume is closed when it holds so many bytes; one larger record has a volume of its own.
-VOLUME_BYTES = 8_000_000
+VOLUME_BYTES = 32_000_000
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
 # Names of the WARC 1.1 format.
