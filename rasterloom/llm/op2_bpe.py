@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from rasterloom.llm.common import give_back, partitions, slices, string_bytes, text_batches, tidy
 
 #: Bytes of text whose words share one table of distinct words.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 14_000_000
 #: Words whose ids are put together at once.
 AT_ONCE = 150_000
 #: Groups of distinct words for each shuffle partition.
