@@ -141,6 +141,12 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     never names a group unless no other id is in it; it gets the group's id. Empty tables give empty results; other
     columns of docs, whatever their names, aren't read.
     """
+    return _grouped(docs, id_col=id_col, text_col=text_col, shingle=shingle).select("id", "text_hash", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
+    """near_duplicates with one more column, root: the component itself, by its smallest fingerprint. Several components
+    have one component_id if they share their smallest id, or hold null ids only."""
     text_batches(docs.sparkSession)
     text_hash = F.xxhash64(F.col(text_col).cast("string"))
     prints = materialise(fingerprints(docs.select(F.struct(F.col(id_col).cast("long").alias("id"), text_hash.alias("h")).alias("key"), F.col(text_col).alias("text")), shingle=shingle))
@@ -148,18 +154,18 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     joined = components(links(classes.select("fp")))
     named = classes.join(joined, classes.fp == joined.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialise(named.join(lowest, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("id", "text_hash", "fp", "component_id")
+    named = materialise(named.join(lowest, "root").select("fp", "component_id", "root"))
+    return prints.join(named, "fp").select("id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of docs that stay: of each near-duplicate group the row with the smallest id.
 
     Rows without an id come after all others. If rows repeat that id, the one with the smallest hash of its text stays,
-    and one of rows that have both in common.
+    and one of rows that have both in common. Groups of unrelated texts stay apart, whatever ids they share or lack.
     """
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("__i"), F.col("text_hash").alias("__h"))).alias("m")).select("m.none", "m.__i", "m.__h")
+    groups = _grouped(docs, id_col=id_col, text_col=text_col)
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("__i"), F.col("text_hash").alias("__h"))).alias("m")).select("m.none", "m.__i", "m.__h")
     keyed = docs.withColumns({"__none": F.col(id_col).isNull(), "__i": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__h": F.xxhash64(F.col(text_col).cast("string"))})
     kept = keyed.join(best.withColumnRenamed("none", "__none"), ["__none", "__i", "__h"], "left_semi")
     return kept.dropDuplicates(["__none", "__i", "__h"]).select(docs.columns)

@@ -169,6 +169,23 @@ def test_keep_one(odd):
     assert kept.count() == found.select("component_id").distinct().count() or kept.count() == found.groupBy("component_id").count().count()
 
 
+def kept_by_hand(data):
+    """data: (id, text). The ids that stay: of each component by brute force the smallest, null only where there is no other."""
+    texts = [(k, by_hand(t)) for k, (_, t) in enumerate(data)]
+    ids = {}
+    for k, _, component in groups_by_hand(texts):
+        ids.setdefault(component, []).append(data[k][0])
+    return sorted((min((i for i in x if i is not None), default=None) for x in ids.values()), key=repr)
+
+
+def test_keep_one_of_each_component(spark, odd, odd_rows):
+    assert sorted((r.doc_id for r in op6_simhash.keep_one(odd).collect()), key=repr) == kept_by_hand([r[:2] for r in odd_rows])
+    texts = [" ".join(f"{t}{i}" for i in range(30)) for t in "abcde"]
+    data = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (9, texts[2]), (5, texts[3]), (12, texts[3]), (None, texts[3]), (7, texts[4])]
+    kept = op6_simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert rows(kept, "doc_id", "text") == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4])], key=repr)
+
+
 def test_components_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long").repartition(5)
