@@ -210,9 +210,11 @@ def _without_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         out = []
         for hashes, texts, kinds, other in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
             common = shared(hashes, other) if other else [False] * len(hashes)
-            has_main = 2 in kinds
-            kept = [t for t, k, c in zip(texts, kinds, common, strict=True) if k == 2 or k == 1 and not has_main and not c]
-            if not kept and not has_main:  # nothing tells this page from its neighbour
+            article = [c for k, c in zip(kinds, common, strict=True) if k == 2]
+            if 2 * sum(article) > len(article):  # the neighbour has this article too, so what both have may be part of it
+                common = [False] * len(hashes)
+            kept = [t for t, k, c in zip(texts, kinds, common, strict=True) if k == 2 or k == 1 and not c]
+            if not kept:  # nothing tells this page from its neighbour
                 kept = [t for t, k in zip(texts, kinds, strict=True) if k == 1]
             out.append(" ".join(kept))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
@@ -225,8 +227,8 @@ def main_text(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="ht
     of both are aligned by their longest common subsequence, and shared blocks are deleted. Two guards make the result
     right where differencing alone isn't: blocks inside an article or main element stay, though the neighbour be a copy;
     and blocks that the page marks as menu, header, footer, sidebar, notice, advert, form or comment go, though no
-    neighbour have them. A page that has an article keeps only what is in it. A page that shares all its blocks, or whose
-    host has no other page, keeps all that isn't so marked.
+    neighbour have them. What is neither, on pages with an article too, stays unless it is shared. A page that shares all
+    its blocks or most of its article's, or whose host has no other page, keeps all that isn't so marked.
 
     Order is dealt by range of host, path and row, so a host with a third of all pages is split; what lies at the borders
     of ranges is paired afterwards, so the result doesn't depend on them. Null or empty html gives an empty text; a null url is a host of its own.

@@ -47,6 +47,15 @@ def test_differencing(spark):
     assert found == {1: "one", 2: "two", 3: "Menu", 4: "Menu four Imprint", 5: "", 6: "Menu same Imprint", 7: "Menu same Imprint"}
 
 
+def test_differencing_beside_an_article(spark):
+    """Unmarked blocks outside the article stay unless the nearest page has them too; a copy of the article tells nothing."""
+    page = lambda head, body: f"<body><div>Menu</div><div>{head}</div><article><p>{body}</p><p>{body} more</p></article><nav>Nav {body}</nav><div>Imprint</div></body>"
+    data = [(1, "http://h.org/a/1", page("Head one", "one")), (2, "http://h.org/a/2", page("Head two", "two")), (3, "http://c.org/1", page("Head", "same")), (4, "http://c.org/2", page("Head", "same")), (5, "http://solo.org/", page("Head five", "five"))]
+    found = {r.page_id: r.text for r in op7_html.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    copy = "Menu Head same same more Imprint"
+    assert found == {1: "Head one one one more", 2: "Head two two two more", 3: copy, 4: copy, 5: "Menu Head five five five more Imprint"}
+
+
 def test_repeated_pages(spark):
     pages = spark.createDataFrame([(1, "http://h.org/a", PAGE)] * 3 + [(None, "http://h.org/b", PAGE)], "page_id long, url string, html string")
     assert [r.text for r in op7_html.main_text(pages).collect()] == ["A & B First bold text next Second <tag> é"] * 4
