@@ -51,10 +51,13 @@ def tile_overlays(spark, sf_dir):
 
 
 @query("height_fallback", f"WITH {PX}, e AS (SELECT img, min(v) AS l, max(v) AS h FROM px WHERE img % 2 = 0 GROUP BY img) SELECT img, yy, xx, ((v - l) * 255 // (h - l))::INTEGER AS height, 'surface' AS source FROM px JOIN e USING (img) WHERE img < 6 UNION ALL SELECT img, yy, xx, floor(v / 256.0 * 255)::INTEGER, 'relief' FROM px WHERE img % 2 = 1 AND img < 6")
-def height_fallback(spark, sf_dir):
+def height_fallback(spark, sf_dir, rows="img < 6"):
     px = pixels(spark, sf_dir)
     relief = px.select("img", "yy", "xx", (F.col("v") / 256.0 * 100).alias("pct"))
-    return P.heights(px.where("img % 2 = 0"), relief, px.where("img < 6").select("img"))
+    return P.heights(px.where("img % 2 = 0"), relief, px.where(rows).select("img"))
+
+
+query.whole("height_fallback", " WHERE img < 6", " AND img < 6")
 
 
 _TURN = "CASE o WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} WHEN 4 THEN {4} WHEN 5 THEN {5} WHEN 6 THEN {6} ELSE {7} END"
