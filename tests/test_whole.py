@@ -56,7 +56,7 @@ def test_distances(spark, sf_dir, rasters):
     assert len(found) == len(rasters) * HEIGHT * WIDTH and all(abs(r.d - want[r.img][r.yy, r.xx]) < 2e-6 for r in found)
 
 
-@pytest.mark.parametrize("name", ["watershed", "mask_to_distance", "laplacian", "nms", "height_fallback"])
+@pytest.mark.parametrize("name", ["watershed", "mask_to_distance", "laplacian", "nms", "regr_decode", "percentile_stretch", "hsv_shift", "minmax_stretch", "height_fallback"])
 def test_every_pixel(spark, sf_dir, rasters, name):
     found = catalog.QUERIES[f"{name}_whole"](spark, sf_dir).select("img", "yy", "xx")
     assert found.distinct().count() == found.count() == len(rasters) * HEIGHT * WIDTH
