@@ -24,7 +24,9 @@ FRAME_IDS, FRAME_BYTES = 8_000_000, 32_000_000
 TEXT_BYTES = 16_000_000
 #: A frame's blocks hold this many ids, fewer in small frames so that enough of them are coded side by side.
 LONGEST, SHORTEST, ABREAST = 2048, 256, 2048
-_MAGIC = b"RLT1"
+#: A worker keeps the ids of words that it has encoded, until they are so many or have so many bytes; then it begins anew.
+KNOWN_WORDS, KNOWN_BYTES = 2_000_000, 32_000_000
+_MAGIC = b"RLT2"
 # White space other than blanks and line feeds, as a class of code points.
 _OTHER_SPACE = r"\x{9}\x{b}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Other white space, or blanks and line feeds next to one another or at an end: such texts are encoded whole.
@@ -96,11 +98,13 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frame_of(doc_ids: np.ndarray, missing: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """Magic, header (checksummed and deflated: ids of documents, which of them are missing, lengths, block sizes), blocks."""
+    """Magic, header (checksummed and deflated: ids of documents, which of them are missing, lengths, block sizes, frequencies of
+    ids), blocks."""
     length = int(np.clip(-(-len(ids) // ABREAST), SHORTEST, LONGEST))
-    blocks = rangecoder.encode(ids, length)
+    known = rangecoder.Frame.of(ids)
+    blocks = rangecoder.encode(ids, length, known)
     head = np.concatenate([np.array([len(doc_ids), len(blocks)], "<i8"), doc_ids.astype("<i8"), missing.astype("<i8"), lengths.astype("<i8"), np.array([len(b) for b in blocks], "<i8")]).tobytes()
-    packed = zlib.compress(head, 6)
+    packed = zlib.compress(head + known.to_bytes(), 6)
     return b"".join([_MAGIC, len(packed).to_bytes(8, "little"), zlib.crc32(packed).to_bytes(4, "little"), packed, *blocks])
 
 
@@ -110,13 +114,15 @@ def parts_of(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     packed = frame[16 : 16 + n]
     if frame[:4] != _MAGIC or zlib.crc32(packed).to_bytes(4, "little") != frame[12:16]:
         raise ValueError("not a frame of token ids, or a damaged one")
-    head = np.frombuffer(zlib.decompress(packed), "<i8")
-    docs, blocks = head[:2].tolist()
-    doc_ids, missing, lengths, sizes = np.split(head[2:], np.cumsum([docs, docs, docs]))
+    data = zlib.decompress(packed)
+    docs, blocks = np.frombuffer(data, "<i8", 2).tolist()
+    head = np.frombuffer(data, "<i8", 3 * docs + blocks, 16)
+    known = rangecoder.Frame.from_bytes(data[16 + head.nbytes :])
+    doc_ids, missing, lengths, sizes = np.split(head, np.cumsum([docs, docs, docs]))
     ends = 16 + n + np.cumsum(sizes)
     if len(sizes) != blocks or len(frame) != (ends[-1] if blocks else 16 + n):
         raise ValueError("a frame of token ids has a wrong length")
-    ids = rangecoder.decode([frame[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
+    ids = rangecoder.decode([frame[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], known)
     return doc_ids, missing, lengths, ids
 
 

@@ -7,9 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -258,19 +260,48 @@ def test_mix_carries(odd):
 @given(st.lists(st.integers(0, 65534), max_size=400), st.integers(1, 70))
 def test_range_coder(ids, length):
     ids = np.array(ids, np.int64)
-    assert np.array_equal(rangecoder.decode(rangecoder.encode(ids, length)), ids)
+    frame = rangecoder.Frame.of(ids)
+    again = rangecoder.Frame.from_bytes(frame.to_bytes())
+    assert np.array_equal(rangecoder.decode(rangecoder.encode(ids, length, frame), again), ids)
+
+
+@pytest.mark.parametrize("most", [1, 7, 4096])
+def test_range_coder_frames(monkeypatch, most):
+    """Contexts with few and many successors, more of them than places, and ids seen once."""
+    monkeypatch.setattr(rangecoder, "CONTEXTS", most)
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([np.repeat(3, 5000), rng.integers(0, 3000, 60_000), np.tile(np.arange(50), 400), rng.zipf(1.3, 50_000) % 65_536, np.stack([np.full(9000, 9), rng.integers(0, 1500, 9000)], 1).ravel()])
+    frame = rangecoder.Frame.of(ids)
+    contexts, _, entries, _, freqs, _, all_freqs = frame.parts
+    assert all(f.sum() == 1 << 10 and f.min() >= 1 for f in np.split(freqs, np.cumsum(entries)[:-1])) and all_freqs.sum() == 1 << 16 and len(contexts) <= most
+    assert np.array_equal(rangecoder.decode(rangecoder.encode(ids, 999, frame), rangecoder.Frame.from_bytes(frame.to_bytes())), ids)
 
 
 def test_range_coder_learns_and_checks():
     ids = np.tile(np.arange(50), 400)
-    blocks = rangecoder.encode(ids, 5000)
-    assert sum(map(len, blocks)) < len(ids) // 4
-    assert np.array_equal(rangecoder.decode(blocks[2:3]), ids[10000:15000])  # a block alone
+    frame = rangecoder.Frame.of(ids)
+    blocks = rangecoder.encode(ids, 5000, frame)
+    assert sum(map(len, blocks)) < len(ids) // 20
+    assert np.array_equal(rangecoder.decode(blocks[2:3], frame), ids[10000:15000])  # a block alone
     for at in (0, 5, len(blocks[1]) - 1):
         bad = bytearray(blocks[1])
         bad[at] ^= 4
         with pytest.raises(ValueError, match="checksum"):
-            rangecoder.decode([blocks[0], bytes(bad)])
+            rangecoder.decode([blocks[0], bytes(bad)], frame)
+
+
+def test_token_files_are_small(sf_dir):
+    """Fewer bits an id than general compressors on blocks of the same size, and than the entropy of single ids, frequencies included."""
+    texts = pq.read_table(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    ids, n = op9_tokens.token_ids(texts, BYTES)
+    none = np.zeros(len(n), np.int64)
+    bits = 8 * len(op9_tokens.frame_of(none, none, n, ids)) / len(ids)
+    size = min(op9_tokens.LONGEST, -(-len(ids) // op9_tokens.ABREAST))
+    parts = [ids[a : a + size].astype("<u2").tobytes() for a in range(0, len(ids), size)]
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert bits < 8 * sum(len(zlib.compress(x, 6)) for x in parts) / len(ids) * 0.75
+    assert bits < 8 * sum(len(zstandard.compress(x, 3)) for x in parts) / len(ids) * 0.75
+    assert bits < -(share * np.log2(share)).sum()
 
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
