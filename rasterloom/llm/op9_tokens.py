@@ -42,19 +42,54 @@ def _begins(path: str) -> np.ndarray:
     return np.array([(t.id_to_token(i) or "")[:1] in ("Ġ", "Ċ") for i in range(max(t.get_vocab(True).values()) + 1)])
 
 
+class _Known:
+    """The ids of words, each with the blank or line feed before it, as this worker has encoded them so far."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """words: all different. All ids known, and of each word where its own begin in them and how many they are."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        if len(self.words) + len(new) > KNOWN_WORDS or self.words.nbytes + new.nbytes > KNOWN_BYTES:
+            self.__init__(self.path)
+            at, new = pa.nulls(len(words), pa.int32()), words
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        ids, sizes = [self.ids], [self.sizes]
+        begins = _begins(self.path)
+        for a in range(0, len(new), _TOGETHER):
+            some = new.slice(a, _TOGETHER).to_pylist()
+            text = "".join([w if w[:1] == "\n" else f" {w}" for w in some])
+            x = np.array(tokenizer(self.path).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(begins[x])
+            if len(cuts) != len(some) or cuts[0]:
+                raise ValueError("this tokenizer file doesn't keep blanks at the beginning of words")
+            ids.append(x)
+            sizes.append(np.diff([*cuts, len(x)]))
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        return self.ids, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+
+
+_known = functools.lru_cache(1)(_Known)
+
+
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in one array, and how many each has; as the tokenizer encodes whole texts without adding
     special tokens. Null is empty.
 
     Byte-level vocabularies that split before each blank and line feed between words allow a text to be encoded word by
-    word. So texts' distinct words, each with the blank or line feed before it, are encoded in one long string; the
-    pieces that begin with a blank or line feed show where the words begin. A text's first word has nothing before it and
-    is encoded alone, and texts with other white space are encoded whole.
+    word. So texts' distinct words that this worker hasn't met before, each with the blank or line feed before it, are
+    encoded in long strings; the pieces that begin with a blank or line feed show where the words begin. A text's first word
+    has nothing before it and is encoded alone, and texts with other white space are encoded whole.
     """
     t = tokenizer(path)
 
     def encoded(some: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for at in range(0, len(some), 2000) for e in t.encode_batch_fast(some[at : at + 2000], add_special_tokens=False)]
+        return [np.array(e.ids, np.int32) for at in range(0, len(some), 2000) for e in t.encode_batch_fast(some[at : at + 2000], add_special_tokens=False)]
 
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     whole = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False).astype(bool)
@@ -62,23 +97,14 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     parts = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(even)), "\n", " \n"), " ")
     ends = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
     table = parts.flatten().dictionary_encode()
-    run, words = table.indices.to_numpy(zero_copy_only=False).astype(np.int64), table.dictionary.to_pylist()
-    ids: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    begins = _begins(path)
-    for at in range(0, len(words), _TOGETHER):
-        some = words[at : at + _TOGETHER]
-        x = encoded(["".join([w if w[:1] == "\n" else f" {w}" for w in some])])[0]
-        cuts = np.flatnonzero(begins[x])
-        if len(cuts) != len(some) or cuts[0]:
-            raise ValueError("this tokenizer file doesn't keep blanks at the beginning of words")
-        ids.append(x)
-        sizes.append(np.diff([*cuts, len(x)]))
+    run, words = table.indices.to_numpy(zero_copy_only=False).astype(np.int64), table.dictionary
+    flat, first, size = _known(path).look_up(words)
     heads, back = np.unique(run[ends[:-1]], return_inverse=True)
     run[ends[:-1]] = len(words) + back
-    alone = encoded([words[i] for i in heads]) + encoded(texts.filter(pa.array(whole)).to_pylist())
-    ids += alone
-    sizes.append(np.array([len(x) for x in alone], np.int64))
+    alone = encoded(words.take(pa.array(heads)).to_pylist()) + encoded(texts.filter(pa.array(whole)).to_pylist())
+    own_size = np.array([len(x) for x in alone], np.int64)
+    first = np.concatenate([first, len(flat) + np.cumsum(own_size) - own_size])
+    flat, size = np.concatenate([flat, *alone]).astype(np.int32), np.concatenate([size, own_size])
 
     # texts as numbers of words: those cut into words, and those that stand for themselves
     count = whole.astype(np.int64)
@@ -89,11 +115,9 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     own[bounds[:-1][whole]] = True
     every[~own] = run
     every[own] = len(words) + len(heads) + np.arange(whole.sum())
-    flat, size = np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
-    first = np.cumsum(size) - size
     stops = np.concatenate([[0], np.cumsum(size[every])])
     kind = np.int32 if max(stops[-1], len(flat)) < 2**31 else np.int64
-    out = flat.astype(np.int32)[np.arange(stops[-1], dtype=kind) + np.repeat((first[every] - stops[:-1]).astype(kind), size[every])]
+    out = flat[np.arange(stops[-1], dtype=kind) + np.repeat((first[every] - stops[:-1]).astype(kind), size[every])]
     return out, np.diff(stops[bounds])
 
 
