@@ -9,12 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.llm.common import groups, materialise
 from rasterloom.llm.components import components, stars
 
-#: Vectors of a block, and of a side of the tiles compared at once.
-BLOCK, TILE = 4096, 1024
+#: Vectors of a block at least and at most (blocks grow with the root of their number), bytes of one at most, and vectors of a
+#: side of the tiles compared at once.
+BLOCK, MOST_BLOCK, BLOCK_BYTES, TILE = 8192, 65_536, 64_000_000, 1024
+#: Numbers of a piece of the matrix of moments.
+SLAB = 1 << 17
 #: Leading axes after which a tile is judged by its bounds; the remaining ones follow.
 STEPS = (12, 32)
 #: Leading axes whose ranges say that two blocks have no pair in reach.
@@ -48,16 +52,32 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = _unit(_matrix(batch.filter(pa.array(dims == dim)).column("v"), dim))
             sums[dim] = sums.get(dim, 0) + x.T @ x
     for dim, s in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(dim * dim, dim), pa.int32()), pa.array(np.arange(dim * dim), pa.int64()), pa.array(s.ravel())], ["dim", "at", "value"])
+        for slab, at in enumerate(range(0, dim * dim, SLAB)):
+            yield _slab(dim, slab, s.ravel()[at : at + SLAB])
+
+
+def _slab(dim: int, slab: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([slab], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["dim", "slab", "data"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for dim, slab, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums[dim, slab] = sums.get((dim, slab), 0) + np.frombuffer(data)
+    for (dim, slab), values in sums.items():
+        yield _slab(dim, slab, values)
 
 
 def axes_of(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Of each number of dimensions, the axes as columns, the one along which most lies first. dim * dim sums come to the driver."""
-    rows = classes.select("dim", "v").mapInArrow(_moments, "dim int, at long, value double").groupBy("dim", "at").agg(F.sum("value").alias("value")).collect()
-    found: dict[int, np.ndarray] = {}
-    for r in rows:
-        found.setdefault(r.dim, np.zeros(r.dim * r.dim))[r.at] = r.value
-    return {dim: np.linalg.eigh(s.reshape(dim, dim))[1][:, ::-1].copy() for dim, s in found.items()}
+    """Of each number of dimensions, the axes as columns, the one along which most lies first. dim * dim sums come to the driver,
+    as binary pieces that tasks have added up."""
+    kind = "dim int, slab int, data binary"
+    pieces = classes.select("dim", "v").mapInArrow(_moments, kind).repartition("dim", "slab").mapInArrow(_added, kind).orderBy("dim", "slab").collect()
+    found: dict[int, list] = {}
+    for r in pieces:
+        found.setdefault(r.dim, []).append(np.frombuffer(r.data))
+    return {dim: np.linalg.eigh(np.concatenate(s).reshape(dim, dim))[1][:, ::-1].copy() for dim, s in found.items()}
 
 
 def _first_axis(axes: dict[int, np.ndarray]):
@@ -72,21 +92,23 @@ def _first_axis(axes: dict[int, np.ndarray]):
     return fn
 
 
-def _blocks(axes: dict[int, np.ndarray]):
-    """Rows in order of dim and place along the first axis: packed blocks with the ranges of their leading axes."""
+def _blocks(axes: dict[int, np.ndarray], most: int, kind: str):
+    """Rows in order of dim and place along the first axis: packed blocks with the ranges of their leading axes. kind: the
+    numbers' type, as exact as the input's."""
 
     def pack(dim: int, rows: pa.Table) -> pa.RecordBatch:
         vectors = _matrix(rows.column("v").combine_chunks(), dim)
         along = _unit(vectors) @ axes[dim][:, : min(BOX, dim)]
-        values = [uuid.uuid4().hex, dim, along.min(0).tolist(), along.max(0).tolist(), rows.column("id").to_numpy().tobytes(), rows.column("n").to_numpy().tobytes(), vectors.tobytes()]
+        values = [uuid.uuid4().hex, dim, along.min(0).tolist(), along.max(0).tolist(), rows.column("id").to_numpy().tobytes(), rows.column("n").to_numpy().tobytes(), vectors.astype(kind).tobytes()]
         kinds = [pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], ["block", "dim", "low", "high", "ids", "ns", "vectors"])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, "dim"):
             dim = rows.column("dim")[0].as_py()
-            for at in range(0, rows.num_rows, BLOCK):
-                yield pack(dim, rows.slice(at, BLOCK))
+            size = max(1, min(most, BLOCK_BYTES // (8 * dim)))
+            for at in range(0, rows.num_rows, size):
+                yield pack(dim, rows.slice(at, size))
 
     return fn
 
@@ -127,12 +149,12 @@ def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, sam
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def _compare(axes: dict[int, np.ndarray], threshold: float):
-    """The one or two blocks of a pair: of each vector with links, how many and the smallest id that they chain to."""
+def _compare(axes: dict[int, np.ndarray], threshold: float, kind: str):
+    """The one or two blocks of a pair: of each class with links, how many and the smallest class that they chain to."""
 
     def fn(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
-        sides = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ns"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, dim)) for r in table.select(["ids", "ns", "vectors"]).to_pylist()]
+        sides = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ns"], np.int64), np.frombuffer(r["vectors"], kind).astype(np.float64).reshape(-1, dim)) for r in table.select(["ids", "ns", "vectors"]).to_pylist()]
         (ia, na, va), (ib, nb, vb) = sides[0], sides[-1]
         p, q = linked(va, vb, axes[dim], threshold, len(sides) == 1)
         ends, links = np.concatenate([ia[p], ib[q]]), np.concatenate([nb[q], na[p]])
@@ -160,15 +182,20 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     lengths. A null id links with nothing and isn't kept. Rows that repeat an id are one point of the graph with the links
     of all, each row having n_links of its own vector. Empty tables give empty results; other columns aren't read.
     """
+    element = vectors.schema[vector_col].dataType.elementType
+    kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), usable(vector_col).alias("ok"))
     good = F.col("ok") & F.col("id").isNotNull()
-    classes = rows.where(good).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "n", "v", F.size("v").alias("dim"))
-    classes = materialise(classes)
+    # a class goes by a number of its own, since several classes may have one smallest id; writing it fixes the number
+    numbered = rows.where(good).groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("id"), "low", "n", "v", F.size("v").alias("dim"))
+    classes = materialise(numbered)
     axes = axes_of(classes)
-    n = max(1, -(-classes.count() // BLOCK))
-    placed = classes.mapInArrow(_first_axis(axes), "id long, n long, v array<double>, dim int, first double")
+    total = classes.count()
+    most = min(MOST_BLOCK, max(BLOCK, int(8 * total**0.5)))
+    n = max(1, -(-total // most))
+    placed = classes.select("id", "n", "v", "dim").mapInArrow(_first_axis(axes), "id long, n long, v array<double>, dim int, first double")
     ordered = placed.repartitionByRange(n, "dim", "first", "id").sortWithinPartitions("dim", "first", "id").coalesce(n)
-    blocks = materialise(ordered.mapInArrow(_blocks(axes), "block string, dim int, low array<double>, high array<double>, ids binary, ns binary, vectors binary"))
+    blocks = materialise(ordered.mapInArrow(_blocks(axes, most, kind), "block string, dim int, low array<double>, high array<double>, ids binary, ns binary, vectors binary"))
 
     reach = (2 - 2 * threshold) ** 0.5 + SLACK
     box = blocks.select("block", "dim", "low", "high")
@@ -181,16 +208,21 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     pairs = pairs.select(F.col("l.block").alias("a"), F.col("r.block").alias("b")).distinct()
     sides = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("block"), F.concat_ws("-", "a", "b").alias("pair"))
     tiles = sides.join(blocks.select("block", "dim", "ids", "ns", "vectors"), "block")
-    found = materialise(tiles.groupBy("pair").applyInArrow(_compare(axes, threshold), "id long, links long, root long"))
+    found = materialise(tiles.groupBy("pair").applyInArrow(_compare(axes, threshold, kind), "id long, links long, root long"))
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
-    named = classes.join(links, "id", "left").join(joined, "id", "left")
-    named = named.select("v", F.coalesce("component", "id").alias("component"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    # good rows have their class by its vector; the others stand alone
-    out = rows.withColumn("key", F.when(good, F.col("v"))).join(named.withColumnRenamed("v", "key"), "key", "left")
-    component = F.coalesce("component", "id")
-    return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    # ids with different vectors tie those vectors' classes together
+    vector = F.struct(F.xxhash64("v").alias("x"), F.xxhash64(F.lit(1), "v").alias("y"))
+    several = rows.where(good).groupBy("id").agg(F.min(vector).alias("a"), F.max(vector).alias("b")).where("a <> b").select("id")
+    tied = rows.where(good).join(several, "id").select("id", "v").join(classes.select("v", F.col("id").alias("class")), "v").select("id", "class")
+    ties = tied.join(tied.groupBy("id").agg(F.min("class").alias("first")), "id").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(ties)).withColumnRenamed("node", "id")
+    grouped = classes.select("id", "low", "n", "v").join(links, "id", "left").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = grouped.groupBy("component").agg(F.min("low").alias("least"))
+    named = grouped.join(lowest, "component").select("v", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    # usable rows have their class by its vector; the others stand alone
+    linked_rows = rows.where(good).join(named, "v").select("id", F.col("links").cast("long").alias("n_links"), F.col("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    return linked_rows.union(rows.where(~good).select("id", F.lit(0).cast("long"), "id", F.col("id").isNotNull()))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,18 @@ def test_near_duplicates(spark, vectors, monkeypatch, block):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_ids_with_several_vectors(spark):
+    """Each row's links are those of its own vector; an id's vectors are one point, so what either links with is one component."""
+    data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.02]), (9, [-1.0, 0.0]), (8, [-1.0, 0.001]), (9, [-1.0, 0.0]), (7, [0.0, -1.0])]
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False), (9, 2, 8, False), (8, 2, 8, True), (9, 2, 8, False), (7, 0, 7, True)]
+    for kind in ("double", "float"):
+        found = op3_embeddings.near_duplicates(spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>"))
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    apart = [(5, [1.0, 0.0]), (6, [0.0, 1.0]), (5, [-1.0, 0.0]), (2, [-1.0, 0.01])]  # 5 has a vector near 2 and one near nothing
+    found = op3_embeddings.near_duplicates(spark.createDataFrame(apart, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, found.collect())) == [(2, 1, 2, True), (5, 0, 2, False), (5, 1, 2, False), (6, 0, 6, True)]
+
+
 def test_tiles_bound_nothing_away():
     rng = np.random.default_rng(0)
     for spread in (0.05, 0.3, 1.0):
