@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where intermediate tables go if the session names no shared folder (tests, one machine).
+#: Where intermediate tables go on one machine if the session names no shared folder.
 OWN_FOLDER = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; a local one where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER).rstrip("/")
+    """The cluster's folder for checkpoints. Where none is set, a local one on one machine, and an error on a cluster, whose executors
+    have no folder in common."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return (found or OWN_FOLDER).rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -41,6 +45,17 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{TEXT_BATCH}b")
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns to add to df: those wanted, lengthened until no column of df has one, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

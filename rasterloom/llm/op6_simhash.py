@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import give_back, materialise, text_batches
+from rasterloom.llm.common import give_back, materialise, own_names, text_batches
 from rasterloom.llm.components import components, stars
 
 #: Up to so many distinct fingerprints that share a segment are compared with one another directly.
 DIRECT = 1024
+#: Probes compared at once.
+SLICE = 4096
 _SEED = 42
 
 
@@ -51,49 +53,43 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
 
 
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    x, y = np.nonzero(np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= distance)
+    found = [np.nonzero(np.bitwise_count(a.view(np.uint64)[:, None] ^ b[s : s + SLICE].view(np.uint64)[None, :]) <= distance) for s in range(0, len(b), SLICE)]
+    x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] + i * SLICE for i, f in enumerate(found)])
     return a[x], b[y]
 
 
 def _verify(distance: int):
-    """Rows in the order of key: key, fp, probe (whether fp came with a changed segment), many."""
+    """Rows in the order of key, and of a key those of the table first: key, fp, probe (whether fp came with a changed segment).
+
+    Of a key only the table's fingerprints, at most DIRECT, are held while its probes pass by.
+    """
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> pa.RecordBatch | None:
+        held_key, held = None, np.zeros(0, np.int64)  # the table's fingerprints of the last key, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, fp, probe = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if held_key == key[0]:
+                key, fp, probe = np.concatenate([np.full(len(held), held_key), key]), np.concatenate([held, fp]), np.concatenate([np.zeros(len(held), bool), probe])
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             n = np.diff(np.concatenate([cuts, [len(key)]]))
-            a, b = [], []
             two = cuts[n == 2]
             close = np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= distance
-            a.append(fp[two[close]])
-            b.append(fp[two[close] + 1])
+            a, b = [fp[two[close]]], [fp[two[close] + 1]]
             for at, m in zip(cuts[n > 2].tolist(), n[n > 2].tolist(), strict=True):
                 some, changed = fp[at : at + m], probe[at : at + m]
                 table, asked = some[~changed], some[changed]
-                if not len(table):
-                    continue
-                pairs = [_near(table, table, distance), _near(table, asked, distance)]
-                x, y = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-                x, y = stars(x, y)
-                a.append(x)
-                b.append(y)
+                if len(table):
+                    pairs = [_near(table, other, distance) for other in (table, asked) if len(other)]
+                    x, y = stars(*(np.concatenate([p[i] for p in pairs]) for i in (0, 1)))
+                    a.append(x)
+                    b.append(y)
+            held_key, last = key[-1], cuts[-1]
+            held = fp[last:][~probe[last:]]
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
-                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        rest = None
-        for batch in batches:
-            now = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if rest is not None:
-                now = tuple(np.concatenate(p) for p in zip(rest, now, strict=True))
-            if not len(now[0]):
-                continue
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on in the next batch
-            if last and (found := out(*(x[:last] for x in now))):
-                yield found
-            rest = tuple(x[last:] for x in now)
-        if rest is not None and len(rest[0]) and (found := out(*rest)):
-            yield found
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return edges
 
@@ -118,7 +114,7 @@ def links(distinct: DataFrame) -> DataFrame:
     table = distinct.select("fp", F.explode(own).alias("x")).select("x.key", "fp")
     crowded = materialise(table.groupBy("key").count().where(F.col("count") > DIRECT).select("key"))
     few = rows.join(table.select("key").distinct(), "key", "left_semi").join(crowded, "key", "left_anti")
-    direct = few.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(2), "a long, b long")
+    direct = few.repartition("key").sortWithinPartitions("key", "probe").mapInArrow(_verify(2), "a long, b long")
 
     # In a crowded half, table members are linked if their other halves are at most 2 bits apart, so have a common
     # neighbour at 1 or 0 bits; one that came with one changed bit, if its other half is at most 1 bit from a member's.
@@ -165,10 +161,12 @@ def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     and one of rows that have both in common. Groups of unrelated texts stay apart, whatever ids they share or lack.
     """
     groups = _grouped(docs, id_col=id_col, text_col=text_col)
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("__i"), F.col("text_hash").alias("__h"))).alias("m")).select("m.none", "m.__i", "m.__h")
-    keyed = docs.withColumns({"__none": F.col(id_col).isNull(), "__i": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__h": F.xxhash64(F.col(text_col).cast("string"))})
-    kept = keyed.join(best.withColumnRenamed("none", "__none"), ["__none", "__i", "__h"], "left_semi")
-    return kept.dropDuplicates(["__none", "__i", "__h"]).select(docs.columns)
+    names = own_names(docs, "no_id", "own_id", "text_hash")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "text_hash"))
+    best = groups.groupBy("root").agg(first.alias("m")).select(*(F.col(f"m.{c}").alias(n) for c, n in zip(("none", "id", "text_hash"), names, strict=True)))
+    own = (F.col(f"`{id_col}`").isNull(), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    keyed = docs.withColumns(dict(zip(names, own, strict=True)))
+    return keyed.join(best, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
