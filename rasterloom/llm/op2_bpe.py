@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rasterloom.llm.common import give_back, partitions, slices, string_bytes, text_batches, tidy
+from rasterloom.llm.common import give_back, partitions, slices, string_bytes, text_batches
 
 #: Bytes of text whose words share one table of distinct words.
 CHUNK_BYTES = 14_000_000
@@ -38,10 +38,23 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 @functools.cache
-def pieces(path: str) -> pa.Array:
-    """The piece of every id, in the order of ids: as many as the vocabulary file has."""
+def pieces(path: str) -> tuple[pa.Array, bool]:
+    """The piece of every id, in the order of ids: as many as the vocabulary file has; and whether the file has a decoder."""
     t = tokenizer(path)
-    return pa.array([t.id_to_token(i) for i in range(max(t.get_vocab(True).values()) + 1)], pa.string())
+    return pa.array([t.id_to_token(i) for i in range(max(t.get_vocab(True).values()) + 1)], pa.string()), t.decoder is not None
+
+
+def _released(fn):
+    """fn, after which the worker doesn't keep the tokenizer."""
+
+    def of(*tables: pa.Table) -> pa.Table:
+        try:
+            return fn(*tables)
+        finally:
+            tokenizer.cache_clear()
+            give_back()
+
+    return (lambda table: of(table)) if fn.__code__.co_argcount == 1 else (lambda table, other: of(table, other))
 
 
 def _zip(data: bytes) -> bytes:
@@ -131,18 +144,24 @@ def _encode(path: str):
     """Each different word of a bucket is encoded once; every chunk gets the ids of its words, in its order."""
 
     def fn(table: pa.Table) -> pa.Table:
-        found: dict[bytes, list[int]] = {}
-        lists = [_unzip(x).split(b"\n") for x in table.column("data").to_pylist()]
-        new = list(set().union(*lists))
+        place: defaultdict[bytes, int] = defaultdict(count().__next__)
+        lists = []
+        for x in table.column("data"):
+            words = _unzip(x.as_py()).split(b"\n")
+            lists.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+        new, own = list(place), []
+        place.clear()
         for a in range(0, len(new), 4_000):
-            some = new[a : a + 4_000]
-            found.update(zip(some, (e.ids for e in tokenizer(path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
+            own += [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast([w.decode() for w in new[a : a + 4_000]], add_special_tokens=False)]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        every, first = np.concatenate([*own, np.zeros(0, np.uint32)]), np.cumsum(size) - size
+        del new, own
         rows = []
         for chunk, bucket, at, words in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), table.column("at").to_pylist(), lists, strict=True):
-            ids = list(map(found.__getitem__, words))
-            sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            rows.append((chunk, _IDS, bucket, at, _numbers(np.concatenate([sizes, flat]))))
+            sizes = size[words]
+            ends = np.cumsum(sizes)
+            flat = every[np.arange(sizes.sum()) + np.repeat(first[words] - ends + sizes, sizes)]
+            rows.append((chunk, _IDS, bucket, at, _numbers(np.concatenate([sizes.astype(np.uint32), flat]))))
         return pa.Table.from_arrays(_rows(rows), schema=_SCHEMA)
 
     return fn
@@ -150,9 +169,10 @@ def _encode(path: str):
 
 def texts_of(ids: pa.ListArray, path: str) -> pa.Array:
     """The text of each list of ids: pieces are taken from the vocabulary by number."""
-    if tokenizer(path).decoder is not None:
+    known, has_decoder = pieces(path)
+    if has_decoder:
         return pa.array([None if x is None else tokenizer(path).decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
-    found = pieces(path).take(ids.flatten())
+    found = known.take(ids.flatten())
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy())])
     return pc.if_else(ids.is_valid(), pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found), " "), None)
 
@@ -210,8 +230,8 @@ def encode(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text", deco
     n = BUCKETS * partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).cast("string").alias("text"))
     chunks = rows.mapInArrow(_split(n), _ROW).repartition("chunk")
-    answers = chunks.mapInArrow(_only_words, _ROW).groupBy("bucket").applyInArrow(tidy(_encode(path)), _ROW)
-    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(_assemble(path, decoded)), "id long, no_id boolean, ids array<int>" + ", text string" * decoded)
+    answers = chunks.mapInArrow(_only_words, _ROW).groupBy("bucket").applyInArrow(_released(_encode(path)), _ROW)
+    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_released(_assemble(path, decoded)), "id long, no_id boolean, ids array<int>" + ", text string" * decoded)
     return found.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "ids", *["text"] * decoded)
 
 
