@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
-import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import shared_folder, text_batches
+from rasterloom.llm.common import materialise, shared_folder, text_batches
 
 #: A volume is closed when it holds so many bytes; one larger record has a volume of its own.
 VOLUME_BYTES = 32_000_000
@@ -20,13 +22,17 @@ LEAST_REVISIT = 100
 # Names of the WARC 1.1 format.
 _VERSION = "WARC/1.1"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_END = "\r\n\r\n"
+_END = b"\r\n\r\n"
 
 
-def _record(kind: str, name: str, url: str, headers: list[tuple[str, str]], body: str, media: str, date: str) -> str:
-    size = len(body.encode())
-    lines = [_VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}", *(f"{k}: {v}" for k, v in headers), f"Content-Type: {media}", f"Content-Length: {size}"]
-    return "\r\n".join(lines) + _END + body + _END
+def _record(kind: str, name: str, headers: list[tuple[str, str]], body: bytes, media: str, date: str) -> bytes:
+    """One record, as a gzip member of its own, so that a reader can begin at any record."""
+    lines = [_VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", *(f"{k}: {v}" for k, v in headers), f"Content-Type: {media}", f"Content-Length: {len(body)}"]
+    return gzip.compress("\r\n".join(lines).encode() + _END + body + _END, 6, mtime=0)
+
+
+def _fields(facts: dict) -> bytes:
+    return "".join(f"{k}: {v}\r\n" for k, v in facts.items()).encode()
 
 
 def _header(value: str) -> str:
@@ -46,41 +52,56 @@ def _plain(value: str) -> str:
     return out.decode()
 
 
+def _named(digest: str) -> str:
+    """The identifier of a record that others refer to, which follows from its page's id and payload."""
+    return f"urn:uuid:{uuid.UUID(digest)}"
+
+
 def _volumes(date: str):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        new = lambda: f"urn:uuid:{uuid.uuid4()}"
+
+        def out() -> pa.RecordBatch:
+            about = _record("warcinfo", new(), [], _fields({"software": "rasterloom", "format": "WARC File Format 1.1"}), "application/warc-fields", date)
+            return pa.RecordBatch.from_arrays([pa.array([b"".join([about, *held])], pa.binary())], ["value"])
+
         for batch in batches:
-            for page_id, url, page, refers, digest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                target, page = "urn:none:" if url is None else _header(url), page or ""
-                names = [f"urn:uuid:{uuid.uuid4()}" for _ in range(3)]
-                host = target.split("/")[2] if target.count("/") > 1 else ""
-                with_capture = [("WARC-Concurrent-To", f"<{names[0]}>")]
-                payload = [("WARC-Payload-Digest", f"sha256:{digest}")]
-                if refers is None:
-                    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(page.encode())}{_END}{page}"
-                    held.append(_record("response", names[0], target, payload, body, "application/http;msgtype=response", date))
+            for page_id, url, page, first, sole, name, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                target, page = "urn:none:" if url is None else _header(url), (page or "").encode()
+                own, host = new(), target.split("/")[2] if target.count("/") > 1 else ""
+                payload = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}")]
+                facts = {"page-id": "" if page_id is None else page_id, "payload-bytes": len(page), "has-url": int(url is not None)}
+                if first is None or first == page_id:
+                    own = _named(name) if sole else own
+                    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(page)}".encode() + _END + page
+                    held.append(_record("response", own, payload, body, "application/http;msgtype=response", date))
                 else:
-                    more = [*payload, ("WARC-Profile", _REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}>")]
-                    held.append(_record("revisit", names[0], target, more, f"HTTP/1.1 200 OK{_END}", "application/http;msgtype=response", date))
-                held.append(_record("request", names[1], target, with_capture, f"GET {target} HTTP/1.1\r\nHost: {host}{_END}", "application/http;msgtype=request", date))
-                facts = {"page-id": "" if page_id is None else page_id, "payload-bytes": len(page.encode()), "has-url": int(url is not None)}
-                held.append(_record("metadata", names[2], target, with_capture, "".join(f"{k}: {v}\r\n" for k, v in facts.items()), "application/warc-fields", date))
+                    # where several rows are that page, no single record is meant, and the metadata alone names the page
+                    refers = [("WARC-Refers-To", f"<{_named(name)}>")] if sole else []
+                    facts["refers-to-page"] = first
+                    held.append(_record("revisit", own, [*payload, ("WARC-Profile", _REVISIT_PROFILE), *refers], b"HTTP/1.1 200 OK" + _END, "application/http;msgtype=response", date))
+                with_capture = [("WARC-Target-URI", target), ("WARC-Concurrent-To", f"<{own}>")]
+                held.append(_record("request", new(), with_capture, f"GET {target} HTTP/1.1\r\nHost: {host}".encode() + _END, "application/http;msgtype=request", date))
+                held.append(_record("metadata", new(), with_capture, _fields(facts), "application/warc-fields", date))
                 size += sum(map(len, held[-3:]))
                 if size >= VOLUME_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(["".join(held)[:-2]], pa.string())], ["value"])
+                    yield out()
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(["".join(held)[:-2]], pa.string())], ["value"])
+            yield out()
 
     return fn
 
 
 def write(pages: DataFrame, path: str, *, id_col="page_id", url_col="url", html_col="html", date: str = "2020-01-01T00:00:00Z") -> None:
-    """Write a request, a response or revisit, and a metadata record for every row of pages into gzipped WARC volumes
-    in the folder `path`, through Spark's own text writer, so any file system that Spark writes will do.
+    """Write a request, a response or revisit, and a metadata record for every row of pages into WARC volumes in the folder
+    `path`, through Spark's own text writer, so any file system that Spark writes will do. A volume begins with a warcinfo record, and
+    each record is a gzip member of its own; the writer ends a volume by one zero byte, which gzip readers take as padding.
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of at least LEAST_REVISIT bytes, those with the
-    smallest id are responses and the others revisits of that id; shorter ones and those without an id are all responses.
+    smallest id are responses and the others revisits of that id; shorter ones and those without an id are all responses. A revisit
+    refers to its response by record id. If several rows have that smallest id, it refers to none, and its metadata to the page.
     Ids of equal payloads meet as digests, the smallest first within each task, so a payload that a third of all pages share costs
     no more than any other. The html itself moves once, dealt by row.
     """
@@ -88,18 +109,46 @@ def write(pages: DataFrame, path: str, *, id_col="page_id", url_col="url", html_
     page = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     digest = F.sha2(page, 256)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), page.alias("html"), digest.alias("digest"))
-    marked = rows.select("page_id", "digest").where((F.octet_length("html") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
-    first = marked.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").select("digest", "first")
-    # (id, digest) of revisits: the pages join them by id, which spreads the copies of one payload
-    revisits = marked.join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
-    joined = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "first", "digest")
-    volumes = joined.mapInArrow(_volumes(date), "value string")
-    volumes.write.option("maxRecordsPerFile", 1).option("lineSep", "\r\n").option("compression", "gzip").mode("overwrite").text(path)
+    marked = rows.select("page_id", "digest").where((F.octet_length("html") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    first = marked.groupBy("digest").agg(F.min(F.struct("page_id", "n")).alias("m"), F.max("page_id").alias("last")).where("m.page_id <> last")
+    first = first.select("digest", F.col("m.page_id").alias("first"), (F.col("m.n") == 1).alias("sole"), F.md5(F.concat_ws("|", "m.page_id", "digest").cast("binary")).alias("name"))
+    # (id, digest) of responses that are referred to and of revisits: the pages join them by id too, which spreads the copies of one payload
+    roles = marked.join(first, "digest").select("page_id", "digest", "first", "sole", "name")
+    joined = rows.join(roles, ["page_id", "digest"], "left").select("page_id", "url", "html", "first", "sole", "name", "digest")
+    volumes = joined.mapInArrow(_volumes(date), "value binary").select(F.col("value").cast("string"))  # the bytes as they are
+    volumes.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").mode("overwrite").text(path)
 
 
 _CAPTURE = "record_id string, concurrent_to string, kind string, target string, headers map<string,string>, payload binary, payload_bytes long, payload_digest string"
 
 
+def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and body of each record of an archive, read one after another."""
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line.strip(b"\0"):
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError("a WARC record doesn't begin where the one before it ends")
+        headers: dict[str, str] = {}
+        key = None
+        while (line := stream.readline()).rstrip(b"\r\n"):
+            text = line.decode().rstrip("\r\n")
+            if text[0] in " \t" and key:  # a header goes on
+                headers[key] += " " + text.strip()
+            else:
+                key, _, value = text.partition(":")
+                headers[key] = value.strip()
+        names = {k.lower(): k for k in headers}
+        size = int(headers[names["content-length"]])
+        body = stream.read(size)
+        if len(body) != size or stream.readline().strip():
+            raise ValueError("a WARC record's length is wrong")
+        yield headers, body
+
+
 def _parse(keep_payload: bool):
     names = ["record_id", "concurrent_to", "kind", "target", "headers", "payload", "payload_bytes", "payload_digest"]
     types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
@@ -110,36 +159,29 @@ def _parse(keep_payload: bool):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = zlib.decompressobj(47).decompress(data) if data[:2] == b"\x1f\x8b" else data
-                at, rows = 0, []
-                while at < len(data):
-                    end = data.index(b"\r\n\r\n", at)
-                    lines = data[at:end].decode().split("\r\n")
-                    if not lines[0].startswith("WARC/"):
-                        raise ValueError("a WARC record doesn't begin where the one before it ends")
-                    headers = dict(x.split(": ", 1) for x in lines[1:])
-                    begin = end + 4
-                    stop = begin + int(headers["Content-Length"])
-                    if data[stop : stop + 4] != b"\r\n\r\n":
-                        raise ValueError("a WARC record's length is wrong")
-                    body, at = data[begin:stop], stop + 4
+                data = io.BytesIO(content.as_py())
+                stream = io.BufferedReader(gzip.GzipFile(fileobj=data)) if data.getvalue()[:2] == b"\x1f\x8b" else data  # all members, one after another
+                rows, size = [], 0
+                for headers, body in records(stream):
                     kind, payload, digest = headers["WARC-Type"], None, None
+                    stated = headers.get("WARC-Payload-Digest", "")
                     if kind == "response":
-                        payload = body[body.index(b"\r\n\r\n") + 4 :]
+                        payload = body[body.index(_END) + 4 :] if _END in body else b""
                         digest = hashlib.sha256(payload).hexdigest()
-                        if headers.get("WARC-Payload-Digest") != f"sha256:{digest}":
+                        if stated.startswith("sha256:") and stated != f"sha256:{digest}":
                             raise ValueError("a payload doesn't have its digest")
                     elif kind == "revisit":
-                        digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                    else:
-                        facts = body.decode().split("\r\n")
+                        digest = stated.removeprefix("sha256:") or None
+                    elif kind in ("metadata", "request"):
+                        facts = body.decode(errors="replace").split("\r\n")
                         headers |= dict(x.split(": ", 1) for x in facts if ": " in x) if kind == "metadata" else {"request": facts[0]}
-                    size = None if payload is None else len(payload)
-                    rows.append((headers["WARC-Record-ID"][1:-1], headers.get("WARC-Concurrent-To", "<>")[1:-1] or None, kind, _plain(headers["WARC-Target-URI"]), list(headers.items()), payload if keep_payload else None, size, digest))
-                    if len(rows) >= 1000 or sum(len(r[5] or b"") for r in rows[-1:]) > 1_000_000:
+                    else:
+                        continue
+                    rows.append((headers["WARC-Record-ID"][1:-1], headers.get("WARC-Concurrent-To", "<>")[1:-1] or None, kind, _plain(headers.get("WARC-Target-URI", "")), list(headers.items()), payload if keep_payload else None, None if payload is None else len(payload), digest))
+                    size += len(body) if keep_payload else 500
+                    if len(rows) >= 1000 or size > 4_000_000:
                         yield batch_of(rows)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield batch_of(rows)
 
@@ -149,32 +191,34 @@ def _parse(keep_payload: bool):
 def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """One nested row for each capture in the archives under `path`: capture_id, url, request, response and metadata.
 
-    Records are found by their stated lengths within whole volumes, each of VOLUME_BYTES or one record; lengths and payload digests are verified.
+    Archives may be plain, gzipped as a whole or record by record. Records are found by their stated lengths, one after another; lengths,
+    and payload digests in SHA-256, are verified. A volume is read by one task; those written here have VOLUME_BYTES or one record.
     Requests and metadata join the response or revisit that their WARC-Concurrent-To names, by hash of that identifier,
     which is unique to a capture, so no group holds more than its few records. A capture without a request or metadata has nulls there; records that name
     no capture of the archives are left out. An empty folder gives an empty table.
     """
     # lines are never split: a volume is one value of the binary reader
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    records = files.mapInArrow(_parse(payloads), _CAPTURE)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("content")
+    found = files.mapInArrow(_parse(payloads), _CAPTURE)
     main = F.col("kind").isin("response", "revisit")
     answer = F.max(F.when(main, F.struct("kind", "target", F.element_at("headers", "WARC-Refers-To").alias("refers_to"), "payload", "payload_bytes", "payload_digest")))
     asked = F.max(F.when(F.col("kind") == "request", F.struct("record_id", F.element_at("headers", "request").alias("line"))))
     fact = lambda k: F.element_at("headers", k)
-    facts = F.max(F.when(F.col("kind") == "metadata", F.struct("record_id", fact("page-id").alias("page_id"), fact("payload-bytes").alias("payload_bytes"), fact("has-url").alias("has_url"))))
-    grouped = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(answer.alias("response"), asked.alias("request"), facts.alias("metadata")).where("response is not null")
-    return grouped.select("capture_id", F.when(F.col("metadata.has_url") != "0", F.col("response.target")).alias("url"), "request", "response", "metadata")
+    facts = F.max(F.when(F.col("kind") == "metadata", F.struct("record_id", fact("page-id").alias("page_id"), fact("payload-bytes").alias("payload_bytes"), fact("has-url").alias("has_url"), fact("refers-to-page").alias("refers_to_page"))))
+    grouped = found.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(answer.alias("response"), asked.alias("request"), facts.alias("metadata")).where("response is not null")
+    return grouped.select("capture_id", F.when(F.coalesce(F.col("metadata.has_url"), F.lit("1")) != "0", F.col("response.target")).alias("url"), "request", "response", "metadata")
 
 
 def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    found = read(spark, path, payloads=False)
-    number = F.when(F.col("metadata.page_id") != "", F.col("metadata.page_id").cast("long"))
-    return found.select(
-        number.alias("page_id"), F.coalesce("response.payload_bytes", F.col("metadata.payload_bytes").cast("long")).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.kind").alias("record_type"), F.regexp_extract("response.refers_to", r"<urn:page:(-?\d+)>", 1).cast("long").alias("refers_to"),
-    )
+    found = materialise(read(spark, path, payloads=False).select(
+        "capture_id", F.when(F.col("metadata.page_id") != "", F.col("metadata.page_id").cast("long")).alias("page_id"), F.coalesce("response.payload_bytes", F.col("metadata.payload_bytes").cast("long")).alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.regexp_extract("response.refers_to", "<(.*)>", 1).alias("refers"), F.col("metadata.refers_to_page").cast("long").alias("page"),
+    ))
+    # the record that a revisit refers to, by its identifier
+    meant = found.where("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("meant"))
+    return found.join(meant, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.coalesce("meant", "page")).alias("refers_to"))
 
 
 ORACLE = """

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that operators use inside, as columns of a table that aren't theirs to read.
-CLASH = "id, key, chunk, kind, bucket, size, target, taken, fp, component, low, text_hash, score, label, features, other, k, hashes, row, first, n, data, shard".split(", ")
+CLASH = "id, key, chunk, kind, bucket, size, target, taken, fp, component, low, text_hash, score, label, features, other, k, hashes, row, first, n, data, shard, __none, __i, __h, __pipeline, no_id, own_id".split(", ")
 
 
 @pytest.fixture(scope="session")

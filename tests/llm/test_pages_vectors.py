@@ -1,5 +1,6 @@
 """Operators on pages and vectors against brute force, and on odd rows."""
 
+import gzip
 import hashlib
 
 import numpy as np
@@ -70,20 +71,42 @@ def test_very_long_page(spark):
 def test_warc(spark, tmp_path):
     long, short = "<p>" + "é%\r\n\r\nWARC/1.1\r\n" * 20, "<p>short"
     data = [(3, "http://a.org/x y", long), (1, "http://a.org/%20", long), (2, None, long), (4, "u", short), (5, "u", short), (6, "u\r\nWARC-Type: x", None), (None, "http://n.org", long), (1, "http://b.org", long), (7, "v", "x" * 200), (7, "v", "x" * 200), (8, "w", "y" * 99), (9, "w", "y" * 99)]
+    data += [(i, f"http://m.org/{k}", "z" * 300) for i, k in ((21, 0), (20, 1), (22, 2))]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({c: F.lit(0) for c in ("digest", "first", "kind", "target", "headers", "value")}).repartition(3)
     op10_warc.write(pages, f"file://{tmp_path}/w")
     found = op10_warc.read(spark, f"file://{tmp_path}/w").collect()
     number = lambda r: int(r.metadata.page_id) if r.metadata.page_id else None
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     assert sorted(((number(r), r.url, r.response.payload_digest) for r in found), key=repr) == sorted(((i, u, sha(t)) for i, u, t in data), key=repr)
-    kinds = sorted(((number(r), r.response.kind, r.response.refers_to) for r in found), key=repr)
-    want = [(1, "response", None)] * 2 + [(2, "revisit", "<urn:page:1>"), (3, "revisit", "<urn:page:1>")] + [(i, "response", None) for i in (4, 5, 6, 7, 7, 8, 9, None)]
-    assert kinds == sorted(want, key=repr)
+    kinds = sorted(((number(r), r.response.kind, r.response.refers_to, r.metadata.refers_to_page) for r in found), key=repr)
+    lead = [f"<{r.capture_id}>" for r in found if r.url == "http://m.org/1"]
+    want = [(1, "response", None, None)] * 2 + [(2, "revisit", None, "1"), (3, "revisit", None, "1")] + [(i, "response", None, None) for i in (4, 5, 6, 7, 7, 8, 9, None, 20)] + [(i, "revisit", *lead, "20") for i in (21, 22)]
+    assert len(lead) == 1 and kinds == sorted(want, key=repr)
     texts = {sha(t): (t or "").encode() for _, _, t in data}
     assert all(bytes(r.response.payload) == texts[r.response.payload_digest] for r in found if r.response.kind == "response")
     assert all(r.request.line.startswith("GET ") and int(r.metadata.payload_bytes) == len(texts[r.response.payload_digest]) for r in found)
 
 
+@pytest.mark.parametrize("packed", ["plain", "whole", "records"])
+def test_warc_of_others(spark, tmp_path, packed):
+    """An archive as other tools write it: with warcinfo, other record types and headers that go on over lines."""
+    def record(kind, name, body, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", *more, f"Content-Length: {len(body)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    all_records = [
+        record("warcinfo", "0", b"software: other\r\n"), record("request", "1", b"GET /a HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <urn:uuid:2>", "WARC-Target-URI: http://a/"),
+        record("response", "2", http + b"<p>one", "WARC-Target-URI: http://a/", "X-Long: begins", "  and goes on", "WARC-Payload-Digest: sha1:ABC"), record("resource", "3", b"x", "WARC-Target-URI: http://r/"),
+        record("response", "4", http, "WARC-Target-URI:http://b/"), record("revisit", "5", b"", "WARC-Target-URI: http://c/", "WARC-Refers-To: <urn:uuid:2>"),
+    ]
+    data = {"plain": b"".join(all_records), "whole": gzip.compress(b"".join(all_records)), "records": b"".join(map(gzip.compress, all_records))}[packed]
+    (tmp_path / "crawl-1.warc.gz").write_bytes(data)
+    found = {r.capture_id[-1]: r for r in op10_warc.read(spark, f"file://{tmp_path}").collect()}
+    assert {k: (r.url, r.response.kind, r.response.payload and bytes(r.response.payload)) for k, r in found.items()} == {"2": ("http://a/", "response", b"<p>one"), "4": ("http://b/", "response", b""), "5": ("http://c/", "revisit", None)}
+    assert found["2"].request.line == "GET /a HTTP/1.1" and found["4"].request is None and found["5"].response.refers_to == "<urn:uuid:2>"
+
+
 def test_warc_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     op10_warc.write(pages, f"file://{tmp_path}/w")
