@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import op1_substring, op2_bpe, op4_quality, op6_simhash, op8_mixing
-from rasterloom.llm.common import materialise
+from rasterloom.llm.common import materialise, own_names
 
 #: Documents with a lower score go.
 LEAST_QUALITY = 0.3
@@ -20,7 +20,8 @@ _OWN = "__pipeline"
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it is fitted on the labels of sf_dir."""
     model = op4_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op4_quality.score(docs, model, keys=docs.columns, out=_OWN).where(F.col(_OWN) >= LEAST_QUALITY).drop(_OWN)
+    (score,) = own_names(docs, _OWN)
+    return op4_quality.score(docs, model, keys=docs.columns, out=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
