@@ -34,7 +34,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 #: What Spark's setting for bytes in an Arrow batch is by default, and what texts and pages go to Python in.
-_DEFAULT_BATCH, TEXT_BATCH = 64 << 20, 8 << 20
+_DEFAULT_BATCH, TEXT_BATCH = 64 << 20, 4 << 20
 
 
 def text_batches(spark: SparkSession) -> None:

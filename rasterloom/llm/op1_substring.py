@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from rasterloom.llm.common import partitions, slices, string_bytes, tidy, window_hashes, word_bounds, word_hashes
 
 #: Words of text hashed at once within a task, in bytes.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 #: Bytes of text in a chunk, at least and at most. Chunks grow with the root of all text up to the most, since a row travels for each
 #: chunk and bucket that have anything in common: so rows stay few and full, and a task's memory is bounded by the most.
 LEAST_CHUNK, MOST_CHUNK = 4_000_000, 128_000_000

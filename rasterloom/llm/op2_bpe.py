@@ -84,7 +84,7 @@ def _rows(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)]
 
 
-def _split(buckets: int):
+def _split(buckets: int, chunk_bytes: int):
     def chunk(ids: np.ndarray, none: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
         table: defaultdict[bytes, int] = defaultdict(count().__next__)
         raw, offsets = string_bytes(texts)
@@ -121,10 +121,10 @@ def _split(buckets: int):
         for batch in batches:
             ids, none, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
             _, offsets = string_bytes(texts)
-            for a, b in slices(offsets, CHUNK_BYTES):
+            for a, b in slices(offsets, chunk_bytes):
                 held.append((ids[a:b], none[a:b], texts[a:b].cast(pa.large_string())))
                 size += int(offsets[b] - offsets[a])
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield out()
                     held, size = [], 0
                     give_back()
@@ -214,14 +214,15 @@ def _assemble(path: str, decoded: bool):
     return fn
 
 
-def encode(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text", decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text", decoded: bool = False, chunk_bytes: int | None = None) -> DataFrame:
     """id and ids (array<int>) of every row of docs, and if decoded the text that decode() gives of the ids, as the tokenizer file at `path` encodes its whole text without
     adding special tokens.
 
     Holds for tokenizers that drop white space and never join two words, so that a text's ids are those of its
     white-space words in turn; special tokens written in a text are found inside words just so. Tasks split texts,
     number each chunk's distinct words and send documents as those numbers; each distinct word is encoded once in its
-    hash bucket, and its ids join the chunks' numbers again by position. A frequent word travels once a chunk.
+    hash bucket, and its ids join the chunks' numbers again by position. A frequent word travels once a chunk. chunk_bytes:
+    text of a chunk, if not CHUNK_BYTES; smaller chunks take less memory and send more words.
 
     The file is read on every executor at the same path. Null and empty texts have no ids. Repeated rows and ids stay
     rows of their own, null ids stay null; empty tables give empty results; other columns aren't read.
@@ -229,7 +230,7 @@ def encode(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text", deco
     text_batches(docs.sparkSession)
     n = BUCKETS * partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = rows.mapInArrow(_split(n), _ROW).repartition("chunk")
+    chunks = rows.mapInArrow(_split(n, chunk_bytes or CHUNK_BYTES), _ROW).repartition("chunk")
     answers = chunks.mapInArrow(_only_words, _ROW).groupBy("bucket").applyInArrow(_released(_encode(path)), _ROW)
     found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_released(_assemble(path, decoded)), "id long, no_id boolean, ids array<int>" + ", text string" * decoded)
     return found.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "ids", *["text"] * decoded)

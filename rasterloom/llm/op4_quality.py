@@ -21,7 +21,7 @@ FIT_ROWS = 8_000
 FACTORS = 8
 EPOCHS = 12
 #: Bytes of text handled at once within a task.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 #: What is counted of a text's bytes: a share of all its bytes each.
 _CLASSES = (
