@@ -13,6 +13,8 @@ from rasterloom.llm.common import materialise, own_names
 
 #: Documents with a lower score go.
 LEAST_QUALITY = 0.3
+#: Text of a chunk in the last stage: its tasks hold the texts that they decode, beside what the stages before left with the executors.
+CHUNK_BYTES = 6_000_000
 #: The name of a column of this module's own.
 _OWN = "__pipeline"
 
@@ -46,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and the text they decode to."""
-    found = op2_bpe.encode(docs, op2_bpe.word_file(), decoded=True)
+    found = op2_bpe.encode(docs, op2_bpe.word_file(), decoded=True, chunk_bytes=CHUNK_BYTES)
     return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("text").alias("decoded"))
 
 
