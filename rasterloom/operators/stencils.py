@@ -37,31 +37,30 @@ def peaks(px: DataFrame, value: str, k: int, out: str, plateau: float | None = N
     return rows.withColumn(out, top).drop("_h", "_l")
 
 
-def _mirror(at: Column, size: Column) -> Column:
-    return F.when(at < 0, -at).when(at >= size, 2 * (size - 1) - at).otherwise(at)
+def _extended(at: str, size: str, reach: int) -> Column:
+    """A pixel's places along an axis that goes on by `reach` mirrored pixels at both ends: its own, near an end another one too."""
+    x, last = F.col(at), F.col(size) - 1
+    places = F.array(x, F.when((x > 0) & (x <= reach), -x), F.when((x < last) & (x >= last - reach), 2 * last - x))
+    return F.filter(places, lambda p: p.isNotNull())
 
 
 def stencils(px: DataFrame, outputs: dict[str, tuple[str, dict[tuple[int, int], float]]]) -> DataFrame:
     """img, yy, xx and for each output the weighted sum of one column's neighbours at (dy, dx), mirrored at the edges.
 
-    The transposed sum: each pixel adds to the places that see it, and edges see inner pixels a second time. All outputs share one
-    shuffle.
+    The transposed sum: pixels near an edge get a mirrored copy outside, and each adds to the places that see it, which combines
+    before the shuffle. All outputs share one shuffle.
     """
     size = px.groupBy("img").agg((F.max("yy") + 1).alias("_h"), (F.max("xx") + 1).alias("_w"))  # a row an image
     columns = {v: f"_v{i}" for i, v in enumerate(dict.fromkeys(v for v, _ in outputs.values()))}
+    offsets = list(dict.fromkeys(o for _, weights in outputs.values() for o in weights))
+    ry, rx = (max(abs(o[i]) for o in offsets) for i in (0, 1))
     rows = px.select("img", "yy", "xx", *(F.col(v).cast("double").alias(n) for v, n in columns.items())).join(size, "img")
-    spots = []
-    for dy, dx in dict.fromkeys(o for _, weights in outputs.values() for o in weights):
-        # the places whose neighbour at (dy, dx) is this pixel: straight, and through a mirror on each axis
-        ys = [F.col("yy") - dy] + ([-F.col("yy") - dy, 2 * (F.col("_h") - 1) - F.col("yy") - dy] if dy else [])
-        xs = [F.col("xx") - dx] + ([-F.col("xx") - dx, 2 * (F.col("_w") - 1) - F.col("xx") - dx] if dx else [])
-        w = F.array(*(F.lit(float(weights.get((dy, dx), 0))) for _, weights in outputs.values()))
-        spots += [F.struct(y.alias("y"), x.alias("x"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), w.alias("w")) for y in ys for x in xs]
-    s = rows.withColumn("_s", F.explode(F.array_distinct(F.array(*spots)))).select("img", "yy", "xx", "_h", "_w", *columns.values(), "_s.*")
+    rows = rows.withColumn("_y", F.explode(_extended("yy", "_h", ry))).withColumn("_x", F.explode(_extended("xx", "_w", rx)))
+    spots = [F.struct((F.col("_y") - dy).alias("y"), (F.col("_x") - dx).alias("x"), F.array(*(F.lit(float(weights.get((dy, dx), 0))) for _, weights in outputs.values())).alias("w")) for dy, dx in offsets]
+    s = rows.select("img", "_h", "_w", *columns.values(), F.explode(F.array(*spots)).alias("_s")).select("img", "_h", "_w", *columns.values(), "_s.*")
     inside = (F.col("y") >= 0) & (F.col("y") < F.col("_h")) & (F.col("x") >= 0) & (F.col("x") < F.col("_w"))
-    sees = (_mirror(F.col("y") + F.col("dy"), F.col("_h")) == F.col("yy")) & (_mirror(F.col("x") + F.col("dx"), F.col("_w")) == F.col("xx"))
     sums = [F.sum(F.col(columns[v]) * F.col("w")[i]).alias(out) for i, (out, (v, _)) in enumerate(outputs.items())]
-    return s.where(inside & sees).groupBy("img", F.col("y").alias("yy"), F.col("x").alias("xx")).agg(*sums)
+    return s.where(inside).groupBy("img", F.col("y").alias("yy"), F.col("x").alias("xx")).agg(*sums)
 
 
 def stencil(px: DataFrame, value: str, weights: dict[tuple[int, int], float], out: str) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import inference as I
 from rasterloom.operators import publishing as P
-from rasterloom.plans.registry import Registry, table
-from rasterloom.sources.synthetic import HEIGHT, MASK, PTS, PX, WIDTH, masks, pixels, points
+from rasterloom.plans.registry import Registry
+from rasterloom.sources.synthetic import HEIGHT, MASK, PTS, PX, SQUARE, WIDTH, images, masks, pixels, points, squares
 
 query = Registry()
 _HALF = "20037508.342789244::DOUBLE"
@@ -50,23 +50,20 @@ def tile_overlays(spark, sf_dir):
     return P.overlay(P.tiles_at(points(spark, sf_dir), range(2, 6)))
 
 
-@query("height_fallback", f"WITH {PX}, e AS (SELECT img, min(v) AS l, max(v) AS h FROM px WHERE img % 2 = 0 GROUP BY img) SELECT img, yy, xx, ((v - l) * 255 // (h - l))::INTEGER AS height, 'surface' AS source FROM px JOIN e USING (img) WHERE img < 6 UNION ALL SELECT img, yy, xx, floor(v / 256.0 * 255)::INTEGER, 'relief' FROM px WHERE img % 2 = 1 AND img < 6")
-def height_fallback(spark, sf_dir, rows="img < 6"):
+@query("height_fallback", f"WITH {PX}, e AS (SELECT img, min(v) AS l, max(v) AS h FROM px WHERE img % 2 = 0 GROUP BY img) SELECT img, yy, xx, ((v - l) * 255 // (h - l))::INTEGER AS height, 'surface' AS source FROM px JOIN e USING (img) UNION ALL SELECT img, yy, xx, floor(v / 256.0 * 255)::INTEGER, 'relief' FROM px WHERE img % 2 = 1")
+def height_fallback(spark, sf_dir):
     px = pixels(spark, sf_dir)
     relief = px.select("img", "yy", "xx", (F.col("v") / 256.0 * 100).alias("pct"))
-    return P.heights(px.where("img % 2 = 0"), relief, px.where(rows).select("img"))
-
-
-query.whole("height_fallback", " WHERE img < 6", " AND img < 6")
+    return P.heights(px.where("img % 2 = 0"), relief, px.select("img"))
 
 
 _TURN = "CASE o WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} WHEN 4 THEN {4} WHEN 5 THEN {5} WHEN 6 THEN {6} ELSE {7} END"
 _DRAW = "(('0x' || substr(md5('{seed}:{epoch}:' || img), 1, 8))::BIGINT % {n})"
 
 
-@query("augment_turn", f"WITH {PX}, o AS (SELECT img, yy, xx, v, {_DRAW.format(seed=3, epoch=2, n=8)} AS o FROM px WHERE xx < 48) SELECT img, {_TURN.format('yy', '47 - xx', '47 - yy', 'xx', 'yy', '47 - xx', '47 - yy', 'xx')} AS yy, {_TURN.format('xx', 'yy', '47 - xx', '47 - yy', '47 - xx', '47 - yy', 'xx', 'yy')} AS xx, v FROM o")
+@query("augment_turn", f"WITH {SQUARE}, o AS (SELECT img, yy, xx, v, {_DRAW.format(seed=3, epoch=2, n=8)} AS o FROM px) SELECT img, {_TURN.format('yy', '47 - xx', '47 - yy', 'xx', 'yy', '47 - xx', '47 - yy', 'xx')} AS yy, {_TURN.format('xx', 'yy', '47 - xx', '47 - yy', '47 - xx', '47 - yy', 'xx', 'yy')} AS xx, v FROM o")
 def augment_turn(spark, sf_dir):
-    return I.turned(pixels(spark, sf_dir).where("xx < 48"), 48, 3, 2)
+    return I.turned(squares(spark, sf_dir), 48, 3, 2)
 
 
 @query("augment_crop", f"WITH {PX}, d AS (SELECT img, v, yy - {_DRAW.format(seed=3, epoch=2, n=9)} AS yy, xx - {_DRAW.format(seed=4, epoch=2, n=9)} AS xx FROM px) SELECT img, yy, xx, v FROM d WHERE yy BETWEEN 0 AND 31 AND xx BETWEEN 0 AND 39")
@@ -87,6 +84,6 @@ def multi_scale(spark, sf_dir):
 
 @query("super_tiles", f"WITH {PX} SELECT img, ((yy + 6) // 20)::INTEGER AS ty, ((xx + 8) // 20)::INTEGER AS tx, count(*) AS n, sum(v)::BIGINT AS total, max(yy - greatest(((yy + 6) // 20) * 20 - 6, 0))::BIGINT AS last_y, max(xx - greatest(((xx + 8) // 20) * 20 - 8, 0))::BIGINT AS last_x FROM px GROUP BY ALL")
 def super_tiles(spark, sf_dir):
-    images = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("img"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"))
-    rows = I.by_super_tile(pixels(spark, sf_dir), images, 20)
+    sizes = images(spark, sf_dir).select("img", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"))
+    rows = I.by_super_tile(pixels(spark, sf_dir), sizes, 20)
     return rows.groupBy("img", "ty", "tx").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("iy").alias("last_y"), F.max("ix").alias("last_x"))

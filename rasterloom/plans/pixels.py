@@ -36,9 +36,9 @@ def onehot(spark, sf_dir):
     return hot.groupBy("img").agg(*(F.sum(F.col("p")[i]).alias(n) for i, n in enumerate(("c0", "c1", "bg"))))
 
 
-@query("regr_decode", f"WITH {PX} SELECT img, yy, xx, round(v / 255.0::DOUBLE, 6) AS p FROM px WHERE yy = 7")
-def regr_decode(spark, sf_dir, rows="yy = 7"):
-    return rounded(pixels(spark, sf_dir).where(rows).select("img", "yy", "xx", P.fraction(F.col("v")).alias("p")), "p")
+@query("regr_decode", f"WITH {PX} SELECT img, yy, xx, round(v / 255.0::DOUBLE, 6) AS p FROM px")
+def regr_decode(spark, sf_dir):
+    return rounded(pixels(spark, sf_dir).select("img", "yy", "xx", P.fraction(F.col("v")).alias("p")), "p")
 
 
 @query("argmax", "SELECT vec_id, list_position(embedding, list_max(embedding))::BIGINT - 1 AS cls FROM embeddings")
@@ -63,46 +63,46 @@ def clip(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", P.within(F.col("value") - 50).alias("p"))
 
 
-@query("band_project", f"WITH {PX} SELECT img, yy, xx, [(v + 2) % 256, (v + 1) % 256, v] AS bgr, [255 - v, 255 - (v + 1) % 256, 255 - (v + 2) % 256, 9] AS inv, [v, v, v] AS grey FROM px WHERE yy = 3")
-def band_project(spark, sf_dir, rows="yy = 3"):
+@query("band_project", f"WITH {PX} SELECT img, yy, xx, [(v + 2) % 256, (v + 1) % 256, v] AS bgr, [255 - v, 255 - (v + 1) % 256, 255 - (v + 2) % 256, 9] AS inv, [v, v, v] AS grey FROM px")
+def band_project(spark, sf_dir):
     v = F.col("v")
-    px = pixels(spark, sf_dir).where(rows).withColumn("bands", F.array(v, (v + 1) % 256, (v + 2) % 256, F.lit(9).cast("long")))
+    px = pixels(spark, sf_dir).withColumn("bands", F.array(v, (v + 1) % 256, (v + 2) % 256, F.lit(9).cast("long")))
     inverted = P.on_colours(F.col("bands"), lambda b: F.transform(b, lambda x: 255 - x))
     return px.select("img", "yy", "xx", P.colours(F.col("bands")).alias("bgr"), inverted.alias("inv"), P.repeated(v).alias("grey"))
 
 
-@query("mean_field", f"WITH {PX} SELECT img, yy, xx, (v / 255.0 + (255 - v) / 510.0) / 2 AS p FROM px WHERE yy < 4")
-def mean_field(spark, sf_dir, rows="yy < 4"):
-    px = pixels(spark, sf_dir).where(rows)
+@query("mean_field", f"WITH {PX} SELECT img, yy, xx, (v / 255.0 + (255 - v) / 510.0) / 2 AS p FROM px")
+def mean_field(spark, sf_dir):
+    px = pixels(spark, sf_dir)
     a, b = (px.select("img", "yy", "xx", p.alias("p")) for p in (F.col("v") / 255.0, (255 - F.col("v")) / 510.0))
     return P.mean_field([a, b], ["img", "yy", "xx"], "p")
 
 
-@query("region_norm", f"WITH {PX}, t AS (SELECT *, max(v) OVER (PARTITION BY img, v // 32) AS top FROM px) SELECT img, yy, xx, round(v / top, 6) AS share FROM t WHERE yy = 5")
-def region_norm(spark, sf_dir, rows="yy = 5"):
+@query("region_norm", f"WITH {PX}, t AS (SELECT *, max(v) OVER (PARTITION BY img, v // 32) AS top FROM px) SELECT img, yy, xx, round(v / top, 6) AS share FROM t")
+def region_norm(spark, sf_dir):
     px = pixels(spark, sf_dir).withColumn("label", F.floor(F.col("v") / 32))
-    return rounded(P.region_share(px, ["img", "label"], "v").where(rows).select("img", "yy", "xx", "share"), "share")
+    return rounded(P.region_share(px, ["img", "label"], "v").select("img", "yy", "xx", "share"), "share")
 
 
-@query("percentile_stretch", f"WITH {PX}, e AS (SELECT img, quantile_cont(v, 0.02) AS l, quantile_cont(v, 0.98) AS h FROM px GROUP BY img) SELECT img, yy, xx, round(greatest(0, least(1, (v - l) / (h - l))), 6) AS stretched FROM px JOIN e USING (img) WHERE yy = 6")
-def percentile_stretch(spark, sf_dir, rows="yy = 6"):
-    return rounded(P.percentile_stretch(pixels(spark, sf_dir), "v").where(rows).select("img", "yy", "xx", "stretched"), "stretched")
+@query("percentile_stretch", f"WITH {PX}, e AS (SELECT img, quantile_cont(v, 0.02) AS l, quantile_cont(v, 0.98) AS h FROM px GROUP BY img) SELECT img, yy, xx, round(greatest(0, least(1, (v - l) / (h - l))), 6) AS stretched FROM px JOIN e USING (img)")
+def percentile_stretch(spark, sf_dir):
+    return rounded(P.percentile_stretch(pixels(spark, sf_dir), "v").select("img", "yy", "xx", "stretched"), "stretched")
 
 
-@query("minmax_stretch", f"WITH {PX}, e AS (SELECT img, min(v) AS l, max(v) AS h FROM px WHERE xx < 40 GROUP BY img) SELECT img, yy, xx, ((v - l) * 255 // (h - l))::BIGINT AS stretched FROM px JOIN e USING (img) WHERE xx < 40")
-def minmax_stretch(spark, sf_dir, rows="xx < 40"):
-    return P.range_stretch(pixels(spark, sf_dir).where(rows), "v").select("img", "yy", "xx", F.col("stretched").cast("bigint").alias("stretched"))
+@query("minmax_stretch", f"WITH {PX}, e AS (SELECT img, min(v) AS l, max(v) AS h FROM px GROUP BY img) SELECT img, yy, xx, ((v - l) * 255 // (h - l))::BIGINT AS stretched FROM px JOIN e USING (img)")
+def minmax_stretch(spark, sf_dir):
+    return P.range_stretch(pixels(spark, sf_dir), "v").select("img", "yy", "xx", F.col("stretched").cast("bigint").alias("stretched"))
 
 
-@query("standardise", f"WITH {PX}, e AS (SELECT img, avg(v) AS m, stddev_pop(v) AS s FROM px GROUP BY img) SELECT img, yy, xx, round(greatest(0, least(255, (v - m) / s * 33 + 136)), 6) AS standardised FROM px JOIN e USING (img) WHERE yy = 9")
-def standardise(spark, sf_dir, rows="yy = 9"):
-    return rounded(P.standardised(pixels(spark, sf_dir), "v").where(rows).select("img", "yy", "xx", "standardised"), "standardised")
+@query("standardise", f"WITH {PX}, e AS (SELECT img, avg(v) AS m, stddev_pop(v) AS s FROM px GROUP BY img) SELECT img, yy, xx, round(greatest(0, least(255, (v - m) / s * 33 + 136)), 6) AS standardised FROM px JOIN e USING (img)")
+def standardise(spark, sf_dir):
+    return rounded(P.standardised(pixels(spark, sf_dir), "v").select("img", "yy", "xx", "standardised"), "standardised")
 
 
-@query("standard_bands", f"WITH {PX} SELECT img, yy, xx, round((v - 100) / 50.0, 6) AS b0, round((v - 110) / 60.0, 6) AS b1 FROM px WHERE yy = 2")
-def standard_bands(spark, sf_dir, rows="yy = 2"):
+@query("standard_bands", f"WITH {PX} SELECT img, yy, xx, round((v - 100) / 50.0, 6) AS b0, round((v - 110) / 60.0, 6) AS b1 FROM px")
+def standard_bands(spark, sf_dir):
     z = P.standard_bands(F.array("v", "v"), [100.0, 110.0], [50.0, 60.0])
-    return rounded(pixels(spark, sf_dir).where(rows).select("img", "yy", "xx", z[0].alias("b0"), z[1].alias("b1")), "b0", "b1")
+    return rounded(pixels(spark, sf_dir).select("img", "yy", "xx", z[0].alias("b0"), z[1].alias("b1")), "b0", "b1")
 
 
 _OTSU = "h AS (SELECT img, v, count(*) AS n FROM px GROUP BY img, v), c AS (SELECT img, v, sum(n) OVER u AS n0, sum(n * v) OVER u AS s0, sum(n) OVER (PARTITION BY img) AS n1, sum(n * v) OVER (PARTITION BY img) AS s1 FROM h WINDOW u AS (PARTITION BY img ORDER BY v)), s AS (SELECT img, v, round(n0 / n1 * ((n1 - n0) / n1) * pow(s0 / n0 - (s1 - s0) / (n1 - n0), 2), 3) AS score FROM c WHERE n1 > n0)"
@@ -119,7 +119,7 @@ def sanity_stats(spark, sf_dir):
 
 
 _HSV = """
-c AS (SELECT img, yy, xx, v / 255.0::DOUBLE AS r, ((v * 3 + 40) % 256) / 255.0::DOUBLE AS g, ((v * 5 + 90) % 256) / 255.0::DOUBLE AS b FROM px WHERE yy = 11),
+c AS (SELECT img, yy, xx, v / 255.0::DOUBLE AS r, ((v * 3 + 40) % 256) / 255.0::DOUBLE AS g, ((v * 5 + 90) % 256) / 255.0::DOUBLE AS b FROM px),
 h AS (SELECT *, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS ch FROM c),
 a AS (SELECT *, CASE WHEN ch = 0 THEN 0 WHEN mx = r THEN (g - b) / ch WHEN mx = g THEN (b - r) / ch + 2 ELSE (r - g) / ch + 4 END AS h0 FROM h),
 s AS (SELECT *, ((floor(round((((h0 % 6) + 6) % 6) * 30, 6) + 0.5) + 20) % 180) / 30.0 AS hh, least(255, greatest(0, floor(round(CASE WHEN mx = 0 THEN 0 ELSE ch / mx END * 255, 6) + 0.5) + 30)) / 255.0 AS ss, least(255, greatest(0, floor(round(mx * 255, 6) + 0.5) - 10)) / 255.0 AS vv FROM a),
@@ -129,38 +129,38 @@ SELECT img, yy, xx, floor(round((vv - vv * ss * greatest(0, least(1, k5, 4 - k5)
 
 
 @query("hsv_shift", f"WITH {PX}, {_HSV}")
-def hsv_shift(spark, sf_dir, rows="yy = 11"):
+def hsv_shift(spark, sf_dir):
     v = F.col("v")
-    px = pixels(spark, sf_dir).where(rows).withColumn("c", P.hue_shift(v, (v * 3 + 40) % 256, (v * 5 + 90) % 256, 20, 30, -10))
+    px = pixels(spark, sf_dir).withColumn("c", P.hue_shift(v, (v * 3 + 40) % 256, (v * 5 + 90) % 256, 20, 30, -10))
     return px.select("img", "yy", "xx", *(F.col("c")[i].alias(n) for i, n in enumerate("rgb")))
 
 
-@query("brightness", f"WITH {PX}, m AS (SELECT img, avg(v) AS m FROM px GROUP BY img) SELECT img, yy, xx, trunc(least(255, greatest(0, v * 1.25 + m * 0.5)))::INTEGER AS bright FROM px JOIN m USING (img) WHERE yy = 12")
-def brightness(spark, sf_dir, rows="yy = 12"):
-    return P.brightened(pixels(spark, sf_dir), "v", 1.25, 0.5).where(rows).select("img", "yy", "xx", "bright")
+@query("brightness", f"WITH {PX}, m AS (SELECT img, avg(v) AS m FROM px GROUP BY img) SELECT img, yy, xx, trunc(least(255, greatest(0, v * 1.25 + m * 0.5)))::INTEGER AS bright FROM px JOIN m USING (img)")
+def brightness(spark, sf_dir):
+    return P.brightened(pixels(spark, sf_dir), "v", 1.25, 0.5).select("img", "yy", "xx", "bright")
 
 
-@query("brightness_by_max", f"WITH {PX} SELECT img, yy, xx, trunc(least(255, greatest(0, v * 0.75 + 51)))::INTEGER AS bright FROM px WHERE yy = 13")
-def brightness_by_max(spark, sf_dir, rows="yy = 13"):
-    return P.brightened(pixels(spark, sf_dir).where(rows), "v", 0.75, 0.2, False).select("img", "yy", "xx", "bright")
+@query("brightness_by_max", f"WITH {PX} SELECT img, yy, xx, trunc(least(255, greatest(0, v * 0.75 + 51)))::INTEGER AS bright FROM px")
+def brightness_by_max(spark, sf_dir):
+    return P.brightened(pixels(spark, sf_dir), "v", 0.75, 0.2, False).select("img", "yy", "xx", "bright")
 
 
-@query("gamma", f"WITH {PX} SELECT img, yy, xx, trunc(pow(v / 255.0::DOUBLE, 0.8) * 255.0)::INTEGER AS g FROM px WHERE yy = 14")
-def gamma(spark, sf_dir, rows="yy = 14"):
-    return pixels(spark, sf_dir).where(rows).select("img", "yy", "xx", P.gamma(F.col("v"), 0.8).alias("g"))
+@query("gamma", f"WITH {PX} SELECT img, yy, xx, trunc(pow(v / 255.0::DOUBLE, 0.8) * 255.0)::INTEGER AS g FROM px")
+def gamma(spark, sf_dir):
+    return pixels(spark, sf_dir).select("img", "yy", "xx", P.gamma(F.col("v"), 0.8).alias("g"))
 
 
-@query("lut_height", f"WITH {PX} SELECT img, yy, xx, CASE WHEN v <= 100 THEN round(v / 2.0, 6) WHEN v <= 200 THEN round(50 + (v - 100) / 2.0, 6) END AS pct FROM px WHERE yy = 15")
-def lut_height(spark, sf_dir, rows="yy = 15"):
+@query("lut_height", f"WITH {PX} SELECT img, yy, xx, CASE WHEN v <= 100 THEN round(v / 2.0, 6) WHEN v <= 200 THEN round(50 + (v - 100) / 2.0, 6) END AS pct FROM px")
+def lut_height(spark, sf_dir):
     palette = spark.createDataFrame([(0.0, 0, 0, 0), (50.0, 100, 0, 0), (100.0, 200, 0, 0)], "pct double, r int, g int, b int")
-    px = pixels(spark, sf_dir).where(rows).select("img", "yy", "xx", F.col("v").alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+    px = pixels(spark, sf_dir).select("img", "yy", "xx", F.col("v").alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
     return rounded(P.height_lookup(px, palette).select("img", "yy", "xx", "pct"), "pct")
 
 
-@query("pack_rgb", f"WITH {PX} SELECT img, yy, xx, v * 65536 + ((v * 3) % 256) * 256 + (v * 5) % 256 AS rgb, (v * 3) % 256 AS g FROM px WHERE yy = 16")
-def pack_rgb(spark, sf_dir, rows="yy = 16"):
+@query("pack_rgb", f"WITH {PX} SELECT img, yy, xx, v * 65536 + ((v * 3) % 256) * 256 + (v * 5) % 256 AS rgb, (v * 3) % 256 AS g FROM px")
+def pack_rgb(spark, sf_dir):
     v = F.col("v")
-    px = pixels(spark, sf_dir).where(rows).withColumn("rgb", P.packed(v, (v * 3) % 256, (v * 5) % 256))
+    px = pixels(spark, sf_dir).withColumn("rgb", P.packed(v, (v * 3) % 256, (v * 5) % 256))
     return px.select("img", "yy", "xx", F.col("rgb").cast("bigint").alias("rgb"), P.unpacked(F.col("rgb"))[1].cast("bigint").alias("g"))
 
 
@@ -170,30 +170,13 @@ def mask_ops(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy("img").agg(F.count_if(a | b).alias("either"), F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("less"))
 
 
-@query("mask_bag_union", f"WITH {MASK} SELECT mv, count(*) AS n FROM (SELECT mv FROM mask WHERE img < 5 UNION ALL SELECT mv FROM mask WHERE img < 3) GROUP BY mv")
+@query("mask_bag_union", f"WITH {MASK} SELECT mv, count(*) AS n FROM (SELECT mv FROM mask UNION ALL SELECT mv FROM mask) GROUP BY mv")
 def mask_bag_union(spark, sf_dir):
     m = masks(spark, sf_dir)
-    return m.where("img < 5").unionByName(m.where("img < 3")).groupBy("mv").agg(F.count("*").alias("n"))
+    return m.unionByName(m).groupBy("mv").agg(F.count("*").alias("n"))
 
 
 @query("shadow", f"WITH {PX} SELECT img, yy, xx, CASE WHEN xx BETWEEN 5 AND 40 AND yy BETWEEN 5 AND xx THEN floor(v * 0.5)::BIGINT ELSE v END AS shaded FROM px")
 def shadow(spark, sf_dir):
     rows = P.shadowed(pixels(spark, sf_dir), [(5, 5), (40, 5), (40, 40)])
     return rows.select("img", "yy", "xx", F.col("shaded").cast("bigint").alias("shaded"))
-
-
-#: The queries above that return some rows of pixels of each image, and the condition of each in SQL.
-_ROWS = {
-    "regr_decode": 7, "band_project": 3, "region_norm": 5, "percentile_stretch": 6, "standardise": 9, "standard_bands": 2,
-    "hsv_shift": 11, "brightness": 12, "brightness_by_max": 13, "gamma": 14, "lut_height": 15, "pack_rgb": 16,
-}
-for _name, _yy in _ROWS.items():
-    query.whole(_name, f" WHERE yy = {_yy}")
-query.whole("mean_field", " WHERE yy < 4")
-query.whole("minmax_stretch", " WHERE xx < 40")
-
-
-@query("mask_bag_union_whole", f"WITH {MASK} SELECT mv, count(*) AS n FROM (SELECT mv FROM mask UNION ALL SELECT mv FROM mask) GROUP BY mv")
-def mask_bag_union_whole(spark, sf_dir):
-    m = masks(spark, sf_dir)
-    return m.unionByName(m).groupBy("mv").agg(F.count("*").alias("n"))

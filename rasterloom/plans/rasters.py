@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators import stencils as N
 from rasterloom.operators import tiling as T
 from rasterloom.plans.registry import Registry, table
-from rasterloom.sources.synthetic import HEIGHT, PX, WIDTH, pixels
+from rasterloom.sources.synthetic import HEIGHT, PX, SQUARE, WIDTH, pixels, squares
 
 query = Registry()
 
@@ -71,20 +71,18 @@ def overlap_model(spark, sf_dir):
     return rounded(T.blend(pixels(spark, sf_dir), HEIGHT, WIDTH, 16, model=lambda rows: rows.withColumn("v", F.col("v") * 0.5 + 3)), "v")
 
 
-@query("reflect_pad", f"WITH {PX} SELECT i.range - 5 AS place, v FROM range(58) i JOIN px ON px.yy = CASE WHEN i.range - 5 < 0 THEN 5 - i.range WHEN i.range - 5 >= 48 THEN 94 - (i.range - 5) ELSE i.range - 5 END WHERE img = 1 AND xx = 2")
+@query("reflect_pad", f"WITH {PX} SELECT img, i.range - 5 AS place, xx, v FROM range(58) i JOIN px ON px.yy = CASE WHEN i.range - 5 < 0 THEN 5 - i.range WHEN i.range - 5 >= 48 THEN 94 - (i.range - 5) ELSE i.range - 5 END")
 def reflect_pad(spark, sf_dir):
-    px = pixels(spark, sf_dir).where("img = 1 and xx = 2")
     places = spark.range(58).select((F.col("id") - 5).alias("place"), T.reflected(F.col("id") - 5, HEIGHT).alias("yy"))
-    return places.join(px, "yy").select("place", "v")
+    return places.join(pixels(spark, sf_dir), "yy").select("img", "place", "xx", "v")
 
 
-@query("d4_mean", f"""WITH {PX}, q AS (SELECT * FROM px WHERE xx < 48),
-o AS (SELECT img, yy, xx, v, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS o FROM q),
+@query("d4_mean", f"""WITH {SQUARE},
+o AS (SELECT img, yy, xx, v, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS o FROM px),
 p AS (SELECT img, o, yy, xx, CASE o % 4 WHEN 0 THEN yy WHEN 1 THEN 47 - xx WHEN 2 THEN 47 - yy ELSE xx END AS ty, v FROM o)
 SELECT img, yy, xx, round(avg(v + ty), 6) AS v FROM p GROUP BY ALL""")
 def d4_mean(spark, sf_dir):
-    square = pixels(spark, sf_dir).where("xx < 48")
-    return rounded(T.orientation_mean(square, 48, "v", lambda rows: rows.withColumn("v", F.col("v") + F.col("yy"))), "v")
+    return rounded(T.orientation_mean(squares(spark, sf_dir), 48, "v", lambda rows: rows.withColumn("v", F.col("v") + F.col("yy"))), "v")
 
 
 @query("shrink_average", f"WITH {PX} SELECT img, yy // 2 AS yy, xx // 2 AS xx, avg(v) AS v FROM px GROUP BY ALL")
@@ -97,10 +95,10 @@ def overview(spark, sf_dir):
     return rounded(T.pyramid(pixels(spark, sf_dir), 3), "v")
 
 
-@query("overview_tiles", "WITH t AS (SELECT DISTINCT 6 AS z, c_custkey % 64 AS tx, (c_custkey * 7) % 64 AS ty FROM customer WHERE c_custkey % 3 = 0), a AS (SELECT z, tx, ty, 0 AS children FROM t), b AS (SELECT z - 1 AS z, tx // 2 AS tx, ty // 2 AS ty, count(*) AS children FROM t GROUP BY ALL), c AS (SELECT z - 1 AS z, tx // 2 AS tx, ty // 2 AS ty, count(*) AS children FROM b GROUP BY ALL) SELECT z, tx, ty, children::BIGINT AS children FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)")
-def overview_tiles(spark, sf_dir, rows="c_custkey % 3 = 0"):
+@query("overview_tiles", "WITH t AS (SELECT DISTINCT 6 AS z, c_custkey % 64 AS tx, (c_custkey * 7) % 64 AS ty FROM customer), a AS (SELECT z, tx, ty, 0 AS children FROM t), b AS (SELECT z - 1 AS z, tx // 2 AS tx, ty // 2 AS ty, count(*) AS children FROM t GROUP BY ALL), c AS (SELECT z - 1 AS z, tx // 2 AS tx, ty // 2 AS ty, count(*) AS children FROM b GROUP BY ALL) SELECT z, tx, ty, children::BIGINT AS children FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)")
+def overview_tiles(spark, sf_dir):
     k = F.col("c_custkey")
-    tiles = table(spark, sf_dir, "customer").where(rows).select(F.lit(6).alias("z"), (k % 64).alias("tx"), ((k * 7) % 64).alias("ty"))
+    tiles = table(spark, sf_dir, "customer").select(F.lit(6).alias("z"), (k % 64).alias("tx"), ((k * 7) % 64).alias("ty"))
     return T.overview_tiles(tiles, 2)
 
 
@@ -146,9 +144,9 @@ def opening(spark, sf_dir):
     return N.opened(pixels(spark, sf_dir), "v", 3, "opened").select("img", "yy", "xx", "opened")
 
 
-@query("nms", f"WITH {PX}, p AS (SELECT a.img, a.yy, a.xx, a.v, max(b.v) AS h, min(b.v) AS l FROM px a JOIN px b ON a.img = b.img AND b.yy BETWEEN a.yy - 2 AND a.yy + 2 AND b.xx BETWEEN a.xx - 2 AND a.xx + 2 WHERE a.img < 4 GROUP BY ALL) SELECT img, yy, xx, v = h AND v - l > 20 AS peak FROM p")
-def nms(spark, sf_dir, rows="img < 4"):
-    return N.peaks(pixels(spark, sf_dir).where(rows), "v", 5, "peak", 20).select("img", "yy", "xx", "peak")
+@query("nms", f"WITH {PX}, p AS (SELECT a.img, a.yy, a.xx, a.v, max(b.v) AS h, min(b.v) AS l FROM px a JOIN px b ON a.img = b.img AND b.yy BETWEEN a.yy - 2 AND a.yy + 2 AND b.xx BETWEEN a.xx - 2 AND a.xx + 2 GROUP BY ALL) SELECT img, yy, xx, v = h AND v - l > 20 AS peak FROM p")
+def nms(spark, sf_dir):
+    return N.peaks(pixels(spark, sf_dir), "v", 5, "peak", 20).select("img", "yy", "xx", "peak")
 
 
 def _mirrored(weights, out, source="px", value="v", name="k"):
@@ -158,53 +156,40 @@ def _mirrored(weights, out, source="px", value="v", name="k"):
     return f"{name}w(dy, dx, w) AS (VALUES {rows}), {name} AS (SELECT a.img, a.yy, a.xx, sum(b.{value} * {name}w.w) AS {out} FROM {source} a CROSS JOIN {name}w JOIN {source} b ON b.img = a.img AND b.yy = {m(f'a.yy + {name}w.dy', 48)} AND b.xx = {m(f'a.xx + {name}w.dx', 64)} GROUP BY ALL)"
 
 
-_SMALL = PX + ", p AS (SELECT * FROM px WHERE img < 4)"
-
-
-@query("laplacian", f"WITH {_SMALL}, {_mirrored(N.LAPLACIAN, 'lap', 'p')} SELECT img, yy, xx, lap::DOUBLE AS lap FROM k")
-def laplacian(spark, sf_dir, rows="img < 4"):
-    return N.laplacian(pixels(spark, sf_dir).where(rows), "v")
 
 
-@query("box_blur", f"WITH {_SMALL}, {_mirrored({p: 1 for p in N.BOX}, 'b', 'p')} SELECT img, yy, xx, round(b / 9.0, 6) AS blur FROM k")
-def box_blur(spark, sf_dir, rows="img < 4"):
-    return rounded(N.blurred(pixels(spark, sf_dir).where(rows), "v"), "blur")
 
+@query("laplacian", f"WITH {PX}, {_mirrored(N.LAPLACIAN, 'lap')} SELECT img, yy, xx, lap::DOUBLE AS lap FROM k")
+def laplacian(spark, sf_dir):
+    return N.laplacian(pixels(spark, sf_dir), "v")
 
-@query("zero_cross", f"WITH {_SMALL}, {_mirrored(N.LAPLACIAN, 'lap', 'p')}, e AS (SELECT a.img, a.yy, a.xx, a.lap, max(b.lap) AS h, min(b.lap) AS l FROM k a JOIN k b ON a.img = b.img AND b.yy BETWEEN a.yy - 1 AND a.yy + 1 AND b.xx BETWEEN a.xx - 1 AND a.xx + 1 GROUP BY ALL) SELECT img, yy, xx, (lap > 0 AND l < 0) OR (lap < 0 AND h > 0) AS crossing FROM e")
-def zero_cross(spark, sf_dir, rows="img < 4"):
-    return N.zero_crossing(pixels(spark, sf_dir).where(rows), "v")
 
+@query("box_blur", f"WITH {PX}, {_mirrored({p: 1 for p in N.BOX}, 'b')} SELECT img, yy, xx, round(b / 9.0, 6) AS blur FROM k")
+def box_blur(spark, sf_dir):
+    return rounded(N.blurred(pixels(spark, sf_dir), "v"), "blur")
 
-_GRAD = f"{_mirrored(N.SCHARR_X, 'g', 'p', name='sx')}, {_mirrored(N.SCHARR_Y, 'g', 'p', name='sy')}, g AS (SELECT img, yy, xx, floor(sx.g / 32)::BIGINT AS gx, floor(sy.g / 32)::BIGINT AS gy FROM sx JOIN sy USING (img, yy, xx))"
 
+@query("zero_cross", f"WITH {PX}, {_mirrored(N.LAPLACIAN, 'lap')}, e AS (SELECT a.img, a.yy, a.xx, a.lap, max(b.lap) AS h, min(b.lap) AS l FROM k a JOIN k b ON a.img = b.img AND b.yy BETWEEN a.yy - 1 AND a.yy + 1 AND b.xx BETWEEN a.xx - 1 AND a.xx + 1 GROUP BY ALL) SELECT img, yy, xx, (lap > 0 AND l < 0) OR (lap < 0 AND h > 0) AS crossing FROM e")
+def zero_cross(spark, sf_dir):
+    return N.zero_crossing(pixels(spark, sf_dir), "v")
 
-@query("scharr", f"WITH {_SMALL}, {_GRAD} SELECT img, yy, xx, gx, gy, round(sqrt(gx * gx + gy * gy), 6) AS magnitude FROM g")
-def scharr(spark, sf_dir, rows="img < 4"):
-    return rounded(N.gradient(pixels(spark, sf_dir).where(rows), "v"), "magnitude")
 
+_GRAD = f"{_mirrored(N.SCHARR_X, 'g', name='sx')}, {_mirrored(N.SCHARR_Y, 'g', name='sy')}, g AS (SELECT img, yy, xx, floor(sx.g / 32)::BIGINT AS gx, floor(sy.g / 32)::BIGINT AS gy FROM sx JOIN sy USING (img, yy, xx))"
 
-@query("gradient_8bit", f"WITH {_SMALL}, {_GRAD} SELECT img, yy, xx, least(255.0, (abs(gx) + abs(gy)) * 0.5) AS g FROM g")
-def gradient_8bit(spark, sf_dir, rows="img < 4"):
-    return N.gradient_8bit(pixels(spark, sf_dir).where(rows), "v")
 
+@query("scharr", f"WITH {PX}, {_GRAD} SELECT img, yy, xx, gx, gy, round(sqrt(gx * gx + gy * gy), 6) AS magnitude FROM g")
+def scharr(spark, sf_dir):
+    return rounded(N.gradient(pixels(spark, sf_dir), "v"), "magnitude")
 
-_ROCK = f"{_mirrored(N.SCHARR_X, 'g', 'g', 'gx', 'dx')}, {_mirrored(N.SCHARR_Y, 'g', 'g', 'gy', 'dy')}, {_mirrored({p: 1 for p in N.BOX}, 'b', 'p', name='bl')}"
 
+@query("gradient_8bit", f"WITH {PX}, {_GRAD} SELECT img, yy, xx, least(255.0, (abs(gx) + abs(gy)) * 0.5) AS g FROM g")
+def gradient_8bit(spark, sf_dir):
+    return N.gradient_8bit(pixels(spark, sf_dir), "v")
 
-@query("rock_mask", f"WITH {_SMALL}, {_GRAD}, {_ROCK} SELECT img, yy, xx, bl.b / 9.0 > 100 AND sqrt(gx * gx + gy * gy) < 40 AND floor(dx.g / 32) * 0.5 + floor(dy.g / 32) * 0.5 < 5 AS rock FROM bl JOIN g USING (img, yy, xx) JOIN dx USING (img, yy, xx) JOIN dy USING (img, yy, xx)")
-def rock_mask(spark, sf_dir, rows="img < 4"):
-    return N.rock_mask(pixels(spark, sf_dir).where(rows), "v", 5.0, 40.0, 100.0)
 
-
-@query("reflect_pad_whole", f"WITH {PX} SELECT img, i.range - 5 AS place, xx, v FROM range(58) i JOIN px ON px.yy = CASE WHEN i.range - 5 < 0 THEN 5 - i.range WHEN i.range - 5 >= 48 THEN 94 - (i.range - 5) ELSE i.range - 5 END")
-def reflect_pad_whole(spark, sf_dir):
-    places = spark.range(58).select((F.col("id") - 5).alias("place"), T.reflected(F.col("id") - 5, HEIGHT).alias("yy"))
-    return places.join(pixels(spark, sf_dir), "yy").select("img", "place", "xx", "v")
+_ROCK = f"{_mirrored(N.SCHARR_X, 'g', 'g', 'gx', 'dx')}, {_mirrored(N.SCHARR_Y, 'g', 'g', 'gy', 'dy')}, {_mirrored({p: 1 for p in N.BOX}, 'b', name='bl')}"
 
 
-# The queries above that read four images of all, or a third of the customers.
-query.whole("nms", " WHERE a.img < 4")
-query.whole("overview_tiles", " WHERE c_custkey % 3 = 0")
-for _name in ("laplacian", "box_blur", "zero_cross", "scharr", "gradient_8bit", "rock_mask"):
-    query.whole(_name, " WHERE img < 4")
+@query("rock_mask", f"WITH {PX}, {_GRAD}, {_ROCK} SELECT img, yy, xx, bl.b / 9.0 > 100 AND sqrt(gx * gx + gy * gy) < 40 AND floor(dx.g / 32) * 0.5 + floor(dy.g / 32) * 0.5 < 5 AS rock FROM bl JOIN g USING (img, yy, xx) JOIN dx USING (img, yy, xx) JOIN dy USING (img, yy, xx)")
+def rock_mask(spark, sf_dir):
+    return N.rock_mask(pixels(spark, sf_dir), "v", 5.0, 40.0, 100.0)

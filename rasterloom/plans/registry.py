@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,16 +21,6 @@ class Registry:
 
         return put
 
-    def whole(self, name: str, *cuts: str) -> None:
-        """Puts a query that takes rows, a condition, under name_whole too, for all rows. Its SQL is that of name without
-        cuts; without any it has none."""
-        sql = self.oracles[name] if cuts else None
-        for cut in cuts:
-            if cut not in sql:
-                raise ValueError(f"{name}: {cut} isn't in its SQL")
-            sql = sql.replace(cut, "")
-        self(f"{name}_whole", sql)(partial(self.queries[name], rows="true"))
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,10 +14,19 @@ def grid(images: DataFrame, height: int, width: int) -> DataFrame:
     return images.withColumn("yy", F.explode(to(height))).withColumn("xx", F.explode(to(width)))
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img: a row for each raster."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("int").alias("img"))
+
+
+def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img, yy, xx, v: a raster of HEIGHT by HEIGHT for each supplier."""
+    return grid(images(spark, sf_dir), HEIGHT, HEIGHT).withColumn("v", (F.col("xx") * 7 + F.col("yy") * 13 + F.col("img") * 31) % 256)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """img, yy, xx, v: an 8-bit raster for each nation."""
-    images = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("img"))
-    return grid(images, HEIGHT, WIDTH).withColumn("v", (F.col("xx") * 7 + F.col("yy") * 13 + F.col("img") * 31) % 256)
+    """img, yy, xx, v: an 8-bit raster for each supplier, so that pixels grow with the tables."""
+    return grid(images(spark, sf_dir), HEIGHT, WIDTH).withColumn("v", (F.col("xx") * 7 + F.col("yy") * 13 + F.col("img") * 31) % 256)
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +41,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same relations for the oracle.
-PX = "px AS (SELECT n_nationkey::INTEGER AS img, y.range AS yy, x.range AS xx, (x.range * 7 + y.range * 13 + n_nationkey * 31) % 256 AS v FROM nation, range(48) y, range(64) x)"
+PX = "px AS (SELECT s_suppkey::INTEGER AS img, y.range AS yy, x.range AS xx, (x.range * 7 + y.range * 13 + s_suppkey * 31) % 256 AS v FROM supplier, range(48) y, range(64) x)"
+SQUARE = PX.replace("range(64)", "range(48)")
 MASK = PX + ", mask AS (SELECT img, yy, xx, CASE WHEN v < 64 THEN 255 WHEN v < 96 THEN 254 ELSE 0 END AS mv FROM px)"
 PTS = "pts AS (SELECT c_custkey, (c_custkey * 37) % 360 - 180 + 0.5::DOUBLE AS lon, (c_custkey * 17) % 160 - 80 + 0.25::DOUBLE AS lat FROM customer)"

@@ -1,4 +1,4 @@
-"""Queries named _whole against brute force, and that they return every pixel of every image; test_queries has their SQL."""
+"""Raster queries against brute force, and that they return every pixel of every image; test_queries has their SQL."""
 
 import numpy as np
 import pytest
@@ -40,7 +40,7 @@ def distances_by_hand(inside):
 
 def test_components(spark, sf_dir, rasters):
     groups = {}
-    for r in catalog.QUERIES["components_whole"](spark, sf_dir).collect():
+    for r in catalog.QUERIES["components"](spark, sf_dir).collect():
         groups.setdefault((r.img, r.label), set()).add((r.yy, r.xx))
     want = {}
     for img, v in rasters.items():
@@ -52,11 +52,11 @@ def test_components(spark, sf_dir, rasters):
 
 def test_distances(spark, sf_dir, rasters):
     want = {img: distances_by_hand(v < 96) for img, v in rasters.items()}
-    found = catalog.QUERIES["distance_whole"](spark, sf_dir).collect()
+    found = catalog.QUERIES["distance"](spark, sf_dir).collect()
     assert len(found) == len(rasters) * HEIGHT * WIDTH and all(abs(r.d - want[r.img][r.yy, r.xx]) < 2e-6 for r in found)
 
 
 @pytest.mark.parametrize("name", ["watershed", "mask_to_distance", "laplacian", "nms", "regr_decode", "percentile_stretch", "hsv_shift", "minmax_stretch", "height_fallback"])
 def test_every_pixel(spark, sf_dir, rasters, name):
-    found = catalog.QUERIES[f"{name}_whole"](spark, sf_dir).select("img", "yy", "xx")
+    found = catalog.QUERIES[name](spark, sf_dir).select("img", "yy", "xx")
     assert found.distinct().count() == found.count() == len(rasters) * HEIGHT * WIDTH
