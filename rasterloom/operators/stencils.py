@@ -1,7 +1,7 @@
 """Neighbourhood operators over pixels (img, yy, xx, value).
 
 Square extremes and means are taken along rows and then along columns by windows, so a k x k neighbourhood costs 2k and
-two shuffles of img and a line. Signed stencils send each pixel to its neighbours and add up, which combines before the shuffle.
+two shuffles of img and a line. Signed stencils take their neighbours by the same windows.
 Outside an image morphology has no pixels; derivatives and blur mirror it at the edge.
 """
 
@@ -44,12 +44,30 @@ def _extended(at: str, size: str, reach: int) -> Column:
     return F.filter(places, lambda p: p.isNotNull())
 
 
+def _by_windows(px: DataFrame, outputs: dict[str, tuple[str, dict[tuple[int, int], float]]]) -> DataFrame:
+    columns = {v: f"_v{i}" for i, v in enumerate(dict.fromkeys(v for v, _ in outputs.values()))}
+    rows = px.select("img", "yy", "xx", *(F.col(v).cast("double").alias(n) for v, n in columns.items()))
+
+    def around(value: Column, line: str, by: str) -> list[Column]:
+        w = Window.partitionBy("img", line).orderBy(by)
+        before, after = F.lag(value).over(w), F.lead(value).over(w)
+        return [F.coalesce(before, after), value, F.coalesce(after, before)]
+
+    along = rows.select("img", "yy", "xx", F.struct(*(c.alias(f"{n}_{i}") for n in columns.values() for i, c in enumerate(around(F.col(n), "yy", "xx")))).alias("_s"))
+    found = along.select("img", "yy", "xx", *(c.alias(f"_l{i}") for i, c in enumerate(around(F.col("_s"), "xx", "yy"))))
+    at = lambda v, dy, dx: F.coalesce(F.col(f"_l{dy + 1}")[f"{columns[v]}_{dx + 1}"], F.lit(0.0))  # noqa: E731  # an image of one row or column has no neighbours there
+    total = lambda v, weights: sum((at(v, dy, dx) * float(w) for (dy, dx), w in weights.items()), F.lit(0.0))
+    return found.select("img", "yy", "xx", *(total(v, weights).alias(out) for out, (v, weights) in outputs.items()))
+
+
 def stencils(px: DataFrame, outputs: dict[str, tuple[str, dict[tuple[int, int], float]]]) -> DataFrame:
     """img, yy, xx and for each output the weighted sum of one column's neighbours at (dy, dx), mirrored at the edges.
 
-    The transposed sum: pixels near an edge get a mirrored copy outside, and each adds to the places that see it, which combines
-    before the shuffle. All outputs share one shuffle.
+    Neighbours one pixel away come by two windows, along rows and then along columns, whatever the number of outputs. For wider ones
+    pixels near an edge get a mirrored copy outside, and each pixel adds to the places that see it, which combines before the shuffle.
     """
+    if all(max(abs(dy), abs(dx)) <= 1 for _, weights in outputs.values() for dy, dx in weights):
+        return _by_windows(px, outputs)
     size = px.groupBy("img").agg((F.max("yy") + 1).alias("_h"), (F.max("xx") + 1).alias("_w"))  # a row an image
     columns = {v: f"_v{i}" for i, v in enumerate(dict.fromkeys(v for v, _ in outputs.values()))}
     offsets = list(dict.fromkeys(o for _, weights in outputs.values() for o in weights))

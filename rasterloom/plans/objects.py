@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators import annotations as A
 from rasterloom.operators import jsondiff, metrics
 from rasterloom.operators import regions as R
-from rasterloom.plans.registry import Registry, table
+from rasterloom.plans.registry import Registry, shared_folder, table
 from rasterloom.sources import files
 from rasterloom.sources.synthetic import PX, pixels
 from rasterloom.streaming import extrema
@@ -179,8 +179,7 @@ def running_extrema_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
     name = f"extrema_{uuid.uuid4().hex}"
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    return extrema.run_once(extrema.extrema(stream, "event_type", "value"), name, f"{folder}/{name}")
+    return extrema.run_once(extrema.extrema(stream, "event_type", "value"), name, f"{shared_folder(spark)}/{name}")
 
 
 @query("json_diff", "WITH e AS (SELECT event_id AS id, json_extract_string(props, '$.k') AS k FROM events) SELECT id, '/k' AS path, 'changed' AS change, k AS old_value, (k::INTEGER + 1)::VARCHAR AS new_value FROM e WHERE id % 3 = 1 UNION ALL SELECT id, '/k', 'removed', k, NULL FROM e WHERE id % 3 = 2 UNION ALL SELECT id, '/j', 'length', '1', '2' FROM e WHERE id % 3 = 2")

@@ -150,13 +150,12 @@ def nms(spark, sf_dir):
 
 
 def _mirrored(weights, out, source="px", value="v", name="k"):
-    """SQL of a stencil on `source`, mirrored at the edges of 48 x 64 pixels."""
+    """SQL of a 3 x 3 stencil on `source`, mirrored at the edges of 48 x 64 pixels: each pixel, and its copies just outside, add to what sees them."""
     rows = ", ".join(f"({dy}, {dx}, {w})" for (dy, dx), w in weights.items())
-    m = lambda e, n: f"CASE WHEN {e} < 0 THEN -({e}) WHEN {e} >= {n} THEN {2 * (n - 1)} - ({e}) ELSE {e} END"
-    return f"{name}w(dy, dx, w) AS (VALUES {rows}), {name} AS (SELECT a.img, a.yy, a.xx, sum(b.{value} * {name}w.w) AS {out} FROM {source} a CROSS JOIN {name}w JOIN {source} b ON b.img = a.img AND b.yy = {m(f'a.yy + {name}w.dy', 48)} AND b.xx = {m(f'a.xx + {name}w.dx', 64)} GROUP BY ALL)"
-
-
-
+    places = lambda at, n: f"unnest(list_filter([{at}, CASE {at} WHEN 1 THEN -1 END, CASE {at} WHEN {n - 2} THEN {n} END], lambda p: p IS NOT NULL))"
+    edge = f"{name}y AS (SELECT *, {places('yy', 48)} AS y FROM {source}), {name}x AS (SELECT *, {places('xx', 64)} AS x FROM {name}y)"
+    sums = f"SELECT img, y - dy AS yy, x - dx AS xx, sum({value} * w) AS {out} FROM {name}x, {name}w WHERE y - dy BETWEEN 0 AND 47 AND x - dx BETWEEN 0 AND 63 GROUP BY ALL"
+    return f"{name}w(dy, dx, w) AS (VALUES {rows}), {edge}, {name} AS ({sums})"
 
 
 @query("laplacian", f"WITH {PX}, {_mirrored(N.LAPLACIAN, 'lap')} SELECT img, yy, xx, lap::DOUBLE AS lap FROM k")

@@ -258,3 +258,22 @@ def test_events_by_window(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, m string, v double").parquet(f"{tmp_path}/in")
     found = extrema.run_once(extrema.by_window(stream, "ts", "1 minute", "5 minutes", "m", "v"), "windows", f"{tmp_path}/state", "append")
     assert [(r.m, r.lowest, r.highest, r.n) for r in found.collect()] == [("a", 1.0, 3.0, 2)]
+
+
+def test_wide_stencil(spark):
+    """Stencils of reach 1 and 2 against sums over a mirrored array."""
+    import numpy as np
+
+    from rasterloom.operators import stencils as N
+
+    rng = np.random.default_rng(5)
+    images = {k: rng.integers(0, 50, size) for k, size in enumerate(((6, 5), (3, 3), (4, 7)))}
+    df = spark.createDataFrame([(k, y, x, int(v)) for k, a in images.items() for (y, x), v in np.ndenumerate(a)], "img int, yy long, xx long, v long")
+    for reach in (1, 2):
+        weights = {(y, x): float(rng.integers(-4, 5)) for y in range(-reach, reach + 1) for x in range(-reach, reach + 1)}
+        found = {(r.img, r.yy, r.xx): (r.a, r.b) for r in N.stencils(df, {"a": ("v", weights), "b": ("v", N.SCHARR_X)}).collect()}
+        for k, a in images.items():
+            wide = np.pad(a, 2, mode="reflect")
+            for (y, x), _ in np.ndenumerate(a):
+                sums = [sum(w * wide[y + 2 + dy, x + 2 + dx] for (dy, dx), w in ws.items()) for ws in (weights, N.SCHARR_X)]
+                assert np.allclose(found[k, y, x], sums)
