@@ -27,14 +27,14 @@ def _rows(img: int, columns: dict[str, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"img": img, "yy": yy.ravel(), "xx": xx.ravel()} | {k: v.ravel() for k, v in columns.items()})
 
 
-def label_array(mask: np.ndarray) -> np.ndarray:
-    """Of each set pixel the smallest number (1 + its place) in its 8-connected region; 0 elsewhere."""
+def label_array(mask: np.ndarray, steps=_AROUND) -> np.ndarray:
+    """Of each set pixel the smallest number (1 + its place) in its region, connected by the eight steps or by those given; 0 elsewhere."""
     n = mask.size
     label = np.where(mask.ravel(), np.arange(1, n + 1), 0).reshape(mask.shape)
     while True:
         wide = np.pad(label, 1)
         near = np.where(mask, label, 0)
-        for dy, dx in _AROUND:
+        for dy, dx in steps:
             other = wide[1 + dy : 1 + dy + mask.shape[0], 1 + dx : 1 + dx + mask.shape[1]]
             near = np.where(mask & (other > 0), np.minimum(near, other), near)
         flat = np.concatenate([[0], near.ravel()])
@@ -124,13 +124,55 @@ def watershed(px: DataFrame, value: str, marker: str) -> DataFrame:
     return px.select("img", "yy", "xx", value, marker).groupBy("img").applyInPandas(one, "img int, yy long, xx long, basin long")
 
 
-def outline(mask: np.ndarray, y: int, x: int) -> list[tuple[int, int]]:
-    """The border of the region whose first pixel in reading order is (y, x), as (x, y), without points along straight lines."""
-    inside = lambda p, q: 0 <= p < mask.shape[0] and 0 <= q < mask.shape[1] and mask[p, q]
-    points, now, back, start = [(x, y)], (y, x), 4, None
+def flood_by_difference(value: np.ndarray, markers: np.ndarray) -> np.ndarray:
+    """Markers grown over 4-connected neighbours, the smallest step in value first and the longest waiting among equal ones. -1 where two
+    meet, and along the edge of the image, which no marker enters."""
+    out = np.pad(markers.astype(np.int64)[1:-1, 1:-1], 1, constant_values=-1)
+    if min(out.shape) < 3:
+        return np.full(markers.shape, -1, np.int64)
+    v = value.astype(np.int64)
+    steps = ((0, -1), (0, 1), (-1, 0), (1, 0))
+    waits, turn, heap = np.zeros(out.shape, bool), 0, []
+    for y, x in np.argwhere(out == 0):
+        gaps = [abs(int(v[y, x] - v[y + a, x + b])) for a, b in steps if out[y + a, x + b] > 0]
+        if gaps:
+            heapq.heappush(heap, (min(gaps), turn, int(y), int(x)))
+            waits[y, x], turn = True, turn + 1
+    while heap:
+        _, _, y, x = heapq.heappop(heap)
+        around = {int(out[y + a, x + b]) for a, b in steps if out[y + a, x + b] > 0}
+        out[y, x] = around.pop() if len(around) == 1 else -1
+        if out[y, x] < 0:
+            continue
+        for a, b in steps:
+            p, q = y + a, x + b
+            if out[p, q] == 0 and not waits[p, q]:
+                heapq.heappush(heap, (abs(int(v[y, x] - v[p, q])), turn, p, q))
+                waits[p, q], turn = True, turn + 1
+    return out
+
+
+def watershed_by_difference(px: DataFrame, value: str, marker: str) -> DataFrame:
+    """img, yy, xx and basin: each pixel's marker number, -1 on the lines between two and along the edge (R5 as rock instances use it)."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _rows(pdf["img"].iloc[0], {"basin": flood_by_difference(_array(pdf, value, np.int64), _array(pdf, marker, np.int64))})
+
+    return px.select("img", "yy", "xx", value, marker).groupBy("img").applyInPandas(one, "img int, yy long, xx long, basin long")
+
+
+def outline(label: np.ndarray, y: int, x: int, back: int = 4) -> list[tuple[int, int]]:
+    """The border of the region of pixel (y, x), which it goes around from there, as (x, y), without points along straight lines.
+
+    back: the direction, of _AROUND, in which the pixel has what lies beyond the border; west of a region's first pixel in reading order,
+    east of the pixel before a hole's first one.
+    """
+    k = label[y, x]
+    inside = lambda p, q: 0 <= p < label.shape[0] and 0 <= q < label.shape[1] and label[p, q] == k
+    points, now, start = [(x, y)], (y, x), None
     while True:
-        for k in range(1, 9):
-            d = (back + k) % 8
+        for i in range(1, 9):
+            d = (back + i) % 8
             step = (now[0] + _AROUND[d][0], now[1] + _AROUND[d][1])
             if inside(*step):
                 break
@@ -148,18 +190,58 @@ def outline(mask: np.ndarray, y: int, x: int) -> list[tuple[int, int]]:
     return [points[i] for i in range(n) if turn(i)] if n > 2 else points
 
 
+def _points(found: list[list[tuple[int, int]]]) -> pd.Series:
+    return pd.Series([[{"x": int(a), "y": int(b)} for a, b in p] for p in found], dtype=object)
+
+
 def contours(px: DataFrame, mask: str) -> DataFrame:
     """img, contour and points of the outer border of every region (R2), numbered by first pixel."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        array = _array(pdf, mask, bool)
-        label = label_array(array)
-        found = [(int(k), outline(label == k, *divmod(int(k) - 1, array.shape[1]))) for k in np.unique(label[label > 0])]
-        return pd.DataFrame({"img": [pdf["img"].iloc[0]] * len(found), "contour": [k for k, _ in found], "points": pd.Series([[{"x": int(a), "y": int(b)} for a, b in p] for _, p in found], dtype=object)})
+        label = label_array(_array(pdf, mask, bool))
+        found = [int(k) for k in np.unique(label[label > 0])]
+        return pd.DataFrame({"img": [pdf["img"].iloc[0]] * len(found), "contour": found, "points": _points([outline(label, *divmod(k - 1, label.shape[1])) for k in found])})
 
     return px.select("img", "yy", "xx", mask).groupBy("img").applyInPandas(one, "img int, contour long, points array<struct<x:int,y:int>>")
 
 
+_STRAIGHT = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+
+
+def borders(mask: np.ndarray) -> list[tuple[int, int, bool, list[tuple[int, int]]]]:
+    """number, parent's number (0 at the top), whether it is a hole, and points of every border. Set pixels are 8-connected, holes
+    4-connected; a border is numbered by its region's or hole's first pixel. A region's parent is the hole that it lies in, a hole's the region around it."""
+    wide = np.pad(mask, 1)
+    fore, rear = label_array(wide), label_array(~wide, _STRAIGHT)
+    h, w = mask.shape
+    own = lambda k: divmod(k - 1, w + 2)
+    number = lambda k: (own(k)[0] - 1) * w + own(k)[1]
+    out = []
+    for k in map(int, np.unique(fore[fore > 0])):
+        y, x = own(k)
+        around = int(rear[y, x - 1])  # what lies west of the first pixel is around the region
+        out.append((number(k), 0 if around == 1 else number(around), False, outline(fore, y, x)))
+    for k in map(int, np.unique(rear[rear > 1])):
+        y, x = own(k)
+        out.append((number(k), number(int(fore[y, x - 1])), True, outline(fore, y, x - 1, 0)))
+    return [(k, parent, hole, [(x - 1, y - 1) for x, y in points]) for k, parent, hole, points in sorted(out)]
+
+
+def contour_tree(px: DataFrame, mask: str, inverse: bool = False, least_points: int = 3) -> DataFrame:
+    """img, id, parent (null at the top), hole and points of all borders of a mask, or of its inverse (R2, tree mode).
+
+    Borders of fewer points are dropped, after the tree is known. inner_first then gives those that have a parent, leaves before the rest.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        array = _array(pdf, mask, bool)
+        found = [f for f in borders(~array if inverse else array) if len(f[3]) >= least_points]
+        parents = pd.array([f[1] or None for f in found], "Int64")
+        return pd.DataFrame({"img": [pdf["img"].iloc[0]] * len(found), "id": [f[0] for f in found], "parent": parents, "hole": [f[2] for f in found], "points": _points([f[3] for f in found])})
+
+    return px.select("img", "yy", "xx", mask).groupBy("img").applyInPandas(one, "img int, id long, parent long, hole boolean, points array<struct<x:int,y:int>>")
+
+
 def simplified(points: list[tuple[float, float]], most: float) -> list[tuple[float, float]]:
     """A closed outline without the points that lie within `most` of the line between those kept around them."""
     if len(points) < 4:
@@ -253,7 +335,7 @@ def joined_over_seams(labels: DataFrame, tile: int) -> DataFrame:
 
 
 def rock_instances(px: DataFrame, value: str, k: int = 5, cut: float = 0.5) -> DataFrame:
-    """img, yy, xx and rock: instances in a probability field (R6, R8). Foreground is what exceeds the cut, markers are the
+    """img, yy, xx and rock: instances in a probability field (R8). Foreground is what exceeds the cut, markers are the
     regions around peaks of a k x k square in it, and basins grow from them over falling probability."""
     from rasterloom.operators.stencils import extreme
 
@@ -265,8 +347,51 @@ def rock_instances(px: DataFrame, value: str, k: int = 5, cut: float = 0.5) -> D
 
 
 def merged_scales(fine: DataFrame, coarse: DataFrame) -> DataFrame:
-    """img, yy, xx, rock of two scales: large rocks of the coarse one stand, the fine one fills what they leave."""
+    """img, yy, xx, rock of two scales: large rocks of the coarse one stand, the fine one fills what they leave."""
     both = coarse.select("img", "yy", "xx", F.col("rock").alias("big")).join(fine.select("img", "yy", "xx", F.col("rock").alias("small")), ["img", "yy", "xx"], "left")
     hidden = both.where((F.col("big") > 0) & (F.col("small") > 0)).select("img", "small").distinct().withColumn("gone", F.lit(True))
     rows = both.join(hidden, ["img", "small"], "left")
     return rows.select("img", "yy", "xx", F.when(F.col("big") > 0, F.col("big")).when(F.col("gone").isNull() & (F.col("small") > 0), -F.col("small")).otherwise(0).alias("rock"))
+
+
+def _marked(rows: DataFrame, core: str, unknown) -> DataFrame:
+    """rows with _marker: 1 for background, higher numbers for the regions of core, 0 where unknown holds outside of them."""
+    found = rows.join(components(rows, core), ["img", "yy", "xx"], "left")
+    return found.withColumn("_marker", F.coalesce(F.col("label") + 1, F.when(unknown, 0).otherwise(1))).drop("label")
+
+
+def production_rocks(px: DataFrame, p: str) -> DataFrame:
+    """img, yy, xx, basin and probable of a field of probabilities from 0 to 1 (R6): basins grown from the cores of rock_cores.
+
+    basin: 1 for background, higher for each rock, -1 on lines between; probable: more than 0.3. What lies right outside a core is left
+    to the flood, everything else outside is background.
+    """
+    from rasterloom.operators.stencils import LAPLACIAN, SELF, extreme, rock_cores, stencils
+
+    field = px.select("img", "yy", "xx", F.floor(F.col(p) * 255).cast("int").alias("_f"))
+    cores = rock_cores(field, "_f").withColumn("_c", F.col("core").cast("int") * 255)
+    lap = extreme(stencils(cores, {"_lap": ("_c", LAPLACIAN), "_v": ("_c", SELF), "_f": ("_f", SELF)}), "_lap", 3, False, "_min")
+    rows = _marked(lap.withColumn("_core", F.col("_v") > 0), "_core", (F.col("_min") < 0) & (F.col("_lap") > 0))
+    basins = watershed_by_difference(rows, "_f", "_marker")
+    return basins.join(field, ["img", "yy", "xx"]).select("img", "yy", "xx", "basin", (F.col("_f") > 255 * 0.3).alias("probable"))
+
+
+def two_scale_rocks(fine: DataFrame, coarse: DataFrame, p: str) -> DataFrame:
+    """img, yy, xx and rock from the probabilities at two scales, both on the pixels of the fine one.
+
+    Cores are big rocks of either scale and the little ones of the fine scale that the coarse one doesn't touch; basins grow from them
+    within what either scale holds possible, more than 0.05.
+    """
+    from rasterloom.operators.stencils import rock_masks
+
+    whole = lambda rows, out: rows.select("img", "yy", "xx", F.floor(F.col(p) * 255).cast("int").alias(out))
+    a, b = whole(fine, "_a"), whole(coarse, "_b")
+    at = ["img", "yy", "xx"]
+    small = rock_masks(a, "_a").withColumnsRenamed({"little": "_la", "big": "_ba"})
+    large = rock_masks(b, "_b").select(*at, F.col("big").alias("_bb"))
+    rows = a.join(b, at).join(small, at).join(large, at)
+    possible = (F.col("_a") > 0.05 * 255) | (F.col("_b") > 0.05 * 255)
+    core = (F.col("_la") & (F.col("_b") <= 0.02 * 255)) | F.col("_ba") | F.col("_bb")
+    rows = rows.select(*at, core.alias("_core"), (possible.cast("int") * 255).alias("_p"))
+    basins = watershed_by_difference(_marked(rows, "_core", F.col("_p") > 0), "_p", "_marker")
+    return basins.select(*at, (F.col("basin") > 1).alias("rock"))

@@ -122,10 +122,14 @@ def gradient(px: DataFrame, value: str) -> DataFrame:
     return _slopes(stencils(px, {"gx": (value, SCHARR_X), "gy": (value, SCHARR_Y)}))
 
 
+def _size_8bit() -> Column:
+    """Half of each raw slope's size, every slope at most 255, to the nearest whole number, halves to the even one."""
+    return F.bround(F.least(F.lit(255.0), F.abs("gx")) * 0.5 + F.least(F.lit(255.0), F.abs("gy")) * 0.5)
+
+
 def gradient_8bit(px: DataFrame, value: str) -> DataFrame:
-    """img, yy, xx and g: half of both gradients' sizes, at most 255."""
-    g = gradient(px, value)
-    return g.select("img", "yy", "xx", F.least(F.lit(255.0), (F.abs("gx") + F.abs("gy")) * 0.5).alias("g"))
+    """img, yy, xx and g: half of both raw Scharr slopes' sizes as 8 bits."""
+    return stencils(px, {"gx": (value, SCHARR_X), "gy": (value, SCHARR_Y)}).select("img", "yy", "xx", _size_8bit().alias("g"))
 
 
 _DIVERGENCE = {"_x": ("gx", SCHARR_X), "_y": ("gy", SCHARR_Y)}
@@ -148,3 +152,30 @@ def rock_mask(px: DataFrame, value: str, glue: float, edge: float, least: float)
     first = _slopes(stencils(px, {"gx": (value, SCHARR_X), "gy": (value, SCHARR_Y), "_b": (value, BOX)}))
     rows = stencils(first, _DIVERGENCE | {"_m": ("magnitude", SELF), "_c": ("_b", SELF)})
     return rows.select("img", "yy", "xx", ((F.col("_c") > least) & (F.col("_m") < edge) & (_flow() < glue)).alias("rock"))
+
+
+def rock_masks(px: DataFrame, value: str, glue: float = 0.25) -> DataFrame:
+    """img, yy, xx, little and big of an 8-bit field (N8, both masks). The field is blurred to whole numbers first. big: no steep slope and
+    more probable than glue; little: hardly any slope, where slopes flow together, and not quite improbable.
+
+    Three passes over pixels; each carries along what the later ones need.
+    """
+    blur = stencils(px, {"_b": (value, BOX)}).withColumn("_b", F.floor(F.col("_b") + 0.5))
+    slopes = _slopes(stencils(blur, {"gx": ("_b", SCHARR_X), "gy": ("_b", SCHARR_Y), "_c": ("_b", SELF)})).withColumn("_g", F.floor("magnitude"))
+    rows = stencils(slopes, _DIVERGENCE | {"_m": ("_g", SELF), "_c": ("_c", SELF)})
+    big = (F.col("_m") < 0.1 * 255) & (F.col("_c") > glue * 255)
+    little = (F.bround(_flow()) <= -0.001 * 255) & (F.col("_c") > 0.02 * 255) & (F.col("_m") < 0.01 * 255)
+    return rows.select("img", "yy", "xx", little.alias("little"), big.alias("big"))
+
+
+def rock_cores(px: DataFrame, value: str) -> DataFrame:
+    """img, yy, xx, core and value of an 8-bit field: what exceeds the image's Otsu threshold, without the pixels where the Laplacian
+    changes its sign on a steep slope, opened by 3 x 3 (the mask of R6)."""
+    from rasterloom.operators.pixels import otsu
+
+    first = stencils(px, {"_lap": (value, LAPLACIAN), "gx": (value, SCHARR_X), "gy": (value, SCHARR_Y), "_v": (value, SELF)})
+    rows = extreme(extreme(first, "_lap", 3, True, "_max"), "_lap", 3, False, "_min")
+    crosses = ((F.col("_lap") > 0) & (F.col("_min") < 0)) | ((F.col("_lap") < 0) & (F.col("_max") > 0))
+    kept = (F.col("_v") > F.coalesce("threshold", F.lit(0))) & (F.col("_v") > 0) & ~(crosses & (_size_8bit() > 127))
+    rows = rows.join(otsu(px, value), "img", "left").select("img", "yy", "xx", F.col("_v").cast("int").alias(value), kept.cast("int").alias("_k"))
+    return opened(rows, "_k", 3, "_o").select("img", "yy", "xx", value, (F.col("_o") > 0).alias("core"))

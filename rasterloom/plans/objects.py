@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators import annotations as A
 from rasterloom.operators import jsondiff, metrics
 from rasterloom.operators import regions as R
+from rasterloom.plans.rasters import hills
 from rasterloom.plans.registry import Registry, shared_folder, table
 from rasterloom.sources import files
 from rasterloom.sources.synthetic import PX, pixels
@@ -143,6 +144,28 @@ def rock_two_scales(spark, sf_dir):
     return R.merged_scales(R.rock_instances(_field(spark, sf_dir, 3.0), "p", 5, 0.6), R.rock_instances(_field(spark, sf_dir, 6.0), "p", 9, 0.7))
 
 
+def _chances(spark, sf_dir):
+    return hills(spark, sf_dir).select("img", "yy", "xx", ((F.col("v") + 0.5) / 255).alias("p"))
+
+
+@query("rock_production")
+def rock_production(spark, sf_dir):
+    return R.production_rocks(_chances(spark, sf_dir), "p")
+
+
+@query("rock_scales")
+def rock_scales(spark, sf_dir):
+    coarse = _field(spark, sf_dir, 6.0).withColumn("p", F.col("p") * 0.8)
+    return R.two_scale_rocks(_chances(spark, sf_dir), coarse, "p")
+
+
+@query("contour_tree")
+def contour_tree(spark, sf_dir):
+    """Inner borders of the inverse mask, leaves first, as the rocks' outlines are taken."""
+    shapes = R.contour_tree(hills(spark, sf_dir).withColumn("s", F.col("v") > 60), "s", inverse=True)
+    return A.inner_first(shapes).select("img", "id", "parent", "hole", "has_child", "turn", "points")
+
+
 _CONF = "c AS (SELECT l_returnflag, sum((l_quantity > 25 AND l_discount > 0.05)::INTEGER) AS tp, sum((l_quantity > 25 AND l_discount <= 0.05)::INTEGER) AS fp, sum((l_quantity <= 25 AND l_discount > 0.05)::INTEGER) AS fn FROM lineitem GROUP BY 1)"
 
 

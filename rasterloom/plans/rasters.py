@@ -181,7 +181,11 @@ def scharr(spark, sf_dir):
     return rounded(N.gradient(pixels(spark, sf_dir), "v"), "magnitude")
 
 
-@query("gradient_8bit", f"WITH {PX}, {_GRAD} SELECT img, yy, xx, least(255.0, (abs(gx) + abs(gy)) * 0.5) AS g FROM g")
+_RAW = f"{_mirrored(N.SCHARR_X, 'g', name='sx')}, {_mirrored(N.SCHARR_Y, 'g', name='sy')}"
+_SIZE = "round_even(least(255.0, abs(sx.g)) * 0.5 + least(255.0, abs(sy.g)) * 0.5, 0)"
+
+
+@query("gradient_8bit", f"WITH {PX}, {_RAW} SELECT img, yy, xx, {_SIZE}::DOUBLE AS g FROM sx JOIN sy USING (img, yy, xx)")
 def gradient_8bit(spark, sf_dir):
     return N.gradient_8bit(pixels(spark, sf_dir), "v")
 
@@ -192,3 +196,41 @@ _ROCK = f"{_mirrored(N.SCHARR_X, 'g', 'g', 'gx', 'dx')}, {_mirrored(N.SCHARR_Y,
 @query("rock_mask", f"WITH {PX}, {_GRAD}, {_ROCK} SELECT img, yy, xx, bl.b / 9.0 > 100 AND sqrt(gx * gx + gy * gy) < 40 AND floor(dx.g / 32) * 0.5 + floor(dy.g / 32) * 0.5 < 5 AS rock FROM bl JOIN g USING (img, yy, xx) JOIN dx USING (img, yy, xx) JOIN dy USING (img, yy, xx)")
 def rock_mask(spark, sf_dir):
     return N.rock_mask(pixels(spark, sf_dir), "v", 5.0, 40.0, 100.0)
+
+
+#: 8-bit hills; the SQL rounds the same product of two tent functions.
+_HILLS = "fld AS (SELECT s_suppkey::INTEGER AS img, y.range AS yy, x.range AS xx, ((8 - abs((y.range + s_suppkey) % 16 - 8)) * (10 - abs((x.range + 2 * s_suppkey) % 20 - 10)) * 3 * (s_suppkey % 2) + CASE WHEN s_suppkey % 2 = 0 AND (y.range + s_suppkey) % 16 < 9 AND (x.range + s_suppkey) % 20 < 13 THEN 200 + (y.range + x.range) % 5 ELSE 0 END)::INTEGER AS v FROM supplier, range(48) y, range(64) x)"
+
+
+def hills(spark, sf_dir):
+    """img, yy, xx, v: an 8-bit field for each supplier: hills of even slope, or blocks with steep edges."""
+    s, y, x = F.col("img"), F.col("yy"), F.col("xx")
+    even = (8 - F.abs((y + s) % 16 - 8)) * (10 - F.abs((x + 2 * s) % 20 - 10)) * 3 * (s % 2)
+    steep = F.when((s % 2 == 0) & ((y + s) % 16 < 9) & ((x + s) % 20 < 13), 200 + (y + x) % 5).otherwise(0)
+    return pixels(spark, sf_dir).select("img", "yy", "xx", (even + steep).cast("int").alias("v"))
+
+
+_MASKS = f"""{_mirrored({p: 1 for p in N.BOX}, 'b', 'fld', name='bl')}, b AS (SELECT img, yy, xx, floor(b / 9.0 + 0.5)::INTEGER AS v FROM bl),
+{_mirrored(N.SCHARR_X, 'g', 'b', name='sx')}, {_mirrored(N.SCHARR_Y, 'g', 'b', name='sy')}, g AS (SELECT img, yy, xx, floor(sx.g / 32)::BIGINT AS gx, floor(sy.g / 32)::BIGINT AS gy FROM sx JOIN sy USING (img, yy, xx)),
+{_mirrored(N.SCHARR_X, 'g', 'g', 'gx', 'dx')}, {_mirrored(N.SCHARR_Y, 'g', 'g', 'gy', 'dy')},
+r AS (SELECT img, yy, xx, b.v AS c, floor(sqrt(gx * gx + gy * gy)) AS m, round_even(floor(dx.g / 32) * 0.5 + floor(dy.g / 32) * 0.5, 0) AS d FROM b JOIN g USING (img, yy, xx) JOIN dx USING (img, yy, xx) JOIN dy USING (img, yy, xx))"""
+
+
+@query("rock_masks", f"WITH {_HILLS}, {_MASKS} SELECT img, yy, xx, d <= -0.255 AND c > 5.1 AND m < 2.55 AS little, m < 25.5 AND c > 63.75 AS big FROM r")
+def rock_masks(spark, sf_dir):
+    return N.rock_masks(hills(spark, sf_dir), "v")
+
+
+_CORES = f"""{_mirrored(N.LAPLACIAN, 'lap', 'fld', name='k')}, {_mirrored(N.SCHARR_X, 'g', 'fld', name='sx')}, {_mirrored(N.SCHARR_Y, 'g', 'fld', name='sy')},
+e AS (SELECT a.img, a.yy, a.xx, a.lap, max(b.lap) AS h, min(b.lap) AS l FROM k a JOIN k b ON a.img = b.img AND b.yy BETWEEN a.yy - 1 AND a.yy + 1 AND b.xx BETWEEN a.xx - 1 AND a.xx + 1 GROUP BY ALL),
+hist AS (SELECT img, v, count(*) AS n FROM fld GROUP BY ALL),
+tot AS (SELECT img, v, sum(n) OVER (PARTITION BY img ORDER BY v) AS n0, sum(n * v) OVER (PARTITION BY img ORDER BY v) AS s0, sum(n) OVER (PARTITION BY img) AS n1, sum(n * v) OVER (PARTITION BY img) AS s1 FROM hist),
+cut AS (SELECT img, arg_max(v, (round(n0 / n1 * ((n1 - n0) / n1) * pow(s0 / n0 - (s1 - s0) / (n1 - n0), 2), 3), -v)) AS t FROM tot WHERE n1 > n0 GROUP BY img),
+m AS (SELECT f.img, f.yy, f.xx, f.v, (f.v > coalesce(t, 0) AND f.v > 0 AND NOT (((lap > 0 AND l < 0) OR (lap < 0 AND h > 0)) AND {_SIZE} > 127))::INTEGER AS o FROM fld f JOIN e USING (img, yy, xx) JOIN sx USING (img, yy, xx) JOIN sy USING (img, yy, xx) LEFT JOIN cut ON cut.img = f.img),
+q1 AS (SELECT *, min(o) OVER (PARTITION BY img, yy ORDER BY xx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS a FROM m), q2 AS (SELECT *, min(a) OVER (PARTITION BY img, xx ORDER BY yy RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS b FROM q1),
+q3 AS (SELECT *, max(b) OVER (PARTITION BY img, yy ORDER BY xx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c FROM q2), q4 AS (SELECT *, max(c) OVER (PARTITION BY img, xx ORDER BY yy RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS d FROM q3)"""
+
+
+@query("rock_cores", f"WITH {_HILLS}, {_CORES} SELECT img, yy, xx, v, d > 0 AS core FROM q4")
+def rock_cores(spark, sf_dir):
+    return N.rock_cores(hills(spark, sf_dir), "v")
