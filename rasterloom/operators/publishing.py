@@ -61,3 +61,12 @@ def heights(surface: DataFrame, relief: DataFrame, images: DataFrame) -> DataFra
 def limits(lat: Column, lon: Column, profile: str) -> tuple[Column, Column]:
     """A place within what a tile profile shows."""
     return geo.world(lat, lon, profile == "mercator")
+
+
+def pixel_tiles(px: DataFrame, bands: list[str], tile: int) -> DataFrame:
+    """img, ty, tx, png: every raster cut into tiles of its pixels, each an image of its own (K11). Tiles at the edges are filled up with 0 and
+    have one more band, 255 where there is a pixel and 0 where there is none."""
+    from rasterloom.sources.images import as_png
+
+    cut = px.select("img", F.floor(F.col("yy") / tile).alias("ty"), F.floor(F.col("xx") / tile).alias("tx"), (F.col("yy") % tile).alias("yy"), (F.col("xx") % tile).alias("xx"), *bands, F.lit(255).alias("_there"))
+    return as_png(cut, ["img", "ty", "tx"], [*bands, "_there"], tile)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rasterloom.operators import inference as I
 from rasterloom.operators import publishing as P
-from rasterloom.plans.registry import Registry
+from rasterloom.plans.registry import Registry, shared_folder
+from rasterloom.sources import images as files
+from rasterloom.sources import tiff
 from rasterloom.sources.synthetic import HEIGHT, MASK, PTS, PX, SQUARE, WIDTH, images, masks, pixels, points, squares
 
 query = Registry()
@@ -87,3 +91,31 @@ def super_tiles(spark, sf_dir):
     sizes = images(spark, sf_dir).select("img", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"))
     rows = I.by_super_tile(pixels(spark, sf_dir), sizes, 20)
     return rows.groupBy("img", "ty", "tx").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("iy").alias("last_y"), F.max("ix").alias("last_x"))
+
+
+def _written(spark, made, path, content):
+    """The folder that now holds the files of made."""
+    root = f"{shared_folder(spark)}/files_{uuid.uuid4().hex}"
+    files.write(made.withColumn("path", path), root, content=content).agg(F.sum("size")).first()
+    return root
+
+
+_NUMBER = lambda i: F.regexp_extract("path", r"(\d+)/(\d+)_(\d+)\.\w+$", i)
+
+
+@query("png_tiles", f"WITH {PX} SELECT img, yy, xx, [v, 255 - v, v * 2 % 256]::INTEGER[] AS colour FROM px")
+def png_tiles(spark, sf_dir):
+    """Rasters cut into tiles, written as PNG files and read back."""
+    v = F.col("v")
+    made = P.pixel_tiles(pixels(spark, sf_dir).select("img", "yy", "xx", v.alias("r"), (255 - v).alias("g"), (v * 2 % 256).alias("b")), ["r", "g", "b"], 20)
+    found = files.pixels(spark, _written(spark, made, F.format_string("%d/%d_%d.png", "img", "ty", "tx"), "png"))
+    there = found.where(F.col("bands")[3] == 255)
+    return there.select(_NUMBER(1).cast("int").alias("img"), (_NUMBER(2).cast("long") * 20 + F.col("yy")).alias("yy"), (_NUMBER(3).cast("long") * 20 + F.col("xx")).alias("xx"), F.slice("bands", 1, 3).alias("colour"))
+
+
+@query("tiff_window", f"WITH {PX} SELECT img, yy, xx, v::DOUBLE AS v FROM px WHERE yy BETWEEN 10 AND 39 AND xx BETWEEN 20 AND 63")
+def tiff_window(spark, sf_dir):
+    """A window, cut at the edge, of rasters written as tiled and compressed files."""
+    made = tiff.as_tiff(pixels(spark, sf_dir), ["img"], ["v"], deflate=True, tile=16, epsg=32631)
+    found = tiff.pixels(spark, _written(spark, made, F.format_string("%d/0_0.tif", "img"), "tiff"), ((20, 10), (50, 30)))
+    return found.select(_NUMBER(1).cast("int").alias("img"), "yy", "xx", F.col("bands")[0].alias("v"))

@@ -1,4 +1,4 @@
-"""Uncompressed TIFF rasters: headers, windows and writing, without an image library.
+"""TIFF rasters: headers, windows and writing, without an image library. Strips or tiles, plain, LZW or Deflate.
 
 Files come through Spark's binary reader, so any file system that Spark reads will do; each file is parsed by itself.
 """
@@ -6,6 +6,7 @@ Files come through Spark's binary reader, so any file system that Spark reads wi
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Field types and tags of TIFF 6.0 and GeoTIFF.
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 11: "f", 12: "d"}
-_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC, _STRIPS, _BANDS, _ROWS, _COUNTS, _FORMAT, _SCALE, _TIEPOINT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339, 33550, 33922
-_FEET = 0.3048
+_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC, _STRIPS, _BANDS, _ROWS, _COUNTS, _PLANES, _FORMAT, _SCALE, _TIEPOINT, _KEYS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339, 33550, 33922, 34735
+_PREDICTOR, _TILE_WIDTH, _TILE_HEIGHT, _TILES, _TILE_COUNTS = 317, 322, 323, 324, 325
+_PLAIN, _LZW, _DEFLATE = (1,), (5,), (8, 32946)
+_GEOGRAPHIC, _PROJECTED, _UNIT = 2048, 3072, 3076
+#: Metres of a unit, by its key in a file and by name; the last key is the US survey foot.
+_METRES = {9001: 1.0, 9002: 0.3048, 9003: 1200 / 3937}
+_NAMED = {"metre": 1.0, "foot": 0.3048}
 
 
 def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
@@ -36,23 +42,92 @@ def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
     return order, found
 
 
+def _unpacked(data: bytes) -> bytes:
+    """An LZW stream: codes of 9 to 12 bits, the highest bit first, which widen one code early."""
+    pieces: list[bytes] = []
+    out = bytearray()
+    bits = held = 0
+    width, last = 9, b""
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 256:
+            pieces, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code == 257:
+            break
+        piece = pieces[code] if code < len(pieces) else last + last[:1]
+        out += piece
+        if last:
+            pieces.append(last + piece[:1])
+        last = piece
+        width = min(12, max(9, (len(pieces) + 1).bit_length()))
+    return bytes(out)
+
+
+def window(data: bytes, x: int = 0, y: int = 0, w: int = 1 << 31, h: int = 1 << 31) -> np.ndarray:
+    """A window of the raster as height x width x bands, cut at its edges. Only the strips or tiles that it touches are decoded."""
+    order, t = tags(data)
+    way, ahead = t.get(_COMPRESSION, (1,))[0], t.get(_PREDICTOR, (1,))[0]
+    if way not in _PLAIN + _LZW + _DEFLATE or ahead not in (1, 2) or t.get(_PLANES, (1,))[0] != 1:
+        raise ValueError("only plain, LZW or Deflate TIFF files of interleaved bands can be read")
+    kind = np.dtype(order + {(8, 1): "u1", (8, 2): "i1", (16, 1): "u2", (16, 2): "i2", (32, 1): "u4", (32, 2): "i4", (32, 3): "f4", (64, 3): "f8"}[(t[_BITS][0], t.get(_FORMAT, (1,))[0])])
+    wide, high, bands = t[_WIDTH][0], t[_HEIGHT][0], t.get(_BANDS, (1,))[0]
+    tiled = _TILES in t
+    step_x, step_y = (t[_TILE_WIDTH][0], t[_TILE_HEIGHT][0]) if tiled else (wide, min(high, t.get(_ROWS, (high,))[0]))
+    starts, sizes = (t[_TILES], t[_TILE_COUNTS]) if tiled else (t[_STRIPS], t[_COUNTS])
+    x, y, right, bottom = min(x, wide), min(y, high), min(wide, x + w), min(high, y + h)
+    out = np.zeros((bottom - y, right - x, bands), kind)
+    if not out.size:
+        return out
+    for i in range(y // step_y, -(-bottom // step_y)):
+        for j in range(x // step_x, -(-right // step_x)):
+            n = i * -(-wide // step_x) + j
+            raw = data[starts[n] : starts[n] + sizes[n]]
+            raw = raw if way in _PLAIN else _unpacked(raw) if way in _LZW else zlib.decompress(raw)
+            rows = step_y if tiled else min(step_y, high - i * step_y)
+            part = np.frombuffer(raw, kind, rows * step_x * bands).reshape(rows, step_x, bands)
+            if ahead == 2:
+                part = np.cumsum(part, 1, dtype=kind)
+            top, left = max(y, i * step_y), max(x, j * step_x)
+            low, far = min(bottom, i * step_y + rows), min(right, (j + 1) * step_x)
+            out[top - y : low - y, left - x : far - x] = part[top - i * step_y : low - i * step_y, left - j * step_x : far - j * step_x]
+    return out
+
+
 def array(data: bytes) -> np.ndarray:
     """The raster as height x width x bands."""
-    order, t = tags(data)
-    if t.get(_COMPRESSION, (1,))[0] != 1:
-        raise ValueError("only uncompressed TIFF files can be read")
-    kind = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (32, 3): "f4", (64, 3): "f8"}[(t[_BITS][0], t.get(_FORMAT, (1,))[0])]
-    raw = b"".join(data[s : s + n] for s, n in zip(t[_STRIPS], t[_COUNTS], strict=True))
-    return np.frombuffer(raw, order + kind).reshape(t[_HEIGHT][0], t[_WIDTH][0], t.get(_BANDS, (1,))[0])
+    return window(data)
 
 
-def encoded(image: np.ndarray, scale: float | None = None, origin: tuple[float, float] = (0.0, 0.0)) -> bytes:
-    """An 8-bit image (height x width x bands) as a file with one strip."""
+def reference(t: dict[int, tuple]) -> tuple[int | None, float | None]:
+    """The EPSG number of a raster's coordinates and the metres of their unit, from its keys; null where they name none."""
+    keys = t.get(_KEYS, ())
+    found = {keys[i]: keys[i + 3] for i in range(4, len(keys), 4) if keys[i + 1] == 0}
+    return found.get(_PROJECTED, found.get(_GEOGRAPHIC)), _METRES.get(found.get(_UNIT))
+
+
+def encoded(image: np.ndarray, scale: float | None = None, origin: tuple[float, float] = (0.0, 0.0), *, deflate: bool = False, tile: int | None = None, epsg: int | None = None) -> bytes:
+    """An 8-bit image (height x width x bands) as a file of one strip, or of square tiles of a multiple of 16 pixels."""
     h, w, bands = image.shape
-    body = np.ascontiguousarray(image, "u1").tobytes()
-    fields = [(_WIDTH, 4, (w,)), (_HEIGHT, 4, (h,)), (_BITS, 3, (8,) * bands), (_COMPRESSION, 3, (1,)), (_PHOTOMETRIC, 3, (2 if bands >= 3 else 1,)), (_STRIPS, 4, (8,)), (_BANDS, 3, (bands,)), (_ROWS, 4, (h,)), (_COUNTS, 4, (len(body),))]
+    image = np.ascontiguousarray(image, "u1")
+    if tile:
+        image = np.pad(image, ((0, -h % tile), (0, -w % tile), (0, 0)))
+    size_y, size_x = (tile, tile) if tile else (h, w)
+    parts = [image[i : i + size_y, j : j + size_x].tobytes() for i in range(0, image.shape[0], size_y) for j in range(0, image.shape[1], size_x)]
+    parts = [zlib.compress(p) if deflate else p for p in parts]
+    places = [8 + sum(map(len, parts[:i])) for i in range(len(parts))]
+    body, sizes = b"".join(parts), tuple(map(len, parts))
+    fields = [(_WIDTH, 4, (w,)), (_HEIGHT, 4, (h,)), (_BITS, 3, (8,) * bands), (_COMPRESSION, 3, (_DEFLATE[0] if deflate else 1,)), (_PHOTOMETRIC, 3, (2 if bands >= 3 else 1,)), (_BANDS, 3, (bands,))]
+    fields += [(_TILE_WIDTH, 4, (tile,)), (_TILE_HEIGHT, 4, (tile,)), (_TILES, 4, tuple(places)), (_TILE_COUNTS, 4, sizes)] if tile else [(_STRIPS, 4, tuple(places)), (_ROWS, 4, (h,)), (_COUNTS, 4, sizes)]
     if scale is not None:
         fields += [(_SCALE, 12, (scale, scale, 0.0)), (_TIEPOINT, 12, (0.0, 0.0, 0.0, *origin, 0.0))]
+    if epsg is not None:
+        fields += [(_KEYS, 3, (1, 1, 0, 1, _PROJECTED, 0, 1, epsg))]
+    fields.sort()
     at = 8 + len(body) + len(body) % 2
     extra = at + 2 + 12 * len(fields) + 4
     entries, more = b"", b""
@@ -66,13 +141,26 @@ def encoded(image: np.ndarray, scale: float | None = None, origin: tuple[float,
     return struct.pack("<2sHI", b"II", 42, at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(fields)) + entries + b"\0" * 4 + more
 
 
+def as_tiff(px: DataFrame, keys: list[str], bands: list[str], **options) -> DataFrame:
+    """keys and tiff, a file for each of them (K10): yy and xx count from 0 in a file, bands are columns of 8 bits; options are those of encoded."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((int(pdf["yy"].max()) + 1, int(pdf["xx"].max()) + 1, len(bands)), "u1")
+        image[pdf["yy"], pdf["xx"]] = pdf[bands].to_numpy()
+        return pdf[keys].head(1).assign(tiff=[encoded(image, **options)])
+
+    kinds = ", ".join(f"`{k}` {px.schema[k].dataType.simpleString()}" for k in keys)
+    return px.select(*keys, "yy", "xx", *bands).groupBy(*keys).applyInPandas(one, f"{kinds}, tiff binary")
+
+
 def _files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").option("recursiveFileLookup", "true").load(root).select("path", "content")
 
 
-def descriptions(spark: SparkSession, root: str, unit: str = "metre") -> DataFrame:
-    """path, height, width, bands, origin_x, origin_y, mppx (S5, S6): metres a pixel, feet turned into metres; null without a scale."""
-    if unit not in ("metre", "foot"):
+def descriptions(spark: SparkSession, root: str, unit: str | None = None) -> DataFrame:
+    """path, height, width, bands, origin_x, origin_y, mppx, epsg (S5, S6): metres a pixel, null without a scale. The unit is the file's own
+    unless one is given, and metres if it names none; epsg is null where the file has no such number."""
+    if unit is not None and unit not in _NAMED:
         raise ValueError("a raster's unit has to be metre or foot")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,10 +169,13 @@ def descriptions(spark: SparkSession, root: str, unit: str = "metre") -> DataFra
             for path, data in zip(f["path"], f["content"], strict=True):
                 _, t = tags(data)
                 origin = t.get(_TIEPOINT, (None,) * 6)
-                rows.append((path, t[_HEIGHT][0], t[_WIDTH][0], t.get(_BANDS, (1,))[0], origin[3], origin[4], t[_SCALE][0] * (_FEET if unit == "foot" else 1) if _SCALE in t else None))
-            yield pd.DataFrame(rows, columns=["path", "height", "width", "bands", "origin_x", "origin_y", "mppx"])
+                epsg, own = reference(t)
+                metres = _NAMED[unit] if unit else own or 1.0
+                rows.append((path, t[_HEIGHT][0], t[_WIDTH][0], t.get(_BANDS, (1,))[0], origin[3], origin[4], t[_SCALE][0] * metres if _SCALE in t else None, epsg))
+            out = pd.DataFrame(rows, columns=["path", "height", "width", "bands", "origin_x", "origin_y", "mppx", "epsg"])
+            yield out.astype({"epsg": "Int32"})
 
-    return _files(spark, root).mapInPandas(each, "path string, height int, width int, bands int, origin_x double, origin_y double, mppx double")
+    return _files(spark, root).mapInPandas(each, "path string, height int, width int, bands int, origin_x double, origin_y double, mppx double, epsg int")
 
 
 def pixels(spark: SparkSession, root: str, box: tuple[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:
@@ -94,8 +185,12 @@ def pixels(spark: SparkSession, root: str, box: tuple[tuple[int, int], tuple[int
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, data in zip(f["path"], f["content"], strict=True):
-                image = array(data)[y : y + h, x : x + w]
-                for i, row in enumerate(image):
-                    yield pd.DataFrame({"path": path, "yy": y + i, "xx": np.arange(x, x + row.shape[0]), "bands": list(row.astype(float))})
+                image = window(data, x, y, w, h)
+                wide = image.shape[1]
+                lines = max(1, 100_000 // max(1, wide))
+                for i in range(0, image.shape[0], lines):
+                    part = image[i : i + lines].astype(float)
+                    yy, xx = np.indices(part.shape[:2])
+                    yield pd.DataFrame({"path": path, "yy": y + i + yy.ravel(), "xx": x + xx.ravel(), "bands": list(part.reshape(-1, part.shape[2]))})
 
     return _files(spark, root).mapInPandas(each, "path string, yy long, xx long, bands array<double>")
