@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def confusion(rows: DataFrame, keys: list[str], predicted: Column, actual: Column) -> DataFrame:
@@ -39,14 +40,38 @@ def dataset_means(per_image: DataFrame, metrics: list[str]) -> DataFrame:
     return per_image.agg(*(F.avg(m).alias(m) for m in metrics))
 
 
-def running_extrema(log: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Adds lowest and highest of the rows so far in a group."""
-    so_far = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumns({"lowest": F.min(value).over(so_far), "highest": F.max(value).over(so_far)})
-
-
-def accumulated(rows: DataFrame, group: str, order: str, value: str, every: int) -> DataFrame:
-    """Sums of `every` rows in turn (X3): group, step, total; a sum that isn't full isn't given."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    numbered = rows.withColumn("step", F.floor(place / every))
+def _in_parts(rows: DataFrame, order: str, parts: int) -> DataFrame:
+    """Adds _part, which rises with a number or time: rows of a group are counted and summed part by part, so that no task holds a whole
+    group. The parts' edges, as many numbers as there are parts, come to the driver; results don't depend on where they lie."""
+    kind = rows.schema[order].dataType
+    if parts < 2 or not isinstance(kind, (T.NumericType, T.TimestampType)):
+        return rows.withColumn("_part", F.lit(0))
+    at = F.col(order).cast("double")
+    edges = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    return rows.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < at)) if edges else F.lit(0))
+
+
+def running_extrema(log: DataFrame, group: str, order: str, value: str, parts: int = 64) -> DataFrame:
+    """Adds lowest and highest of the rows so far in a group.
+
+    Parts of a group run side by side and take over what the parts before hold. Rows alike in order are taken in any order; all rows of one order are one part.
+    """
+    rows = _in_parts(log, order, parts)
+    keys = [group, "_part"]
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    own = rows.groupBy(*keys).agg(F.min(value).alias("_l"), F.max(value).alias("_h")).select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.min("_l").over(before).alias("_l"), F.max("_h").over(before).alias("_h"))
+    found = rows.withColumns({"lowest": F.min(value).over(so_far), "highest": F.max(value).over(so_far)})
+    joined = found.join(own, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")), "left")
+    return joined.withColumns({"lowest": F.least("lowest", "_l"), "highest": F.greatest("highest", "_h")}).drop("_part", "_g", "_p", "_l", "_h")
+
+
+def accumulated(rows: DataFrame, group: str, order: str, value: str, every: int, parts: int = 64) -> DataFrame:
+    """Sums of `every` rows in turn (X3): group, step, total; a sum that isn't full isn't given. Rows are numbered part by part."""
+    rows = _in_parts(rows, order, parts)
+    keys = [group, "_part"]
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    base = rows.groupBy(*keys).agg(F.count("*").alias("_c")).select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    numbered = own.join(base, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))).withColumn("step", F.floor((F.col("_base") + F.col("_own")) / every))
     return numbered.groupBy(group, "step").agg(F.sum(value).alias("total"), F.count("*").alias("_n")).where(F.col("_n") == every).drop("_n")

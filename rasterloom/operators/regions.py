@@ -1,6 +1,6 @@
 """Regions of images. What needs a whole image at once runs grouped by image, on its pixels as an array.
 
-An image has to fit into a task's memory; larger ones are cut into super-tiles first, and labels are then joined over the seams.
+Such an image has to fit into a task's memory. components_by_tile labels larger ones tile by tile and joins the labels over the seams.
 """
 
 from __future__ import annotations
@@ -313,25 +313,54 @@ def rectangles(shapes: DataFrame, whole_centre: bool = False) -> DataFrame:
     return rows.withColumns({"cx": at[0], "cy": at[1], "min_d": F.greatest("_r.min_d", F.lit(1.0)), "max_d": F.greatest("_r.max_d", F.lit(1.0))}).drop("_r")
 
 
-def joined_over_seams(labels: DataFrame, tile: int) -> DataFrame:
-    """labels: img, yy, xx, label, where labels were given tile by tile and are unique in an image. The same with one label for
-    regions that touch over a seam: pairs along seams, then minima passed on until nothing changes (R4).
+def _stars(edges: DataFrame) -> DataFrame:
+    """img, a and b of edges as stars: each label a with the smallest label b that it is connected to; the smallest ones themselves aren't given.
 
-    Only pixels at seams enter the join; a round's table of changed labels is checkpointed.
+    In turn every label hands its larger neighbours and then its smaller ones to the smallest it knows, until the edges stay as they are,
+    so a chain of any length takes few rounds. Each round's edges are checkpointed; to the driver comes one sum over them.
     """
+    key = ["img", "a"]
+    now = edges.select("img", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("img", "a", "b").cast("decimal(38,0)"))).first())
+    before, after = None, mark(now)
+    while before != after:
+        both = now.union(now.select("img", F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(*key).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(least, key).select("img", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy(*key).agg(F.min("b").alias("m"))
+        small = large.join(least, key).where("b <> m").select("img", F.col("b").alias("a"), F.col("m").alias("b"))
+        now = small.union(least.withColumnRenamed("m", "b")).distinct().checkpoint()
+        before, after = after, mark(now)
+    return now
+
+
+def joined_over_seams(labels: DataFrame, tile: int) -> DataFrame:
+    """labels: img, yy, xx, label, where labels were given tile by tile and are unique in an image. The same with one label, the smallest, for
+    regions that touch over a seam (R4). Only pixels at seams enter the joins before the last."""
     near = [(dy, dx) for dy, dx in _AROUND if (dy, dx) > (0, 0)]
     edge = labels.where((F.col("yy") % tile).isin(0, tile - 1) | (F.col("xx") % tile).isin(0, tile - 1))
     ask = edge.select("img", F.col("label").alias("a"), F.explode(F.array(*(F.struct((F.col("yy") + dy).alias("yy"), (F.col("xx") + dx).alias("xx")) for dy, dx in near))).alias("p")).select("img", "a", "p.yy", "p.xx")
-    pairs = ask.join(edge.select("img", "yy", "xx", F.col("label").alias("b")), ["img", "yy", "xx"]).where("a <> b").select("img", "a", "b").distinct()
-    both = pairs.union(pairs.select("img", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    now = both.select("img", "a").distinct().withColumn("root", F.col("a"))
-    while True:
-        seen = both.join(now.select("img", F.col("a").alias("b"), "root"), ["img", "b"]).groupBy("img", "a").agg(F.min("root").alias("other"))
-        new = now.join(seen, ["img", "a"]).select("img", "a", F.least("root", "other").alias("root"), (F.col("other") < F.col("root")).alias("moved")).checkpoint()
-        if not new.where("moved").limit(1).count():
-            break
-        now = new.drop("moved")
-    return labels.join(now.withColumnRenamed("a", "label"), ["img", "label"], "left").select("img", "yy", "xx", F.coalesce("root", "label").alias("label"))
+    pairs = ask.join(edge.select("img", "yy", "xx", F.col("label").alias("b")), ["img", "yy", "xx"]).select("img", "a", "b")
+    root = _stars(pairs).select("img", F.col("a").alias("label"), F.col("b").alias("root"))
+    return labels.join(root, ["img", "label"], "left").select("img", "yy", "xx", F.coalesce("root", "label").alias("label"))
+
+
+def components_by_tile(px: DataFrame, mask: str, tile: int) -> DataFrame:
+    """What components gives, for images of any size (R4): a task holds one tile, and labels are joined over the seams."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x, wide = int(pdf["yy"].min()), int(pdf["xx"].min()), int(pdf["_w"].iloc[0])
+        part = np.zeros((int(pdf["yy"].max()) - y + 1, int(pdf["xx"].max()) - x + 1), bool)
+        part[pdf["yy"] - y, pdf["xx"] - x] = pdf[mask]
+        label = label_array(part)
+        yy, xx = np.nonzero(label)
+        first = label[yy, xx] - 1
+        place = (first // part.shape[1] + y) * wide + first % part.shape[1] + x + 1
+        return pd.DataFrame({"img": pdf["img"].iloc[0], "yy": yy + y, "xx": xx + x, "label": place})
+
+    wide = px.groupBy("img").agg((F.max("xx") + 1).alias("_w"))  # a row an image
+    rows = px.where(mask).select("img", "yy", "xx", mask, F.floor(F.col("yy") / tile).alias("_ty"), F.floor(F.col("xx") / tile).alias("_tx")).join(wide, "img")
+    return joined_over_seams(rows.groupBy("img", "_ty", "_tx").applyInPandas(one, "img int, yy long, xx long, label long"), tile)
 
 
 def rock_instances(px: DataFrame, value: str, k: int = 5, cut: float = 0.5) -> DataFrame:

@@ -95,6 +95,11 @@ def components(spark, sf_dir):
     return R.components(_set(spark, sf_dir), "s")
 
 
+@query("components_tiled", f"WITH RECURSIVE {_SET}, {_LABELS} SELECT img, yy, xx, label FROM l")
+def components_tiled(spark, sf_dir):
+    return R.components_by_tile(_set(spark, sf_dir), "s", 20)
+
+
 _DIST = "d AS (SELECT a.img, a.yy, a.xx, CASE WHEN a.s THEN min(1.3693 * least(abs(a.yy - b.yy), abs(a.xx - b.xx)) + 0.955 * (greatest(abs(a.yy - b.yy), abs(a.xx - b.xx)) - least(abs(a.yy - b.yy), abs(a.xx - b.xx)))) ELSE 0 END AS d FROM m a JOIN m b ON a.img = b.img AND NOT b.s GROUP BY a.img, a.yy, a.xx, a.s)"
 
 
@@ -201,8 +206,7 @@ def accumulate(spark, sf_dir):
 def running_extrema_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
-    name = f"extrema_{uuid.uuid4().hex}"
-    return extrema.run_once(extrema.extrema(stream, "event_type", "value"), name, f"{shared_folder(spark)}/{name}")
+    return extrema.run_once(extrema.extrema(stream, "event_type", "value"), f"{shared_folder(spark)}/extrema_{uuid.uuid4().hex}")
 
 
 @query("json_diff", "WITH e AS (SELECT event_id AS id, json_extract_string(props, '$.k') AS k FROM events) SELECT id, '/k' AS path, 'changed' AS change, k AS old_value, (k::INTEGER + 1)::VARCHAR AS new_value FROM e WHERE id % 3 = 1 UNION ALL SELECT id, '/k', 'removed', k, NULL FROM e WHERE id % 3 = 2 UNION ALL SELECT id, '/j', 'length', '1', '2' FROM e WHERE id % 3 = 2")

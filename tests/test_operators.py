@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geo, schedule, text
-from rasterloom.operators import annotations, jsondiff, regions, sampling, stencils, tiling
+from rasterloom.operators import annotations, jsondiff, metrics, regions, sampling, stencils, tiling
 from rasterloom.sources import files, tiff
 
 
@@ -157,6 +157,31 @@ def test_seams(spark):
     assert found == whole
 
 
+def test_long_chains(spark):
+    """A path of 60 labels, in a mixed order, beside a star and a pair in another image."""
+    order = np.random.default_rng(8).permutation(60) + 1
+    edges = [(1, int(a), int(b)) for a, b in zip(order, order[1:], strict=False)] + [(1, 100, 100 + i) for i in range(1, 9)] + [(2, 5, 1), (2, 7, 7)]
+    found = {(r.img, r.a): r.b for r in regions._stars(spark.createDataFrame(edges, "img int, a long, b long")).collect()}
+    assert found == {(1, i): 1 for i in range(2, 61)} | {(1, 100 + i): 100 for i in range(1, 9)} | {(2, 5): 1}
+
+
+def test_parts_of_groups(spark):
+    rng = np.random.default_rng(9)
+    rows = [(["a", "a", "a", "b", None][rng.integers(5)], int(i), None if i % 11 == 0 else float(rng.integers(100))) for i in rng.permutation(300)]
+    df = spark.createDataFrame(rows, "g string, n long, v double")
+    groups = {g: sorted((r for r in rows if r[0] == g), key=lambda r: r[1]) for g in {r[0] for r in rows}}
+    want = {}
+    for rs in groups.values():
+        for i, r in enumerate(rs):
+            seen = [x[2] for x in rs[: i + 1] if x[2] is not None]
+            want[r[1]] = (min(seen, default=None), max(seen, default=None))
+    for parts in (1, 7):
+        assert {r.n: (r.lowest, r.highest) for r in metrics.running_extrema(df, "g", "n", "v", parts).collect()} == want
+        sums = {(r.g, r.step): r.total for r in metrics.accumulated(df, "g", "n", "v", 4, parts).collect()}
+        assert sums == {(g, i // 4): sum(x[2] or 0 for x in rs[i : i + 4]) for g, rs in groups.items() for i in range(0, len(rs) - 3, 4)}
+    assert metrics.running_extrema(df.limit(0), "g", "n", "v").count() == metrics.accumulated(df.limit(0), "g", "n", "v", 4).count() == 0
+
+
 def test_watershed():
     value = np.zeros((5, 9))
     value[:, 4] = 5
@@ -256,7 +281,7 @@ def test_events_by_window(spark, tmp_path):
 
     spark.sql("select timestamp '2024-01-01 00:00:10' as ts, 'a' as m, 3d as v union all select timestamp '2024-01-01 00:03:00', 'a', 1d union all select timestamp '2024-01-01 00:30:00', 'b', 9d").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("ts timestamp, m string, v double").parquet(f"{tmp_path}/in")
-    found = extrema.run_once(extrema.by_window(stream, "ts", "1 minute", "5 minutes", "m", "v"), "windows", f"{tmp_path}/state", "append")
+    found = extrema.run_once(extrema.by_window(stream, "ts", "1 minute", "5 minutes", "m", "v"), f"{tmp_path}/windows", "append")
     assert [(r.m, r.lowest, r.highest, r.n) for r in found.collect()] == [("a", 1.0, 3.0, 2)]
 
 
