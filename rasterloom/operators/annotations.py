@@ -62,23 +62,46 @@ def inside(x: Column, y: Column, polygon: list[tuple[int, int]]) -> Column:
     return odd | border
 
 
-def rasterise(shapes: DataFrame, height: int, width: int, keys: list[str]) -> DataFrame:
-    """keys, yy, xx and cls: the pixels of polygons (columns keys, seq, cls, points), the last one where several meet.
+def _ceil_div(a: Column, b: Column) -> Column:
+    """a / b upwards, in whole numbers; b > 0."""
+    return -((-a - F.pmod(-a, b)) / b).cast("long")
+
+
+def runs(shapes: DataFrame, height: int, width: int, keys: list[str]) -> DataFrame:
+    """keys, seq, cls, yy, x0 and x1: polygons as runs of pixels along lines, as rasterise fills them; runs of one polygon may meet.
 
-    Each polygon is spread over the rows of its own box, and each row over the columns between its border's extremes, so a
-    polygon costs the pixels of its box; they are combined by pixel before the shuffle.
+    Every edge gives each line that it passes where it crosses it. Sorted, these are the ends of the runs inside; what lies right on the
+    border makes runs of its own. So a polygon costs the heights of its edges and no test of pixels. All in whole numbers.
     """
-    at = lambda name: F.transform("points", lambda p: p[name])
-    clip = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), c))
-    rows = shapes.withColumns({"_x0": F.array_min(at("x")), "_x1": F.array_max(at("x")), "_y0": F.array_min(at("y")), "_y1": F.array_max(at("y"))})
-    rows = rows.where((F.col("_x1") >= 0) & (F.col("_x0") < width) & (F.col("_y1") >= 0) & (F.col("_y0") < height))
-    edges = F.zip_with("points", F.concat(F.slice("points", 2, 1 << 20), F.slice("points", 1, 1)), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
-    rows = rows.withColumn("_e", edges).withColumn("yy", F.explode(F.sequence(clip(F.col("_y0"), height), clip(F.col("_y1"), height)))).withColumn("xx", F.explode(F.sequence(clip(F.col("_x0"), width), clip(F.col("_x1"), width))))
+    n = F.size("points")
+    following = F.concat(F.slice("points", 2, F.greatest(n, F.lit(1))), F.slice("points", 1, 1))
+    edges = F.zip_with("points", following, lambda a, b: F.struct(*(p[c].cast("long").alias(f"{p_}{c}") for p, p_ in ((a, "a"), (b, "b")) for c in "xy")))
+    rows = shapes.where(n > 0).withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.select(*keys, "seq", "cls", "_id", F.explode(edges).alias("_e"))
+    down = F.col("_e.ay") <= F.col("_e.by")
+    pick = lambda c, low: F.when(down, F.col(f"_e.{'a' if low else 'b'}{c}")).otherwise(F.col(f"_e.{'b' if low else 'a'}{c}"))
+    rows = rows.select(*keys, "seq", "cls", "_id", pick("x", True).alias("ax"), pick("y", True).alias("ay"), pick("x", False).alias("bx"), pick("y", False).alias("by"))
+    rows = rows.where((F.col("by") >= 0) & (F.col("ay") < height))
+    first, last = F.greatest(F.lit(0).cast("long"), "ay"), F.least(F.lit(height - 1).cast("long"), "by")
+    rows = rows.withColumn("yy", F.explode(F.sequence(first, last)))
+    over, high = (F.col("bx") - F.col("ax")) * (F.col("yy") - F.col("ay")), F.col("by") - F.col("ay")
+    flat = high == 0
+    at = F.when(~flat, F.col("ax") + _ceil_div(over, F.when(flat, F.lit(1)).otherwise(high)))
+    on = F.when(flat, F.struct(F.least("ax", "bx").alias("x0"), F.greatest("ax", "bx").alias("x1"))).when(F.pmod(over, F.when(flat, F.lit(1)).otherwise(high)) == 0, F.struct(at.alias("x0"), at.alias("x1")))
+    lines = rows.select(*keys, "seq", "cls", "_id", "yy", F.when(~flat & (F.col("yy") < F.col("by")), at).alias("_at"), on.alias("_on"))
+    given = [F.first(c).alias(c) for c in [*keys, "seq", "cls"]]
+    ends = lines.groupBy("_id", "yy").agg(*given, F.array_sort(F.collect_list("_at")).alias("_c"), F.collect_set("_on").alias("_b"))
+    inside = F.transform(F.filter(F.transform("_c", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["i"] % 2 == 0), lambda x: F.struct(x["c"].alias("x0"), (F.element_at("_c", (x["i"] + 2).cast("int")) - 1).alias("x1")))
+    found = ends.select(*keys, "seq", "cls", "yy", F.explode(F.concat(inside, "_b")).alias("_r")).select(*keys, "seq", "cls", "yy", F.greatest(F.lit(0).cast("long"), "_r.x0").alias("x0"), F.least(F.lit(width - 1).cast("long"), "_r.x1").alias("x1"))
+    return found.where(F.col("x0") <= F.col("x1"))
 
-    def test(which: int) -> Column:
-        return F.size(F.filter("_e", lambda e: _crosses(F.col("xx"), F.col("yy"), e["ax"], e["ay"], e["bx"], e["by"])[which]))
 
-    hit = rows.where((test(0) % 2 == 1) | (test(1) > 0))
+def rasterise(shapes: DataFrame, height: int, width: int, keys: list[str]) -> DataFrame:
+    """keys, yy, xx and cls: the pixels of polygons (columns keys, seq, cls, points), the last one where several meet.
+
+    Pixels are inside by the even-odd rule, and on the border. They come from runs along lines, and combine by pixel before the shuffle.
+    """
+    hit = runs(shapes, height, width, keys).withColumn("xx", F.explode(F.sequence("x0", "x1")))
     return hit.groupBy(*keys, "yy", "xx").agg(F.max_by("cls", "seq").alias("cls"))
 
 

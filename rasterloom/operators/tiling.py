@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def axis_starts(size: int, tile: int, step: int) -> list[int]:
@@ -36,10 +38,20 @@ def cut(px: DataFrame, height: int, width: int, tile: int) -> DataFrame:
 
 
 def tiles_of(px: DataFrame, height: int, width: int, tile: int, value: str = "v") -> DataFrame:
-    """img, ty, tx and data: each tile's values row by row, 0 where the image ends (T2, F26). One shuffle, by tile."""
-    place = (F.col("iy") * tile + F.col("ix")).cast("int")
-    grouped = cut(px, height, width, tile).groupBy("img", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct(place, F.col(value)))).alias("_m"))
-    return grouped.select("img", "ty", "tx", F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0))).alias("data"))
+    """img, ty, tx and data: each tile's values row by row, 0 where the image ends or a value is null (T2, F26). One shuffle, by tile;
+    a task holds one tile, whose pixels go to their places."""
+    rows = cut(px, height, width, tile).select("img", "ty", "tx", (F.col("iy") * tile + F.col("ix")).cast("int").alias("_p"), F.col(value).alias("_v"))
+    kind = rows.schema["_v"].dataType
+    schema = T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in ("img", "ty", "tx")), T.StructField("data", T.ArrayType(kind))])
+
+    def filled(key, table):
+        values = table.column("_v").combine_chunks()
+        given = values.fill_null(0).to_numpy(zero_copy_only=False)
+        data = np.zeros(tile * tile, given.dtype)
+        data[table.column("_p").to_numpy()] = given
+        return pa.Table.from_arrays([*(pa.array([k.as_py()], k.type) for k in key), pa.ListArray.from_arrays(pa.array([0, len(data)], pa.int32()), pa.array(data, values.type))], ["img", "ty", "tx", "data"])
+
+    return rows.groupBy("img", "ty", "tx").applyInArrow(filled, schema)
 
 
 def pixels_of(tiles: DataFrame, height: int, width: int, tile: int) -> DataFrame:

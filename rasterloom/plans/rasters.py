@@ -190,10 +190,25 @@ def gradient_8bit(spark, sf_dir):
     return N.gradient_8bit(pixels(spark, sf_dir), "v")
 
 
-_ROCK = f"{_mirrored(N.SCHARR_X, 'g', 'g', 'gx', 'dx')}, {_mirrored(N.SCHARR_Y, 'g', 'g', 'gy', 'dy')}, {_mirrored({p: 1 for p in N.BOX}, 'b', name='bl')}"
+def _windows(name, source, outputs, carry=()):
+    """SQL of 3 x 3 stencils on columns of `source` in one pass: neighbours by lag and lead, mirrored at the edges."""
+    values = list(dict.fromkeys([v for v, _ in outputs.values()]))
+    around = lambda c, w: [f"coalesce(lag({c}) OVER {w}, lead({c}) OVER {w})", c, f"coalesce(lead({c}) OVER {w}, lag({c}) OVER {w})"]
+    row = ", ".join(f"{e} AS {v}_{i}" for v in values for i, e in enumerate(around(v, "r")))
+    square = ", ".join(f"{e} AS {v}_{j}{i}" for v in values for i in range(3) for j, e in enumerate(around(f"{v}_{i}", "c")))
+    sums = ", ".join(f"{' + '.join(f'{v}_{dy + 1}{dx + 1} * {w}' for (dy, dx), w in weights.items())} AS {out}" for out, (v, weights) in outputs.items())
+    kept = "".join(f", {c}" for c in carry)
+    return f"""{name}r AS (SELECT img, yy, xx{kept}, {row} FROM {source} WINDOW r AS (PARTITION BY img, yy ORDER BY xx)),
+{name}c AS (SELECT img, yy, xx{kept}, {square} FROM {name}r WINDOW c AS (PARTITION BY img, xx ORDER BY yy)), {name} AS (SELECT img, yy, xx{kept}, {sums} FROM {name}c)"""
 
 
-@query("rock_mask", f"WITH {PX}, {_GRAD}, {_ROCK} SELECT img, yy, xx, bl.b / 9.0 > 100 AND sqrt(gx * gx + gy * gy) < 40 AND floor(dx.g / 32) * 0.5 + floor(dy.g / 32) * 0.5 < 5 AS rock FROM bl JOIN g USING (img, yy, xx) JOIN dx USING (img, yy, xx) JOIN dy USING (img, yy, xx)")
+_ONES = {p: 1 for p in N.BOX}
+_DIVERGES = {"dx": ("gx", N.SCHARR_X), "dy": ("gy", N.SCHARR_Y)}
+_ROCK = f"""{_windows('s1', 'px', {'sx': ('v', N.SCHARR_X), 'sy': ('v', N.SCHARR_Y), 'b': ('v', _ONES)})}, s2 AS (SELECT img, yy, xx, floor(sx / 32)::BIGINT AS gx, floor(sy / 32)::BIGINT AS gy, b FROM s1),
+{_windows('s3', 's2', _DIVERGES, ('gx', 'gy', 'b'))}"""
+
+
+@query("rock_mask", f"WITH {PX}, {_ROCK} SELECT img, yy, xx, b / 9.0 > 100 AND sqrt(gx * gx + gy * gy) < 40 AND floor(dx / 32) * 0.5 + floor(dy / 32) * 0.5 < 5 AS rock FROM s3")
 def rock_mask(spark, sf_dir):
     return N.rock_mask(pixels(spark, sf_dir), "v", 5.0, 40.0, 100.0)
 
@@ -210,10 +225,10 @@ def hills(spark, sf_dir):
     return pixels(spark, sf_dir).select("img", "yy", "xx", (even + steep).cast("int").alias("v"))
 
 
-_MASKS = f"""{_mirrored({p: 1 for p in N.BOX}, 'b', 'fld', name='bl')}, b AS (SELECT img, yy, xx, floor(b / 9.0 + 0.5)::INTEGER AS v FROM bl),
-{_mirrored(N.SCHARR_X, 'g', 'b', name='sx')}, {_mirrored(N.SCHARR_Y, 'g', 'b', name='sy')}, g AS (SELECT img, yy, xx, floor(sx.g / 32)::BIGINT AS gx, floor(sy.g / 32)::BIGINT AS gy FROM sx JOIN sy USING (img, yy, xx)),
-{_mirrored(N.SCHARR_X, 'g', 'g', 'gx', 'dx')}, {_mirrored(N.SCHARR_Y, 'g', 'g', 'gy', 'dy')},
-r AS (SELECT img, yy, xx, b.v AS c, floor(sqrt(gx * gx + gy * gy)) AS m, round_even(floor(dx.g / 32) * 0.5 + floor(dy.g / 32) * 0.5, 0) AS d FROM b JOIN g USING (img, yy, xx) JOIN dx USING (img, yy, xx) JOIN dy USING (img, yy, xx))"""
+_MASKS = f"""{_windows('bl', 'fld', {'b': ('v', _ONES)})}, b AS (SELECT img, yy, xx, floor(b / 9.0 + 0.5)::INTEGER AS v FROM bl),
+{_windows('s1', 'b', {'sx': ('v', N.SCHARR_X), 'sy': ('v', N.SCHARR_Y)}, ('v',))}, s2 AS (SELECT img, yy, xx, v, floor(sx / 32)::BIGINT AS gx, floor(sy / 32)::BIGINT AS gy FROM s1),
+{_windows('s3', 's2', _DIVERGES, ('v', 'gx', 'gy'))},
+r AS (SELECT img, yy, xx, v AS c, floor(sqrt(gx * gx + gy * gy)) AS m, round_even(floor(dx / 32) * 0.5 + floor(dy / 32) * 0.5, 0) AS d FROM s3)"""
 
 
 @query("rock_masks", f"WITH {_HILLS}, {_MASKS} SELECT img, yy, xx, d <= -0.255 AND c > 5.1 AND m < 2.55 AS little, m < 25.5 AND c > 63.75 AS big FROM r")
