@@ -1,6 +1,7 @@
 """Regions of images. What needs a whole image at once runs grouped by image, on its pixels as an array.
 
-Such an image has to fit into a task's memory. components_by_tile labels larger ones tile by tile and joins the labels over the seams.
+Such an image has to fit into a task's memory. components_by_tile labels larger ones tile by tile and joins the labels over the seams;
+distances, basins and outlines of such images are in tiled.
 """
 
 from __future__ import annotations
@@ -334,10 +335,10 @@ def _stars(edges: DataFrame) -> DataFrame:
     return now
 
 
-def joined_over_seams(labels: DataFrame, tile: int) -> DataFrame:
+def joined_over_seams(labels: DataFrame, tile: int, straight: bool = False) -> DataFrame:
     """labels: img, yy, xx, label, where labels were given tile by tile and are unique in an image. The same with one label, the smallest, for
-    regions that touch over a seam (R4). Only pixels at seams enter the joins before the last."""
-    near = [(dy, dx) for dy, dx in _AROUND if (dy, dx) > (0, 0)]
+    regions that touch over a seam (R4), or that touch straight. Only pixels at seams enter the joins before the last."""
+    near = [(dy, dx) for dy, dx in (_STRAIGHT if straight else _AROUND) if (dy, dx) > (0, 0)]
     edge = labels.where((F.col("yy") % tile).isin(0, tile - 1) | (F.col("xx") % tile).isin(0, tile - 1))
     ask = edge.select("img", F.col("label").alias("a"), F.explode(F.array(*(F.struct((F.col("yy") + dy).alias("yy"), (F.col("xx") + dx).alias("xx")) for dy, dx in near))).alias("p")).select("img", "a", "p.yy", "p.xx")
     pairs = ask.join(edge.select("img", "yy", "xx", F.col("label").alias("b")), ["img", "yy", "xx"]).select("img", "a", "b")
@@ -345,14 +346,15 @@ def joined_over_seams(labels: DataFrame, tile: int) -> DataFrame:
     return labels.join(root, ["img", "label"], "left").select("img", "yy", "xx", F.coalesce("root", "label").alias("label"))
 
 
-def components_by_tile(px: DataFrame, mask: str, tile: int) -> DataFrame:
-    """What components gives, for images of any size (R4): a task holds one tile, and labels are joined over the seams."""
+def components_by_tile(px: DataFrame, mask: str, tile: int, straight: bool = False) -> DataFrame:
+    """What components gives, for images of any size (R4): a task holds one tile, and labels are joined over the seams. straight: regions
+    are connected by four neighbours instead of eight."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x, wide = int(pdf["yy"].min()), int(pdf["xx"].min()), int(pdf["_w"].iloc[0])
         part = np.zeros((int(pdf["yy"].max()) - y + 1, int(pdf["xx"].max()) - x + 1), bool)
         part[pdf["yy"] - y, pdf["xx"] - x] = pdf[mask]
-        label = label_array(part)
+        label = label_array(part, _STRAIGHT if straight else _AROUND)
         yy, xx = np.nonzero(label)
         first = label[yy, xx] - 1
         place = (first // part.shape[1] + y) * wide + first % part.shape[1] + x + 1
@@ -360,7 +362,7 @@ def components_by_tile(px: DataFrame, mask: str, tile: int) -> DataFrame:
 
     wide = px.groupBy("img").agg((F.max("xx") + 1).alias("_w"))  # a row an image
     rows = px.where(mask).select("img", "yy", "xx", mask, F.floor(F.col("yy") / tile).alias("_ty"), F.floor(F.col("xx") / tile).alias("_tx")).join(wide, "img")
-    return joined_over_seams(rows.groupBy("img", "_ty", "_tx").applyInPandas(one, "img int, yy long, xx long, label long"), tile)
+    return joined_over_seams(rows.groupBy("img", "_ty", "_tx").applyInPandas(one, "img int, yy long, xx long, label long"), tile, straight)
 
 
 def rock_instances(px: DataFrame, value: str, k: int = 5, cut: float = 0.5) -> DataFrame:
@@ -383,33 +385,42 @@ def merged_scales(fine: DataFrame, coarse: DataFrame) -> DataFrame:
     return rows.select("img", "yy", "xx", F.when(F.col("big") > 0, F.col("big")).when(F.col("gone").isNull() & (F.col("small") > 0), -F.col("small")).otherwise(0).alias("rock"))
 
 
-def _marked(rows: DataFrame, core: str, unknown) -> DataFrame:
+def _marked(rows: DataFrame, core: str, unknown, tile: int | None = None) -> DataFrame:
     """rows with _marker: 1 for background, higher numbers for the regions of core, 0 where unknown holds outside of them."""
-    found = rows.join(components(rows, core), ["img", "yy", "xx"], "left")
+    found = rows.join(components(rows, core) if tile is None else components_by_tile(rows, core, tile), ["img", "yy", "xx"], "left")
     return found.withColumn("_marker", F.coalesce(F.col("label") + 1, F.when(unknown, 0).otherwise(1))).drop("label")
 
 
-def production_rocks(px: DataFrame, p: str) -> DataFrame:
+def _basins(rows: DataFrame, value: str, marker: str, tile: int | None) -> DataFrame:
+    if tile is None:
+        return watershed_by_difference(rows, value, marker)
+    from rasterloom.operators.tiled import watershed_by_tile
+
+    return watershed_by_tile(rows, value, marker, tile, by="difference", lines=True, rim=True)
+
+
+def production_rocks(px: DataFrame, p: str, tile: int | None = None) -> DataFrame:
     """img, yy, xx, basin and probable of a field of probabilities from 0 to 1 (R6): basins grown from the cores of rock_cores.
 
     basin: 1 for background, higher for each rock, -1 on lines between; probable: more than 0.3. What lies right outside a core is left
-    to the flood, everything else outside is background.
+    to the flood, everything else outside is background. tile: images of any size, by tiles of this size; basins are then those of the least
+    spanning forest, which differ from the flood's where passes are equal and along lines.
     """
     from rasterloom.operators.stencils import LAPLACIAN, SELF, extreme, rock_cores, stencils
 
     field = px.select("img", "yy", "xx", F.floor(F.col(p) * 255).cast("int").alias("_f"))
     cores = rock_cores(field, "_f").withColumn("_c", F.col("core").cast("int") * 255)
     lap = extreme(stencils(cores, {"_lap": ("_c", LAPLACIAN), "_v": ("_c", SELF), "_f": ("_f", SELF)}), "_lap", 3, False, "_min")
-    rows = _marked(lap.withColumn("_core", F.col("_v") > 0), "_core", (F.col("_min") < 0) & (F.col("_lap") > 0))
-    basins = watershed_by_difference(rows, "_f", "_marker")
+    rows = _marked(lap.withColumn("_core", F.col("_v") > 0), "_core", (F.col("_min") < 0) & (F.col("_lap") > 0), tile)
+    basins = _basins(rows, "_f", "_marker", tile)
     return basins.join(field, ["img", "yy", "xx"]).select("img", "yy", "xx", "basin", (F.col("_f") > 255 * 0.3).alias("probable"))
 
 
-def two_scale_rocks(fine: DataFrame, coarse: DataFrame, p: str) -> DataFrame:
+def two_scale_rocks(fine: DataFrame, coarse: DataFrame, p: str, tile: int | None = None) -> DataFrame:
     """img, yy, xx and rock from the probabilities at two scales, both on the pixels of the fine one.
 
     Cores are big rocks of either scale and the little ones of the fine scale that the coarse one doesn't touch; basins grow from them
-    within what either scale holds possible, more than 0.05.
+    within what either scale holds possible, more than 0.05. tile: as for production_rocks.
     """
     from rasterloom.operators.stencils import rock_masks
 
@@ -422,5 +433,5 @@ def two_scale_rocks(fine: DataFrame, coarse: DataFrame, p: str) -> DataFrame:
     possible = (F.col("_a") > 0.05 * 255) | (F.col("_b") > 0.05 * 255)
     core = (F.col("_la") & (F.col("_b") <= 0.02 * 255)) | F.col("_ba") | F.col("_bb")
     rows = rows.select(*at, core.alias("_core"), (possible.cast("int") * 255).alias("_p"))
-    basins = watershed_by_difference(_marked(rows, "_core", F.col("_p") > 0), "_p", "_marker")
+    basins = _basins(_marked(rows, "_core", F.col("_p") > 0, tile), "_p", "_marker", tile)
     return basins.select(*at, (F.col("basin") > 1).alias("rock"))

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from rasterloom.operators import annotations as A
-from rasterloom.operators import jsondiff, metrics
+from rasterloom.operators import jsondiff, metrics, tiled
 from rasterloom.operators import regions as R
 from rasterloom.plans.rasters import hills
 from rasterloom.plans.registry import Registry, shared_folder, table
@@ -108,15 +108,36 @@ def distance(spark, sf_dir):
     return rounded(R.distances(_set(spark, sf_dir), "s"), "d")
 
 
-@query("mask_to_distance", f"WITH RECURSIVE {_SET}, {_DIST}, {_LABELS}, t AS (SELECT d.*, l.label, max(d) OVER (PARTITION BY d.img, l.label) AS top FROM d LEFT JOIN l USING (img, yy, xx)) SELECT img, yy, xx, round(CASE WHEN label IS NULL THEN 0 ELSE d / top END, 6) AS share FROM t")
+@query("distance_tiled", f"WITH {_SET}, {_DIST} SELECT img, yy, xx, round(d, 6) AS d FROM d")
+def distance_tiled(spark, sf_dir):
+    return rounded(tiled.distances_by_tile(_set(spark, sf_dir), "s", 20), "d")
+
+
+_SHARE = f"WITH RECURSIVE {_SET}, {_DIST}, {_LABELS}, t AS (SELECT d.*, l.label, max(d) OVER (PARTITION BY d.img, l.label) AS top FROM d LEFT JOIN l USING (img, yy, xx)) SELECT img, yy, xx, round(CASE WHEN label IS NULL THEN 0 ELSE d / top END, 6) AS share FROM t"
+
+
+@query("mask_to_distance_tiled", _SHARE)
+def mask_to_distance_tiled(spark, sf_dir):
+    return rounded(tiled.mask_to_distance_by_tile(_set(spark, sf_dir), "s", 20), "share")
+
+
+@query("mask_to_distance", _SHARE)
 def mask_to_distance(spark, sf_dir):
     return rounded(R.mask_to_distance(_set(spark, sf_dir), "s"), "share")
 
 
+def _marked(spark, sf_dir):
+    return pixels(spark, sf_dir).withColumn("m", F.when((F.col("yy") % 12 == 6) & (F.col("xx") % 16 == 8), F.floor(F.col("yy") / 12) * 4 + F.floor(F.col("xx") / 16) + 1).otherwise(0))
+
+
 @query("watershed")
 def watershed(spark, sf_dir):
-    px = pixels(spark, sf_dir).withColumn("m", F.when((F.col("yy") % 12 == 6) & (F.col("xx") % 16 == 8), F.floor(F.col("yy") / 12) * 4 + F.floor(F.col("xx") / 16) + 1).otherwise(0))
-    return R.watershed(px, "v", "m")
+    return R.watershed(_marked(spark, sf_dir), "v", "m")
+
+
+@query("watershed_tiled")
+def watershed_tiled(spark, sf_dir):
+    return tiled.watershed_by_tile(_marked(spark, sf_dir), "v", "m", 20)
 
 
 @query("contours")
@@ -124,6 +145,11 @@ def contours(spark, sf_dir):
     return R.contours(_set(spark, sf_dir), "s")
 
 
+@query("contours_tiled")
+def contours_tiled(spark, sf_dir):
+    return tiled.contours_by_tile(_set(spark, sf_dir), "s", 20)
+
+
 @query("simplify")
 def simplify(spark, sf_dir):
     return R.simplify(R.contours(_set(spark, sf_dir), "s"), 1.0)
@@ -158,6 +184,17 @@ def rock_production(spark, sf_dir):
     return R.production_rocks(_chances(spark, sf_dir), "p")
 
 
+@query("rock_production_tiled")
+def rock_production_tiled(spark, sf_dir):
+    return R.production_rocks(_chances(spark, sf_dir), "p", tile=20)
+
+
+@query("rock_scales_tiled")
+def rock_scales_tiled(spark, sf_dir):
+    coarse = _field(spark, sf_dir, 6.0).withColumn("p", F.col("p") * 0.8)
+    return R.two_scale_rocks(_chances(spark, sf_dir), coarse, "p", tile=20)
+
+
 @query("rock_scales")
 def rock_scales(spark, sf_dir):
     coarse = _field(spark, sf_dir, 6.0).withColumn("p", F.col("p") * 0.8)
@@ -171,6 +208,13 @@ def contour_tree(spark, sf_dir):
     return A.inner_first(shapes).select("img", "id", "parent", "hole", "has_child", "turn", "points")
 
 
+@query("contour_tree_tiled")
+def contour_tree_tiled(spark, sf_dir):
+    """What contour_tree gives, from tiles."""
+    shapes = tiled.contour_tree_by_tile(hills(spark, sf_dir).withColumn("s", F.col("v") > 60), "s", 20, inverse=True)
+    return A.inner_first(shapes).select("img", "id", "parent", "hole", "has_child", "turn", "points")
+
+
 _CONF = "c AS (SELECT l_returnflag, sum((l_quantity > 25 AND l_discount > 0.05)::INTEGER) AS tp, sum((l_quantity > 25 AND l_discount <= 0.05)::INTEGER) AS fp, sum((l_quantity <= 25 AND l_discount > 0.05)::INTEGER) AS fn FROM lineitem GROUP BY 1)"
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterloom.operators.staging import shared_folder as shared_folder
+
 
 class Registry:
     """@registry(name, sql) puts a function of (spark, sf_dir) under a name."""
@@ -24,11 +26,3 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that all executors share; a local one only on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.conf.get("spark.master", "").split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-    return (found or "/tmp/checkpoints").rstrip("/")
