@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise, partitions, text_batches
@@ -31,6 +32,10 @@ _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar "
     "nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar comment comments disqus discussion replies share sharing social related recommended widget pagination pager toolbar skip".split()
 )
+#: Words that stand beside those without changing what they say.
+_NEUTRAL = frozenset("area bar block body box button buttons container content float group inner item items label links list listing outer panel post posts row section slot top bottom unit wrap wrapper".split())
+#: Marks that articles have sections of, too.
+_EITHER = frozenset("consent discussion navigation notice notices promotion recommended related replies".split())
 #: What follows these says how a page is laid out, not what an element is.
 _ABOUT = ("has-", "no-", "with-", "without-")
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -39,25 +44,33 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"
 _PART = re.compile(r"[a-z]+")
 
 
-def _aside(name: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element stands beside the article."""
+def _aside(name: str, attributes: str, in_main: bool) -> int:
+    """2 if an element stands beside the article, 1 if that is in doubt, else 0.
+
+    Outside an article one word of a class or id is enough. Inside, all of its words have to be marks or neutral; other names that
+    hold a mark (share-price, related-work), and marks that are sections of articles too, leave it in doubt.
+    """
     if name in _OTHER or name == "header" and not in_main:
-        return True
-    if not attributes:
-        return False
-    for key, *values in _ATTRIBUTE.findall(attributes):
+        return 2
+    doubt = 0
+    for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), next((v for v in values if v), "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES:
-            return True
+            return 2
         if key in ("class", "id") and name not in ("html", "body", "main"):
-            own = (p for token in value.split() if not token.startswith(_ABOUT) for p in _PART.findall(token))
-            if any(p in _MARKS or p == "header" and not in_main for p in own):
-                return True
-    return False
+            for token in value.split():
+                own = [] if token.startswith(_ABOUT) else _PART.findall(token)
+                marks = [p for p in own if p in _MARKS or p == "header" and not in_main]
+                if not marks:
+                    continue
+                if not in_main or all(p in marks or p in _NEUTRAL for p in own) and not all(p in _EITHER for p in marks):
+                    return 2
+                doubt = 1
+    return doubt
 
 
 def blocks(page: str) -> tuple[list[str], list[int]]:
-    """The text blocks of a page in order, and of each 2 if it stands in an article, 0 if beside it, else 1."""
+    """The text blocks of a page in order, and of each 2 if it stands in an article, 0 if beside it, else 1; in an article, 1 if that is in doubt."""
     texts: list[str] = []
     kinds: list[int] = []
     text: list[str] = []
@@ -118,10 +131,11 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
             leave(i)
         if attributes.endswith("/") and name not in _BLOCKS:
             continue
-        if kind == 0 and name != "main" or _aside(name, attributes, mains > 0):
-            inside = 0
-        elif name == "head":
+        beside = _aside(name, attributes, mains > 0)
+        if kind == 0 and name != "main" or beside == 2 or name == "head":
             inside = 0
+        elif mains and (beside or kind == 1):
+            inside = 1
         else:
             inside = 2 if mains or name in _MAIN or "main" in re.findall(r"role\s*=\s*[\"']?(\w+)", attributes) else 1
         mains += inside == 2 and (name in _MAIN or not mains)
@@ -163,17 +177,27 @@ def shared(a: list[int], b: list[int]) -> list[bool]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parsed pages: hashes of all blocks; the text where the page itself decides, else its blocks and their kinds."""
     for batch in batches:
-        hashes, texts, kinds = [], [], []
+        hashes, texts, kinds, decided = [], [], [], []
         for page in batch.column(3).to_pylist():
             own, kind = blocks(page or "")
             hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t in own])
-            texts.append([t if k else None for t, k in zip(own, kind, strict=True)])
-            kinds.append(kind)
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], ["k", "page_id", "url", "hashes", "texts", "kinds"])
+            open_ = 1 in kind
+            decided.append(None if open_ else " ".join(t for t, k in zip(own, kind, strict=True) if k == 2))
+            texts.append([t if k else None for t, k in zip(own, kind, strict=True)] if open_ else None)
+            kinds.append(kind if open_ else None)
+        columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())), pa.array(decided, pa.string())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["k", "page_id", "url", "hashes", "texts", "kinds", "text"])
 
 
-_NEAR = pa.schema([("host", pa.string()), ("path", pa.string()), ("k", pa.int64()), ("other", pa.int64()), ("alike", pa.int32()), ("edge", pa.bool_())])
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their partition and their place in it."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int64()), pa.array(range(at, at + n), pa.int64())], [*batch.schema.names, "part", "at"])
+        at += n
 
 
 def _alike(x: str, y: str) -> int:
@@ -181,77 +205,83 @@ def _alike(x: str, y: str) -> int:
     return next((i for i in range(n) if x[i] != y[i]), n)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows host, path, k in order. Each with the row before it and the row after it, if of the same host, and how much
-    of the path both begin with; the one before counts half a character more. The first and the last row are edges."""
-
-    def out(pairs: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], f.type) for i, f in enumerate(_NEAR)], schema=_NEAR)
-
-    def pair(now: tuple, other: tuple | None, later: bool, edge: bool) -> list[tuple]:
-        if other is not None and other[0] == now[0]:
-            return [(*now, other[2], 2 * _alike(now[1], other[1]) + (not later), edge)]
-        return [(*now, None, -1, True)] if edge else []
-
-    before = now = None
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How much of the path both pages of a pair begin with."""
     for batch in batches:
-        found = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if now is not None:
-                found += pair(now, before, False, before is None) + pair(now, row, True, False)
-            before, now = now, row
-        yield out(found)
-    if now is not None:
-        yield out(pair(now, before, False, True) + pair(now, None, True, True))
+        alike = [_alike(a, b) for a, b in zip(batch.column("path").to_pylist(), batch.column("other_path").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("other"), batch.column("gap"), pa.array(alike, pa.int32())], ["k", "other", "gap", "alike"])
 
 
 def _without_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for hashes, texts, kinds, other in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-            common = shared(hashes, other) if other else [False] * len(hashes)
-            article = [c for k, c in zip(kinds, common, strict=True) if k == 2]
-            if 2 * sum(article) > len(article):  # the neighbour has this article too, so what both have may be part of it
-                common = [False] * len(hashes)
-            kept = [t for t, k, c in zip(texts, kinds, common, strict=True) if k == 2 or k == 1 and not c]
-            if not kept:  # nothing tells this page from its neighbour
+        for hashes, texts, kinds, others in zip(*(batch.column(c).to_pylist() for c in ("hashes", "texts", "kinds", "others")), strict=True):
+            votes, counted = [0] * len(hashes), 0
+            for other in others or []:
+                common = shared(hashes, other)
+                article = [c for k, c in zip(kinds, common, strict=True) if k == 2]
+                if 2 * sum(article) > len(article):  # the neighbour has this article too, so what both have may be part of it
+                    continue
+                counted += 1
+                votes = [v + c for v, c in zip(votes, common, strict=True)]
+            furniture = [counted > 0 and 2 * v >= counted for v in votes]
+            kept = [t for t, k, c in zip(texts, kinds, furniture, strict=True) if k == 2 or k == 1 and not c]
+            if not kept:  # nothing tells this page from its neighbours
                 kept = [t for t, k in zip(texts, kinds, strict=True) if k == 1]
             out.append(" ".join(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+
+#: Neighbours that a page is compared with, of those so many places before and after it in the order of paths.
+NEAREST, PLACES = 3, 2
 
 
 def main_text(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """page_id, url and text (the main text) of every row of pages.
 
-    Pages are put in order of host and path and paired with the neighbour whose path begins most alike. The text blocks
-    of both are aligned by their longest common subsequence, and shared blocks are deleted. Two guards make the result
-    right where differencing alone isn't: blocks inside an article or main element stay, though the neighbour be a copy;
-    and blocks that the page marks as menu, header, footer, sidebar, notice, advert, form or comment go, though no
-    neighbour have them. What is neither, on pages with an article too, stays unless it is shared. A page that shares all
-    its blocks or most of its article's, or whose host has no other page, keeps all that isn't so marked.
-
-    Order is dealt by range of host, path and row, so a host with a third of all pages is split; what lies at the borders
-    of ranges is paired afterwards, so the result doesn't depend on them. Null or empty html gives an empty text; a null url is a host of its own.
-    Repeated rows are each given; empty tables give empty results; other columns aren't read.
+    Pages are put in order of host and path, and each is paired with the NEAREST of its neighbours by the beginning of their paths. The text
+    blocks of both are aligned by their longest common subsequence; a block that at least half of the neighbours share is deleted. Two
+    guards make the result right where differencing alone isn't: blocks that stand in an article or main element without a mark
+    stay, though the neighbours have them; and blocks that the page itself marks as menu, header, footer, sidebar, notice, advert,
+    form or comment go, though no neighbour has them. Differencing decides on the rest: what is outside of articles and unmarked, and what in an
+    article has a name that may be such a mark. Neighbours that have most of the page's article are copies of it and have no vote. A page
+    of which nothing would be left, or that has no neighbour with a vote, keeps all that isn't marked.
+
+    Pages are parsed once. Those that decide all by themselves are done then; of the others the blocks move, and of their neighbours hashes. Order is
+    dealt by range of host, path and row, so a host with a third of all pages is split, and places are counted over the ranges. Null or
+    empty html gives an empty text; a null url is a host of its own. Repeated rows are one page among the neighbours and are each given; empty tables
+    give empty results; other columns aren't read.
     """
-    text_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    text_batches(spark)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     k = F.xxhash64(F.col(id_col).cast("long"), url, F.col(html_col).cast("string"))
     rows = pages.select(k.alias("k"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    lines = rows.mapInArrow(_lines, "k long, page_id long, url string, hashes array<long>, texts array<string>, kinds array<int>")
+    lines = materialise(rows.mapInArrow(_lines, "k long, page_id long, url string, hashes array<long>, texts array<string>, kinds array<int>, text string"))
+    done, left = lines.where("text is not null").select("page_id", "url", "text"), lines.where("text is null")
+    if left.isEmpty():
+        return done
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)", 1)
-    places = rows.select(host.alias("host"), path.alias("path"), "k").distinct()
+    places = lines.select(host.alias("host"), path.alias("path"), "k").distinct()
     order = ["host", "path", "k"]
-    kind = "host string, path string, k long, other long, alike int, edge boolean"
-    near = materialise(places.repartitionByRange(partitions(pages.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, kind))
-    # the first and last row of each task's range, a few rows a task, are paired over the borders of ranges
-    edges = near.where("edge").select(*order).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours, kind)
-    best = near.union(edges).where("other is not null").groupBy("k").agg(F.max_by("other", F.struct("alike", "other")).alias("other"))
-    known = lines.select(F.col("k").alias("other"), "hashes").groupBy("other").agg(F.first("hashes").alias("other_hashes"))
-    pairs = best.join(known, "other").select("k", "other_hashes")
-    both = lines.join(pairs, "k", "left").select("page_id", "url", "hashes", "texts", "kinds", "other_hashes")
-    return both.mapInArrow(_without_shared, "page_id long, url string, text string")
+    placed = materialise(places.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_numbered, "host string, path string, k long, part long, at long"))
+    sizes, before = sorted(placed.groupBy("part").count().collect()), 0  # a row a partition
+    starts = []
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    placed = placed.join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part").select("host", "path", "k", (F.col("start") + F.col("at")).alias("place"))
+    asked = placed.join(left.select("k").distinct(), "k", "left_semi").withColumn("gap", F.explode(F.array(*(F.lit(g) for g in range(-PLACES, PLACES + 1) if g))))
+    asked = asked.withColumn("place", F.col("place") + F.col("gap"))
+    others = placed.select("host", "place", F.col("path").alias("other_path"), F.col("k").alias("other"))
+    pairs = asked.join(others, ["host", "place"]).select("k", "path", "other", "other_path", "gap").mapInArrow(_likeness, "k long, other long, gap int, alike int")
+    best = Window.partitionBy("k").orderBy(F.col("alike").desc(), F.abs("gap"), "gap")
+    pairs = pairs.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= NEAREST).select("k", "other")
+    known = lines.select(F.col("k").alias("other"), "hashes").groupBy("other").agg(F.first("hashes").alias("hashes"))
+    known = pairs.join(known, "other").groupBy("k").agg(F.collect_list("hashes").alias("others"))  # NEAREST at most
+    both = left.join(known, "k", "left").select("page_id", "url", "hashes", "texts", "kinds", "others")
+    return done.union(both.mapInArrow(_without_shared, "page_id long, url string, text string"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

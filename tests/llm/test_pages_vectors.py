@@ -2,6 +2,9 @@
 
 import gzip
 import hashlib
+import os
+import random
+import re
 
 import numpy as np
 import pytest
@@ -57,6 +60,59 @@ def test_differencing_beside_an_article(spark):
     assert found == {1: "Head one one one more", 2: "Head two two two more", 3: copy, 4: copy, 5: "Menu Head five five five more Imprint"}
 
 
+def test_names_in_an_article():
+    """Names that only hold a mark leave it to the neighbours; outside of articles, and where all words are marks or neutral, they don't."""
+    page = "<article><p class='share-price'>a</p><p class='notice-of-motion'>b</p><div class='related-work'><p>c</div><section id=discussion><p>d</section><div class='ad-box'>e</div><div id='comments'>f</div><p>g</article><div class='share-price'>h</div>"
+    assert op7_html.blocks(page) == (list("abcdefgh"), [1, 1, 1, 1, 0, 0, 2, 0])
+
+
+def text_by_hand(data):
+    """The whole query, page by page: data are (page_id, url, html) of different rows, each a page of its own."""
+    parts = lambda u: ((m := re.match(r"[a-zA-Z][\w+.-]*://([^/?#]*)([^?#]*)", u or "")) and (m[1].lower(), m[2])) or ("", "")
+    order = sorted(range(len(data)), key=lambda i: parts(data[i][1]))
+    out = {}
+    for at, i in enumerate(order):
+        host, path = parts(data[i][1])
+        texts, kinds = op7_html.blocks(data[i][2] or "")
+        near = []
+        for gap in (-2, -1, 1, 2):
+            if 0 <= at + gap < len(order) and parts(data[order[at + gap]][1])[0] == host:
+                near.append((-len(os.path.commonprefix([path, parts(data[order[at + gap]][1])[1]])), abs(gap), gap, order[at + gap]))
+        votes, counted = [0] * len(texts), 0
+        for *_, j in sorted(near)[:3]:
+            common = op7_html.shared(list(map(hash, texts)), list(map(hash, op7_html.blocks(data[j][2] or "")[0])))
+            article = [c for c, k in zip(common, kinds) if k == 2]
+            if 2 * sum(article) <= len(article):
+                counted, votes = counted + 1, [v + c for v, c in zip(votes, common)]
+        kept = [t for t, k, v in zip(texts, kinds, votes) if k == 2 or k == 1 and not (counted and 2 * v >= counted)]
+        out[data[i][0]] = " ".join(kept or [t for t, k in zip(texts, kinds) if k == 1])
+    return out
+
+
+@pytest.mark.parametrize("spread", [1, 9])
+def test_whole_extraction(spark, monkeypatch, spread):
+    """Pages of several hosts, on which differencing decides in and beside articles, against a plain version."""
+    monkeypatch.setattr(op7_html, "partitions", lambda s: spread)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefg", k=6))
+    data = []
+    for host in ("a.org", "b.org", "B.org", "c.org"):
+        menu, teaser, legal = ([word() for _ in range(n)] for n in (5, 3, 2))
+        for i in range(rng.choice([1, 2, 14])):
+            own = [word() for _ in range(4)] if i % 5 else ["copied"] * 4
+            head = "".join(f"<div>{m}</div>" for m in (menu if i % 4 else menu[:2]))
+            side = "".join(f"<div class='related-work'>{t}</div>" for t in (teaser if i % 3 else [word()]))
+            tail = "".join(f"<span class='share-price'>{t}</span><br>" for t in rng.sample(legal, 1))
+            body = f"<p>{own[0]}<p>{own[1]}{side}<p>{own[2]}{tail}<p>{own[3]}"
+            data.append((len(data), f"http://{host}/{rng.choice(['x', 'y/z', ''])}/{len(data)}?q={i}", f"<body>{head}<article>{body}</article><div>{legal[0]}</div>" if i % 7 else f"<body>{head}<div>{own[0]}</div>"))
+    data += [(len(data), None, None), (len(data) + 1, "no url", "<p>plain")]
+    want = text_by_hand(data)
+    found = {r.page_id: r.text for r in op7_html.main_text(spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)).collect()}
+    assert found == want
+    everything = {i: " ".join(t for t, k in zip(*op7_html.blocks(h or "")) if k) for i, _, h in data}
+    assert sum(found[i] != everything[i] for i in found) > 10  # what differencing changes
+
+
 def test_repeated_pages(spark):
     pages = spark.createDataFrame([(1, "http://h.org/a", PAGE)] * 3 + [(None, "http://h.org/b", PAGE)], "page_id long, url string, html string")
     assert [r.text for r in op7_html.main_text(pages).collect()] == ["A & B First bold text next Second <tag> é"] * 4
