@@ -5,14 +5,18 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import urllib.parse
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.llm.components import components
 from rasterloom.llm.common import materialise, shared_folder, text_batches
 
 #: A volume is closed when it holds so many bytes; one larger record has a volume of its own.
@@ -23,6 +27,9 @@ LEAST_REVISIT = 100
 _VERSION = "WARC/1.1"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
+#: How volumes written here name themselves; in them, and in no others, URIs are percent-encoded once more.
+_SOFTWARE = "rasterloom"
+_MAIN = ("response", "revisit")
 
 
 def _record(kind: str, name: str, headers: list[tuple[str, str]], body: bytes, media: str, date: str) -> bytes:
@@ -41,15 +48,8 @@ def _header(value: str) -> str:
 
 
 def _plain(value: str) -> str:
-    out, at, data = bytearray(), 0, value.encode()
-    while at < len(data):
-        if data[at : at + 1] == b"%":
-            out.append(int(data[at + 1 : at + 3], 16))
-            at += 3
-        else:
-            out.append(data[at])
-            at += 1
-    return out.decode()
+    """What _header was given."""
+    return urllib.parse.unquote(value, errors="strict")
 
 
 def _named(digest: str) -> str:
@@ -63,7 +63,7 @@ def _volumes(date: str):
         new = lambda: f"urn:uuid:{uuid.uuid4()}"
 
         def out() -> pa.RecordBatch:
-            about = _record("warcinfo", new(), [], _fields({"software": "rasterloom", "format": "WARC File Format 1.1"}), "application/warc-fields", date)
+            about = _record("warcinfo", new(), [], _fields({"software": _SOFTWARE, "format": "WARC File Format 1.1"}), "application/warc-fields", date)
             return pa.RecordBatch.from_arrays([pa.array([b"".join([about, *held])], pa.binary())], ["value"])
 
         for batch in batches:
@@ -119,11 +119,11 @@ def write(pages: DataFrame, path: str, *, id_col="page_id", url_col="url", html_
     volumes.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").mode("overwrite").text(path)
 
 
-_CAPTURE = "record_id string, concurrent_to string, kind string, target string, headers map<string,string>, payload binary, payload_bytes long, payload_digest string"
+_CAPTURE = "no long, record_id string, concurrent_to array<string>, kind string, target string, refers_to string, line string, facts map<string,string>, payload binary, payload_bytes long, payload_digest string"
 
 
-def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and body of each record of an archive, read one after another."""
+def records(stream: BinaryIO) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """Headers (names in lower case, all values of each) and body of each record of an archive, read one after another."""
     while True:
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
@@ -132,52 +132,103 @@ def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             return
         if not line.startswith(b"WARC/"):
             raise ValueError("a WARC record doesn't begin where the one before it ends")
-        headers: dict[str, str] = {}
+        headers: dict[str, list[str]] = {}
         key = None
         while (line := stream.readline()).rstrip(b"\r\n"):
-            text = line.decode().rstrip("\r\n")
+            text = line.decode(errors="replace").rstrip("\r\n")
             if text[0] in " \t" and key:  # a header goes on
-                headers[key] += " " + text.strip()
+                headers[key][-1] += " " + text.strip()
             else:
                 key, _, value = text.partition(":")
-                headers[key] = value.strip()
-        names = {k.lower(): k for k in headers}
-        size = int(headers[names["content-length"]])
+                key = key.strip().lower()
+                headers.setdefault(key, []).append(value.strip())
+        size = int(headers["content-length"][0])
         body = stream.read(size)
         if len(body) != size or stream.readline().strip():
             raise ValueError("a WARC record's length is wrong")
         yield headers, body
 
 
+def unchunked(body: bytes) -> bytes | None:
+    """A body sent in chunks, as one; None if it isn't in chunks from its beginning to its end."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end > at else -1
+        except ValueError:
+            return None
+        if size < 0 or end + 2 + size > len(body):
+            return None
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size
+        if body[at : at + 2] != b"\r\n":
+            return None
+        at += 2
+
+
+def entity(message: bytes) -> tuple[bytes, list[bytes]]:
+    """The payload of an HTTP message, and the forms of it that a digest may have been taken of: as it stands, without chunks, and
+    decompressed. Where a header names a coding that the body doesn't have, as many archives do, the body stays as it is."""
+    head, found, body = message.partition(_END)
+    if not found:
+        return b"", [b""]
+    fields = dict((k.strip().lower(), v.strip().lower()) for k, _, v in (line.partition(b":") for line in head.split(b"\r\n")[1:]))
+    forms = [body]
+    if b"chunked" in fields.get(b"transfer-encoding", b"") and (whole := unchunked(body)) is not None:
+        forms.append(whole)
+    if (coding := fields.get(b"content-encoding")) in (b"gzip", b"x-gzip", b"deflate"):
+        for bits in (47,) if coding != b"deflate" else (15, -15):
+            try:
+                forms.append(zlib.decompressobj(bits).decompress(forms[-1]))
+                break
+            except zlib.error:
+                continue
+    return forms[-1], forms
+
+
 def _parse(keep_payload: bool):
-    names = ["record_id", "concurrent_to", "kind", "target", "headers", "payload", "payload_bytes", "payload_digest"]
-    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
+    names = [f.split()[0] for f in _CAPTURE.split(", ")]
+    types = [pa.int64(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 4, pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = TaskContext.get().partitionId() << 33
         for batch in batches:
             for content in batch.column(0):
                 data = io.BytesIO(content.as_py())
                 stream = io.BufferedReader(gzip.GzipFile(fileobj=data)) if data.getvalue()[:2] == b"\x1f\x8b" else data  # all members, one after another
-                rows, size = [], 0
+                rows, size, own = [], 0, False
                 for headers, body in records(stream):
-                    kind, payload, digest = headers["WARC-Type"], None, None
-                    stated = headers.get("WARC-Payload-Digest", "")
+                    header = lambda k, headers=headers: headers.get(k, [""])[0]
+                    kind, payload, digest, line, facts = header("warc-type").lower(), None, None, None, None
+                    stated = header("warc-payload-digest")
+                    if kind == "warcinfo":
+                        own = f"software: {_SOFTWARE}\r\n".encode() in body
                     if kind == "response":
-                        payload = body[body.index(_END) + 4 :] if _END in body else b""
+                        payload, forms = entity(body)
                         digest = hashlib.sha256(payload).hexdigest()
-                        if stated.startswith("sha256:") and stated != f"sha256:{digest}":
+                        if stated.startswith("sha256:") and stated[7:].lower() not in {digest, *(hashlib.sha256(f).hexdigest() for f in forms[:-1])} and len(stated) == 71:
                             raise ValueError("a payload doesn't have its digest")
                     elif kind == "revisit":
                         digest = stated.removeprefix("sha256:") or None
-                    elif kind in ("metadata", "request"):
-                        facts = body.decode(errors="replace").split("\r\n")
-                        headers |= dict(x.split(": ", 1) for x in facts if ": " in x) if kind == "metadata" else {"request": facts[0]}
+                    elif kind == "metadata":
+                        facts = [tuple(x.split(": ", 1)) for x in body.decode(errors="replace").split("\r\n") if ": " in x]
+                        facts = list(dict(facts).items())
+                    elif kind == "request":
+                        line = body.split(b"\r\n", 1)[0].decode(errors="replace")
                     else:
                         continue
-                    rows.append((headers["WARC-Record-ID"][1:-1], headers.get("WARC-Concurrent-To", "<>")[1:-1] or None, kind, _plain(headers.get("WARC-Target-URI", "")), list(headers.items()), payload if keep_payload else None, None if payload is None else len(payload), digest))
+                    target = header("warc-target-uri")
+                    target = _plain(target) if own else target[1:-1] if target[:1] + target[-1:] == "<>" else target
+                    bare = lambda x: x.strip().removeprefix("<").removesuffix(">")
+                    to = sorted({bare(x) for x in headers.get("warc-concurrent-to", []) if bare(x)})
+                    rows.append((no, bare(header("warc-record-id")), to, kind, target, header("warc-refers-to") or None, line, facts, payload if keep_payload else None, None if payload is None else len(payload), digest))
+                    no += 1
                     size += len(body) if keep_payload else 500
                     if len(rows) >= 1000 or size > 4_000_000:
                         yield batch_of(rows)
@@ -188,24 +239,51 @@ def _parse(keep_payload: bool):
     return fn
 
 
+def _captures(found: DataFrame) -> DataFrame:
+    """record_id and capture_id of requests and metadata: the response or revisit that they name or that names them, or else one that
+    a chain of concurrent records of any length leads to."""
+    main, rest = found.where(F.col("kind").isin(*_MAIN)), found.where(~F.col("kind").isin(*_MAIN))
+    links = found.select("record_id", F.explode("concurrent_to").alias("to"))
+    ids = main.select(F.col("record_id").alias("capture_id"))
+    named = links.join(ids, F.col("to") == F.col("capture_id")).select("record_id", "capture_id")
+    naming = links.join(ids, F.col("record_id") == F.col("capture_id")).select(F.col("to").alias("record_id"), "capture_id")
+    direct = named.union(naming).distinct()
+    lost = rest.select("record_id").join(direct, "record_id", "left_anti")
+    if lost.isEmpty():
+        return direct
+    numbers = found.groupBy("record_id").agg(F.min("no").alias("no"), F.max(F.col("kind").isin(*_MAIN)).alias("main"))
+    edges = links.join(numbers.select("record_id", F.col("no").alias("a")), "record_id").join(numbers.select(F.col("record_id").alias("to"), F.col("no").alias("b")), "to").select("a", "b")
+    group = components(edges).withColumnsRenamed({"node": "no", "component": "group"})
+    placed = materialise(numbers.join(group, "no", "left").select("record_id", "main", F.coalesce("group", "no").alias("group")))
+    heads = placed.where("main").groupBy("group").agg(F.min("record_id").alias("capture_id"))
+    return direct.union(placed.join(lost, "record_id", "left_semi").join(heads, "group").select("record_id", "capture_id"))
+
+
 def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """One nested row for each capture in the archives under `path`: capture_id, url, request, response and metadata.
 
     Archives may be plain, gzipped as a whole or record by record. Records are found by their stated lengths, one after another; lengths,
-    and payload digests in SHA-256, are verified. A volume is read by one task; those written here have VOLUME_BYTES or one record.
-    Requests and metadata join the response or revisit that their WARC-Concurrent-To names, by hash of that identifier,
-    which is unique to a capture, so no group holds more than its few records. A capture without a request or metadata has nulls there; records that name
-    no capture of the archives are left out. An empty folder gives an empty table.
+    and payload digests in hexadecimal SHA-256, are verified. Names of headers may be in any case. URIs are given as they stand, but for volumes of
+    write(), whose encoding is undone. Payloads are given without chunks and decompressed, where they are in gzip or deflate. A volume is one
+    value of the binary reader, 2 GB at most, and read by one task; those written here have VOLUME_BYTES or one record.
+
+    Requests and metadata belong to the response or revisit that one of their WARC-Concurrent-To lines names, or whose own lines name them; these
+    are joins by identifiers, which few records share. Those for which that fails are sought through chains of concurrent records, and belong to
+    the first response of such a chain by identifier. A capture without a request or metadata has nulls there; records that lead to no capture of the
+    archives, and all of other types (resource, conversion, continuation), are left out. An empty folder gives an empty table.
     """
     # lines are never split: a volume is one value of the binary reader
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("content")
-    found = files.mapInArrow(_parse(payloads), _CAPTURE)
-    main = F.col("kind").isin("response", "revisit")
-    answer = F.max(F.when(main, F.struct("kind", "target", F.element_at("headers", "WARC-Refers-To").alias("refers_to"), "payload", "payload_bytes", "payload_digest")))
-    asked = F.max(F.when(F.col("kind") == "request", F.struct("record_id", F.element_at("headers", "request").alias("line"))))
-    fact = lambda k: F.element_at("headers", k)
+    found = materialise(files.mapInArrow(_parse(False), _CAPTURE).drop("payload"))
+    main = F.col("kind").isin(*_MAIN)
+    rest = found.where(~main).join(_captures(found.select("no", "record_id", "concurrent_to", "kind")), "record_id").select("capture_id", "record_id", "kind", "line", "facts")
+    whole = files.mapInArrow(_parse(True), _CAPTURE) if payloads else found.withColumn("payload", F.lit(None).cast("binary"))
+    responses = whole.where(main).select(F.col("record_id").alias("capture_id"), F.struct("kind", "target", "refers_to", "payload", "payload_bytes", "payload_digest").alias("response"))
+    asked = F.max(F.when(F.col("kind") == "request", F.struct("record_id", "line")))
+    fact = lambda k: F.element_at("facts", k)
     facts = F.max(F.when(F.col("kind") == "metadata", F.struct("record_id", fact("page-id").alias("page_id"), fact("payload-bytes").alias("payload_bytes"), fact("has-url").alias("has_url"), fact("refers-to-page").alias("refers_to_page"))))
-    grouped = found.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(answer.alias("response"), asked.alias("request"), facts.alias("metadata")).where("response is not null")
+    beside = rest.groupBy("capture_id").agg(asked.alias("request"), facts.alias("metadata"))
+    grouped = responses.groupBy("capture_id").agg(F.max("response").alias("response")).join(beside, "capture_id", "left")
     return grouped.select("capture_id", F.when(F.coalesce(F.col("metadata.has_url"), F.lit("1")) != "0", F.col("response.target")).alias("url"), "request", "response", "metadata")
 
 

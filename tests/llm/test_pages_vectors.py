@@ -163,6 +163,38 @@ def test_warc_of_others(spark, tmp_path, packed):
     assert found["2"].request.line == "GET /a HTTP/1.1" and found["4"].request is None and found["5"].response.refers_to == "<urn:uuid:2>"
 
 
+def test_warc_by_crawlers(spark, tmp_path):
+    """Chains of concurrent records, several of them in one record, names in any case, URIs as they stand, chunks and compression."""
+    def record(kind, name, body, *more):
+        head = ["WARC/1.0", f"warc-type: {kind}", f"Warc-Record-Id: <{name}>", *more, f"content-length: {len(body)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    http = lambda body, *lines: "\r\n".join(["HTTP/1.1 200 OK", *lines]).encode() + b"\r\n\r\n" + body
+    to = lambda *names: [f"WARC-Concurrent-To: <{n}>" for n in names]
+    chunks = b"5\r\nhello\r\n7;x=y\r\n, world\r\n0\r\n\r\n"
+    first = [
+        record("request", "r1", b"GET /1 HTTP/1.1\r\n\r\n"), record("response", "p1", http(chunks, "Transfer-Encoding: chunked"), *to("r1"), "WARC-Target-URI: http://x.org/a%2"), record("metadata", "m1", b"page-id: 1\r\n", *to("r1")),
+        record("request", "r2", b"GET /2 HTTP/1.1\r\n\r\n", *to("nowhere", "p2")), record("response", "p2", http(gzip.compress(b"packed"), "Content-Encoding: gzip"), "WARC-Target-URI: http://x.org/%20%FF%zz"), record("metadata", "m9", b"page-id: 9\r\n", *to("nowhere")),
+        record("response", "p3", http(b"not in chunks", "Transfer-Encoding: chunked", "Content-Encoding: gzip"), "WARC-Target-URI: <http://x.org/3>"), record("conversion", "c1", b"text", *to("p3")),
+    ]
+    second = [record("metadata", "m2", b"page-id: 2\r\n", *to("r2")), record("metadata", "m3", b"page-id: 3\r\n", *to("q3")), record("request", "q3", b"GET /3 HTTP/1.1\r\n\r\n", *to("s3")), record("metadata", "s3", b"via: q\r\n", *to("p3"))]
+    (tmp_path / "a.warc").write_bytes(b"".join(first))
+    (tmp_path / "b.warc").write_bytes(b"".join(second))
+    found = {r.capture_id: r for r in op10_warc.read(spark, f"file://{tmp_path}").collect()}
+    got = {k: (r.url, bytes(r.response.payload), r.request and r.request.line, r.metadata and r.metadata.page_id) for k, r in found.items()}
+    assert got["p1"] == ("http://x.org/a%2", b"hello, world", "GET /1 HTTP/1.1", "1")
+    assert got["p2"] == ("http://x.org/%20%FF%zz", b"packed", "GET /2 HTTP/1.1", "2")
+    assert got["p3"][:3] == ("http://x.org/3", b"not in chunks", "GET /3 HTTP/1.1") and set(got) == {"p1", "p2", "p3"}
+    bare = {r.capture_id: r.response.payload_bytes for r in op10_warc.read(spark, f"file://{tmp_path}", payloads=False).collect()}
+    assert bare == {"p1": 12, "p2": 6, "p3": 13}
+
+
+def test_chunks():
+    assert op10_warc.unchunked(b"0\r\n\r\n") == b"" and op10_warc.unchunked(b"3\r\nabc\r\n0\r\n\r\n") == b"abc"
+    for broken in (b"", b"abc", b"3\r\nab", b"3\r\nabcd\r\n0\r\n", b"-1\r\n\r\n", b"zz\r\n"):
+        assert op10_warc.unchunked(broken) is None
+
+
 def test_warc_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     op10_warc.write(pages, f"file://{tmp_path}/w")
