@@ -140,14 +140,35 @@ def watershed_tiled(spark, sf_dir):
     return tiled.watershed_by_tile(_marked(spark, sf_dir), "v", "m", 20)
 
 
-@query("contours")
+#: Outlines by walking along the sides of set pixels, from the left of a region's first pixel until it is reached again.
+_WALK = """e1 AS (SELECT img, yy, xx, s, coalesce(lag(s) OVER r, false) AS w, coalesce(lead(s) OVER r, false) AS e FROM m WINDOW r AS (PARTITION BY img, yy ORDER BY xx)),
+e2 AS (SELECT img, yy, xx, s, [e, coalesce(lead(e) OVER c, false), coalesce(lead(s) OVER c, false), coalesce(lead(w) OVER c, false), w, coalesce(lag(w) OVER c, false), coalesce(lag(s) OVER c, false), coalesce(lag(e) OVER c, false)] AS nb FROM e1 WINDOW c AS (PARTITION BY img, xx ORDER BY yy)),
+ways AS (SELECT [0, 1, 1, 1, 0, -1, -1, -1] AS wy, [1, 1, 0, -1, -1, -1, 0, 1] AS wx),
+e3 AS (SELECT img, yy, xx, d, CASE WHEN nb[(d + 1) % 8 + 1] THEN (d + 1) % 8 WHEN nb[(d + 2) % 8 + 1] THEN (d + 2) % 8 END AS go, CASE WHEN nb[(d + 1) % 8 + 1] THEN (d + 6) % 8 WHEN nb[(d + 2) % 8 + 1] THEN d ELSE (d + 2) % 8 END AS nd
+       FROM e2, (SELECT unnest([0, 2, 4, 6]) AS d) WHERE s AND NOT nb[d + 1]),
+side AS MATERIALIZED (SELECT img, (yy * 64 + xx) * 8 + d AS here, ((yy + coalesce(wy[go + 1], 0)) * 64 + xx + coalesce(wx[go + 1], 0)) * 8 + nd AS next FROM e3, ways),
+walk AS (SELECT DISTINCT img, label, 0 AS i, (label - 1) * 8 + 4 AS here FROM n UNION ALL SELECT walk.img, label, i + 1, side.next FROM walk JOIN side USING (img, here) WHERE side.next <> (label - 1) * 8 + 4),
+v1 AS (SELECT img, label, i, here // 8 AS p, lag(here // 8) OVER (PARTITION BY img, label ORDER BY i) AS q FROM walk),
+v2 AS (SELECT img, label, row_number() OVER (PARTITION BY img, label ORDER BY i) AS j, count(*) OVER (PARTITION BY img, label) AS k, p FROM v1 WHERE q IS NULL OR p <> q),
+v3 AS (SELECT img, label, j, p % 64 AS x, p // 64 AS y FROM v2 WHERE NOT (j = k AND k > 1 AND p = label - 1)),
+v4 AS (SELECT *, count(*) OVER z AS k, coalesce(lag(x) OVER o, last_value(x) OVER z) AS px, coalesce(lag(y) OVER o, last_value(y) OVER z) AS py, coalesce(lead(x) OVER o, first_value(x) OVER z) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER z) AS ny
+       FROM v3 WINDOW o AS (PARTITION BY img, label ORDER BY j), z AS (PARTITION BY img, label ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+o AS (SELECT img, label AS contour, list(x::INTEGER ORDER BY j) AS xs, list(y::INTEGER ORDER BY j) AS ys FROM v4 WHERE k <= 2 OR x - px <> nx - x OR y - py <> ny - y GROUP BY ALL)"""
+_CONTOURS = f"WITH RECURSIVE {_SET}, {_LABELS}, {_WALK} SELECT img, contour, xs, ys FROM o"
+
+
+def _flat(shapes):
+    return shapes.select("img", "contour", F.col("points.x").alias("xs"), F.col("points.y").alias("ys"))
+
+
+@query("contours", _CONTOURS)
 def contours(spark, sf_dir):
-    return R.contours(_set(spark, sf_dir), "s")
+    return _flat(R.contours(_set(spark, sf_dir), "s"))
 
 
-@query("contours_tiled")
+@query("contours_tiled", _CONTOURS)
 def contours_tiled(spark, sf_dir):
-    return tiled.contours_by_tile(_set(spark, sf_dir), "s", 20)
+    return _flat(tiled.contours_by_tile(_set(spark, sf_dir), "s", 20))
 
 
 @query("simplify")
