@@ -268,13 +268,40 @@ def simplified(points: list[tuple[float, float]], most: float) -> list[tuple[flo
 
 
 def simplify(shapes: DataFrame, most: float = 3.0) -> DataFrame:
-    """shapes with simplified points."""
+    """shapes with simplified points (R3): closed outlines without the points that lie within `most` of the line between those kept
+    around them. What simplified gives, for outlines of any number of points; fewer than four stay as they are.
 
-    @F.pandas_udf("array<struct<x:int,y:int>>")
-    def f(column: pd.Series) -> pd.Series:
-        return column.map(lambda points: [{"x": a, "y": b} for a, b in simplified([(q["x"], q["y"]) for q in points], most)])
-
-    return shapes.withColumn("points", f("points"))
+    Level by level: of all points between two kept ones the farthest is found by a maximum, and kept if it is far enough; the others go
+    on beside it, and those of a part that keeps none are done. Rows are single points, so an outline may lie in any number of tasks; to the
+    driver comes whether any part was divided.
+    """
+    from rasterloom.operators.staging import written
+
+    given = written(shapes.withColumn("_s", F.monotonically_increasing_id()))
+    rows = given.where(F.size("points") >= 4).select("_s", F.size("points").alias("_n"), F.posexplode("points").alias("i", "_p")).select("_s", "_n", "i", F.col("_p.x").cast("double").alias("x"), F.col("_p.y").cast("double").alias("y"))
+    first = rows.where("i = 0").select("_s", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    rows = rows.join(first, "_s")
+    away = (F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0"))
+    far = written(rows.groupBy("_s").agg(F.first("_n").alias("_n"), F.max_by(F.struct("i", "x", "y"), F.struct(away, -F.col("i"))).alias("_f"), F.first("x0").alias("x0"), F.first("y0").alias("y0")))
+    ends = [F.struct(F.lit(0).alias("a"), F.col("_f.i").alias("b"), "x0", "y0", F.col("_f.x").alias("x1"), F.col("_f.y").alias("y1")), F.struct(F.col("_f.i").alias("a"), F.col("_n").alias("b"), F.col("_f.x").alias("x0"), F.col("_f.y").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))]
+    kept = far.select("_s", F.explode(F.array_distinct(F.array(F.lit(0), "_f.i"))).alias("i"))
+    part = far.select("_s", F.explode(F.array(*ends)).alias("e")).select("_s", "e.*")
+    points = rows.select("_s", "i", "x", "y")
+    now = written(points.join(part, "_s").where((F.col("i") > F.col("a")) & (F.col("i") < F.col("b"))))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    px, py = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
+    length = F.sqrt(dx * dx + dy * dy)
+    off = F.when(length > 0, F.abs(dx * py - dy * px) / length).otherwise(F.sqrt(px * px + py * py))
+    while not now.isEmpty():
+        split = now.withColumn("_d", off).groupBy("_s", "a").agg(F.max("_d").alias("_d"), F.max_by(F.struct("i", "x", "y"), F.struct("_d", -F.col("i"))).alias("_k")).where(F.col("_d") > most)
+        split = written(split.select("_s", "a", F.col("_k.i").alias("k"), F.col("_k.x").alias("kx"), F.col("_k.y").alias("ky")))
+        kept = kept.union(split.select("_s", F.col("k").alias("i")))
+        left = F.col("i") < F.col("k")
+        side = lambda l, r, left=left: F.when(left, F.col(l)).otherwise(F.col(r))
+        now = written(now.join(split, ["_s", "a"]).where("i <> k").select("_s", "i", "x", "y", side("a", "k").alias("a"), side("k", "b").alias("b"), side("x0", "kx").alias("x0"), side("y0", "ky").alias("y0"), side("kx", "x1").alias("x1"), side("ky", "y1").alias("y1")))
+    chosen = kept.groupBy("_s").agg(F.array_sort(F.collect_list("i")).alias("_i"))  # a simplified outline
+    picked = F.when(F.col("_i").isNull(), F.col("points")).otherwise(F.transform("_i", lambda i: F.element_at("points", (i + 1).cast("int"))))
+    return given.join(chosen, "_s", "left").withColumn("points", picked).select(*shapes.columns)
 
 
 def least_rectangle(points: list[tuple[float, float]]) -> tuple[float, float, float, float]:

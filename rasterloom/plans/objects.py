@@ -171,9 +171,19 @@ def contours_tiled(spark, sf_dir):
     return _flat(tiled.contours_by_tile(_set(spark, sf_dir), "s", 20))
 
 
-@query("simplify")
+#: Outlines divided at their farthest points, over and over: i is the farthest point between a and b, d its distance.
+_OFF = "CASE WHEN l > 0 THEN abs((x[b % n + 1] - x[a + 1]) * (y[j + 1] - y[a + 1]) - (y[b % n + 1] - y[a + 1]) * (x[j + 1] - x[a + 1])) / l ELSE sqrt(pow(x[j + 1] - x[a + 1], 2) + pow(y[j + 1] - y[a + 1], 2)) END"
+_SPLIT = f"""f0 AS (SELECT img, contour, xs::DOUBLE[] AS x, ys::DOUBLE[] AS y, len(xs) AS n FROM o),
+f1 AS (SELECT *, list_transform(range(n), lambda j: pow(x[j + 1] - x[1], 2) + pow(y[j + 1] - y[1], 2)) AS s FROM f0 WHERE n >= 4), f2 AS (SELECT *, list_position(s, list_max(s)) - 1 AS f FROM f1),
+cut AS (SELECT img, contour, x, y, n, unnest([0, f]) AS a, unnest([f, n]) AS b FROM f2
+        UNION ALL SELECT img, contour, x, y, n, unnest([a, k]) AS a, unnest([k, b]) AS b FROM (SELECT *, a + list_position(s, d) AS k FROM (SELECT *, list_max(s) AS d FROM (
+            SELECT *, list_transform(range(a + 1, b), lambda j: {_OFF}) AS s FROM (SELECT *, sqrt(pow(x[b % n + 1] - x[a + 1], 2) + pow(y[b % n + 1] - y[a + 1], 2)) AS l FROM cut))) WHERE d > 1)),
+ends AS (SELECT DISTINCT img, contour, a FROM cut)"""
+
+
+@query("simplify", f"WITH RECURSIVE {_SET}, {_LABELS}, {_WALK}, {_SPLIT} SELECT img, contour, xs, ys FROM o WHERE len(xs) < 4 UNION ALL SELECT img, contour, list(xs[a + 1] ORDER BY a), list(ys[a + 1] ORDER BY a) FROM ends JOIN o USING (img, contour) GROUP BY ALL")
 def simplify(spark, sf_dir):
-    return R.simplify(R.contours(_set(spark, sf_dir), "s"), 1.0)
+    return _flat(R.simplify(tiled.contours_by_tile(_set(spark, sf_dir), "s", 20), 1.0))
 
 
 @query("min_rectangle")
