@@ -88,6 +88,26 @@ def edge_weights(size: int, first: bool, last: bool) -> np.ndarray:
     return w
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body takes it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def spline_weights(size: Column) -> Column:
+    """The weights of spline as an array, for windows of any size in a column."""
+    raw = F.transform(F.sequence(F.lit(0).cast("long"), size.cast("long") - 1), lambda i: F.abs(2 * (i + 0.5) / size - 1))
+    bell = F.transform(raw, lambda d: F.when(d <= 0.5, 1 - 2 * d * d).otherwise(2 * (1 - d) * (1 - d)))
+    both = _bound(bell, lambda b: F.struct(b.alias("bell"), F.aggregate(b, F.lit(0.0), lambda s, x: s + x).alias("sum")))
+    return _bound(both, lambda b: F.transform(b["bell"], lambda w: w * size / b["sum"]))
+
+
+def weights_at_edges(size: Column, first: Column, last: Column) -> Column:
+    """The weights of edge_weights as an array, for windows of any size in a column."""
+    half = F.floor(size / 2)
+    both = _bound(spline_weights(size), lambda w: F.struct(w.alias("w"), F.element_at(w, (half + 1).cast("int")).alias("flat")))
+    return _bound(both, lambda b: F.transform(b["w"], lambda x, i: F.when((first & (i < half)) | (last & (i >= half)), b["flat"]).otherwise(x)))
+
+
 def reflected(i: Column, n: int) -> Column:
     """An index beyond an axis, mirrored at its ends, which aren't repeated."""
     period = 2 * (n - 1)
@@ -119,6 +139,28 @@ def blend(px: DataFrame, height: int, width: int, size: int, value: str = "v", m
     return rows.groupBy("img", "yy", "xx").agg((F.sum(F.col(value) * F.col("wt")) / 4).alias(value))
 
 
+def edge_windows(length: int, size: int, step: int) -> list[tuple[int, int, float]]:
+    """start, place and weight of the windows that lie inside an axis, `step` apart and the last one at its end; at both ends the outward half
+    keeps the centre's weight (F23)."""
+    starts = sorted({*range(0, length - size, step), max(length - size, 0)})
+    return [(s, s + i, float(w)) for s in starts for i, w in enumerate(edge_weights(size, s == 0, s + size >= length)) if s + i < length]
+
+
+def blend_inside(px: DataFrame, height: int, width: int, size: int, subdivisions: int = 2, value: str = "v", model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """img, yy, xx and the value put together from windows inside the image, `subdivisions` of them a window's length.
+
+    model changes the windows' rows (img, wy, wx, yy, xx, value, wt). The weights at an edge are those of the centre, and what covers a pixel is
+    divided by the sum of its weights. Tables of weights have `subdivisions` rows a place of an axis and are broadcast.
+    """
+    spark = px.sparkSession
+    wy, wx = (spark.createDataFrame(edge_windows(n, size, max(1, size // subdivisions)), f"{w} long, {at} long, {c} double") for n, w, at, c in ((height, "wy", "yy", "_a"), (width, "wx", "xx", "_b")))
+    rows = px.select("img", "yy", "xx", F.col(value).cast("double").alias(value)).join(F.broadcast(wy), "yy").join(F.broadcast(wx), "xx")
+    rows = rows.withColumn("wt", F.col("_a") * F.col("_b")).drop("_a", "_b")
+    if model is not None:
+        rows = model(rows)
+    return rows.groupBy("img", "yy", "xx").agg((F.sum(F.col(value) * F.col("wt")) / F.sum("wt")).alias(value))
+
+
 #: The eight orientations of a square of side n: where a pixel goes.
 def orientations(y: Column, x: Column, n: int) -> list[tuple[Column, Column]]:
     m = n - 1

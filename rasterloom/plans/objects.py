@@ -314,7 +314,10 @@ def gdalinfo(spark, sf_dir):
     return files.corners(lines).select("path", "ll_x", "ll_y", "ur_x", "ur_y")
 
 
-@query("palette_text", "SELECT * FROM (VALUES (100.0::DOUBLE, 255, 0, 0), (50.0, 0, 255, 0), (0.0, 0, 0, 255), (0.0, 0, 0, 0)) t(pct, r, g, b)")
+@query("palette_text", "SELECT CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE (s_suppkey % 101)::DOUBLE END AS pct, (s_suppkey % 256)::INTEGER AS r, (s_suppkey * 3 % 256)::INTEGER AS g, (s_suppkey * 7 % 256)::INTEGER AS b FROM supplier WHERE s_suppkey % 5 <> 0")
 def palette_text(spark, sf_dir):
-    lines = spark.createDataFrame([("100% 255 0 0",), (" 50%  0 255 0 255",), ("0% 0 0 255",), ("nv 0 0 0",), ("# note",), ("12 1 2 3",)], "value string")
-    return files.palette(lines)
+    """A line a supplier, a fifth of them notes."""
+    s = F.col("s_suppkey")
+    first = F.when(s % 7 == 0, "nv").otherwise(F.format_string(" %d%%", s % 101))
+    line = F.when(s % 5 == 0, F.format_string("# note %d", s)).otherwise(F.concat_ws("  ", first, s % 256, s * 3 % 256, s * 7 % 256, F.when(s % 2 == 0, "255")))
+    return files.palette(table(spark, sf_dir, "supplier").select(line.alias("value")))

@@ -48,14 +48,23 @@ def _spline_sql(n):
     return f"b AS (SELECT range AS i, abs(2 * (range + 0.5) / {n} - 1) AS d FROM range({n})), c AS (SELECT i, CASE WHEN d <= 0.5 THEN 1 - 2 * d * d ELSE 2 * (1 - d) * (1 - d) END AS w FROM b), s AS (SELECT i, w / avg(w) OVER () AS w FROM c)"
 
 
-@query("spline_window", f"WITH {_spline_sql(64)} SELECT i, round(w, 9) AS w FROM s")
+_SPLINES = """p AS (SELECT p_partkey, p_size * 2 AS size, p_size % 3 = 0 AS first, p_size % 2 = 0 AS last FROM part),
+d AS (SELECT *, unnest(range(size)) AS i FROM p), b AS (SELECT *, abs(2 * (i + 0.5) / size - 1) AS x FROM d), c AS (SELECT *, CASE WHEN x <= 0.5 THEN 1 - 2 * x * x ELSE 2 * (1 - x) * (1 - x) END AS r FROM b),
+w AS (SELECT *, r / avg(r) OVER (PARTITION BY p_partkey) AS w FROM c)"""
+
+
+@query("spline_window", f"WITH {_SPLINES} SELECT p_partkey, i, round(w, 9) AS w FROM w")
 def spline_window(spark, sf_dir):
-    return spark.createDataFrame([(i, round(float(w), 9)) for i, w in enumerate(T.spline(64))], "i long, w double")
+    """Windows twice as long as each part's size."""
+    weights = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(T.spline_weights(F.col("p_size") * 2)).alias("i", "w"))
+    return weights.select("p_partkey", F.col("i").cast("long").alias("i"), F.round("w", 9).alias("w"))
 
 
-@query("edge_weight", f"WITH {_spline_sql(16)} SELECT i, round(CASE WHEN i < 8 THEN (SELECT w FROM s WHERE i = 8) ELSE w END, 9) AS w FROM s")
+@query("edge_weight", f"WITH {_SPLINES}, h AS (SELECT p_partkey, w AS half FROM w WHERE i = size // 2) SELECT p_partkey, i, round(CASE WHEN (first AND i < size // 2) OR (last AND i >= size // 2) THEN half ELSE w END, 9) AS w FROM w JOIN h USING (p_partkey)")
 def edge_weight(spark, sf_dir):
-    return spark.createDataFrame([(i, round(float(w), 9)) for i, w in enumerate(T.edge_weights(16, True, False))], "i long, w double")
+    size = F.col("p_size")
+    weights = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(T.weights_at_edges(size * 2, size % 3 == 0, size % 2 == 0)).alias("i", "w"))
+    return weights.select("p_partkey", F.col("i").cast("long").alias("i"), F.round("w", 9).alias("w"))
 
 
 _WEIGHTS = f"{_spline_sql(16)}, wy AS (SELECT y.range - 8 + i AS yy, w FROM range(0, 56, 8) y, s WHERE y.range - 8 + i BETWEEN 0 AND 47), wx AS (SELECT x.range - 8 + i AS xx, w FROM range(0, 72, 8) x, s WHERE x.range - 8 + i BETWEEN 0 AND 63)"
@@ -71,6 +80,17 @@ def overlap_model(spark, sf_dir):
     return rounded(T.blend(pixels(spark, sf_dir), HEIGHT, WIDTH, 16, model=lambda rows: rows.withColumn("v", F.col("v") * 0.5 + 3)), "v")
 
 
+_INSIDE = f"""{_spline_sql(16)}, m AS (SELECT w AS mid FROM s WHERE i = 8), ys AS (SELECT range AS wy FROM range(0, 33, 8)), xs AS (SELECT range AS wx FROM range(0, 49, 8)),
+wy AS (SELECT wy, wy + i AS yy, CASE WHEN (wy = 0 AND i < 8) OR (wy = 32 AND i >= 8) THEN mid ELSE w END AS w FROM ys, s, m), wx AS (SELECT wx, wx + i AS xx, CASE WHEN (wx = 0 AND i < 8) OR (wx = 48 AND i >= 8) THEN mid ELSE w END AS w FROM xs, s, m)"""
+
+
+@query("overlap_inside", f"WITH {PX}, {_INSIDE} SELECT img, px.yy, px.xx, round(sum((v + (px.yy - wy.wy) * 2 - (px.xx - wx.wx)) * wy.w * wx.w) / sum(wy.w * wx.w), 6) AS v FROM px JOIN wy ON wy.yy = px.yy JOIN wx ON wx.xx = px.xx GROUP BY ALL")
+def overlap_inside(spark, sf_dir):
+    """Blended windows of a model that gives each place of a window another value."""
+    model = lambda rows: rows.withColumn("v", F.col("v") + (F.col("yy") - F.col("wy")) * 2 - (F.col("xx") - F.col("wx")))
+    return rounded(T.blend_inside(pixels(spark, sf_dir), HEIGHT, WIDTH, 16, model=model), "v")
+
+
 @query("reflect_pad", f"WITH {PX} SELECT img, i.range - 5 AS place, xx, v FROM range(58) i JOIN px ON px.yy = CASE WHEN i.range - 5 < 0 THEN 5 - i.range WHEN i.range - 5 >= 48 THEN 94 - (i.range - 5) ELSE i.range - 5 END")
 def reflect_pad(spark, sf_dir):
     places = spark.range(58).select((F.col("id") - 5).alias("place"), T.reflected(F.col("id") - 5, HEIGHT).alias("yy"))

@@ -111,31 +111,33 @@ def transverse_roundtrip(spark, sf_dir):
     return rounded(points(spark, sf_dir).select("c_custkey", (lat + 0.0).alias("lat"), (lon + 0.0).alias("lon")), 6, "lat", "lon")
 
 
-_E = "e AS (SELECT range::INTEGER AS epoch FROM range(100))"
+_E = "e AS (SELECT event_id, (event_id % 100)::INTEGER AS epoch FROM events)"
 
 
-@query("lr_step", f"WITH {_E} SELECT epoch, round(0.01 * pow(0.25, floor((1 + epoch) / 10.0)), 9) AS lr FROM e")
+def _epochs(spark, sf_dir):
+    """Every event with an epoch of its own."""
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 100).cast("int").alias("epoch"))
+
+
+
+@query("lr_step", f"WITH {_E} SELECT event_id, epoch, round(0.01 * pow(0.25, floor((1 + epoch) / 10.0)), 9) AS lr FROM e")
 def lr_step(spark, sf_dir):
-    e = spark.range(100).select(F.col("id").cast("int").alias("epoch"))
-    return rounded(e.withColumn("lr", S.step_decay(F.col("epoch"), 0.01, 0.25, 10)), 9, "lr")
+    return rounded(_epochs(spark, sf_dir).withColumn("lr", S.step_decay(F.col("epoch"), 0.01, 0.25, 10)), 9, "lr")
 
 
-@query("lr_poly", f"WITH {_E} SELECT epoch, round(0.01 * pow(1 - epoch / 100.0, 2), 9) AS lr FROM e")
+@query("lr_poly", f"WITH {_E} SELECT event_id, epoch, round(0.01 * pow(1 - epoch / 100.0, 2), 9) AS lr FROM e")
 def lr_poly(spark, sf_dir):
-    e = spark.range(100).select(F.col("id").cast("int").alias("epoch"))
-    return rounded(e.withColumn("lr", S.polynomial_decay(F.col("epoch"), 0.01, 100, 2.0)), 9, "lr")
+    return rounded(_epochs(spark, sf_dir).withColumn("lr", S.polynomial_decay(F.col("epoch"), 0.01, 100, 2.0)), 9, "lr")
 
 
-@query("lr_cosine", f"WITH {_E} SELECT epoch, round(0.05 * (cos(pi() * (epoch % 20) / 20) + 1), 9) AS lr FROM e")
+@query("lr_cosine", f"WITH {_E} SELECT event_id, epoch, round(0.05 * (cos(pi() * (epoch % 20) / 20) + 1), 9) AS lr FROM e")
 def lr_cosine(spark, sf_dir):
-    e = spark.range(100).select(F.col("id").cast("int").alias("epoch"))
-    return rounded(e.withColumn("lr", S.cosine_restarts(F.col("epoch"), 0.1, 100, 5)), 9, "lr")
+    return rounded(_epochs(spark, sf_dir).withColumn("lr", S.cosine_restarts(F.col("epoch"), 0.1, 100, 5)), 9, "lr")
 
 
-@query("cycle_snapshots", f"WITH {_E} SELECT epoch, ((epoch + 1) // 20)::BIGINT AS snapshot FROM e WHERE epoch <> 0 AND (epoch + 1) % 20 = 0")
+@query("cycle_snapshots", f"WITH {_E} SELECT event_id, epoch, ((epoch + 1) // 20)::BIGINT AS snapshot FROM e WHERE epoch <> 0 AND (epoch + 1) % 20 = 0")
 def cycle_snapshots(spark, sf_dir):
-    e = spark.range(100).select(F.col("id").cast("int").alias("epoch"))
-    return e.withColumn("snapshot", S.snapshot_after(F.col("epoch"), 100, 5)).where("snapshot is not null")
+    return _epochs(spark, sf_dir).withColumn("snapshot", S.snapshot_after(F.col("epoch"), 100, 5)).where("snapshot is not null")
 
 
 @query("dropout_scale", "SELECT p_partkey, round(CASE WHEN p_size > 25 THEN 1 - 0.8 / (p_size / 25.0) ELSE 0.2 * (p_size / 25.0) END, 9) AS rate FROM part")
