@@ -10,7 +10,7 @@ from rasterloom.operators import inference as I
 from rasterloom.operators import publishing as P
 from rasterloom.plans.registry import Registry, shared_folder
 from rasterloom.sources import images as files
-from rasterloom.sources import tiff
+from rasterloom.sources import raster, tiff
 from rasterloom.sources.synthetic import HEIGHT, MASK, PTS, PX, SQUARE, WIDTH, images, masks, pixels, points, squares
 
 query = Registry()
@@ -119,3 +119,14 @@ def tiff_window(spark, sf_dir):
     made = tiff.as_tiff(pixels(spark, sf_dir), ["img"], ["v"], deflate=True, tile=16, epsg=32631)
     found = tiff.pixels(spark, _written(spark, made, F.format_string("%d/0_0.tif", "img"), "tiff"), ((20, 10), (50, 30)))
     return found.select(_NUMBER(1).cast("int").alias("img"), "yy", "xx", F.col("bands")[0].alias("v"))
+
+
+@query("raster_window", f"WITH {PX} SELECT img, yy, xx, v::DOUBLE AS v FROM px WHERE yy BETWEEN 10 AND 39 AND xx >= 20 AND v <> 7")
+def raster_window(spark, sf_dir):
+    """A window of rasters written as committed files and read by the data source, which takes the window from the filter; 7 is no data."""
+    raster.register(spark)
+    root = f"{shared_folder(spark)}/rasters_{uuid.uuid4().hex}"
+    made = tiff.as_tiff(pixels(spark, sf_dir), ["img"], ["v"], deflate=True, tile=16)
+    made.select(F.format_string("%d/0_0.tif", "img").alias("path"), F.col("tiff").alias("content")).write.format("raster_files").mode("append").save(root)
+    found = spark.read.format("raster").option("nodata", "7").load(root).where("yy >= 10 and yy < 40 and xx >= 20 and valid")
+    return found.select(_NUMBER(1).cast("int").alias("img"), "yy", "xx", F.col("bands")[0].alias("v"))

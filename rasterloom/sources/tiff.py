@@ -14,34 +14,65 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 # Field types and tags of TIFF 6.0 and GeoTIFF.
-_TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 11: "f", 12: "d"}
+_TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC, _STRIPS, _BANDS, _ROWS, _COUNTS, _PLANES, _FORMAT, _SCALE, _TIEPOINT, _KEYS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339, 33550, 33922, 34735
 _PREDICTOR, _TILE_WIDTH, _TILE_HEIGHT, _TILES, _TILE_COUNTS = 317, 322, 323, 324, 325
 _PLAIN, _LZW, _DEFLATE = (1,), (5,), (8, 32946)
+_EXTRA, _NODATA = 338, 42113
 _GEOGRAPHIC, _PROJECTED, _UNIT = 2048, 3072, 3076
 #: Metres of a unit, by its key in a file and by name; the last key is the US survey foot.
 _METRES = {9001: 1.0, 9002: 0.3048, 9003: 1200 / 3937}
 _NAMED = {"metre": 1.0, "foot": 0.3048}
 
 
-def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the first directory's fields."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+def tags(data) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the first directory's fields, of a file or a BigTIFF file. data: bytes, or anything that gives them by slices."""
+    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
+    magic = struct.unpack(order + "H", data[2:4])[0] if order else None
+    if magic not in (42, 43):
         raise ValueError("not a TIFF file")
-    at = struct.unpack(order + "I", data[4:8])[0]
+    big = magic == 43
+    count, entry, inline, offset = ("Q", 20, 8, "Q") if big else ("H", 12, 4, "I")
+    at = struct.unpack(order + offset, data[8:16] if big else data[4:8])[0]
+    first = at + struct.calcsize(order + count)
+    n_entries = struct.unpack(order + count, data[at:first])[0]
+    directory = data[first : first + entry * n_entries]
     found = {}
-    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
+    for i in range(n_entries):
+        field = directory[entry * i : entry * (i + 1)]
+        tag, kind = struct.unpack(order + "HH", field[:4])
+        n, value = struct.unpack(order + offset, field[4 : 4 + inline])[0], field[4 + inline :]
         if kind not in _TYPES:
             continue
         size = n * struct.calcsize(_TYPES[kind])
-        place = at + 10 + 12 * i
-        start = place if size <= 4 else struct.unpack(order + "I", data[place : place + 4])[0]
-        found[tag] = struct.unpack(f"{order}{n}{_TYPES[kind]}", data[start : start + size])
+        if size > inline:
+            start = struct.unpack(order + offset, value)[0]
+            value = data[start : start + size]
+        found[tag] = struct.unpack(f"{order}{n}{_TYPES[kind]}", value[:size])
     return order, found
 
 
+def no_data(t: dict[int, tuple]) -> float | None:
+    """The number that stands for no data, where the file names one."""
+    try:
+        return float(b"".join(t[_NODATA]).rstrip(b"\0 ").decode())
+    except (KeyError, ValueError):
+        return None
+
+
+def alpha(t: dict[int, tuple]) -> int | None:
+    """The number of the band that says how much of a pixel is there."""
+    extra, bands = t.get(_EXTRA, ()), t.get(_BANDS, (1,))[0]
+    return next((bands - len(extra) + i for i, kind in enumerate(extra) if kind in (1, 2)), None)
+
+
+def chunks(t: dict[int, tuple]) -> tuple[int, int]:
+    """Height and width of a strip or tile."""
+    if _TILES in t:
+        return t[_TILE_HEIGHT][0], t[_TILE_WIDTH][0]
+    return min(t[_HEIGHT][0], t.get(_ROWS, (t[_HEIGHT][0],))[0]), t[_WIDTH][0]
+
+
 def _unpacked(data: bytes) -> bytes:
     """An LZW stream: codes of 9 to 12 bits, the highest bit first, which widen one code early."""
     pieces: list[bytes] = []
@@ -68,33 +99,37 @@ def _unpacked(data: bytes) -> bytes:
     return bytes(out)
 
 
-def window(data: bytes, x: int = 0, y: int = 0, w: int = 1 << 31, h: int = 1 << 31) -> np.ndarray:
-    """A window of the raster as height x width x bands, cut at its edges. Only the strips or tiles that it touches are decoded."""
+def window(data, x: int = 0, y: int = 0, w: int = 1 << 31, h: int = 1 << 31) -> np.ndarray:
+    """A window of the raster as height x width x bands, cut at its edges. Only the strips or tiles that it touches are read and decoded. data:
+    bytes, or anything that gives them by slices."""
     order, t = tags(data)
-    way, ahead = t.get(_COMPRESSION, (1,))[0], t.get(_PREDICTOR, (1,))[0]
-    if way not in _PLAIN + _LZW + _DEFLATE or ahead not in (1, 2) or t.get(_PLANES, (1,))[0] != 1:
-        raise ValueError("only plain, LZW or Deflate TIFF files of interleaved bands can be read")
+    way, ahead, planes = t.get(_COMPRESSION, (1,))[0], t.get(_PREDICTOR, (1,))[0], t.get(_PLANES, (1,))[0]
+    if way not in _PLAIN + _LZW + _DEFLATE or ahead not in (1, 2) or planes not in (1, 2) or len(set(t[_BITS])) != 1:
+        raise ValueError("only plain, LZW or Deflate TIFF files of bands of one size can be read")
     kind = np.dtype(order + {(8, 1): "u1", (8, 2): "i1", (16, 1): "u2", (16, 2): "i2", (32, 1): "u4", (32, 2): "i4", (32, 3): "f4", (64, 3): "f8"}[(t[_BITS][0], t.get(_FORMAT, (1,))[0])])
     wide, high, bands = t[_WIDTH][0], t[_HEIGHT][0], t.get(_BANDS, (1,))[0]
     tiled = _TILES in t
-    step_x, step_y = (t[_TILE_WIDTH][0], t[_TILE_HEIGHT][0]) if tiled else (wide, min(high, t.get(_ROWS, (high,))[0]))
+    step_y, step_x = chunks(t)
     starts, sizes = (t[_TILES], t[_TILE_COUNTS]) if tiled else (t[_STRIPS], t[_COUNTS])
     x, y, right, bottom = min(x, wide), min(y, high), min(wide, x + w), min(high, y + h)
     out = np.zeros((bottom - y, right - x, bands), kind)
     if not out.size:
         return out
-    for i in range(y // step_y, -(-bottom // step_y)):
-        for j in range(x // step_x, -(-right // step_x)):
-            n = i * -(-wide // step_x) + j
-            raw = data[starts[n] : starts[n] + sizes[n]]
-            raw = raw if way in _PLAIN else _unpacked(raw) if way in _LZW else zlib.decompress(raw)
-            rows = step_y if tiled else min(step_y, high - i * step_y)
-            part = np.frombuffer(raw, kind, rows * step_x * bands).reshape(rows, step_x, bands)
-            if ahead == 2:
-                part = np.cumsum(part, 1, dtype=kind)
-            top, left = max(y, i * step_y), max(x, j * step_x)
-            low, far = min(bottom, i * step_y + rows), min(right, (j + 1) * step_x)
-            out[top - y : low - y, left - x : far - x] = part[top - i * step_y : low - i * step_y, left - j * step_x : far - j * step_x]
+    across, down = -(-wide // step_x), -(-high // step_y)
+    held = bands if planes == 1 else 1  # bands of a strip or tile
+    for plane in range(bands // held):
+        for i in range(y // step_y, -(-bottom // step_y)):
+            for j in range(x // step_x, -(-right // step_x)):
+                n = (plane * down + i) * across + j
+                raw = data[starts[n] : starts[n] + sizes[n]]
+                raw = raw if way in _PLAIN else _unpacked(raw) if way in _LZW else zlib.decompress(raw)
+                rows = step_y if tiled else min(step_y, high - i * step_y)
+                part = np.frombuffer(raw, kind, rows * step_x * held).reshape(rows, step_x, held)
+                if ahead == 2:
+                    part = np.cumsum(part, 1, dtype=kind)
+                top, left = max(y, i * step_y), max(x, j * step_x)
+                low, far = min(bottom, i * step_y + rows), min(right, (j + 1) * step_x)
+                out[top - y : low - y, left - x : far - x, plane * held : (plane + 1) * held] = part[top - i * step_y : low - i * step_y, left - j * step_x : far - j * step_x]
     return out
 
 
