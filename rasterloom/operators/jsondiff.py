@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def leaves(text: str) -> list[dict]:
-    """Paths and values of a document; objects by key, lists by #place, with a list's length under its own path."""
-    out = []
-    todo = [("", json.loads(text))]
-    while todo:
-        path, x = todo.pop()
-        if isinstance(x, dict) and x:
-            todo += [(f"{path}/{k}", v) for k, v in x.items()]
-        elif isinstance(x, list):
-            out.append({"path": path, "kind": "list", "value": str(len(x))})
-            todo += [(f"{path}/#{i}", v) for i, v in enumerate(x)]
-        else:
-            out.append({"path": path, "kind": "leaf", "value": x if isinstance(x, str) else json.dumps(x, sort_keys=True)})
-    return out
+def depth(text: Column) -> Column:
+    """How many objects and lists lie in one another in a document: its brackets outside of strings, counted up and down."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("most"))
+    none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), none, step, lambda s: s["most"])
 
 
-def flattened(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path, kind, value: a row a leaf or list."""
+def _opened() -> Column:
+    """What a row becomes one level deeper: an object's values, a list and its elements, or the row itself."""
+    row = lambda path, kind, value, v: F.struct(path.alias("path"), F.lit(kind).alias("kind"), value.alias("value"), v.alias("v"))
+    none, path, v = F.lit(None).cast("string"), F.col("path"), F.col("v")
+    values, elements = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
+    fields = F.transform(F.map_entries(values), lambda e: row(F.concat(path, F.lit("/"), e["key"]), "open", none, e["value"]))
+    own = row(path, "list", F.size(elements).cast("string"), F.lit(None).cast("variant"))
+    parts = F.concat(F.array(own), F.transform(elements, lambda x, i: row(F.concat(path, F.lit("/#"), i.cast("string")), "open", none, x)))
+    leaf = row(path, "leaf", F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("null")), F.lit(None).cast("variant"))
+    same = F.struct("path", "kind", "value", "v")
+    return F.when(F.col("kind") != "open", F.array(same)).when(F.size(values) > 0, fields).when(elements.isNotNull(), parts).otherwise(F.array(leaf))
 
-    @F.pandas_udf("array<struct<path:string,kind:string,value:string>>")
-    def f(column: pd.Series) -> pd.Series:
-        return column.map(leaves)
 
-    return docs.where(F.col(text).isNotNull()).select(key, F.inline(f(text)))
+def flattened(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, path, kind, value: a row a leaf or list (F48). Objects are opened by key, lists by #place, with a list's length under its own path.
+
+    Documents are opened level by level, as many times as the deepest one needs, which is counted first: one row becomes many in the same
+    task, and nothing is shuffled. Values are those of Spark's variants: strings as they are, numbers without trailing zeros. Null documents
+    have no rows; of keys that an object repeats, and of texts that aren't JSON, Spark's own errors tell.
+    """
+    given = docs.where(F.col(text).isNotNull())
+    levels = (given.agg(F.max(depth(F.col(text)))).first()[0] or 0) + 1
+    rows = given.select(F.col(key).alias("_key"), F.lit("").alias("path"), F.lit("open").alias("kind"), F.lit(None).cast("string").alias("value"), F.parse_json(F.col(text)).alias("v"))
+    for _ in range(levels):
+        rows = rows.select("_key", F.inline(_opened()))
+    return rows.select(F.col("_key").alias(key), "path", "kind", "value")
 
 
 def difference(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:

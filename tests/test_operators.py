@@ -213,6 +213,10 @@ def test_json_difference(spark):
     assert diff('{"x":1,"y":[1,2]}', '{"x":2,"y":[1,2],"z":3}') == {("/x", "changed", "1", "2"), ("/z", "added", None, "3")}
     assert diff("[1,2]", "[1]") == {("", "length", "2", "1")}
     assert diff('{"a":1}', '{"a":1}') == set()
+    assert diff('{"a":{"b":[{"c":"x]{"},[]]}}', '{"a":{"b":[{"c":"y"},[]]},"d":{}}') == {("/a/b/#0/c", "changed", "x]{", "y"), ("/d", "added", None, "{}")}
+    assert diff('{"a":[1,[2,3]],"b":null,"c":"q\\"[["}', '{"a":[1,[2]],"b":false,"c":"q\\"[["}') == {("/a/#1", "length", "2", "1"), ("/b", "changed", "null", "false")}
+    deep = "[" * 30 + "1" + "]" * 30
+    assert diff(deep, deep.replace("1", "2")) == {("/#0" * 30, "changed", "1", "2")} and diff("5", '"5"') == set()
 
 
 def test_tiff(spark, tmp_path):
@@ -302,3 +306,16 @@ def test_wide_stencil(spark):
             for (y, x), _ in np.ndenumerate(a):
                 sums = [sum(w * wide[y + 2 + dy, x + 2 + dx] for (dy, dx), w in ws.items()) for ws in (weights, N.SCHARR_X)]
                 assert np.allclose(found[k, y, x], sums)
+
+
+def test_depth_of_json(spark):
+    import json
+
+    def hand(x):
+        return 1 + max((hand(y) for y in (x.values() if isinstance(x, dict) else x)), default=0) if isinstance(x, (dict, list)) else 0
+
+    docs = [{"a": 'q"[[{', "b\\": ["\\", {"c\"]": []}]}, [], 5, "x[", {"k\\\"": {"[": "]"}}, [[[["\\\\\"["]]]], {"a": {}, "b": [[]]}]
+    rows = [(i, json.dumps(d)) for i, d in enumerate(docs)]
+    found = spark.createDataFrame(rows, "id int, t string").select("id", jsondiff.depth(F.col("t")).alias("d")).collect()
+    assert {r.id: r.d for r in found} == {i: hand(d) for i, d in enumerate(docs)}
+    assert jsondiff.flattened(spark.createDataFrame(rows, "id int, t string"), "id", "t").where("kind = 'open'").count() == 0
