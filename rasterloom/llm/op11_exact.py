@@ -17,15 +17,15 @@ from pyspark.sql import types as T
 from rasterloom.llm.common import give_back, materialise, partitions, slices, string_bytes, text_batches
 
 #: Different text, and rows, that a task takes in before it spills what it has as records.
-CHUNK_BYTES, CHUNK_ROWS = 16_000_000, 500_000
+CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 500_000
 #: Text of a bucket that a table takes at once; fuller ones are partitioned again.
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 16_000_000
 #: Records that a part of an overfull bucket holds at least, so that copies of one very long text meet.
 LEAST_MEET = 8
 #: Levels of partitioning; after the last one tables take what is left, however much.
 LEVELS = 10
 #: Bytes of an Arrow batch that a task gives back.
-_OUT = 4_000_000
+_OUT = 2_000_000
 _BLANKS = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
 _RUNS = re.compile(rb"  +")
 
@@ -102,7 +102,7 @@ def _records(chunk_bytes: int):
             for a, b in zip(offsets, offsets[1:], strict=False):
                 text = normalised(raw[a:b])
                 of.append(table.place(text_hash(text), text))
-            held.append(batch.drop_columns(["text"]))
+            held.append(batch.drop_columns(["text"]).take(pa.array(np.arange(batch.num_rows))))  # a copy: else the batch's texts stay
             if table.bytes > chunk_bytes or len(of) > CHUNK_ROWS:
                 yield from spilled(first, table, held, of)
                 first += len(table.texts)
