@@ -45,6 +45,22 @@ def shifted_crop(px: DataFrame, height: int, width: int, most: int, seed: int, e
     return px.withColumns({"yy": y, "xx": x}).where((F.col("yy") >= 0) & (F.col("yy") < height) & (F.col("xx") >= 0) & (F.col("xx") < width))
 
 
+def turned_by(px: DataFrame, height: int, width: int, angle: Column, scale: Column, value: str = "v") -> DataFrame:
+    """Each image turned about its centre by an angle in degrees and enlarged by a scale, both columns that hold for the whole image (F27); what comes
+    from outside is 0."""
+    y, x = F.col("yy") - (height - 1) / 2, F.col("xx") - (width - 1) / 2
+    c, s = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+    places = px.select("img", "yy", "xx", ((c * y - s * x) / scale + (height - 1) / 2).alias("sy"), ((s * y + c * x) / scale + (width - 1) / 2).alias("sx"))
+    return tiling.warped(px, places, value)
+
+
+def chained(px: DataFrame, steps: list[Augmentation], epoch: int) -> DataFrame:
+    """Several augmentations, one after the other."""
+    for step in steps:
+        px = step(px, epoch)
+    return px
+
+
 def prepared(images: DataFrame, masks: DataFrame, classes: int, augment: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """img, yy, xx, v, p: complete samples with one number a class, augmented together, values as a part of 1."""
     from rasterloom.operators.pixels import fraction, one_hot
@@ -54,15 +70,18 @@ def prepared(images: DataFrame, masks: DataFrame, classes: int, augment: Callabl
     return rows.select("img", "yy", "xx", fraction(F.col("v")).alias("v"), one_hot(F.col("mv"), classes).alias("p"))
 
 
-def multi_scale(px: DataFrame, height: int, width: int, factors: list[int], window: int, model: Callable[[DataFrame], DataFrame], value: str = "v") -> DataFrame:
-    """The mean of a model's blended fields over scales of 1 / factor, each shrunk by means and spread again."""
+def multi_scale(px: DataFrame, height: int, width: int, factors: list[float], window: int, model: Callable[[DataFrame], DataFrame], value: str = "v", smooth: bool = False) -> DataFrame:
+    """The mean of a model's blended fields over scales of 1 / factor (T7, T9, A7). Images are shrunk by means, and fields are spread again, by single
+    pixels or smooth by cubic taps. Factors that divide no side evenly are smooth in any case."""
     fields = []
     for f in factors:
-        if height % f or width % f:
-            raise ValueError("an image's sides have to be multiples of each factor")
-        small = tiling.shrunk(px, f, value) if f > 1 else px.select("img", "yy", "xx", value)
-        field = tiling.blend(small, height // f, width // f, window, value, model)
-        fields.append(field if f == 1 else tiling.nearest(field, height // f, width // f, height, width, value))
+        whole = float(f).is_integer() and not (height % f or width % f)
+        h, w = (height // int(f), width // int(f)) if whole else (max(1, round(height / f)), max(1, round(width / f)))
+        small = px.select("img", "yy", "xx", value) if f == 1 else tiling.shrunk(px, int(f), value) if whole else tiling.resampled(px, height, width, h, w, "area", value)
+        field = tiling.blend(small, h, w, window, value, model)
+        if f != 1:
+            field = tiling.resampled(field, h, w, height, width, "cubic", value) if smooth or not whole else tiling.nearest(field, h, w, height, width, value)
+        fields.append(field)
     return mean_field([x.select("img", "yy", "xx", F.col(value).cast("double").alias(value)) for x in fields], ["img", "yy", "xx"], value)
 
 

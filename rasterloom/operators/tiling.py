@@ -245,3 +245,62 @@ def nearest(px: DataFrame, height: int, width: int, new_height: int, new_width:
     rows = px.select("img", "xx", value, F.explode(spread("yy", height, new_height)).alias("ny"))
     rows = rows.select("img", value, "ny", F.explode(spread("xx", width, new_width)).alias("nx"))
     return rows.select("img", F.col("ny").alias("yy"), F.col("nx").alias("xx"), value)
+
+
+def taps(old: int, new: int, kernel: str) -> list[tuple[int, int, float]]:
+    """at, to and weight along an axis: the old places that each new one is made of, clamped at the ends.
+
+    area: by how much of the new pixel an old one covers; linear, cubic (with -0.75) and lanczos (four places a side): by the distance of
+    centres. Weights of a new place add up to 1.
+    """
+    rows: dict[tuple[int, int], float] = {}
+    step = old / new
+    for i in range(new):
+        c = (i + 0.5) * step - 0.5
+        low = int(np.floor(c))
+        if kernel == "area":
+            found = {j: min(j + 1, (i + 1) * step) - max(j, i * step) for j in range(int(np.floor(i * step)), int(np.ceil((i + 1) * step)))}
+        elif kernel == "linear":
+            found = {j: 1 - abs(c - j) for j in (low, low + 1)}
+        elif kernel == "cubic":
+            near = lambda d: (1.25 * d - 2.25) * d * d + 1 if d <= 1 else ((-0.75 * d + 3.75) * d - 6) * d + 3
+            found = {j: near(abs(c - j)) for j in range(low - 1, low + 3)}
+        elif kernel == "lanczos":
+            found = {j: float(np.sinc(c - j) * np.sinc((c - j) / 4)) for j in range(low - 3, low + 5)}
+        else:
+            raise ValueError("a kernel has to be area, linear, cubic or lanczos")
+        total = sum(found.values())
+        for j, w in found.items():
+            key = (min(max(j, 0), old - 1), i)
+            rows[key] = rows.get(key, 0.0) + w / total
+    return [(a, b, w) for (a, b), w in sorted(rows.items()) if w]
+
+
+def resampled(px: DataFrame, height: int, width: int, new_height: int, new_width: int, kernel: str, value: str = "v") -> DataFrame:
+    """img, yy, xx and the value at another size, by any kernel of taps.
+
+    Along rows and then along columns: a pixel goes to the few new places that it is a tap of, and sums are combined before each of two
+    shuffles. Tables of taps grow with an image's side alone and are broadcast.
+    """
+    for old, new, at in ((width, new_width, "xx"), (height, new_height, "yy")):
+        other = "yy" if at == "xx" else "xx"
+        table = px.sparkSession.createDataFrame(taps(old, new, kernel), f"{at} long, _to long, _w double")
+        rows = px.select("img", "yy", "xx", F.col(value).cast("double").alias(value)).join(F.broadcast(table), at)
+        px = rows.groupBy("img", other, F.col("_to").alias(at)).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
+    return px.select("img", "yy", "xx", value)
+
+
+def warped(px: DataFrame, places: DataFrame, value: str = "v", outside: float = 0.0) -> DataFrame:
+    """The columns of places but sy and sx, and the value there: places have img, sy and sx (real numbers, in pixels of px) and whatever else names
+    a new pixel (F27, R10). Between pixels it is mixed from the four around; what lies outside counts as `outside`.
+
+    New pixels ask for their old ones, so a map of any kind can be taken backwards: one join by pixel, one sum by new pixel.
+    """
+    keys = [c for c in places.columns if c not in ("sy", "sx")]
+    low = {c: F.floor(F.col(f"s{c}")) for c in "yx"}
+    part = {c: F.col(f"s{c}") - low[c] for c in "yx"}
+    four = F.array(*(F.struct((low["y"] + dy).alias("yy"), (low["x"] + dx).alias("xx"), ((part["y"] if dy else 1 - part["y"]) * (part["x"] if dx else 1 - part["x"])).alias("w")) for dy in (0, 1) for dx in (0, 1)))
+    names = [f"_k{i}" for i in range(len(keys))]
+    asked = places.select("img", *(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.explode(four).alias("_t")).select("img", *names, "_t.*").where("w > 0")
+    found = asked.join(px.select("img", "yy", "xx", F.col(value).cast("double").alias("_v")), ["img", "yy", "xx"], "left")
+    return found.groupBy(*names).agg(F.sum(F.col("w") * F.coalesce("_v", F.lit(outside))).alias(value)).select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), value)

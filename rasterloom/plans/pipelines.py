@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import inference as I
 from rasterloom.operators import publishing as P
+from rasterloom.plans.rasters import _taps
 from rasterloom.plans.registry import Registry, shared_folder
 from rasterloom.sources import images as files
 from rasterloom.sources import raster, tiff
@@ -86,6 +87,24 @@ def multi_scale(spark, sf_dir):
     return rounded(I.multi_scale(pixels(spark, sf_dir), HEIGHT, WIDTH, [1, 2], 8, lambda rows: rows.withColumn("v", F.col("v") * 0.5)), 6, "v")
 
 
+@query("multi_scale_smooth", f"""WITH {PX}, {_taps(48, 32, 'area', 'ay')}, {_taps(64, 43, 'area', 'ax')}, {_taps(32, 48, 'cubic', 'cy')}, {_taps(43, 64, 'cubic', 'cx')},
+a AS (SELECT img, yy, ax.n AS xx, sum(v * w) AS v FROM px JOIN ax ON ax.at = px.xx GROUP BY ALL), s AS (SELECT img, ay.n AS yy, xx, sum(v * w) * 0.5 AS v FROM a JOIN ay ON ay.at = a.yy GROUP BY ALL),
+b AS (SELECT img, yy, cx.n AS xx, sum(v * w) AS v FROM s JOIN cx ON cx.at = s.xx GROUP BY ALL), u AS (SELECT img, cy.n AS yy, xx, sum(v * w) AS v FROM b JOIN cy ON cy.at = b.yy GROUP BY ALL)
+SELECT img, yy, xx, round((px.v * 0.5 + u.v) / 2, 6) AS v FROM px JOIN u USING (img, yy, xx)""")
+def multi_scale_smooth(spark, sf_dir):
+    return rounded(I.multi_scale(pixels(spark, sf_dir), HEIGHT, WIDTH, [1, 1.5], 8, lambda rows: rows.withColumn("v", F.col("v") * 0.5)), 6, "v")
+
+
+@query("augment_rotate", f"""WITH {PX}, d AS (SELECT DISTINCT img, radians({_DRAW.format(seed=5, epoch=2, n=61)} - 30) AS a, 1 + {_DRAW.format(seed=6, epoch=2, n=5)} / 10.0::DOUBLE AS z FROM px),
+p AS (SELECT img, yy, xx, (cos(a) * (yy - 23.5::DOUBLE) - sin(a) * (xx - 31.5::DOUBLE)) / z + 23.5 AS sy, (sin(a) * (yy - 23.5::DOUBLE) + cos(a) * (xx - 31.5::DOUBLE)) / z + 31.5 AS sx FROM px JOIN d USING (img)),
+q AS (SELECT img, yy, xx, floor(sy)::BIGINT + i AS y, floor(sx)::BIGINT + j AS x, (CASE i WHEN 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END) * (CASE j WHEN 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END) AS w FROM p, range(2) r(i), range(2) t(j))
+SELECT q.img, q.yy, q.xx, round(sum(w * coalesce(v, 0)), 6) AS v FROM q LEFT JOIN px ON px.img = q.img AND px.yy = q.y AND px.xx = q.x GROUP BY ALL""")
+def augment_rotate(spark, sf_dir):
+    """Images turned by -30 to 30 degrees and enlarged by 1 to 1.4, as drawn."""
+    angle, scale = I.draw(5, 2, "img", 61) - 30, 1 + I.draw(6, 2, "img", 5) / 10
+    return rounded(I.turned_by(pixels(spark, sf_dir), HEIGHT, WIDTH, angle, scale), 6, "v")
+
+
 @query("super_tiles", f"WITH {PX} SELECT img, ((yy + 6) // 20)::INTEGER AS ty, ((xx + 8) // 20)::INTEGER AS tx, count(*) AS n, sum(v)::BIGINT AS total, max(yy - greatest(((yy + 6) // 20) * 20 - 6, 0))::BIGINT AS last_y, max(xx - greatest(((xx + 8) // 20) * 20 - 8, 0))::BIGINT AS last_x FROM px GROUP BY ALL")
 def super_tiles(spark, sf_dir):
     sizes = images(spark, sf_dir).select("img", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"))

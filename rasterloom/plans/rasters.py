@@ -131,6 +131,35 @@ def resample_bilinear(spark, sf_dir):
     return rounded(T.bilinear(pixels(spark, sf_dir), HEIGHT, WIDTH, 36, 100), "v")
 
 
+def _taps(old, new, kernel, name):
+    """SQL of the table of taps along an axis: n, at, w."""
+    near = {
+        "area": f"SELECT n, j, least(j + 1, (n + 1) * {old}.0::DOUBLE / {new}) - greatest(j, n * {old}.0::DOUBLE / {new}) AS w FROM (SELECT range AS n FROM range({new})), (SELECT range AS j FROM range({old})) WHERE least(j + 1, (n + 1) * {old}.0::DOUBLE / {new}) > greatest(j, n * {old}.0::DOUBLE / {new})",
+        "cubic": "SELECT n, j, CASE WHEN d <= 1 THEN (1.25::DOUBLE * d - 2.25) * d * d + 1 ELSE ((-0.75::DOUBLE * d + 3.75) * d - 6) * d + 3 END AS w FROM (SELECT n, floor(c) + k AS j, abs(c - floor(c) - k) AS d FROM {c}, (SELECT unnest([-1, 0, 1, 2]) AS k))",
+        "lanczos": "SELECT n, j, CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 4) / (pi() * d / 4) END AS w FROM (SELECT n, floor(c) + k AS j, abs(c - floor(c) - k) AS d FROM {c}, (SELECT unnest([-3, -2, -1, 0, 1, 2, 3, 4]) AS k))",
+    }[kernel].replace("{c}", f"{name}c")
+    return f"{name}c AS (SELECT range AS n, (range + 0.5::DOUBLE) * {old} / {new} - 0.5 AS c FROM range({new})), {name}r AS ({near}), {name} AS (SELECT n, greatest(0, least({old - 1}, j))::BIGINT AS at, w / sum(w) OVER (PARTITION BY n) AS w FROM {name}r)"
+
+
+def _resample_sql(kernel, new_height, new_width):
+    return f"WITH {PX}, {_taps(48, new_height, kernel, 'ty')}, {_taps(64, new_width, kernel, 'tx')}, h AS (SELECT img, yy, tx.n AS xx, sum(v * w) AS v FROM px JOIN tx ON tx.at = px.xx GROUP BY ALL) SELECT img, ty.n AS yy, xx, round(sum(v * w), 6) AS v FROM h JOIN ty ON ty.at = h.yy GROUP BY ALL"
+
+
+@query("resample_area", _resample_sql("area", 35, 27))
+def resample_area(spark, sf_dir):
+    return rounded(T.resampled(pixels(spark, sf_dir), HEIGHT, WIDTH, 35, 27, "area"), "v")
+
+
+@query("resample_cubic", _resample_sql("cubic", 60, 100))
+def resample_cubic(spark, sf_dir):
+    return rounded(T.resampled(pixels(spark, sf_dir), HEIGHT, WIDTH, 60, 100, "cubic"), "v")
+
+
+@query("resample_lanczos", _resample_sql("lanczos", 36, 70))
+def resample_lanczos(spark, sf_dir):
+    return rounded(T.resampled(pixels(spark, sf_dir), HEIGHT, WIDTH, 36, 70, "lanczos"), "v")
+
+
 @query("resample_nearest", f"WITH {PX} SELECT img, y.range AS yy, x.range AS xx, v FROM range(30) y, range(100) x JOIN px ON px.yy = (y.range * 48) // 30 AND px.xx = (x.range * 64) // 100")
 def resample_nearest(spark, sf_dir):
     return T.nearest(pixels(spark, sf_dir), HEIGHT, WIDTH, 30, 100)
