@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geo
 from rasterloom.operators.pixels import range_stretch
+from rasterloom.operators.tiling import warped
 
 
 def tiles_at(points: DataFrame, zooms: range, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -70,3 +73,32 @@ def pixel_tiles(px: DataFrame, bands: list[str], tile: int) -> DataFrame:
 
     cut = px.select("img", F.floor(F.col("yy") / tile).alias("ty"), F.floor(F.col("xx") / tile).alias("tx"), (F.col("yy") % tile).alias("yy"), (F.col("xx") % tile).alias("xx"), *bands, F.lit(255).alias("_there"))
     return as_png(cut, ["img", "ty", "tx"], [*bands, "_there"], tile)
+
+
+def mercator_pixels(px: DataFrame, rasters: DataFrame, zoom: int, size: int = geo.TILE, value: str = "v", project: Callable | None = None, unproject: Callable | None = None) -> DataFrame:
+    """img, tx, ty, iy, ix and the value: rasters as pixels of mercator tiles of one zoom (K11, K2), iy counted from a tile's top, ty from the south.
+
+    rasters: img, height, width, x0, y0 (the map place of the upper left corner) and step (of a pixel, in units of the map). project takes
+    columns of latitude and longitude to the map and unproject brings them back; without them the map is in mercator metres.
+
+    Each pixel of the tiles that a raster's corners reach asks where it lies in the raster, and is mixed from the four pixels there; the outermost
+    half pixel takes the edge's own. Pixels that lie in no raster have no row, nor have tiles that have none. A pixel in several rasters has a row for each.
+    """
+    to_map = project or (lambda lat, lon: geo.mercator(lat, lon))
+    from_map = unproject or geo.place
+    x0, y0, step = F.col("x0"), F.col("y0"), F.col("step")
+    z = F.lit(zoom)
+    corners = [from_map(x, y) for x in (x0, x0 + F.col("width") * step) for y in (y0, y0 - F.col("height") * step)]
+    tiles = [[F.floor(geo.to_pixels(m, z) / geo.TILE) for m in axis] for axis in zip(*(geo.mercator(*geo.world(*c)) for c in corners), strict=True)]
+    rows = rasters.select("img", "height", "width", "x0", "y0", "step", F.explode(F.sequence(F.least(*tiles[1]), F.greatest(*tiles[1]))).alias("ty"), F.array(*tiles[0]).alias("_tx"))
+    rows = rows.withColumn("tx", F.explode(F.sequence(F.array_min("_tx"), F.array_max("_tx")))).drop("_tx")
+    to = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
+    rows = rows.withColumn("iy", F.explode(to)).withColumn("ix", F.explode(to))
+    part = geo.TILE / size
+    mx, my = geo.to_metres(F.col("tx") * geo.TILE + (F.col("ix") + 0.5) * part, z), geo.to_metres((F.col("ty") + 1) * geo.TILE - (F.col("iy") + 0.5) * part, z)
+    x, y = to_map(*geo.place(mx, my))
+    rows = rows.withColumns({"_x": (x - x0) / step - 0.5, "_y": (y0 - y) / step - 0.5})
+    inside = (F.col("_x") >= -0.5) & (F.col("_x") < F.col("width") - 0.5) & (F.col("_y") >= -0.5) & (F.col("_y") < F.col("height") - 0.5)
+    clamp = lambda c, n: F.greatest(F.lit(0.0), F.least(F.col(n) - F.lit(1.0), F.col(c)))
+    places = rows.where(inside).select("img", "tx", "ty", "iy", "ix", clamp("_y", "height").alias("sy"), clamp("_x", "width").alias("sx"))
+    return warped(px, places, value)

@@ -112,6 +112,25 @@ def super_tiles(spark, sf_dir):
     return rows.groupBy("img", "ty", "tx").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("iy").alias("last_y"), F.max("ix").alias("last_x"))
 
 
+_M = f"{_HALF} / 180"
+
+
+@query("mercator_pixels", f"""WITH {PX}, r AS (SELECT s_suppkey::INTEGER AS img, (s_suppkey * 37 % 300 - 150)::DOUBLE AS x0, (s_suppkey * 17 % 120 - 59)::DOUBLE AS y0, 0.02::DOUBLE AS step FROM supplier),
+b AS (SELECT *, floor((x0 * {_M} + {_HALF}) / (2 * {_HALF} / 128))::BIGINT AS tx0, floor(((x0 + 64 * step) * {_M} + {_HALF}) / (2 * {_HALF} / 128))::BIGINT AS tx1,
+      floor((ln(tan((90 + y0 - 48 * step) * pi() / 360)) / pi() * {_HALF} + {_HALF}) / (2 * {_HALF} / 128))::BIGINT AS ty0, floor((ln(tan((90 + y0) * pi() / 360)) / pi() * {_HALF} + {_HALF}) / (2 * {_HALF} / 128))::BIGINT AS ty1 FROM r),
+t AS (SELECT img, x0, y0, step, tx, ty, iy, ix, ((tx + (ix + 0.5::DOUBLE) / 64) * (2 * {_HALF} / 128) - {_HALF}) / ({_M}) AS lon, atan(exp(((ty + 1 - (iy + 0.5::DOUBLE) / 64) * 2 / 128 - 1) * pi())) * 360 / pi() - 90 AS lat
+      FROM b, range(128) a(tx), range(128) c(ty), range(64) d(iy), range(64) e(ix) WHERE tx BETWEEN tx0 AND tx1 AND ty BETWEEN ty0 AND ty1),
+s AS (SELECT img, tx, ty, iy, ix, (lon - x0) / step - 0.5 AS sx, (y0 - lat) / step - 0.5 AS sy FROM t), k AS (SELECT img, tx, ty, iy, ix, greatest(0, least(63, sx)) AS sx, greatest(0, least(47, sy)) AS sy FROM s WHERE sx >= -0.5 AND sx < 63.5 AND sy >= -0.5 AND sy < 47.5),
+q AS (SELECT img, tx, ty, iy, ix, floor(sy)::BIGINT + i AS y, floor(sx)::BIGINT + j AS x, (CASE i WHEN 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END) * (CASE j WHEN 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END) AS w FROM k, range(2) f(i), range(2) g(j))
+SELECT q.img, tx, ty, iy, ix, round(sum(w * coalesce(v, 0)), 6) AS v FROM q LEFT JOIN px ON px.img = q.img AND px.yy = q.y AND px.xx = q.x WHERE w > 0 GROUP BY ALL""")
+def mercator_pixels(spark, sf_dir):
+    """Rasters in degrees as pixels of mercator tiles at zoom 7, a fourth of the usual size."""
+    s = F.col("img")
+    rasters = images(spark, sf_dir).select("img", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), (s * 37 % 300 - 150).cast("double").alias("x0"), (s * 17 % 120 - 59).cast("double").alias("y0"), F.lit(0.02).alias("step"))
+    found = P.mercator_pixels(pixels(spark, sf_dir), rasters, 7, 64, project=lambda lat, lon: (lon, lat), unproject=lambda x, y: (y, x))
+    return rounded(found, 6, "v")
+
+
 def _written(spark, made, path, content):
     """The folder that now holds the files of made."""
     root = f"{shared_folder(spark)}/files_{uuid.uuid4().hex}"
