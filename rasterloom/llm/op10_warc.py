@@ -290,10 +290,10 @@ def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
 def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    found = materialise(read(spark, path, payloads=False).select(
+    found = read(spark, path, payloads=False).select(
         "capture_id", F.when(F.col("metadata.page_id") != "", F.col("metadata.page_id").cast("long")).alias("page_id"), F.coalesce("response.payload_bytes", F.col("metadata.payload_bytes").cast("long")).alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.regexp_extract("response.refers_to", "<(.*)>", 1).alias("refers"), F.col("metadata.refers_to_page").cast("long").alias("page"),
-    ))
+    )
     # the record that a revisit refers to, by its identifier
     meant = found.where("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("meant"))
     return found.join(meant, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.coalesce("meant", "page")).alias("refers_to"))
