@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import groups, materialise, partitions
+from rasterloom.llm.common import give_back, groups, materialise, shared_folder
 
 #: Candidates of a block, queries of a block, and queries whose scores are held at once.
 CANDIDATES, QUERIES, AT_ONCE = 4096, 1024, 32
+#: Bytes of a block as 64-bit numbers; queries, and their bytes, that are broadcast at once, which bounds what a driver and a worker hold.
+BLOCK_BYTES, GROUP, GROUP_BYTES = 8_000_000, 32_768, 64_000_000
+#: Blocks of candidates after which a task merges what they gave.
+MERGE = 16
 
 
 def _packed(most: int):
@@ -22,26 +26,38 @@ def _packed(most: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, "dim"):
             dim = rows.column("dim")[0].as_py()
-            for at in range(0, rows.num_rows, most):
-                some = rows.slice(at, most)
+            size = max(1, min(most, BLOCK_BYTES // (8 * dim)))
+            for at in range(0, rows.num_rows, size):
+                some = rows.slice(at, size)
                 values = some.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
                 small = np.abs(values).max(initial=0) < 2**15
-                ids, vals = some.column("id").to_numpy().tobytes(), values.astype(np.int16 if small else np.int64).tobytes()
-                # named by content: a task that runs again gives its blocks the same names, so they are dealt as before
-                block = [hashlib.blake2b(ids + vals, digest_size=16).hexdigest(), dim, int(small), ids, vals]
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(block, kinds, strict=True)], ["block", "dim", "small", "ids", "vals"])
+                block = [dim, int(small), some.column("id").to_numpy().tobytes(), values.astype(np.int16 if small else np.int64).tobytes()]
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(block, kinds, strict=True)], ["dim", "small", "ids", "vals"])
 
     return fn
 
 
-_BLOCK = "block string, dim int, small int, ids binary, vals binary"
+_BLOCK = "dim int, small int, ids binary, vals binary"
 
 
-def _queries(table: pa.Table) -> pa.Table:
-    """One block of queries."""
-    block = next(_packed(table.num_rows)(iter(table.select(["id", "v", "dim"]).combine_chunks().to_batches())))
-    return pa.Table.from_batches([block]).set_column(0, "q", table.column("q").slice(0, 1))
+def _opened(r) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block."""
+    return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vals"], np.int16 if r["small"] else np.int64).reshape(-1, r["dim"])
+
+
+def _in_groups(blocks: Iterator) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Query blocks in groups of a bounded size."""
+    held, rows, size = [], 0, 0
+    for r in blocks:
+        ids, values = _opened(r)
+        if held and (rows + len(ids) > GROUP or size + values.size * 8 > GROUP_BYTES):
+            yield held
+            held, rows, size = [], 0, 0
+        held.append((r["dim"], ids, values))
+        rows, size = rows + len(ids), size + values.size * 8
+    if held:
+        yield held
 
 
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,14 +105,35 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates
     return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
 
 
-def _search(k: int):
+def _merged(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each row among several lists of (row, id, score)."""
+    row, ids, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((ids, -score, row))
+    row = row[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[order][keep], score[order][keep]
+
+
+def _search(shared, k: int):
+    """Each task's k best candidates of every query, merged block by block."""
+
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        found: list[list] = [[] for _ in queries]
         for batch in batches:
             for r in batch.to_pylist():
-                read = lambda side, r=r: (np.frombuffer(r[f"{side}_ids"], np.int64), np.frombuffer(r[f"{side}_vals"], np.int16 if r[f"{side}_small"] else np.int64).reshape(-1, r["dim"]))
-                (qi, qv), (ci, cv) = read("q"), read("c")
-                row, ids, score = best(qi, qv, ci, cv, k)
-                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]] * len(row), pa.int32()), pa.array([r["q"]] * len(row), pa.int64()), pa.array(row, pa.int64()), pa.array(qi[row], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], ["dim", "q", "row", "query_id", "id", "score"])
+                ids, values = _opened(r)
+                for held, (dim, asked, vectors) in zip(found, queries, strict=True):
+                    if dim != r["dim"]:
+                        continue
+                    held.append(best(asked, vectors, ids, values, k))
+                    if len(held) > MERGE:
+                        held[:] = [_merged(held, k)]
+        for at, (held, (_, asked, _)) in enumerate(zip(found, queries, strict=True)):
+            if held:
+                row, ids, score = _merged(held, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), at)), pa.array(row), pa.array(asked[row]), pa.array(ids), pa.array(score)], ["q", "row", "query_id", "id", "score"])
+        give_back()
 
     return fn
 
@@ -105,8 +142,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, id_col="vec_id",
     """query_id, rank (from 1), id and score: for each row of queries the k candidates with the highest inner product of
     floor(scale * x), over all candidates with as many components, in whole numbers. Candidates with the query's id take no part.
 
-    Candidates and queries are packed into blocks; every block of candidates meets every block of queries (dealt by
-    block, so no task holds more than one of each), which leaves k rows a query and block to be merged.
+    Candidates are packed into blocks once. Queries go by groups of blocks of a bounded size: a group is broadcast, every task scatters its
+    candidates' postings into the scores of that group's queries and keeps k of each, and what the tasks kept is merged. So candidates
+    are read once a group and never shuffled, and the driver holds one group at a time.
 
     Vectors that are null, or hold null or non-finite components, take no part; null ids neither. Zero vectors do. Rows
     that repeat a query's id are queries of their own, rows that repeat a candidate's are candidates of their own. Scores
@@ -120,19 +158,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, id_col="vec_id",
         return df.where(F.coalesce((F.size(v) > 0) & ~bad, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), numbers.alias("v"), F.size(v).alias("dim"))
 
     spark = queries.sparkSession
-    asked = whole(queries)
-    n = max(1, -(-asked.count() // QUERIES))
-    q = materialise(asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("q", "dim").applyInArrow(_queries, _BLOCK.replace("block string", "q long")))
-    c = whole(candidates).sortWithinPartitions("dim").mapInArrow(_packed(CANDIDATES), _BLOCK)
-    side = lambda df, s, name: df.select("dim", F.col(name).alias(s), *(F.col(x).alias(f"{s}_{x}") for x in ("small", "ids", "vals")))
-    salts = max(partitions(spark), 1)
-    to = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    # a row for each pair of blocks: both sides are dealt by the number of the query block and a salt
-    left = side(c, "c", "block").withColumn("q", to(n)).withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(salts).cast("long")))
-    right = side(q, "q", "q").withColumn("salt", to(salts))
-    found = left.join(right.hint("shuffle_merge"), ["dim", "q", "salt"]).select("dim", "q", "q_small", "q_ids", "q_vals", "c_small", "c_ids", "c_vals").mapInArrow(_search(k), "dim int, q long, row long, query_id long, id long, score long")
-    order = Window.partitionBy("dim", "q", "row").orderBy(F.col("score").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    sc = spark.sparkContext
+    pack = lambda df, most: materialise(whole(df).sortWithinPartitions("dim").mapInArrow(_packed(most), _BLOCK))
+    asked, blocks = pack(queries, QUERIES), pack(candidates, CANDIDATES).coalesce(2 * sc.defaultParallelism)
+    path, schema = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet", "query_id long, rank int, id long, score long"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for group in _in_groups(r.asDict() for r in asked.toLocalIterator()):
+        shared = sc.broadcast(group)
+        found = blocks.mapInArrow(_search(shared, k), "q long, row long, query_id long, id long, score long")
+        order = Window.partitionBy("q", "row").orderBy(F.col("score").desc(), "id")
+        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score").write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path)
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

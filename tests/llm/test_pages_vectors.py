@@ -266,6 +266,7 @@ def test_tiles_bound_nothing_away():
 def test_top_k(spark, vectors, monkeypatch, block):
     monkeypatch.setattr(op5_topk, "CANDIDATES", block)
     monkeypatch.setattr(op5_topk, "QUERIES", 4)
+    monkeypatch.setattr(op5_topk, "GROUP", 6)
     df = frame(spark, vectors)
     whole = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in vectors if i is not None and sound(v)]
     want = []
