@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +94,28 @@ def by_super_tile(px: DataFrame, images: DataFrame, tile: int) -> DataFrame:
     lead = lambda n: F.floor(((F.greatest(F.lit(1), F.ceil((n - tile) / tile) + 1) - 1) * tile + tile - n) / 2)
     rows = px.join(size, "img").withColumns({"ty": F.floor((F.col("yy") + lead(F.col("height"))) / tile).cast("int"), "tx": F.floor((F.col("xx") + lead(F.col("width"))) / tile).cast("int")})
     return rows.drop("height", "width").join(boxes, ["img", "ty", "tx"]).withColumns({"iy": F.col("yy") - F.col("by"), "ix": F.col("xx") - F.col("bx")}).drop("by", "bx")
+
+
+def resumed(ids: DataFrame, folder: str, name: str, make: Callable[[DataFrame], DataFrame], parts: int = 1, key: str = "img") -> DataFrame:
+    """make(ids) as a table that is kept in the folder under a name, which should tell inputs and parameters.
+
+    Ids of which the table has rows are not made again. The others are made in parts by a hash of their id, each committed by itself, so
+    a run that is killed goes on after its last whole part. Several runs at once aren't kept apart.
+    """
+    spark, path = ids.sparkSession, f"{folder.rstrip('/')}/{name}.parquet"
+
+    def kept() -> DataFrame | None:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    for part in range(parts):
+        asked, before = ids.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part), kept()
+        todo = asked if before is None else asked.join(before.select(key).distinct(), key, "left_anti")
+        if not todo.isEmpty():
+            make(todo).write.mode("append").parquet(path)
+    found = kept()
+    return make(ids.limit(0)) if found is None else found.join(ids.select(key).distinct(), key, "left_semi")

@@ -202,6 +202,34 @@ def shadowed(px: DataFrame, polygon: list[tuple[int, int]], value: str = "v") ->
     return px.withColumn("shaded", F.when(inside(F.col("xx"), F.col("yy"), polygon), F.floor(F.col(value) * 0.5)).otherwise(F.col(value)))
 
 
+def shaded_colour(r: Column, g: Column, b: Column, share: float = 0.5) -> Column:
+    """An 8-bit colour with its lightness (of hue, lightness and saturation) times share, hue and saturation kept."""
+    r, g, b = (x.cast("double") / 255 for x in (r, g, b))
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    light = (high + low) / 2
+    new = light * share
+    # saturation is the spread over the widest that the lightness allows
+    spread = F.when(high > low, (1 - F.abs(2 * new - 1)) / (1 - F.abs(2 * light - 1))).otherwise(F.lit(0.0))
+    return F.array(*(F.floor(F.round((new + (x - light) * spread) * 255, 6) + 0.5).cast("int") for x in (r, g, b)))
+
+
+def shadowed_colours(px: DataFrame, polygon: list[tuple[int, int]], names: tuple[str, str, str] = ("r", "g", "b"), share: float = 0.5) -> DataFrame:
+    """px with the colours inside a polygon at a share of their lightness."""
+    from rasterloom.operators.annotations import inside
+
+    rows = px.withColumn("_c", F.when(inside(F.col("xx"), F.col("yy"), polygon), shaded_colour(*(F.col(n) for n in names), share)).otherwise(F.array(*(F.col(n).cast("int") for n in names))))
+    return rows.withColumns({n: F.col("_c")[i] for i, n in enumerate(names)}).drop("_c")
+
+
+def rock_bands(px: DataFrame, height: str = "height", sd: float = 33.0, mean: float = 136.0) -> DataFrame:
+    """img, yy, xx and bands: value, value again and height (F16). Black pixels are grey (127) first; the value, the highest channel of r, g, b, is
+    moved to a mean and standard deviation over its image, and cut to a whole number."""
+    black = (F.col("r") == 0) & (F.col("g") == 0) & (F.col("b") == 0)
+    rows = px.withColumn("_v", F.when(black, F.lit(127)).otherwise(F.greatest("r", "g", "b")))
+    value = F.floor(F.round("standardised", 6)).cast("int")
+    return standardised(rows, "_v", sd, mean).select("img", "yy", "xx", F.array(value, value, F.col(height).cast("int")).alias("bands"))
+
+
 def standard_bands(bands: Column, means: list[float], sds: list[float]) -> Column:
     """(x - mean) / sd, band by band."""
     pairs = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(means, sds, strict=True)))

@@ -116,3 +116,14 @@ def at_scale(rows: DataFrame, group: str, scale: str, order: str, value: str, fu
     """Of each group the first value whose scale is 1 (or isn't)."""
     chosen = rows.where(F.col(scale) == 1.0 if full else F.col(scale) != 1.0)
     return chosen.groupBy(group).agg(F.min_by(value, order).alias(value))
+
+
+def with_height(images: DataFrame, heights: DataFrame, shape: tuple[int, int], height_shape: tuple[int, int], value: str = "v") -> DataFrame:
+    """images and the height layer's value at each of their pixels as height (S4); a layer of another shape is brought to the images' by cubic taps.
+    Images without such a layer are left out, as samples have to be complete."""
+    from rasterloom.operators.tiling import resampled
+
+    layer = heights.select("img", "yy", "xx", F.col(value).cast("double").alias("height"))
+    if shape != height_shape:
+        layer = resampled(layer, *height_shape, *shape, "cubic", "height")
+    return images.join(layer, ["img", "yy", "xx"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import inference as I
 from rasterloom.operators import publishing as P
+from rasterloom.operators import sampling as S
 from rasterloom.plans.rasters import _taps
 from rasterloom.plans.registry import Registry, shared_folder
 from rasterloom.sources import images as files
@@ -105,6 +106,24 @@ def augment_rotate(spark, sf_dir):
     return rounded(I.turned_by(pixels(spark, sf_dir), HEIGHT, WIDTH, angle, scale), 6, "v")
 
 
+@query("sample_heights", f"""WITH {PX}, {_taps(24, 48, 'cubic', 'ty')}, {_taps(32, 64, 'cubic', 'tx')}, l AS (SELECT * FROM px WHERE yy < 24 AND xx < 32 AND img % 3 <> 0), h AS (SELECT img, yy, tx.n AS xx, sum(v * w) AS v FROM l JOIN tx ON tx.at = l.xx GROUP BY ALL),
+z AS (SELECT img, ty.n AS yy, xx, sum(v * w) AS height FROM h JOIN ty ON ty.at = h.yy GROUP BY ALL) SELECT img, yy, xx, v, round(height, 6) AS height FROM px JOIN z USING (img, yy, xx)""")
+def sample_heights(spark, sf_dir):
+    """Images with a height layer of half their size, which every third image lacks."""
+    px = pixels(spark, sf_dir)
+    layer = px.where((F.col("yy") < 24) & (F.col("xx") < 32) & (F.col("img") % 3 != 0))
+    return rounded(S.with_height(px, layer, (HEIGHT, WIDTH), (24, 32)), 6, "height")
+
+
+@query("resumed_fields", f"WITH {PX} SELECT img, CASE WHEN img % 2 = 0 THEN 1 ELSE 2 END AS run, sum(v)::BIGINT AS total, count(*) AS n FROM px GROUP BY img")
+def resumed_fields(spark, sf_dir):
+    """Fields of half of the images, and then of all: the second run makes only the other half."""
+    folder, ids, px = f"{shared_folder(spark)}/fields_{uuid.uuid4().hex}", images(spark, sf_dir), pixels(spark, sf_dir)
+    make = lambda run: lambda some: px.join(some, "img").groupBy("img").agg(F.lit(run).alias("run"), F.sum("v").alias("total"), F.count("*").alias("n"))
+    I.resumed(ids.where("img % 2 = 0"), folder, "sums", make(1), parts=2)
+    return I.resumed(ids, folder, "sums", make(2), parts=2)
+
+
 @query("super_tiles", f"WITH {PX} SELECT img, ((yy + 6) // 20)::INTEGER AS ty, ((xx + 8) // 20)::INTEGER AS tx, count(*) AS n, sum(v)::BIGINT AS total, max(yy - greatest(((yy + 6) // 20) * 20 - 6, 0))::BIGINT AS last_y, max(xx - greatest(((xx + 8) // 20) * 20 - 8, 0))::BIGINT AS last_x FROM px GROUP BY ALL")
 def super_tiles(spark, sf_dir):
     sizes = images(spark, sf_dir).select("img", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"))

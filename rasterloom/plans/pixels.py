@@ -99,6 +99,31 @@ def standardise(spark, sf_dir):
     return rounded(P.standardised(pixels(spark, sf_dir), "v").select("img", "yy", "xx", "standardised"), "standardised")
 
 
+_COLOUR = f"{PX}, c AS (SELECT img, yy, xx, v, CASE WHEN v % 5 = 0 THEN 0 ELSE v END AS r, CASE WHEN v % 5 = 0 THEN 0 ELSE 255 - v END AS g, CASE WHEN v % 5 = 0 THEN 0 ELSE v * 2 % 256 END AS b FROM px)"
+
+
+def _colours(spark, sf_dir):
+    """Coloured rasters, a fifth of them black."""
+    v = F.col("v")
+    lit = lambda c: F.when(v % 5 == 0, 0).otherwise(c)
+    return pixels(spark, sf_dir).select("img", "yy", "xx", "v", lit(v).alias("r"), lit(255 - v).alias("g"), lit(v * 2 % 256).alias("b"))
+
+
+@query("rock_bands", f"WITH {_COLOUR}, w AS (SELECT img, yy, xx, v, CASE WHEN r = 0 AND g = 0 AND b = 0 THEN 127 ELSE greatest(r, g, b) END AS w FROM c), e AS (SELECT img, avg(w) AS m, stddev_pop(w) AS s FROM w GROUP BY img), z AS (SELECT img, yy, xx, v, floor(round(greatest(0, least(255, (w - m) / s * 33 + 136)), 6))::INTEGER AS z FROM w JOIN e USING (img)) SELECT img, yy, xx, [z, z, (v // 2)::INTEGER] AS bands FROM z")
+def rock_bands(spark, sf_dir):
+    return P.rock_bands(_colours(spark, sf_dir).withColumn("height", F.floor(F.col("v") / 2)))
+
+
+_DARK = "floor(round((l * 0.5 + ({0} / 255.0::DOUBLE - l) * k) * 255, 6) + 0.5)::INTEGER"
+
+
+@query("shadow_colour", f"""WITH {_COLOUR}, h AS (SELECT *, (greatest(r, g, b) + least(r, g, b)) / 510.0::DOUBLE AS l FROM c), k AS (SELECT *, CASE WHEN greatest(r, g, b) > least(r, g, b) THEN (1 - abs(l - 1)) / (1 - abs(2 * l - 1)) ELSE 0 END AS k FROM h)
+SELECT img, yy, xx, CASE WHEN xx BETWEEN 5 AND 40 AND yy BETWEEN 5 AND xx THEN [{_DARK.format('r')}, {_DARK.format('g')}, {_DARK.format('b')}] ELSE [r::INTEGER, g::INTEGER, b::INTEGER] END AS colour FROM k""")
+def shadow_colour(spark, sf_dir):
+    found = P.shadowed_colours(_colours(spark, sf_dir), [(5, 5), (40, 5), (40, 40)])
+    return found.select("img", "yy", "xx", F.array("r", "g", "b").alias("colour"))
+
+
 @query("standard_bands", f"WITH {PX} SELECT img, yy, xx, round((v - 100) / 50.0, 6) AS b0, round((v - 110) / 60.0, 6) AS b1 FROM px")
 def standard_bands(spark, sf_dir):
     z = P.standard_bands(F.array("v", "v"), [100.0, 110.0], [50.0, 60.0])
