@@ -319,3 +319,24 @@ def test_depth_of_json(spark):
     found = spark.createDataFrame(rows, "id int, t string").select("id", jsondiff.depth(F.col("t")).alias("d")).collect()
     assert {r.id: r.d for r in found} == {i: hand(d) for i, d in enumerate(docs)}
     assert jsondiff.flattened(spark.createDataFrame(rows, "id int, t string"), "id", "t").where("kind = 'open'").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "timestamp_ntz", "decimal(20,2)", "double", "long"])
+def test_histories_by_any_order(spark, kind):
+    """Parts of a history by strings, days, times and numbers: each row's extrema so far, and full sums in turn."""
+    rng = np.random.default_rng(7)
+    rows = [(i % 3 if i % 2 else 0, i, int(rng.integers(0, 1000))) for i in rng.permutation(400).tolist()]
+    n = F.col("n")
+    made = {"string": F.lpad(n.cast("string"), 5, "0"), "date": F.date_add(F.lit("2020-01-01").cast("date"), n.cast("int")), "timestamp": F.timestamp_seconds(n * 1000), "timestamp_ntz": F.timestamp_seconds(n * 1000).cast("timestamp_ntz")}
+    df = spark.createDataFrame(rows, "g long, n long, v long").withColumn("o", made.get(kind, n.cast(kind))).repartition(4)
+    want, seen = {}, {}
+    for g, i, v in sorted(rows, key=lambda r: r[1]):
+        low, high = seen.get(g, (v, v))
+        seen[g] = want[i] = (min(low, v), max(high, v))
+    found = metrics.running_extrema(df, "g", "o", "v", 9)
+    assert {r.n: (r.lowest, r.highest) for r in found.collect()} == want
+    assert metrics._in_parts(df, "o", 9).select("_part").distinct().count() == 9
+    sums = {(r.g, r.step): r.total for r in metrics.accumulated(df, "g", "o", "v", 10, 9).collect()}
+    for g in range(3):
+        own = [v for h, _, v in sorted(rows, key=lambda r: r[1]) if h == g]
+        assert all(sums[g, s] == sum(own[s * 10 : s * 10 + 10]) for s in range(len(own) // 10))
