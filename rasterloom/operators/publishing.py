@@ -36,6 +36,15 @@ def description(levels: DataFrame, title: str) -> DataFrame:
     return levels.agg(F.concat(F.lit(head + "\n"), lines, F.lit("\n</TileSets></TileMap>")).alias("xml"))
 
 
+def bounded_description(levels: DataFrame, places: DataFrame, title: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """The description with the bounds of what is published, and their lower corner as origin (K12). As published pyramids have it, x is the
+    latitude and y the longitude there. places: latitudes and longitudes of all that lies in the pyramid."""
+    edge = places.agg(*(f(c).alias(n) for f, c, n in ((F.min, lat, "_s"), (F.min, lon, "_w"), (F.max, lat, "_n"), (F.max, lon, "_e")))).withColumn("_k", F.lit(1))
+    box = F.format_string('<BoundingBox minx="%.14f" miny="%.14f" maxx="%.14f" maxy="%.14f"/><Origin x="%.14f" y="%.14f"/>', "_s", "_w", "_n", "_e", "_s", "_w")
+    both = description(levels, title).withColumn("_k", F.lit(1)).join(edge, "_k")  # one row each
+    return both.select(F.regexp_replace("xml", F.lit("</SRS>"), F.concat(F.lit("</SRS>"), box)).alias("xml"))
+
+
 def child_links(tiles: DataFrame) -> DataFrame:
     """z, tx, ty and links: the names of a tile's existing children, in order (K13). A tile has at most four."""
     name = F.format_string("%d/%d/%d.kml", "z", "tx", "ty")

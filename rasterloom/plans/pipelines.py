@@ -41,6 +41,13 @@ def pyramid_description(spark, sf_dir):
     return P.description(P.tile_sets(P.tiles_at(points(spark, sf_dir), range(2, 6))), "places")
 
 
+@query("pyramid_bounds", f"""WITH {PTS}, {_TILES}, l AS (SELECT z, 2 * {_HALF} / 256 / pow(2, z) AS u FROM t GROUP BY z)
+SELECT '<TileMap version="1.0.0"><Title>places</Title><SRS>EPSG:3857</SRS>' || (SELECT printf('<BoundingBox minx="%.14f" miny="%.14f" maxx="%.14f" maxy="%.14f"/><Origin x="%.14f" y="%.14f"/>', min(lat), min(lon), max(lat), max(lon), min(lat), min(lon)) FROM pts) || '<TileFormat width="256" height="256" mime-type="image/png" extension="png"/><TileSets profile="mercator">' || chr(10)
+    || string_agg(printf('<TileSet href="%d" units-per-pixel="%.9f" order="%d"/>', z, u, z), chr(10) ORDER BY z) || chr(10) || '</TileSets></TileMap>' AS xml FROM l""")
+def pyramid_bounds(spark, sf_dir):
+    return P.bounded_description(P.tile_sets(P.tiles_at(points(spark, sf_dir), range(2, 6))), points(spark, sf_dir), "places")
+
+
 @query("child_links", f"WITH {PTS}, {_TILES}, c AS (SELECT z - 1 AS z, tx // 2 AS tx, ty // 2 AS ty, list(z || '/' || tx || '/' || ty || '.kml' ORDER BY z || '/' || tx || '/' || ty || '.kml') AS links FROM t GROUP BY ALL) SELECT t.z, t.tx, t.ty, coalesce(c.links, []) AS links FROM t LEFT JOIN c USING (z, tx, ty)")
 def child_links(spark, sf_dir):
     return P.child_links(P.tiles_at(points(spark, sf_dir), range(2, 6)))
