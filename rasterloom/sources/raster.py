@@ -12,6 +12,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
@@ -26,6 +27,8 @@ from rasterloom.sources import tiff
 
 #: Pixels of a partition at most, where strips or tiles aren't larger; pixels of an Arrow batch; bytes of a page of small reads.
 PART, BATCH, PAGE = 1 << 22, 1 << 16, 1 << 16
+#: Small files, of a sixteenth of PART in bytes at most, share a partition: as many bytes as PART and no more files than this.
+FILES = 512
 _SCHEMA = "path string, yy bigint, xx bigint, bands array<double>, valid boolean"
 
 
@@ -66,9 +69,17 @@ class Box(InputPartition):
     h: int
 
 
+@dataclass
+class Whole(InputPartition):
+    """Small files, each asked for whole."""
+
+    paths: list[str]
+
+
 class RasterReader(DataSourceReader):
     """TIFF and BigTIFF files below a folder. A partition is a box of strips or tiles; comparisons of yy and xx with numbers leave out the
-    boxes that they can't hold, and cut the rest. Planning reads headers, from the driver; tasks read what their box touches.
+    boxes that they can't hold, and cut the rest. Planning reads headers, from the driver; tasks read what their box touches. Small files share
+    a partition, and their headers are read by its task alone.
 
     valid is false where all bands have the file's number for no data (or that of the option nodata), or its alpha is 0.
     """
@@ -93,26 +104,53 @@ class RasterReader(DataSourceReader):
         system, root = _place(self.root)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and fnmatch(f.base_name, self.pattern)]
-        boxes = []
+        boxes, few, size = [], [], 0
         for f in sorted(found, key=lambda f: f.path):
+            if f.size <= PART // 16:
+                if few and (len(few) == FILES or size + f.size > PART):
+                    boxes.append(Whole(few))
+                    few, size = [], 0
+                few.append(f.path)
+                size += f.size
+                continue
             with system.open_input_file(f.path) as file:
-                _, t = tiff.tags(Ranges(file))
-            step_y, step_x = tiff.chunks(t)
-            lines, columns = max(1, PART // max(1, step_y * t[tiff._WIDTH][0])) * step_y, max(1, PART // (step_y * step_x)) * step_x
-            for y in range(0, t[tiff._HEIGHT][0], lines):
-                for x in range(0, t[tiff._WIDTH][0], columns):
-                    top, left = max(y, self.low["yy"]), max(x, self.low["xx"])
-                    bottom, right = min(y + lines, t[tiff._HEIGHT][0], self.high["yy"]), min(x + columns, t[tiff._WIDTH][0], self.high["xx"])
-                    if top < bottom and left < right:
-                        boxes.append(Box(f.path, left, top, right - left, bottom - top))
-        return boxes
-
-    def read(self, partition: Box | None) -> Iterator[pa.RecordBatch]:
+                boxes += self.boxes(f.path, tiff.tags(Ranges(file))[1])
+        return boxes + [Whole(few)] * bool(few)
+
+    def boxes(self, path: str, t: dict[int, tuple]) -> list[Box]:
+        """The boxes of a file that can hold what is asked for."""
+        found = []
+        step_y, step_x = tiff.chunks(t)
+        lines, columns = max(1, PART // max(1, step_y * t[tiff._WIDTH][0])) * step_y, max(1, PART // (step_y * step_x)) * step_x
+        for y in range(0, t[tiff._HEIGHT][0], lines):
+            for x in range(0, t[tiff._WIDTH][0], columns):
+                top, left = max(y, self.low["yy"]), max(x, self.low["xx"])
+                bottom, right = min(y + lines, t[tiff._HEIGHT][0], self.high["yy"]), min(x + columns, t[tiff._WIDTH][0], self.high["xx"])
+                if top < bottom and left < right:
+                    found.append(Box(path, left, top, right - left, bottom - top))
+        return found
+
+    def read(self, partition: Box | Whole | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no box at all
             return
         system, _ = _place(self.root)
-        with system.open_input_file(partition.path) as file:
-            yield from self.batches(partition, Ranges(file))
+        if isinstance(partition, Box):
+            with system.open_input_file(partition.path) as file:
+                yield from self.batches(partition, Ranges(file))
+            return
+        held, n = [], 0
+        for path in partition.paths:
+            with system.open_input_file(path) as file:
+                data = Ranges(file)
+                for box in self.boxes(path, tiff.tags(data)[1]):
+                    for batch in self.batches(box, data):
+                        held.append(batch)
+                        n += len(batch)
+                        if n >= BATCH:
+                            yield pa.concat_batches(held)
+                            held, n = [], 0
+        if held:
+            yield pa.concat_batches(held)
 
     def batches(self, box: Box, data: Ranges) -> Iterator[pa.RecordBatch]:
         _, t = tiff.tags(data)
@@ -169,10 +207,14 @@ class FileWriter(DataSourceWriter):
 
     def commit(self, messages: list) -> None:
         system, root = _place(self.root)
-        for message in messages:
-            for own, target in message.files if message else ():
-                system.create_dir(posixpath.dirname(target), recursive=True)
-                system.move(own, target)
+
+        def move(pair: tuple[str, str]) -> None:
+            system.create_dir(posixpath.dirname(pair[1]), recursive=True)
+            system.move(*pair)
+
+        with ThreadPoolExecutor(16) as pool:
+            for message in messages:
+                list(pool.map(move, message.files if message else ()))  # a move that failed is raised here
         self._clear(system, root)
 
     def abort(self, messages: list) -> None:

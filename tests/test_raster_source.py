@@ -119,6 +119,18 @@ def test_partitions_are_whole_tiles(tmp_path, monkeypatch):
     assert sum(b.w * b.h for b in boxes) == image.size and all(b.x % 32 == b.y % 32 == 0 for b in boxes) and len(boxes) > 4
 
 
+def test_small_files_share_a_partition(source, tmp_path, monkeypatch):
+    """Planning opens none of them, and a task reads many, each cut to what is asked for."""
+    for i in range(1200):
+        (tmp_path / f"{i:04}.tif").write_bytes(tiff.encoded(np.full((4 + i % 2, 5, 1), i % 250, "u1")))
+    reader = raster.RasterReader({"path": str(tmp_path)})
+    with monkeypatch.context() as patch:
+        patch.setattr(raster, "Ranges", None)
+        assert [len(p.paths) for p in reader.partitions()] == [512, 512, 176]
+    found = source(str(tmp_path)).where("yy >= 3 and xx < 2").groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("bands")[0]).alias("v")).collect()
+    assert {(r.path[-8:-4], r.n, r.v) for r in found} == {(f"{i:04}", 2 + i % 2 * 2, float(i % 250)) for i in range(1200)}
+
+
 @pytest.mark.parametrize("scheme", ["", "file://"])
 def test_files_are_committed(spark, source, tmp_path, scheme):
     made = spark.range(20).select(F.concat(F.lit("d"), F.col("id") % 3, F.lit("/f"), F.col("id"), F.lit(".bin")).alias("path"), F.col("id").cast("string").cast("binary").alias("content")).repartition(4)
