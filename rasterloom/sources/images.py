@@ -11,12 +11,15 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A PNG file's first bytes and its colour types by number of bands.
 _FIRST = b"\x89PNG\r\n\x1a\n"
 _COLOURS = {1: 0, 2: 4, 3: 2, 4: 6}
+#: Pixels of an Arrow batch.
+_BATCH = 100_000
 
 
 def encoded(image: np.ndarray) -> bytes:
@@ -33,32 +36,43 @@ def pixels(spark: SparkSession, root: str) -> DataFrame:
     """path, yy, xx, bands of all PNG and JPEG images below a folder (S1, S3): grey, RGB or RGBA; files that aren't images are left out."""
     rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, h, w, n, data in f.itertuples(index=False):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # small images share a batch
+        for batch in batches:
+            for path, h, w, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 image = np.frombuffer(data, "u1").reshape(h, w, n)
                 image = image[..., [2, 1, 0, *range(3, n)]] if n >= 3 else image  # the source gives blue first
-                lines = max(1, 100_000 // w)
+                lines = max(1, _BATCH // w)
                 for i in range(0, h, lines):
                     part = image[i : i + lines]
-                    yy, xx = np.indices(part.shape[:2])
-                    yield pd.DataFrame({"path": path, "yy": i + yy.ravel(), "xx": xx.ravel(), "bands": list(part.reshape(-1, n).astype("int32"))})
+                    count = part.shape[0] * w
+                    at = np.arange(count)
+                    bands = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype="i4") * n), pa.array(part.astype("i4").ravel()))
+                    held.append(pa.RecordBatch.from_arrays([pa.repeat(path, count), pa.array(i + at // w), pa.array(at % w), bands], ["path", "yy", "xx", "bands"]))
+                    size += count
+                    if size >= _BATCH:
+                        yield pa.concat_batches(held)
+                        held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
 
     parts = rows.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    return parts.mapInPandas(each, "path string, yy long, xx long, bands array<int>")
+    return parts.mapInArrow(each, "path string, yy long, xx long, bands array<int>")
 
 
 def as_png(px: DataFrame, keys: list[str], bands: list[str], tile: int | None = None) -> DataFrame:
     """keys and png, a file for each of them (K1, K11): yy and xx count from 0 in a file, bands are columns of 8 bits, missing pixels are 0.
     Files have tile by tile pixels, or as many as there are."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((tile or int(pdf["yy"].max()) + 1, tile or int(pdf["xx"].max()) + 1, len(bands)), "u1")
-        image[pdf["yy"], pdf["xx"]] = pdf[bands].to_numpy()
-        return pdf[keys].head(1).assign(png=[encoded(image)])
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        yy, xx = table.column("yy").to_numpy(), table.column("xx").to_numpy()
+        image = np.zeros((tile or int(yy.max()) + 1, tile or int(xx.max()) + 1, len(bands)), "u1")
+        for i, band in enumerate(bands):
+            image[yy, xx, i] = table.column(band).to_numpy(zero_copy_only=False)
+        return pa.Table.from_arrays([*(pa.array([k.as_py()], k.type) for k in key), pa.array([encoded(image)], pa.binary())], [*keys, "png"])
 
     kinds = ", ".join(f"`{k}` {px.schema[k].dataType.simpleString()}" for k in keys)
-    return px.select(*keys, "yy", "xx", *bands).groupBy(*keys).applyInPandas(one, f"{kinds}, png binary")
+    return px.select(*keys, "yy", "xx", *bands).groupBy(*keys).applyInArrow(one, f"{kinds}, png binary")
 
 
 def write(files: DataFrame, root: str, path: str = "path", content: str = "png") -> DataFrame:
