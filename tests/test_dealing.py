@@ -1,9 +1,12 @@
 """How pixels are dealt over tasks, and that plans of them broadcast and shuffle nothing that grows with the tables."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rasterloom import catalog
+from rasterloom.operators.staging import by_groups, written
 from rasterloom.sources import synthetic
 
 
@@ -34,3 +37,29 @@ def test_no_pixels_are_broadcast(spark, many, name):
 def test_no_pixels_are_shuffled(spark, many, name):
     lines = [line for line in plan_of(catalog.QUERIES[name](spark, many)).split("\n") if "Exchange hashpartitioning" in line]
     assert lines and all("REPARTITION_BY_NUM" in line for line in lines)
+
+
+def test_tables_between_rounds_are_not_broadcast(spark):
+    """Files of a table that repeats itself are a small part of its rows."""
+    table = written(spark.range(1000).select("id", F.lit(7).alias("v")))
+    assert "BroadcastHashJoin" not in plan_of(table.where("v = 7").join(table.groupBy("id").count(), "id"))
+
+
+def test_groups_are_whole(spark):
+    """Python gets many groups at once, and each one whole."""
+
+    def counted(table):
+        starts = np.flatnonzero(table.column("_n").to_numpy() == 1)
+        sizes = np.diff(np.append(starts, table.num_rows))
+        yield pa.table({"g": table.column("g").take(pa.array(starts)), "n": sizes, "together": np.full(len(sizes), len(sizes))})
+
+    rows = spark.range(40_000).select((F.col("id") % 301).alias("g"), F.col("id").alias("v")).repartition(7)
+    found = by_groups(rows, ["g"], ["v"], counted, "g long, n long, together long", least=1000).collect()
+    assert sorted((r.g, r.n) for r in found) == [(g, 40_000 // 301 + (g < 40_000 % 301)) for g in range(301)]
+    assert max(r.together for r in found) > 3
+
+
+@pytest.mark.parametrize("name", ["augment_rotate", "mask_to_distance"])
+def test_rows_by_image_stay(spark, many, name):
+    lines = [line for line in plan_of(catalog.QUERIES[name](spark, many)).split("\n") if "Exchange hashpartitioning" in line]
+    assert lines and all("REPARTITION_BY_NUM" in line for line in lines)
