@@ -1,6 +1,6 @@
 """Regions of images of any size, tile by tile: distances, watershed, outlines.
 
-A task holds one tile and a line of pixels around it. What crosses a seam goes from tile to tile in rounds, or is put together on a
+A task holds some tiles at a time, each with a line of pixels around it. What crosses a seam goes from tile to tile in rounds, or is put together on a
 graph of the seams alone.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators.regions import _stars, components_by_tile
-from rasterloom.operators.staging import written
+from rasterloom.operators.staging import by_groups, written
 
 _TILE = ["img", "ty", "tx"]
 
@@ -22,36 +22,63 @@ def _seen(px: DataFrame, tile: int, *columns: str) -> DataFrame:
 
     def tiles(at: str) -> Column:
         here, place = F.floor(F.col(at) / tile), F.pmod(F.col(at), F.lit(tile))
-        return F.filter(F.array(here, F.when(place == 0, here - 1), F.when(place == tile - 1, here + 1)), lambda t: t.isNotNull())
+        if tile == 1:
+            return F.array(here, here - 1, here + 1)
+        return F.when(place == 0, F.array(here, here - 1)).when(place == tile - 1, F.array(here, here + 1)).otherwise(F.array(here))
 
     rows = px.select("img", "yy", "xx", *columns, F.explode(tiles("yy")).alias("ty")).withColumn("tx", F.explode(tiles("xx")))
     own = (F.col("ty") == F.floor(F.col("yy") / tile)) & (F.col("tx") == F.floor(F.col("xx") / tile))
     return rows.select(*_TILE, "yy", "xx", own.alias("own"), *columns)
 
 
-class _Square:
-    """A tile's rows as arrays with a line of pixels around: `there` is where a pixel is known, `own` where it is the tile's."""
+class _Stack:
+    """Rows of whole tiles as arrays, one tile below the other, each with a line of pixels around: `there` is where a pixel is known, `own` where it is
+    the tile's. What doesn't go further than one pixel from an own one never meets another tile."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.table, own = table, table.column("own").to_numpy()
-        self.rows_y, self.rows_x = table.column("yy").to_numpy(), table.column("xx").to_numpy()
-        self.empty = not own.any()
-        if not self.empty:
-            y, x = self.rows_y[own], self.rows_x[own]
-            self.y, self.x = int(y.min()) - 1, int(x.min()) - 1
-            self.shape = (int(y.max()) - self.y + 2, int(x.max()) - self.x + 2)
-            self.there, self.own = self.array(np.ones(len(own), bool), False), self.array(own, False)
+        self.table, own = table, table.column("own").to_numpy(zero_copy_only=False)
+        y, x, n = (table.column(c).to_numpy() for c in ("yy", "xx", "_n"))
+        starts, many = np.flatnonzero(n == 1), np.iinfo(np.int64).max // 2
+        least = lambda at: np.minimum.reduceat(np.where(own, at, many), starts)
+        y0, x0, y1, x1 = least(y), least(x), -least(-y), -least(-x)
+        has = y0 < many
+        high, wide = np.where(has, y1 - y0 + 3, 0), np.where(has, x1 - x0 + 3, 0)
+        top = np.cumsum(high) - high
+        self.empty, self.shape = not has.any(), (int(high.sum()), int(wide.max()))
+        tile, of = np.cumsum(n == 1) - 1, np.repeat(np.arange(len(starts)), high)
+        y, x = y - np.where(has, y0 - 1, 0)[tile], x - np.where(has, x0 - 1, 0)[tile]
+        self._near = (y >= 0) & (y < high[tile]) & (x >= 0) & (x < wide[tile])  # a tile of one line sees more than its neighbours
+        self._y, self._x = (y + top[tile])[self._near], x[self._near]
+        #: The image of each line, and what its places begin at.
+        self.img, self._y0, self._x0 = table.column("img").to_numpy()[starts][of], (y0 - 1 - top)[of], (x0 - 1)[of]
+        self.there, self.own = self.array(np.ones(len(own), bool), False), self.array(own, False)
 
     def array(self, values: np.ndarray, other) -> np.ndarray:
         out = np.full(self.shape, other, values.dtype)
-        y, x = self.rows_y - self.y, self.rows_x - self.x
-        near = (y >= 0) & (y < self.shape[0]) & (x >= 0) & (x < self.shape[1])  # a tile of one line sees more than its neighbours
-        out[y[near], x[near]] = values[near]
+        out[self._y, self._x] = values[self._near]
         return out
 
     def column(self, name: str, other=0) -> np.ndarray:
         return self.array(self.table.column(name).to_numpy(zero_copy_only=False), other)
 
+    def place(self, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in their images pixels of the arrays are."""
+        return y + self._y0[y], x + self._x0[y]
+
+
+def _stacked(rows: DataFrame, tile: int, f, schema: str) -> DataFrame:
+    """f, which gives a table, over stacks of the tiles of rows as _seen gives them. A stack has some four million pixels or is one tile."""
+    most = max(1, (1 << 22) // (tile + 2) ** 2)
+
+    def some(table: pa.Table):
+        starts = np.flatnonzero(table.column("_n").to_numpy() == 1)[::most].tolist()
+        for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
+            stack = _Stack(table.slice(a, b - a))
+            if not stack.empty and (found := f(stack)).num_rows:
+                yield found
+
+    return by_groups(rows, _TILE, ["yy", "xx"], some, schema)
+
 
 # ---- distances ----
 
@@ -61,27 +88,44 @@ _SIDES = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
 def swept(d: np.ndarray) -> np.ndarray:
-    """The least sum of a pixel's number and the way from it, by one sweep down and one up over whole lines; exact, in whole numbers."""
-    d, way = d.copy(), _STRAIGHT * np.arange(d.shape[1])
+    """The least sum of a pixel's number and the way from it, by one sweep down and one up over whole lines; exact, in whole numbers. The last two axes are
+    those of an image; others before them number images of one size."""
+    d, way = np.moveaxis(d, -2, 0).copy(), _STRAIGHT * np.arange(d.shape[-1])
 
     def line(y: int, before: int | None, right: bool) -> None:
         now = d[y]
         if before is not None:
             other = d[before]
             now = np.minimum(now, other + _STRAIGHT)
-            now[1:] = np.minimum(now[1:], other[:-1] + _ASLANT)
-            now[:-1] = np.minimum(now[:-1], other[1:] + _ASLANT)
+            now[..., 1:] = np.minimum(now[..., 1:], other[..., :-1] + _ASLANT)
+            now[..., :-1] = np.minimum(now[..., :-1], other[..., 1:] + _ASLANT)
         if right:
-            now = np.minimum.accumulate(now - way) + way
+            now = np.minimum.accumulate(now - way, axis=-1) + way
         else:
-            now = (np.minimum.accumulate((now + way)[::-1]) - way[::-1])[::-1]
+            now = (np.minimum.accumulate((now + way)[..., ::-1], axis=-1) - way[::-1])[..., ::-1]
         d[y] = now
 
     for y in range(len(d)):
         line(y, y - 1 if y else None, True)
     for y in reversed(range(len(d))):
         line(y, y + 1 if y + 1 < len(d) else None, False)
-    return np.minimum(d, _FAR)
+    return np.moveaxis(np.minimum(d, _FAR), 0, -2)
+
+
+def swept_masks(mask: np.ndarray, starts: np.ndarray, y: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    """The distances within whole rectangles of pixels, one for each start, in ten-thousandths. Those of one size are swept together."""
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(y))))
+    y, x = y - np.minimum.reduceat(y, starts)[of], x - np.minimum.reduceat(x, starts)[of]
+    size = np.stack([np.maximum.reduceat(y, starts), np.maximum.reduceat(x, starts)], 1) + 1
+    out: list = [None] * len(starts)
+    for h, w in np.unique(size, axis=0).tolist():
+        alike = (size == (h, w)).all(1)
+        place, rows = np.cumsum(alike) - 1, alike[of]
+        d = np.zeros((int(alike.sum()), h, w), np.int64)
+        d[place[of[rows]], y[rows], x[rows]] = np.where(mask[rows], _FAR, 0)
+        for i, found in zip(np.flatnonzero(alike).tolist(), swept(d), strict=True):
+            out[i] = found
+    return out
 
 
 def _strip(d: np.ndarray, dy: int, dx: int) -> np.ndarray:
@@ -93,38 +137,46 @@ def _strip(d: np.ndarray, dy: int, dx: int) -> np.ndarray:
 _STATE = "img int, ty long, tx long, y long, x long, h int, w int, d binary, told boolean"
 
 
-def _state(key: tuple, y: int, x: int, d: np.ndarray, told: bool) -> pa.RecordBatch:
+def _states(rows: list[tuple]) -> pa.Table:
+    """rows: img, ty, tx, y, x, distances and told."""
+    img, ty, tx, y, x, d, told = zip(*rows, strict=True)
+    columns = [img, ty, tx, y, x, [v.shape[0] for v in d], [v.shape[1] for v in d], [v.astype(np.int64).tobytes() for v in d], told]
     kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-    values = [*key, y, x, *d.shape, d.astype(np.int64).tobytes(), told]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in _STATE.split(", ")])
+    return pa.Table.from_arrays([pa.array(list(v), k) for v, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _STATE.split(", ")])
 
 
 def _told(batches):
     """What tiles whose border fell tell their neighbours: one row a side."""
     for batch in batches:
+        rows = []
         for r in batch.to_pylist():
             d = np.frombuffer(r["d"], np.int64).reshape(r["h"], r["w"])
-            strips = [(s, _strip(d, dy, dx)) for s, (dy, dx) in enumerate(_SIDES)]
-            strips = [(s, v) for s, v in strips if (v < _FAR).any()]
-            columns = [[r["img"]] * len(strips), [r["ty"] + _SIDES[s][0] for s, _ in strips], [r["tx"] + _SIDES[s][1] for s, _ in strips], [s for s, _ in strips], [v.tobytes() for _, v in strips]]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*_TILE, "side", "strip"])
+            for side, (dy, dx) in enumerate(_SIDES):
+                if ((v := _strip(d, dy, dx)) < _FAR).any():
+                    rows.append((r["img"], r["ty"] + dy, r["tx"] + dx, side, v.tobytes()))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*_TILE, "side", "strip"])
 
 
 def _heard(batches):
     """Tiles with what their neighbours told: those that fall anywhere, with whether their border did."""
+    line = lambda s: slice(1, -1) if s == 0 else slice(0, 1) if s > 0 else slice(-1, None)
     for batch in batches:
-        for r in batch.to_pylist():
-            d = np.frombuffer(r["d"], np.int64).reshape(r["h"], r["w"])
-            wide = np.pad(d, 1, constant_values=_FAR)
-            for told in r["all"]:
-                dy, dx = _SIDES[told["side"]]  # told downwards comes from above, and so on
-                line = lambda s: slice(1, -1) if s == 0 else slice(0, 1) if s > 0 else slice(-1, None)
-                wide[line(dy), line(dx)] = np.frombuffer(told["strip"], np.int64).reshape(wide[line(dy), line(dx)].shape)
-            new = np.minimum(d, swept(wide)[1:-1, 1:-1])
-            if (new < d).any():
-                fell = any((_strip(new, *s) < _strip(d, *s)).any() for s in _SIDES)
-                yield _state((r["img"], r["ty"], r["tx"]), r["y"], r["x"], new, fell)
+        rows, fell = batch.to_pylist(), []
+        for h, w in {(r["h"], r["w"]) for r in rows}:
+            alike = [r for r in rows if (r["h"], r["w"]) == (h, w)]
+            d = np.stack([np.frombuffer(r["d"], np.int64).reshape(h, w) for r in alike])
+            wide = np.pad(d, ((0, 0), (1, 1), (1, 1)), constant_values=_FAR)
+            for i, r in enumerate(alike):
+                for told in r["all"]:
+                    dy, dx = _SIDES[told["side"]]  # told downwards comes from above, and so on
+                    wide[i][line(dy), line(dx)] = np.frombuffer(told["strip"], np.int64).reshape(wide[i][line(dy), line(dx)].shape)
+            new = np.minimum(d, swept(wide)[:, 1:-1, 1:-1])
+            for i in np.flatnonzero((new < d).any((1, 2))).tolist():
+                r, border = alike[i], any((_strip(new[i], *s) < _strip(d[i], *s)).any() for s in _SIDES)
+                fell.append((r["img"], r["ty"], r["tx"], r["y"], r["x"], new[i], border))
+        if fell:
+            yield from _states(fell).to_batches()
 
 
 def distances_by_tile(px: DataFrame, mask: str, tile: int) -> DataFrame:
@@ -134,14 +186,15 @@ def distances_by_tile(px: DataFrame, mask: str, tile: int) -> DataFrame:
     other tile is touched. There are as many rounds as the longest way crosses tiles.
     """
 
-    def alone(key, table):
-        y, x = table.column("yy").to_numpy(), table.column("xx").to_numpy()
-        d = np.zeros((int(np.ptp(y)) + 1, int(np.ptp(x)) + 1), np.int64)
-        d[y - y.min(), x - x.min()] = np.where(table.column("_m").to_numpy(zero_copy_only=False), _FAR, 0)
-        return pa.Table.from_batches([_state(tuple(k.as_py() for k in key), int(y.min()), int(x.min()), swept(d), True)])
+    def alone(table: pa.Table):
+        img, ty, tx, y, x, n = (table.column(c).to_numpy() for c in (*_TILE, "yy", "xx", "_n"))
+        starts = np.flatnonzero(n == 1)
+        found = swept_masks(table.column("_m").to_numpy(zero_copy_only=False), starts, y, x)
+        low = lambda at: np.minimum.reduceat(at, starts).tolist()
+        yield _states([(*tile, d, True) for *tile, d in zip(img[starts].tolist(), ty[starts].tolist(), tx[starts].tolist(), low(y), low(x), found, strict=True)])
 
     cut = px.select("img", F.floor(F.col("yy") / tile).alias("ty"), F.floor(F.col("xx") / tile).alias("tx"), "yy", "xx", F.coalesce(F.col(mask).cast("boolean"), F.lit(False)).alias("_m"))
-    known = written(cut.groupBy(*_TILE).applyInArrow(alone, _STATE)).withColumn("round", F.lit(0))
+    known = written(by_groups(cut, _TILE, ["yy", "xx"], alone, _STATE)).withColumn("round", F.lit(0))
     latest = lambda df: df.groupBy(*_TILE).agg(*(F.max_by(c, "round").alias(c) for c in ("y", "x", "h", "w", "d")))
     news, n = known, 0
     while not (told := news.where("told")).isEmpty():
@@ -153,11 +206,16 @@ def distances_by_tile(px: DataFrame, mask: str, tile: int) -> DataFrame:
 
     def pixels(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                d = np.frombuffer(r["d"], np.int64)
-                at = np.arange(len(d))
-                far = np.where(d >= _FAR, np.inf, d / 10_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), r["img"], np.int32)), pa.array(at // r["w"] + r["y"]), pa.array(at % r["w"] + r["x"]), pa.array(far)], ["img", "yy", "xx", "d"])
+            rows = batch.to_pylist()
+            while rows:
+                ends = np.cumsum([r["h"] * r["w"] for r in rows])
+                some = rows[: 1 + int(np.searchsorted(ends, 1 << 18))]
+                rows = rows[len(some) :]
+                at = [np.divmod(np.arange(r["h"] * r["w"]), r["w"]) for r in some]
+                d = np.concatenate([np.frombuffer(r["d"], np.int64) for r in some])
+                img = np.repeat(np.array([r["img"] for r in some], np.int32), [r["h"] * r["w"] for r in some])
+                y, x = (np.concatenate([p[i] + r[c] for p, r in zip(at, some, strict=True)]) for i, c in enumerate("yx"))
+                yield pa.RecordBatch.from_arrays([pa.array(img), pa.array(y), pa.array(x), pa.array(np.where(d >= _FAR, np.inf, d / 10_000))], ["img", "yy", "xx", "d"])
 
     return latest(known).mapInArrow(pixels, "img int, yy long, xx long, d double")
 
@@ -182,27 +240,28 @@ def _passes(value: np.ndarray, by: str, y: np.ndarray, x: np.ndarray, dy: int, d
     return np.abs(a - b) if by == "difference" else np.maximum(a, b)
 
 
-def grown(square: _Square, value: np.ndarray, marker: np.ndarray, by: str) -> tuple[np.ndarray, tuple]:
-    """The parts of a tile that one can tell alone, and the passes between them.
+def grown(stack: _Stack, value: np.ndarray, marker: np.ndarray, by: str) -> tuple[np.ndarray, tuple]:
+    """The parts of tiles that each one can tell alone, and the passes between them.
 
     Every part takes the least of all passes out of it, over and over; a part with a marker takes none, one whose least pass leads out
     of the tile has to wait. Returns each own pixel's part (-marker, or its first pixel's number plus 1) and the passes that are left: two
-    ends' parts (for the one beyond a seam 0), weight and number.
+    ends' parts (for the one beyond a seam 0), weight, number and image.
     """
-    there, own = square.there, square.own
-    nodes = np.full(square.shape, -1)
+    there, own = stack.there, stack.own
+    nodes = np.full(stack.shape, -1)
     ys, xs = np.nonzero(own)
     n = len(ys)
     nodes[ys, xs] = np.arange(n)
-    ends, weights, names = [], [], []
+    ends, weights, names, imgs = [], [], [], []
     for way, (dy, dx) in enumerate(((0, 1), (1, 0))):
         y, x = np.nonzero(there[: there.shape[0] - dy, : there.shape[1] - dx] & there[dy:, dx:] & (own[: there.shape[0] - dy, : there.shape[1] - dx] | own[dy:, dx:]))
         ends.append(np.stack([nodes[y, x], nodes[y + dy, x + dx]]))
         weights.append(_passes(value, by, y, x, dy, dx))
-        names.append(_number(y + square.y, x + square.x) * 2 + way)
-    ends, weights, names = np.concatenate(ends, 1), np.concatenate(weights), np.concatenate(names)
+        names.append(_number(*stack.place(y, x)) * 2 + way)
+        imgs.append(stack.img[y])
+    ends, weights, names, imgs = np.concatenate(ends, 1), np.concatenate(weights), np.concatenate(names), np.concatenate(imgs)
     order = np.lexsort((names, weights))
-    ends, weights, names = ends[:, order], weights[order], names[order]
+    ends, weights, names, imgs = ends[:, order], weights[order], names[order], imgs[order]
     part, rooted = np.arange(n), marker[ys, xs] > 0
     waits = np.zeros(n, bool)
     outside = (ends < 0).any(0)
@@ -229,13 +288,13 @@ def grown(square: _Square, value: np.ndarray, marker: np.ndarray, by: str) -> tu
             up = far
         part = up[part]
     first = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(first, part, _number(ys + square.y, xs + square.x) + 1)
+    np.minimum.at(first, part, _number(*stack.place(ys, xs)) + 1)
     held = np.zeros(n, np.int64)
     held[np.flatnonzero(rooted)] = marker[ys, xs][rooted]
     name = np.where(held[part] > 0, -held[part], first[part])
     left = live & ~((a >= 0) & (b >= 0) & (held[a] > 0) & (held[b] > 0))
     ends = [np.where(e[left] >= 0, name[ends_[left]], 0) for e, ends_ in ((a, ends[0]), (b, ends[1]))]
-    return name, (*ends, weights[left], names[left])
+    return name, (*ends, weights[left], names[left], imgs[left])
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -295,21 +354,18 @@ def watershed_by_tile(px: DataFrame, value: str, marker: str, tile: int, *, by:
     kind = "long" if whole else "double"
     rows = rows.withColumn("_v", F.col("_v").cast(kind))
 
-    def one(key, table):
-        square = _Square(table)
+    def one(stack: _Stack) -> pa.Table:
         schema = pa.schema([("img", pa.int32()), ("yy", pa.int64()), ("xx", pa.int64()), ("k", pa.int64()), ("part", pa.int64()), ("b", pa.int64()), ("w", pa.int64() if whole else pa.float64()), ("name", pa.int64())])
-        if square.empty:
-            return schema.empty_table()
-        marker = square.column("_k")
-        name, (a, b, w, names) = grown(square, square.column("_v"), marker, by)
-        ys, xs = np.nonzero(square.own)
-        img, n, m = key[0].as_py(), len(ys), len(a)
+        marker = stack.column("_k")
+        name, (a, b, w, names, imgs) = grown(stack, stack.column("_v"), marker, by)
+        ys, xs = np.nonzero(stack.own)
+        n, m = len(ys), len(a)
         none = lambda k, t: pa.nulls(k, t)
-        pixels = [pa.array(np.full(n, img, np.int32)), pa.array(ys + square.y), pa.array(xs + square.x), pa.array(marker[ys, xs]), pa.array(name), none(n, pa.int64()), none(n, schema.field("w").type), none(n, pa.int64())]
-        passes = [pa.array(np.full(m, img, np.int32)), *[none(m, pa.int64())] * 3, pa.array(a), pa.array(b), pa.array(w, schema.field("w").type), pa.array(names)]
+        pixels = [pa.array(stack.img[ys], pa.int32()), *map(pa.array, stack.place(ys, xs)), pa.array(marker[ys, xs]), pa.array(name), none(n, pa.int64()), none(n, schema.field("w").type), none(n, pa.int64())]
+        passes = [pa.array(imgs, pa.int32()), *[none(m, pa.int64())] * 3, pa.array(a), pa.array(b), pa.array(w, schema.field("w").type), pa.array(names)]
         return pa.concat_tables([pa.Table.from_arrays(pixels, schema=schema), pa.Table.from_arrays(passes, schema=schema)])
 
-    found = written(_seen(rows, tile, "_v", "_k").groupBy(*_TILE).applyInArrow(one, f"img int, yy long, xx long, k long, part long, b long, w {kind}, name long"))
+    found = written(_stacked(_seen(rows, tile, "_v", "_k"), tile, one, f"img int, yy long, xx long, k long, part long, b long, w {kind}, name long"))
     passes = found.where("name is not null").select("img", F.col("part").alias("a"), "b", "w", "name")
     # a pass over a seam is known from both sides, from each with its own part alone
     inner = passes.where((F.col("a") != 0) & (F.col("b") != 0))
@@ -368,48 +424,55 @@ def _side(y, x, side):
     return (_number(y + 1, x + 1) << 2) | side
 
 
-def _sides(square: _Square, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sides of the tile's set pixels beside unset ones, and each one's next along its border, which regions connected by eight neighbours keep
-    on the right."""
+def _sides(stack: _Stack, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sides of the tiles' set pixels beside unset ones, and each one's next along its border, which regions connected by eight neighbours keep
+    on the right. Sides are numbered by their places in the stack."""
     wide = np.pad(mask, 1)
     here, following = [], []
+    y0, x0 = np.nonzero(stack.own & mask)
     for side in range(4):
         way = 2 * side
         at = lambda k, y, x: wide[y + 1 + _WAYS[k % 8][0], x + 1 + _WAYS[k % 8][1]]
-        y, x = np.nonzero(square.own & mask)
-        edge = ~at(way, y, x)
-        y, x = y[edge], x[edge]
+        edge = ~at(way, y0, x0)
+        y, x = y0[edge], x0[edge]
         aslant, straight = at(way + 1, y, x), at(way + 2, y, x)
         go = [np.where(aslant, _WAYS[(way + 1) % 8][i], np.where(straight, _WAYS[(way + 2) % 8][i], 0)) for i in (0, 1)]
         new = np.where(aslant, (side - 1) % 4, np.where(straight, side, (side + 1) % 4))
-        here.append(_side(y + square.y, x + square.x, side))
-        following.append(_side(y + go[0] + square.y, x + go[1] + square.x, new))
+        here.append(_side(y, x, side))
+        following.append(_side(y + go[0], x + go[1], new))
     return np.concatenate(here), np.concatenate(following)
 
 
-def _pieces(table: pa.Table, img: int) -> pa.Table:
-    """The borders of one tile in pieces: each from where it comes in (or a ring's lowest side) to where it leaves."""
-    square = _Square(table)
-    names = ["img", "first", "next", "sides"]
-    if square.empty or not len((found := _sides(square, square.column("_m", False)))[0]):
-        return pa.Table.from_arrays([pa.array([], k) for k in (pa.int32(), pa.int64(), pa.int64(), pa.binary())], names)
-    here, following = found
+def _parted(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The y, x and side of numbers that _side gives."""
+    pixel = sides >> 2
+    return (pixel >> 31) - 1, (pixel & ((1 << 31) - 1)) - 1, sides & 3
+
+
+def _pieces(stack: _Stack) -> pa.Table:
+    """The borders of tiles in pieces: each from where it comes in (or a ring's lowest side) to where it leaves."""
+    here, following = _sides(stack, stack.column("_m", False))
     order = np.argsort(here)
     here, following = here[order], following[order]
-    place = np.minimum(np.searchsorted(here, following), len(here) - 1)
+    place = np.clip(np.searchsorted(here, following), 0, len(here) - 1)
     head, rank = _ranked(np.where(here[place] == following, place, -1))
     order = np.lexsort((rank, head))
-    starts = np.flatnonzero(np.append(True, head[order][1:] != head[order][:-1]))
-    ends = np.append(starts[1:], len(order))
-    sides = [here[order[a:b]].tobytes() for a, b in zip(starts, ends, strict=True)]
-    return pa.Table.from_arrays([pa.array(np.full(len(starts), img, np.int32)), pa.array(here[order[starts]]), pa.array(following[order[ends - 1]]), pa.array(sides, pa.binary())], names)
+    starts = np.flatnonzero(np.append(True, head[order][1:] != head[order][:-1])[: len(order)])
+    ends = np.append(starts[1:], len(order))[: len(starts)]
+
+    def named(sides: np.ndarray) -> np.ndarray:
+        y, x, side = _parted(sides)
+        return _side(*stack.place(y, x), side)
+
+    img, own = stack.img[_parted(here[order[starts]])[0]], named(here[order])
+    sides = [own[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    return pa.Table.from_arrays([pa.array(img, pa.int32()), pa.array(own[starts]), pa.array(named(following[order[ends - 1]])), pa.array(sides, pa.binary())], ["img", "first", "next", "sides"])
 
 
 def outline_of(sides: np.ndarray) -> tuple[int, int, int, int, bool, list[dict]]:
     """A ring of sides in order: its first pixel (a hole's first pixel inside) as y, x, the pixel to its left, whether it is a hole, and its points
     from there, without those along straight lines."""
-    pixel, side = sides >> 2, sides & 3
-    y, x = (pixel >> 31) - 1, (pixel & ((1 << 31) - 1)) - 1
+    y, x, side = _parted(sides)
     steps = np.array(_WAYS)[::2][side]
     by, bx = y + steps[:, 0], x + steps[:, 1]
     first, beside = int(np.lexsort((x, y))[0]), int(np.lexsort((bx, by))[0])
@@ -438,23 +501,25 @@ def rings(px: DataFrame, mask: str, tile: int) -> DataFrame:
     """
     rows = px.select("img", "yy", "xx", F.coalesce(F.col(mask).cast("boolean"), F.lit(False)).alias("_m"))
 
-    def cut(key, table):
-        return _pieces(table, key[0].as_py())
-
-    pieces = written(_seen(rows, tile, "_m").groupBy(*_TILE).applyInArrow(cut, "img int, first long, next long, sides binary"))
+    pieces = written(_stacked(_seen(rows, tile, "_m"), tile, _pieces, "img int, first long, next long, sides binary"))
     root = _stars(pieces.where("first <> next").select("img", F.col("first").alias("a"), F.col("next").alias("b"))).select("img", F.col("a").alias("first"), F.col("b").alias("root"))
     named = pieces.join(root, ["img", "first"], "left").withColumn("root", F.coalesce("root", "first"))
 
-    def ring(key, table):
-        part = {a: (b, s) for a, b, s in zip(*(table.column(c).to_pylist() for c in ("first", "next", "sides")), strict=True)}
+    def ordered(part: dict) -> np.ndarray:
         at, sides = min(part), []
         for _ in range(len(part)):
             at, s = part[at]
             sides.append(np.frombuffer(s, np.int64))
-        y, x, _, hole, points = outline_of(np.concatenate(sides))
-        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip([key[0].as_py(), y, x, hole, points], [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))], strict=True)], ["img", "y", "x", "hole", "points"])
+        return np.concatenate(sides)
+
+    def some(table: pa.Table):
+        img, first, following, sides = (table.column(c).to_pylist() for c in ("img", "first", "next", "sides"))
+        starts = np.flatnonzero(table.column("_n").to_numpy() == 1).tolist()
+        found = [(img[a], *outline_of(ordered({first[i]: (following[i], sides[i]) for i in range(a, b)}))) for a, b in zip(starts, [*starts[1:], len(img)], strict=True)]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), None, pa.bool_(), pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))]
+        yield pa.Table.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds) if k], ["img", "y", "x", "hole", "points"])
 
-    return named.select("img", "root", "first", "next", "sides").groupBy("img", "root").applyInArrow(ring, _RING)
+    return by_groups(named.select("img", "root", "first", "next", "sides"), ["img", "root"], ["first"], some, _RING, least=1 << 10)
 
 
 def contour_tree_by_tile(px: DataFrame, mask: str, tile: int, inverse: bool = False, least_points: int = 3) -> DataFrame:
