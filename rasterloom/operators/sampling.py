@@ -120,10 +120,17 @@ def at_scale(rows: DataFrame, group: str, scale: str, order: str, value: str, fu
 
 def with_height(images: DataFrame, heights: DataFrame, shape: tuple[int, int], height_shape: tuple[int, int], value: str = "v") -> DataFrame:
     """images and the height layer's value at each of their pixels as height (S4); a layer of another shape is brought to the images' by cubic taps.
-    Images without such a layer are left out, as samples have to be complete."""
+    Images without such a layer are left out, as samples have to be complete.
+
+    Pixels and heights meet in windows by image and place, so nothing is shuffled where both lie by image already; a join by pixel would shuffle both.
+    """
     from rasterloom.operators.tiling import resampled
 
     layer = heights.select("img", "yy", "xx", F.col(value).cast("double").alias("height"))
     if shape != height_shape:
         layer = resampled(layer, *height_shape, *shape, "cubic", "height")
-    return images.join(layer, ["img", "yy", "xx"])
+    asks = images.withColumns({"height": F.lit(None).cast("double"), "_has": F.lit(None).cast("boolean"), "_asks": F.lit(True)})
+    rows = asks.unionByName(layer.withColumn("_has", F.lit(True)), allowMissingColumns=True)
+    at = Window.partitionBy("img", "yy", "xx")
+    rows = rows.withColumns({"height": F.max("height").over(at), "_has": F.max("_has").over(at)}).where("_asks and _has and img is not null and yy is not null and xx is not null")
+    return rows.select("img", "yy", "xx", *(c for c in images.columns if c not in ("img", "yy", "xx")), "height")
