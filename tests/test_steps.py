@@ -39,6 +39,11 @@ def test_window_functions_are_taken_once(spark, many, name):  # noqa: F811
     assert any(taken) and all(len(x) == len(set(x)) for x in taken)
 
 
+@pytest.mark.parametrize(("name", "most"), [("augment_crop", 2), ("augment_turn", 1)])
+def test_draws_are_made_once(spark, many, name, most):  # noqa: F811
+    assert plan_of(catalog.QUERIES[name](spark, many)).count("md5(") <= most
+
+
 @pytest.mark.parametrize("k", [1, 3, 5, 7])
 def test_extremes_of_images_with_gaps(spark, k):
     rng = random.Random(k)
