@@ -26,6 +26,12 @@ def test_heights_of_odd_images(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 0, 0, "a", 5, None), (1, 0, 1, "b", 6, 2.5), (1, 0, 1, "c", 7, 2.5)]
 
 
+@pytest.mark.parametrize("name", "multi_scale overlap_inside band_project augment_crop rock_masks rock_cores".split())
+def test_no_pixels_are_shuffled(spark, many, name):  # noqa: F811
+    lines = [line for line in plan_of(catalog.QUERIES[name](spark, many)).split("\n") if "Exchange hashpartitioning" in line]
+    assert lines and all("REPARTITION_BY_NUM" in line for line in lines)
+
+
 @pytest.mark.parametrize(("name", "most"), [("rock_masks", 4), ("rock_mask", 3), ("opening", 3), ("nms", 2), ("zero_cross", 3), ("rock_cores", 6)])
 def test_sorts(spark, many, name, most):  # noqa: F811
     """A step begins with the line that the one before ended with; rock_cores has a sort for its histogram beside."""
