@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rasterloom import catalog
 from rasterloom.operators import sampling as S
 from rasterloom.operators import stencils as N
+from rasterloom.sources.synthetic import DEALT
 from test_dealing import many, plan_of  # noqa: F401
 
 
@@ -32,6 +33,14 @@ def test_no_pixels_are_shuffled(spark, many, name):  # noqa: F811
     assert lines and all("REPARTITION_BY_NUM" in line for line in lines)
 
 
+@pytest.mark.parametrize("name", "resample_bilinear multi_scale overlap_model resample_area overlap_inside band_project".split())
+def test_tasks_grow_with_images(spark, many, tmp_path, name):  # noqa: F811
+    """A task has the pixels of some DEALT images, however many there are, from the first step to the last."""
+    spark.range(6000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    tasks = [catalog.QUERIES[name](spark, folder).rdd.getNumPartitions() for folder in (many, str(tmp_path))]
+    assert tasks == [-(-n // DEALT) for n in (3000, 6000)]
+
+
 @pytest.mark.parametrize(("name", "most"), [("rock_masks", 4), ("rock_mask", 3), ("opening", 3), ("nms", 2), ("zero_cross", 3), ("rock_cores", 6)])
 def test_sorts(spark, many, name, most):  # noqa: F811
     """A step begins with the line that the one before ended with; rock_cores has a sort for its histogram beside."""
