@@ -191,9 +191,12 @@ def min_rectangle(spark, sf_dir):
     return rounded(R.rectangles(R.contours(_set(spark, sf_dir), "s")).select("img", "contour", "cx", "cy", "min_d", "max_d"), "cx", "cy", "min_d", "max_d")
 
 
+def _wave(step):
+    return F.sin(F.col("yy") / step) * F.sin(F.col("xx") / step) * 0.5 + 0.5
+
+
 def _field(spark, sf_dir, step):
-    wave = F.sin(F.col("yy") / step) * F.sin(F.col("xx") / step)
-    return pixels(spark, sf_dir).select("img", "yy", "xx", (wave * 0.5 + 0.5).alias("p"))
+    return pixels(spark, sf_dir).select("img", "yy", "xx", _wave(step).alias("p"))
 
 
 @query("rock_instances")
@@ -203,7 +206,8 @@ def rock_instances(spark, sf_dir):
 
 @query("rock_two_scales")
 def rock_two_scales(spark, sf_dir):
-    return R.merged_scales(R.rock_instances(_field(spark, sf_dir, 3.0), "p", 5, 0.6), R.rock_instances(_field(spark, sf_dir, 6.0), "p", 9, 0.7))
+    fields = pixels(spark, sf_dir).select("img", "yy", "xx", *(_wave(step).alias(name) for name, step in (("fine", 3.0), ("coarse", 6.0))))
+    return R.instances_of_scales(fields, "fine", "coarse", 5, 0.6, 9, 0.7)
 
 
 def _chances(spark, sf_dir):
