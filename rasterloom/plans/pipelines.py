@@ -169,12 +169,13 @@ _NUMBER = lambda i: F.regexp_extract("path", r"(\d+)/(\d+)_(\d+)\.\w+$", i)  # n
 
 @query("png_tiles", f"WITH {PX} SELECT img, yy, xx, [v, 255 - v, v * 2 % 256]::INTEGER[] AS colour FROM px")
 def png_tiles(spark, sf_dir):
-    """Rasters cut into tiles, written as PNG files and read back. A folder holds the tiles of 256 rasters, since Spark lists folder by folder."""
+    """Rasters cut into tiles, written as PNG files and read back. A folder holds the tiles of 256 rasters, and a task lists and reads one."""
     v, number = F.col("v"), lambda i: F.regexp_extract("path", r"(\d+)_(\d+)_(\d+)\.png$", i)
     made = P.pixel_tiles(pixels(spark, sf_dir).select("img", "yy", "xx", v.alias("r"), (255 - v).alias("g"), (v * 2 % 256).alias("b")), ["r", "g", "b"], 20)
-    found = files.pixels(spark, _written(spark, made, F.format_string("%d/%d_%d_%d.png", F.floor(F.col("img") / 256), "img", "ty", "tx"), "png"))
-    there = found.where(F.col("bands")[3] == 255)
-    return there.select(number(1).cast("int").alias("img"), (number(2).cast("long") * 20 + F.col("yy")).alias("yy"), (number(3).cast("long") * 20 + F.col("xx")).alias("xx"), F.slice("bands", 1, 3).alias("colour"))
+    root = _written(spark, made, F.format_string("%d/%d_%d_%d.png", F.floor(F.col("img") / 256), "img", "ty", "tx"), "png")
+    tiles = files.files(spark, root).select(number(1).cast("int").alias("img"), number(2).cast("long").alias("ty"), number(3).cast("long").alias("tx"), "content")
+    there = files.of_png(tiles, ["img", "ty", "tx"], "content").where(F.col("bands")[3] == 255)
+    return there.select("img", (F.col("ty") * 20 + F.col("yy")).alias("yy"), (F.col("tx") * 20 + F.col("xx")).alias("xx"), F.slice("bands", 1, 3).alias("colour"))
 
 
 @query("tiff_window", f"WITH {PX} SELECT img, yy, xx, v::DOUBLE AS v FROM px WHERE yy BETWEEN 10 AND 39 AND xx BETWEEN 20 AND 63")
