@@ -6,15 +6,35 @@ graph of the seams alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators.regions import _stars, components_by_tile
+from rasterloom.operators.stacks import Stack
 from rasterloom.operators.staging import by_groups, written
 
 _TILE = ["img", "ty", "tx"]
+#: Images of no more places than these are worked on whole where that takes fewer steps: a task holds as many pixels anyway.
+WHOLE = 1 << 20
+
+
+def by_size(px: DataFrame, whole: Callable[..., DataFrame], parts: Callable[..., DataFrame], *others: DataFrame) -> DataFrame:
+    """whole of the images that a task can hold, and parts of the larger ones, which go tile by tile, and of those with few pixels for their size.
+    Both give the same rows. others are split as px is, and handed on.
+
+    An image that lies in one task has no seams to shuffle; nothing is shuffled here either if px lies by image. To the driver comes whether there are larger ones.
+    """
+    cells = (F.max("yy") + 1) * (F.max("xx") + 1)
+    large = px.groupBy("img").agg(cells.alias("_cells"), F.count("*").alias("_n")).where((F.col("_cells") > WHOLE) | (F.col("_cells") > 16 * F.col("_n"))).select("img")
+    if large.isEmpty():
+        return whole(px, *others)
+    large = written(large)
+    small = whole(*(df.join(large, "img", "left_anti") for df in (px, *others)))
+    return small.unionByName(parts(*(df.join(large, "img", "left_semi") for df in (px, *others))))
 
 
 def _seen(px: DataFrame, tile: int, *columns: str) -> DataFrame:
@@ -240,6 +260,64 @@ def _passes(value: np.ndarray, by: str, y: np.ndarray, x: np.ndarray, dy: int, d
     return np.abs(a - b) if by == "difference" else np.maximum(a, b)
 
 
+def _taken(ends: np.ndarray, rooted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each pixel's part, when every part without a root has taken its least pass, over and over; one whose least pass leads outside (an end of -1) waits.
+    ends: both ends of the passes, which come in order. Returns the passes' parts too, and whether they lead to another one."""
+    n = len(rooted)
+    part, waits, outside = np.arange(n), np.zeros(n, bool), (ends < 0).any(0)
+    while True:
+        a, b = (np.where(e >= 0, part[e], -1) for e in ends)
+        live = a != b
+        least = np.full(n, ends.shape[1])
+        for e in (a, b):
+            of = live & (e >= 0)
+            np.minimum.at(least, e[of], np.flatnonzero(of))
+        asks = np.flatnonzero((least < ends.shape[1]) & ~rooted & ~waits)
+        if not len(asks):
+            return part, a, b, live
+        chosen = least[asks]
+        waits[asks[outside[chosen]]] = True
+        goes = ~outside[chosen]
+        asks, chosen = asks[goes], chosen[goes]
+        to = np.where(a[chosen] == asks, b[chosen], a[chosen])
+        up = np.arange(n)
+        up[asks] = to
+        mutual = (up[up] == np.arange(n)) & (np.arange(n) < up)
+        up[mutual] = np.flatnonzero(mutual)
+        while not np.array_equal(far := up[up], up):
+            up = far
+        part = up[part]
+
+
+def forest(stack: Stack, value: np.ndarray, marker: np.ndarray, by: str, lines: bool = False, rim: bool = False) -> np.ndarray:
+    """What watershed_by_tile gives for whole images, which have no seams. Pixels without a row are in no basin, and no basin passes them."""
+    there = stack.array(np.ones(len(stack.place), bool), False)
+    frame = (stack.y == 0) | (stack.x == 0) | (stack.y == stack.high[stack.of] - 1) | (stack.x == stack.wide[stack.of] - 1)
+    if rim:
+        there &= ~frame
+    far = stack.wide[stack.of]
+    across = np.flatnonzero(there & (stack.x < far - 1))
+    down = np.flatnonzero(there & (stack.y < stack.high[stack.of] - 1))
+    across, down = across[there[across + 1]], down[there[down + far[down]]]
+    ends = np.stack([np.append(across, down), np.append(across + 1, down + far[down])])
+    a, b = value[ends]
+    name = np.append(across * 2, down * 2 + 1)  # reading order in an image, across before down
+    order = np.lexsort((name, np.abs(a - b) if by == "difference" else np.maximum(a, b)))
+    part = _taken(ends[:, order], there & (marker > 0))[0]
+    held = np.zeros(len(marker), np.int64)
+    rooted = np.flatnonzero(there & (marker > 0))
+    held[part[rooted]] = marker[rooted]
+    basin = held[part]
+    if lines:
+        beside = np.zeros(len(basin), bool)
+        for near, cells, step in ((stack.x > 0, -1, 0), (stack.x < far - 1, 1, 0), (stack.y > 0, 0, -1), (stack.y < stack.high[stack.of] - 1, 0, 1)):
+            here = np.flatnonzero(near)
+            other = basin[here + cells + step * far[here]]
+            beside[here] |= (other > 0) & (other < basin[here])
+        basin = np.where(beside & (marker == 0), -1, basin)
+    return np.where(frame, -1, basin) if rim else basin
+
+
 def grown(stack: _Stack, value: np.ndarray, marker: np.ndarray, by: str) -> tuple[np.ndarray, tuple]:
     """The parts of tiles that each one can tell alone, and the passes between them.
 
@@ -262,31 +340,8 @@ def grown(stack: _Stack, value: np.ndarray, marker: np.ndarray, by: str) -> tupl
     ends, weights, names, imgs = np.concatenate(ends, 1), np.concatenate(weights), np.concatenate(names), np.concatenate(imgs)
     order = np.lexsort((names, weights))
     ends, weights, names, imgs = ends[:, order], weights[order], names[order], imgs[order]
-    part, rooted = np.arange(n), marker[ys, xs] > 0
-    waits = np.zeros(n, bool)
-    outside = (ends < 0).any(0)
-    while True:
-        a, b = (np.where(e >= 0, part[e], -1) for e in ends)
-        live = a != b
-        least = np.full(n, len(order))
-        for e in (a, b):
-            of = live & (e >= 0)
-            np.minimum.at(least, e[of], np.flatnonzero(of))
-        asks = np.flatnonzero((least < len(order)) & ~rooted & ~waits)
-        if not len(asks):
-            break
-        chosen = least[asks]
-        waits[asks[outside[chosen]]] = True
-        goes = ~outside[chosen]
-        asks, chosen = asks[goes], chosen[goes]
-        to = np.where(a[chosen] == asks, b[chosen], a[chosen])
-        up = np.arange(n)
-        up[asks] = to
-        mutual = (up[up] == np.arange(n)) & (np.arange(n) < up)
-        up[mutual] = np.flatnonzero(mutual)
-        while not np.array_equal(far := up[up], up):
-            up = far
-        part = up[part]
+    rooted = marker[ys, xs] > 0
+    part, a, b, live = _taken(ends, rooted)
     first = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(first, part, _number(*stack.place(ys, xs)) + 1)
     held = np.zeros(n, np.int64)

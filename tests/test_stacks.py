@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom import catalog
-from rasterloom.operators import regions, stacks
+from rasterloom.operators import regions, stacks, tiled
 from test_dealing import many, plan_of  # noqa: F401
 
 
@@ -33,7 +33,7 @@ def test_floods(values):
     assert values is None or alike(stack.flooded(v, k, difference=True), regions.flood_by_difference)
 
 
-@pytest.mark.parametrize("name", "rock_two_scales rock_instances rock_scales rock_production".split())
+@pytest.mark.parametrize("name", "rock_two_scales rock_instances rock_scales rock_production rock_scales_tiled".split())
 def test_no_pixels_are_shuffled(spark, many, name):  # noqa: F811
     lines = [line for line in plan_of(catalog.QUERIES[name](spark, many)).split("\n") if "Exchange hashpartitioning" in line]
     assert lines and all("REPARTITION_BY_NUM" in line for line in lines)
@@ -68,3 +68,52 @@ def test_masks_and_cores_of_stencils(spark):
     found = stencils.rock_cores(px, "v").collect()
     assert len(found) == len(at) and all(r.core == core[at[r.img, r.yy, r.xx]] for r in found) and core.any()
     assert all((r.little, r.big) == (little[n], big[n]) for r in stencils.rock_masks(px, "v").collect() for n in [at[r.img, r.yy, r.xx]])
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Images of several sizes, with probabilities at two scales and a mask."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i, (h, w) in enumerate([(11, 13), (24, 9), (3, 3), (1, 6), (30, 31), (7, 2)]):
+        y, x = np.indices((h, w))
+        p = np.clip(np.sin(y / 2.5 + i) * np.sin(x / 2.0) + rng.random((h, w)) * 0.2, 0, 1)
+        rows += [(i, int(a), int(b), float(p[a, b]), float(np.sin(a / 4) * np.sin(b / 4) ** 2), bool(p[a, b] > 0.2)) for a, b in zip(y.ravel(), x.ravel(), strict=True)]
+    return spark.createDataFrame(rows, "img int, yy long, xx long, p double, q double, m boolean").cache()
+
+
+def taken(df):
+    return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+
+BY_TILE = {
+    "rock_scales_tiled": lambda px: regions.two_scale_rocks(px.select("img", "yy", "xx", "p"), px.select("img", "yy", "xx", F.abs("q").alias("p")), "p", tile=4),
+}
+
+
+@pytest.mark.parametrize("name", BY_TILE)
+def test_images_of_all_sizes_by_tile(spark, odd, monkeypatch, name):
+    """Tiles give what whole images give, and so does a table of which some images go one way and some the other."""
+    whole = taken(BY_TILE[name](odd))
+    assert len(whole) == odd.count()
+    for most in (0, 150):
+        monkeypatch.setattr(tiled, "WHOLE", most)
+        assert taken(BY_TILE[name](odd)) == whole
+
+
+@pytest.mark.parametrize("by", ["level", "difference"])
+@pytest.mark.parametrize(("lines", "rim"), [(False, False), (True, True)])
+def test_forest(spark, by, lines, rim):
+    """The forest of whole images is that of tiles, with gaps where there is no rim; unmarked ones stay 0."""
+    rng = np.random.default_rng(13)
+    rows = [(i, y, x, int(rng.integers(0, 6)), int(rng.integers(1, 4)) if i != 3 and rng.random() < 0.1 else 0) for i, (h, w) in enumerate([(9, 8), (1, 12), (13, 5), (6, 6)]) for y in range(h) for x in range(w) if rim or (y, x) == (h - 1, w - 1) or rng.random() < 0.9]
+    px = spark.createDataFrame(rows, "img int, yy long, xx long, v long, k long").cache()
+    one = stacks.by_images(px, lambda s: {"basin": tiled.forest(s, s.column("v", np.int64, 0), s.column("k", np.int64, 0), by, lines, rim)}, "img int, yy long, xx long, basin long")
+    assert taken(one) == taken(tiled.watershed_by_tile(px, "v", "k", 3, by=by, lines=lines, rim=rim))
+
+
+def test_few_pixels_of_a_large_image(spark):
+    """Rows far apart don't make an array of all that lies between."""
+    px = spark.createDataFrame([(1, 0, 0), (1, 1 << 20, 1 << 20), (2, 0, 0)], "img int, yy long, xx long")
+    found = tiled.by_size(px, lambda df: df.withColumn("way", F.lit("whole")), lambda df: df.withColumn("way", F.lit("tiles"))).collect()
+    assert {(r.img, r.way) for r in found} == {(1, "tiles"), (2, "whole")}
