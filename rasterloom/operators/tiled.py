@@ -241,7 +241,13 @@ def distances_by_tile(px: DataFrame, mask: str, tile: int) -> DataFrame:
 
 
 def mask_to_distance_by_tile(px: DataFrame, mask: str, tile: int) -> DataFrame:
-    """What regions.mask_to_distance gives, for images of any size."""
+    """What regions.mask_to_distance gives, for images of any size (R9). Those that a task can hold are worked on whole."""
+    from rasterloom.operators.regions import mask_to_distance
+
+    return by_size(px.select("img", "yy", "xx", mask), lambda df: mask_to_distance(df, mask), lambda df: _shares(df, mask, tile))
+
+
+def _shares(px: DataFrame, mask: str, tile: int) -> DataFrame:
     rows = distances_by_tile(px, mask, tile).join(components_by_tile(px, mask, tile), ["img", "yy", "xx"], "left")
     top = rows.where("label is not null").groupBy("img", "label").agg(F.max("d").alias("top"))
     return rows.join(top, ["img", "label"], "left").select("img", "yy", "xx", F.when(F.col("top") > 0, F.col("d") / F.col("top")).otherwise(0.0).alias("share"))

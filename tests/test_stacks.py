@@ -33,7 +33,7 @@ def test_floods(values):
     assert values is None or alike(stack.flooded(v, k, difference=True), regions.flood_by_difference)
 
 
-@pytest.mark.parametrize("name", "rock_two_scales rock_instances rock_scales rock_production rock_scales_tiled rock_production_tiled".split())
+@pytest.mark.parametrize("name", "rock_two_scales rock_instances rock_scales rock_production rock_scales_tiled rock_production_tiled mask_to_distance_tiled".split())
 def test_no_pixels_are_shuffled(spark, many, name):  # noqa: F811
     lines = [line for line in plan_of(catalog.QUERIES[name](spark, many)).split("\n") if "Exchange hashpartitioning" in line]
     assert lines and all("REPARTITION_BY_NUM" in line for line in lines)
@@ -89,6 +89,7 @@ def taken(df):
 BY_TILE = {
     "rock_scales_tiled": lambda px: regions.two_scale_rocks(px.select("img", "yy", "xx", "p"), px.select("img", "yy", "xx", F.abs("q").alias("p")), "p", tile=4),
     "rock_production_tiled": lambda px: regions.production_rocks(px.select("img", "yy", "xx", "p"), "p", tile=4),
+    "mask_to_distance_tiled": lambda px: tiled.mask_to_distance_by_tile(px, "m", 5).withColumn("share", F.round("share", 9)),
 }
 
 
