@@ -80,8 +80,9 @@ class Stack:
         out[cells] = first - self.begin[self.of[first]] + 1
         return out
 
-    def flooded(self, value: np.ndarray, marker: np.ndarray, difference: bool = False) -> np.ndarray:
-        """What regions.flood, or by difference regions.flood_by_difference, gives for each image."""
+    def flooded(self, value: np.ndarray, marker: np.ndarray, difference: bool = False, wanted: np.ndarray | None = None) -> np.ndarray:
+        """What regions.flood, or by difference regions.flood_by_difference, gives for each image. wanted: the pixels that are asked for; an image's flood by
+        level may end when all of them are reached, as what is reached doesn't change."""
         from rasterloom.operators import regions
 
         out = np.zeros(len(marker), np.int64)
@@ -94,7 +95,8 @@ class Stack:
                 parts = zip(np.split(value[cells], ends), np.split(marker[cells], ends), shapes, strict=True)
                 out[cells] = np.concatenate([one(v.reshape(s), k.reshape(s)).ravel() for v, k, s in parts])
             else:
-                out[cells] = (_by_difference if difference else _by_level)(value[cells], marker[cells], self.high[some], self.wide[some])
+                given = value[cells], marker[cells], self.high[some], self.wide[some]
+                out[cells] = _by_difference(*given) if difference else _by_level(*given, None if wanted is None else wanted[cells])
         return out
 
 
@@ -190,16 +192,19 @@ def _spots(high: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return of, edge, np.stack([-one, one, -wide, wide], 1)
 
 
-def _by_level(value: np.ndarray, marker: np.ndarray, high: np.ndarray, wide: np.ndarray) -> np.ndarray:
+def _by_level(value: np.ndarray, marker: np.ndarray, high: np.ndarray, wide: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
     of, edge, steps = _spots(high + 2, wide + 2)
     inside = np.flatnonzero(~edge)
     out, rank = np.full(len(of), -2), np.zeros(len(of), np.int64)
     out[inside], rank[inside] = marker, _ranks(of[inside], value)
+    asked = np.zeros(len(of), bool)
+    asked[inside] = True if wanted is None else wanted
+    left = np.bincount(of[asked & (out == 0)], minlength=len(high))
     steps = steps[:, [1, 3, 0, 2]]
     queues = _Queues(len(high), int(rank.max()) + 1, len(of))
     cell = np.flatnonzero(out > 0)
     queues.push(of[cell], rank[cell], cell)
-    live = queues.waiting(np.arange(len(high)))
+    live = queues.waiting(np.flatnonzero(left > 0))
     while len(live):
         cell, level = queues.pop(live)
         near = cell[:, None] + steps[live]
@@ -208,10 +213,11 @@ def _by_level(value: np.ndarray, marker: np.ndarray, high: np.ndarray, wide: np.
         around = out[to[:, None] + steps[image]]
         meets = ((around > 0) & (around != own[:, None])).any(1)
         out[to] = np.where(meets, -1, own)
+        np.subtract.at(left, image, asked[to])
         goes = ~meets
         to = to[goes]
         queues.push(image[goes], np.maximum(level[row[goes]], rank[to]), to)
-        live = queues.waiting(live)
+        live = queues.waiting(live[left[live] > 0])
     return out[inside]
 
 

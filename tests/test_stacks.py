@@ -30,6 +30,8 @@ def test_floods(values):
     v, k = (stack.array(stack.table.column(c).to_numpy()) for c in "vk")
     alike = lambda found, f: np.array_equal(found, np.concatenate([f(*m).ravel() for m in made]))
     assert alike(stack.flooded(v, k), regions.flood) and alike(stack.labels(k > 0), lambda _, k: regions.label_array(k > 0))
+    wanted = rng.random(len(v)) < 0.2
+    assert np.array_equal(stack.flooded(v, k, wanted=wanted)[wanted], stack.flooded(v, k)[wanted])
     assert values is None or alike(stack.flooded(v, k, difference=True), regions.flood_by_difference)
 
 
